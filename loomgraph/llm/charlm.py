@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import mix64
 
@@ -61,8 +61,11 @@ def count_grams(df: DataFrame, order: int, split, text: str = "text", model: str
     return parts.groupBy("model", "gram").agg(F.sum("n").alias("n"))
 
 
-def kneser_ney(grams: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
-    """Probabilities (model, k, gram, p) and back-off weights (model, k, ctx, gamma) of all orders."""
+def kneser_ney(grams: DataFrame, order: int, scratch) -> tuple[DataFrame, DataFrame]:
+    """Probabilities (model, k, gram, p) and back-off weights (model, k, ctx, gamma) of all orders.
+
+    Each order is written before the next is built, so plans stay small.
+    """
     level = {order: grams.select("model", "gram", "n")}
     top = grams.where((F.length("gram") == order))
     anchored = grams.where(F.col("gram").startswith(START))
@@ -70,7 +73,7 @@ def kneser_ney(grams: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
         above = level[k + 1].where(F.length("gram") == k + 1) if k + 1 == order else level[k + 1]
         follows = above.select("model", F.expr("substring(gram, 2)").alias("gram")).groupBy("model", "gram").agg(F.count(F.lit(1)).alias("n"))
         starts = anchored.where(F.length("gram") == k) if k > 1 else anchored.limit(0)
-        level[k] = follows.unionByName(starts.select("model", "gram", "n"))
+        level[k] = scratch.save(follows.unionByName(starts.select("model", "gram", "n")))
     level[order] = top.select("model", "gram", "n")
     below = None
     probs, backs = [], []
@@ -84,20 +87,20 @@ def kneser_ney(grams: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
             d = i - (i + 1) * y * F.col(f"n{i + 1}") / F.greatest(F.col(f"n{i}"), F.lit(1.0))
             return F.least(F.greatest(d, F.lit(0.1)), F.lit(i - 0.1)).alias(f"d{i}")
 
-        d = F.broadcast(c.select("model", discount(1), discount(2), discount(3)))  # a row for each model
+        d = F.broadcast(scratch.save(c.select("model", discount(1), discount(2), discount(3))))  # a row for each model
         g = g.join(d, "model").withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
-        ctx = g.groupBy("model", "ctx").agg(F.sum("n").cast("double").alias("total"), F.sum("d").alias("cut")).withColumn("gamma", F.col("cut") / F.col("total"))
+        ctx = scratch.save(g.groupBy("model", "ctx").agg(F.sum("n").cast("double").alias("total"), F.sum("d").alias("cut")).withColumn("gamma", F.col("cut") / F.col("total")))
         g = g.join(ctx.select("model", "ctx", "total", "gamma"), ["model", "ctx"]).withColumn("own", (F.col("n") - F.col("d")) / F.col("total"))
         if below is None:
-            size = F.broadcast(g.groupBy("model").agg((F.lit(1.0) / (F.count(F.lit(1)) + 1)).alias("flat")))
+            size = F.broadcast(scratch.save(g.groupBy("model").agg((F.lit(1.0) / (F.count(F.lit(1)) + 1)).alias("flat"))))  # a row for each model
             p = g.join(size, "model").select("model", "gram", (F.col("own") + F.col("gamma") * F.col("flat")).alias("p"))
             backs.append(g.join(size, "model").groupBy("model").agg(F.first(F.col("gamma") * F.col("flat")).alias("gamma")).select("model", F.lit(0).alias("k"), F.lit("").alias("ctx"), "gamma"))
         else:
             low = below.select("model", F.col("gram").alias("suffix"), F.col("p").alias("low"))
             p = g.withColumn("suffix", F.expr("substring(gram, 2)")).join(low, ["model", "suffix"], "left").select("model", "gram", (F.col("own") + F.col("gamma") * F.coalesce("low", F.lit(0.0))).alias("p"))
             backs.append(ctx.select("model", F.lit(k).alias("k"), "ctx", "gamma"))
-        probs.append(p.withColumn("k", F.lit(k)))
-        below = p
+        below = scratch.save(p)
+        probs.append(below.withColumn("k", F.lit(k)))
     union = lambda xs: xs[0] if len(xs) == 1 else union([xs[0].unionByName(xs[1]), *xs[2:]])
     return union(probs).select("model", "k", "gram", "p"), union(backs)
 
@@ -203,8 +206,7 @@ def train(df: DataFrame, scratch, order: int, split, max_entries: int, text: str
     """A model for each value of `model`; None if no row has one."""
     counts = scratch.save(count_grams(df, order, split, text, model))
     while True:
-        probs, backs = kneser_ney(counts, order)
-        probs, backs = scratch.save(probs), scratch.save(backs)
+        probs, backs = kneser_ney(counts, order, scratch)
         entries = probs.count() + backs.count()
         if not entries:
             return None

@@ -6,12 +6,15 @@ with nothing). Documents are linked if 100 * intersection >= percent * union.
 1. Signatures (`SLOTS` values) by SuperMinHash: each shingle walks a permutation of the slots and offers the value
    step + fraction; all shingles of a batch take a step together, and a document stops once every slot holds a value below
    the next step. Equal sets collapse to one class by a 128-bit sum of shingle hashes.
-2. Bands of `ROWS` slots. In a bucket of up to `SMALL` classes all pairs are candidates (at most SMALL / 2 a class). In a
-   larger one, only pairs with its smallest set p (the pivot) are. A class x that is not linked with p can be linked with
-   another class y of the bucket only if both hold a shingle outside p: otherwise the intersection of x and y is within x and
-   p, and as p is the smallest set, x and y would be no more alike than x and p are. So the remaining pairs are looked for
-   among classes that share a shingle outside the pivot, in groups by that shingle, by the same rule, until no group is left.
-   Each round's groups lack their pivot, so this ends. No link is lost, and no group's pairs are all listed.
+2. Bands of `ROWS` slots. In a bucket of up to `SMALL` classes all pairs are candidates. Larger buckets are merged by their
+   lowest id into families, which are never paired off. A family has a consensus C: the shingles of more than half of its
+   members. With D(x) the difference of x and C, x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)| shingles and are linked
+   if that is at most share * (|x| + |y|). Let f(x) = |D(x)| - share * |x|. Every pair with f(x) + f(y) <= 0 is linked, and
+   then both are linked with the member b of lowest f; so links from b to every x with f(b) + f(x) <= 0 (the core) stand for
+   all of those. Any other link that counts has an end outside the core and needs at least (f(x) + f(y)) / 2 shared
+   differences; by the prefix principle, both ends then hold one common element among the first few of their differences.
+   Classes that share such an element are the next round's groups. An element is a difference for at most half of a family,
+   so there are about log2(size) rounds at most. No link between components is lost, and no group's pairs are all listed.
 3. Links are confirmed on whole sets of 64-bit shingle hashes.
 4. Components by alternating large-star and small-star rounds (union-find as joins) until nothing changes.
 
@@ -23,13 +26,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import Scratch, binary_texts, bound_batches, check_free, mix64, table
 
 SLOTS, ROWS = 96, 4
 BANDS = SLOTS // ROWS
-SMALL = 16
+SMALL = 8
 #: Fixed: A-Z become a-z; words are split at the bytes 0x09-0x0D and 0x20.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -141,46 +144,68 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id long, s array<long>")
 
 
-def split_groups(groups: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
-    """groups (g, id, n): pairs (a, b) of small groups, and (g, pivot, id) of large ones."""
-    # counts and smallest sets are partial sums; a group's rows are never gathered
-    size = groups.groupBy("g").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("n", "id")).alias("p")).where("size > 1")
-    little = groups.join(size.where(F.col("size") <= small).select("g"), "g").select("g", "id")
-    lists = little.groupBy("g").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # at most `small` ids
-    pairs = lists.select(F.explode(F.expr("flatten(transform(ids, (x, i) -> transform(slice(ids, i + 2, size(ids)), y -> named_struct('a', x, 'b', y))))")).alias("p")).select("p.a", "p.b")
-    large = groups.join(size.where(F.col("size") > small).select("g", F.col("p.id").alias("pivot")), "g").where("id != pivot").select("g", "pivot", "id")
+def split_groups(groups: DataFrame, small: int, merge: bool) -> tuple[DataFrame, DataFrame]:
+    """groups (g, id, core): pairs (a, b) of small groups, not both in the core, and (g, id) of large ones.
+
+    merge puts large groups with the same lowest id together (buckets of the same copies); later groups stay apart, as only
+    then they are at most half of their family.
+    """
+    size = groups.groupBy("g").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("low"), F.min("core").alias("closed")).where("size > 1 and not closed")
+    little = groups.join(size.where(F.col("size") <= small).select("g"), "g").select("g", "id", "core")
+    lists = little.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("id", "core"))).alias("m"))  # at most `small` members
+    every = "flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> not (x.core and y.core)), y -> named_struct('a', x.id, 'b', y.id))))"
+    pairs = lists.select(F.explode(F.expr(every)).alias("p")).select("p.a", "p.b").distinct()
+    large = groups.join(size.where(F.col("size") > small).select("g", "low"), "g").select(F.col("low" if merge else "g").alias("g"), "id").distinct()
     return pairs, large
 
 
+def judge_families(large: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> tuple[DataFrame, DataFrame]:
+    """large (g, id): core links (a, b), and the next groups (g, id, core)."""
+    up, down = 100 + percent, 100 - percent
+    members = scratch.save(large.join(sets, "id").select("g", "id", "s"))
+    size = members.groupBy("g").agg(F.count(F.lit(1)).alias("k"))
+    held = members.select("g", F.explode("s").alias("e")).groupBy("g", "e").agg(F.count(F.lit(1)).alias("c")).join(size, "g").where("2 * c > k")
+    # at most twice the mean set size
+    consensus = size.join(held.groupBy("g").agg(F.collect_list("e").alias("common")), "g", "left").select("g", F.coalesce("common", F.array().cast("array<bigint>")).alias("common"))
+    more, less = F.array_sort(F.array_except("s", "common")), F.array_sort(F.array_except("common", "s"))
+    mark = F.lit(0x5BD1E995_9D1B54A3).cast("long")
+    differences = F.concat(more, F.transform(less, lambda e: e.bitwiseXOR(mark)))
+    apart = members.join(consensus, "g").select("g", "id", F.size("s").alias("n"), differences.alias("d"))
+    apart = scratch.save(apart.withColumn("f", (F.lit(up) * F.size("d") - F.lit(down) * F.col("n")).cast("long")))
+    scratch.drop(members)
+    best = apart.groupBy("g").agg(F.min(F.struct("f", "id")).alias("b")).select("g", F.col("b.f").alias("bf"), F.col("b.id").alias("b"))
+    judged = apart.join(best, "g").withColumn("core", F.col("f") + F.col("bf") <= 0)
+    rest = judged.where("not core").groupBy("g").agg(F.min("f").alias("rf"))
+    core_links = scratch.save(judged.where("core and id != b").select(F.least("b", "id").alias("a"), F.greatest("b", "id").alias("b")).distinct())
+    open_ = judged.join(rest, "g")
+    needed = F.greatest(F.lit(1).cast("long"), F.ceil((F.col("f") + F.when(F.col("core"), F.col("rf")).otherwise(F.col("bf"))) / (2.0 * up)))
+    prefix = F.size("d") - needed.cast("int") + 1
+    following = open_.where(prefix > 0).select("g", "id", "core", F.explode(F.slice("d", F.lit(1), prefix)).alias("e"))
+    return core_links, following.select(F.xxhash64("g", "e").alias("g"), "id", "core")
+
+
 def links(groups: DataFrame, sets: DataFrame, scratch: Scratch, percent: int, small: int = SMALL) -> DataFrame:
-    """Confirmed links (a, b) between ids that share a group. groups: (g, id, n), distinct."""
-    found: list[DataFrame] = []
+    """Confirmed links (a, b) that connect what is linked among ids that share a group. groups: (g, id), distinct."""
     a, b = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     alike = 100 * both >= percent * (F.size("sa") + F.size("sb") - both)
-
     sizes = sets.select("id", F.size("s").alias("n"))
     na, nb = sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), sizes.select(F.col("id").alias("b"), F.col("n").alias("nb"))
+    near_size = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    groups = groups.withColumn("core", F.lit(False))
+    found: list[DataFrame] = []
+    first = True
     while True:
-        pairs, large = split_groups(groups, small)
+        pairs, large = split_groups(groups, small, first)
+        first = False
+        pairs = pairs.join(na, "a").join(nb, "b").where(near_size).select("a", "b")
+        found.append(scratch.save(pairs.join(a, "a").join(b, "b").where(alike).select("a", "b")))
         large = scratch.save(large)
-        star = large.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-        near_size = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-        pairs = pairs.distinct().join(na, "a").join(nb, "b").where(near_size).select("a", "b")
-        confirmed = scratch.save(pairs.join(a, "a").join(b, "b").where(alike).select("a", "b"))
-        found.append(confirmed)
         if not large.take(1):
             return union(found).distinct()
-        judged = star.join(a, "a").join(b, "b").select("a", "b", alike.alias("linked"), F.array_except("sb", "sa").alias("rest"))
-        judged = scratch.save(judged)
-        found.append(judged.where("linked").select("a", "b"))
-        # the next groups: classes of a pivot that share a shingle outside it, one of them not linked with the pivot
-        rest = judged.select("a", "b", "linked", F.explode("rest").alias("x"))
-        open_ = rest.groupBy("a", "x").agg(F.count(F.lit(1)).alias("k"), F.min("linked").alias("all")).where("k > 1 and not all").select("a", "x")
-        step = rest.join(open_, ["a", "x"]).select(F.struct("a", "x").alias("g"), F.col("b").alias("id"))
-        groups = scratch.save(step.join(sizes, "id").select(F.xxhash64("g.a", "g.x").alias("g"), "id", "n"))
-        if not groups.take(1):
-            return union(found).distinct()
+        core, following = judge_families(large, sets, scratch, percent)
+        found.append(core)
+        groups = scratch.save(following)
 
 
 def union(frames: list[DataFrame]) -> DataFrame:
@@ -217,14 +242,14 @@ def group(docs: DataFrame, scratch: Scratch, words: int = 5, percent: int = 80,
     rows = scratch.save(signatures(docs, words))
     some = rows.where("n_shingles > 0 and doc_id is not null")
     classes = scratch.save(some.groupBy("c1", "c2", "n_shingles").agg(F.min("doc_id").cast("long").alias("id"), F.min_by("bands", "doc_id").alias("bands")))
-    groups = classes.select("id", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "h")).select(F.xxhash64("band", "h").alias("g"), "id", "n")
+    groups = classes.select("id", F.posexplode("bands").alias("band", "h")).select(F.xxhash64("band", "h").alias("g"), "id")
     shared = groups.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("g")
     groups = scratch.save(groups.join(shared, "g"))
     wanted = groups.select("id").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null").join(wanted, "id", "left_semi")
     # rows of one doc_id with several texts: each set stands by its own class, whose lowest id may be shared
     sets = scratch.save(shingle_sets(texts, words).dropDuplicates(["id"]))
-    edges = links(groups.select("g", "id", "n").distinct(), sets, scratch, percent, small)
+    edges = links(groups.select("g", "id").distinct(), sets, scratch, percent, small)
     roots = components(edges, scratch)
     labelled = classes.select("c1", "c2", "n_shingles", "id").join(roots, "id", "left").select("c1", "c2", "n_shingles", F.coalesce("root", "id").alias("root"))
     keep = F.col("n_shingles") > 0

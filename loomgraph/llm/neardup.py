@@ -6,15 +6,16 @@ with nothing). Documents are linked if 100 * intersection >= percent * union.
 1. Signatures (`SLOTS` values) by SuperMinHash: each shingle walks a permutation of the slots and offers the value
    step + fraction; all shingles of a batch take a step together, and a document stops once every slot holds a value below
    the next step. Equal sets collapse to one class by a 128-bit sum of shingle hashes.
-2. Bands of `ROWS` slots. In a bucket of up to `SMALL` classes all pairs are candidates. Larger buckets are merged by their
-   lowest id into families, which are never paired off. A family has a consensus C: the shingles of more than half of its
-   members. With D(x) the difference of x and C, x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)| shingles and are linked
-   if that is at most share * (|x| + |y|). Let f(x) = |D(x)| - share * |x|. Every pair with f(x) + f(y) <= 0 is linked, and
-   then both are linked with the member b of lowest f; so links from b to every x with f(b) + f(x) <= 0 (the core) stand for
-   all of those. Any other link that counts has an end outside the core and needs at least (f(x) + f(y)) / 2 shared
-   differences; by the prefix principle, both ends then hold one common element among the first few of their differences.
-   Classes that share such an element are the next round's groups. An element is a difference for at most half of a family,
-   so there are about log2(size) rounds at most. No link between components is lost, and no group's pairs are all listed.
+2. Bands of `ROWS` slots. Buckets with the same lowest id become one family. A family of up to `LIMIT` classes is settled in
+   one task (a bounded group: intersections of whole sets as a matrix product, then union-find), which hands on a spanning
+   forest. Larger families are never gathered or paired off: a family has a consensus C, the shingles of more than half of
+   its members. With D(x) the difference of x and C, x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)| shingles and are
+   linked if that is at most share * (|x| + |y|). Let f(x) = |D(x)| - share * |x|. Every pair with f(x) + f(y) <= 0 is
+   linked, and then both are linked with the member b of lowest f; so links from b to every x with f(b) + f(x) <= 0 (the
+   core) stand for all of those. Any other link that counts has an end outside the core and needs at least
+   (f(x) + f(y)) / 2 shared differences; by the prefix principle, both ends then hold one common element among the first few
+   of their differences. Classes that share such an element are the next round's groups, with D in place of sets. An element
+   is a difference for at most half of a family, so groups halve each round. No link between components is lost.
 3. Links are confirmed on whole sets of 64-bit shingle hashes.
 4. Components by alternating large-star and small-star rounds (union-find as joins) until nothing changes.
 
@@ -32,7 +33,8 @@ from .common import Scratch, binary_texts, bound_batches, check_free, mix64, tab
 
 SLOTS, ROWS = 96, 4
 BANDS = SLOTS // ROWS
-SMALL = 8
+#: Members of a group that one task settles.
+LIMIT = 256
 #: Fixed: A-Z become a-z; words are split at the bytes 0x09-0x0D and 0x20.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -144,68 +146,93 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id long, s array<long>")
 
 
-def split_groups(groups: DataFrame, small: int, merge: bool) -> tuple[DataFrame, DataFrame]:
-    """groups (g, id, core): pairs (a, b) of small groups, not both in the core, and (g, id) of large ones.
-
-    merge puts large groups with the same lowest id together (buckets of the same copies); later groups stay apart, as only
-    then they are at most half of their family.
-    """
-    size = groups.groupBy("g").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("low"), F.min("core").alias("closed")).where("size > 1 and not closed")
-    little = groups.join(size.where(F.col("size") <= small).select("g"), "g").select("g", "id", "core")
-    lists = little.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("id", "core"))).alias("m"))  # at most `small` members
-    every = "flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> not (x.core and y.core)), y -> named_struct('a', x.id, 'b', y.id))))"
-    pairs = lists.select(F.explode(F.expr(every)).alias("p")).select("p.a", "p.b").distinct()
-    large = groups.join(size.where(F.col("size") > small).select("g", "low"), "g").select(F.col("low" if merge else "g").alias("g"), "id").distinct()
-    return pairs, large
-
-
-def judge_families(large: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> tuple[DataFrame, DataFrame]:
-    """large (g, id): core links (a, b), and the next groups (g, id, core)."""
+def settle(ids: np.ndarray, sizes: np.ndarray, differences: list, percent: int) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links among the members of one bounded group."""
+    k = len(ids)
+    lengths = np.fromiter(map(len, differences), np.int64, k)
+    flat = np.concatenate(differences) if k else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(k), lengths)
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
+    both = np.zeros((k, k), np.float32)
+    width = int(column.max()) + 1 if len(column) else 0
+    for at in range(0, width, 8192):
+        part = (column >= at) & (column < at + 8192)
+        m = np.zeros((k, min(8192, width - at)), np.float32)
+        m[owner[part], column[part] - at] = 1
+        both += m @ m.T
+    apart = lengths[:, None] + lengths[None, :] - 2 * both.astype(np.int64)
+    linked = apart * (100 + percent) <= (sizes[:, None] + sizes[None, :]) * (100 - percent)
+    root = list(range(k))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    edges = []
+    for x, y in zip(*np.nonzero(np.triu(linked, 1))):
+        rx, ry = find(int(x)), find(int(y))
+        if rx != ry:
+            root[max(rx, ry)] = min(rx, ry)
+            edges.append((int(ids[x]), int(ids[y])))
+    return edges
+
+
+def settle_groups(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of groups (g, id, n, d) of at most LIMIT members."""
+
+    def run(group: pa.Table) -> pa.Table:
+        d = group.column("d").combine_chunks()
+        offsets, values = d.offsets.to_numpy(), d.values.to_numpy()
+        edges = settle(group.column("id").to_numpy(), group.column("n").to_numpy(), [values[i:j] for i, j in zip(offsets, offsets[1:])], percent)
+        return pa.table({"a": pa.array([min(e) for e in edges], pa.int64()), "b": pa.array([max(e) for e in edges], pa.int64())})
+
+    return rows.select("g", "id", "n", "d").groupBy("g").applyInArrow(run, "a long, b long")
+
+
+def judge_families(members: DataFrame, scratch: Scratch, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Large groups (g, id, n, d): core links (a, b), and the next groups (g, id, n, d, core)."""
     up, down = 100 + percent, 100 - percent
-    members = scratch.save(large.join(sets, "id").select("g", "id", "s"))
     size = members.groupBy("g").agg(F.count(F.lit(1)).alias("k"))
-    held = members.select("g", F.explode("s").alias("e")).groupBy("g", "e").agg(F.count(F.lit(1)).alias("c")).join(size, "g").where("2 * c > k")
+    held = members.select("g", F.explode("d").alias("e")).groupBy("g", "e").agg(F.count(F.lit(1)).alias("c")).join(size, "g").where("2 * c > k")
     # at most twice the mean set size
     consensus = size.join(held.groupBy("g").agg(F.collect_list("e").alias("common")), "g", "left").select("g", F.coalesce("common", F.array().cast("array<bigint>")).alias("common"))
-    more, less = F.array_sort(F.array_except("s", "common")), F.array_sort(F.array_except("common", "s"))
-    mark = F.lit(0x5BD1E995_9D1B54A3).cast("long")
+    more, less = F.array_sort(F.array_except("d", "common")), F.array_sort(F.array_except("common", "d"))
+    mark = F.lit(0x5BD1E9959D1B54A3).cast("long")
     differences = F.concat(more, F.transform(less, lambda e: e.bitwiseXOR(mark)))
-    apart = members.join(consensus, "g").select("g", "id", F.size("s").alias("n"), differences.alias("d"))
+    apart = members.join(consensus, "g").select("g", "id", "n", differences.alias("d"))
     apart = scratch.save(apart.withColumn("f", (F.lit(up) * F.size("d") - F.lit(down) * F.col("n")).cast("long")))
-    scratch.drop(members)
     best = apart.groupBy("g").agg(F.min(F.struct("f", "id")).alias("b")).select("g", F.col("b.f").alias("bf"), F.col("b.id").alias("b"))
     judged = apart.join(best, "g").withColumn("core", F.col("f") + F.col("bf") <= 0)
     rest = judged.where("not core").groupBy("g").agg(F.min("f").alias("rf"))
     core_links = scratch.save(judged.where("core and id != b").select(F.least("b", "id").alias("a"), F.greatest("b", "id").alias("b")).distinct())
-    open_ = judged.join(rest, "g")
     needed = F.greatest(F.lit(1).cast("long"), F.ceil((F.col("f") + F.when(F.col("core"), F.col("rf")).otherwise(F.col("bf"))) / (2.0 * up)))
     prefix = F.size("d") - needed.cast("int") + 1
-    following = open_.where(prefix > 0).select("g", "id", "core", F.explode(F.slice("d", F.lit(1), prefix)).alias("e"))
-    return core_links, following.select(F.xxhash64("g", "e").alias("g"), "id", "core")
+    keys = judged.join(rest, "g").where(prefix > 0).select("g", "id", "core", F.explode(F.slice("d", F.lit(1), prefix)).alias("e"))
+    open_ = keys.groupBy("g", "e").agg(F.count(F.lit(1)).alias("k"), F.min("core").alias("closed")).where("k > 1 and not closed").select("g", "e")
+    rows = keys.join(open_, ["g", "e"]).join(apart.select("g", "id", "n", "d"), ["g", "id"])
+    return core_links, rows.select(F.xxhash64("g", "e").alias("g"), "id", "n", "d", "core")
 
 
-def links(groups: DataFrame, sets: DataFrame, scratch: Scratch, percent: int, small: int = SMALL) -> DataFrame:
+def links(groups: DataFrame, sets: DataFrame, scratch: Scratch, percent: int, limit: int = LIMIT) -> DataFrame:
     """Confirmed links (a, b) that connect what is linked among ids that share a group. groups: (g, id), distinct."""
-    a, b = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    alike = 100 * both >= percent * (F.size("sa") + F.size("sb") - both)
-    sizes = sets.select("id", F.size("s").alias("n"))
-    na, nb = sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), sizes.select(F.col("id").alias("b"), F.col("n").alias("nb"))
-    near_size = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    groups = groups.withColumn("core", F.lit(False))
+    low = groups.groupBy("g").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("k")).where("k > 1").select("g", "low")
+    families = groups.join(low, "g").select(F.col("low").alias("g"), "id").distinct()
+    rows = scratch.save(families.join(sets, "id").select("g", "id", F.size("s").cast("long").alias("n"), F.col("s").alias("d"), F.lit(False).alias("core")))
     found: list[DataFrame] = []
-    first = True
     while True:
-        pairs, large = split_groups(groups, small, first)
-        first = False
-        pairs = pairs.join(na, "a").join(nb, "b").where(near_size).select("a", "b")
-        found.append(scratch.save(pairs.join(a, "a").join(b, "b").where(alike).select("a", "b")))
-        large = scratch.save(large)
+        size = scratch.save(rows.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.min("core").alias("closed")).where("k > 1 and not closed").select("g", "k"))
+        found.append(scratch.save(settle_groups(rows.join(size.where(F.col("k") <= limit), "g"), percent)))
+        large = scratch.save(rows.join(size.where(F.col("k") > limit), "g").select("g", "id", "n", "d"))
         if not large.take(1):
             return union(found).distinct()
-        core, following = judge_families(large, sets, scratch, percent)
+        core, following = judge_families(large, scratch, percent)
         found.append(core)
-        groups = scratch.save(following)
+        before, rows = rows, scratch.save(following)
+        scratch.drop(before)
 
 
 def union(frames: list[DataFrame]) -> DataFrame:
@@ -235,7 +262,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return now.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
-def group(docs: DataFrame, scratch: Scratch, words: int = 5, percent: int = 80, small: int = SMALL) -> DataFrame:
+def group(docs: DataFrame, scratch: Scratch, words: int = 5, percent: int = 80, limit: int = LIMIT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs."""
     spark = docs.sparkSession
     bound_batches(spark)
@@ -249,7 +276,7 @@ def group(docs: DataFrame, scratch: Scratch, words: int = 5, percent: int = 80,
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null").join(wanted, "id", "left_semi")
     # rows of one doc_id with several texts: each set stands by its own class, whose lowest id may be shared
     sets = scratch.save(shingle_sets(texts, words).dropDuplicates(["id"]))
-    edges = links(groups.select("g", "id").distinct(), sets, scratch, percent, small)
+    edges = links(groups.select("g", "id").distinct(), sets, scratch, percent, limit)
     roots = components(edges, scratch)
     labelled = classes.select("c1", "c2", "n_shingles", "id").join(roots, "id", "left").select("c1", "c2", "n_shingles", F.coalesce("root", "id").alias("root"))
     keep = F.col("n_shingles") > 0

@@ -1,11 +1,534 @@
-"""Registered queries and the SQL that each must equal."""
+"""Registered queries over the star tables, and the SQL that each must equal.
+
+The star schema is read as a graph: regions, nations, customers, suppliers, parts and orders are entities; located_in,
+placed_by, contains_part and supplied_by are relationships. Events, conversations, documents and pages stand for the
+documents that the text operators read.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import ids, text as T
+from ..operators import compile as C, densify as D, gates as G, graph as Q, search as S, typed as Y
+from ..sources import files, profile
+from ..session import prepare
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# -- the graph of the star tables ----------------------------------------------------------------------------------------
+
+NODES = {"Region": ("region", "r_name"), "Nation": ("nation", "n_name"), "Customer": ("customer", "c_name"), "Supplier": ("supplier", "s_name"), "Part": ("part", "concat(p_name, ' ', p_partkey)"), "Order": ("orders", "concat('Order ', o_orderkey)")}
+#: verb: (source type, target type, source name, target name, Spark and SQL tables joined)
+LINKS = {
+    "nation_in": ("Nation", "Region", "n_name", "r_name", "nation JOIN region ON n_regionkey = r_regionkey"),
+    "customer_in": ("Customer", "Nation", "c_name", "n_name", "customer JOIN nation ON c_nationkey = n_nationkey"),
+    "supplier_in": ("Supplier", "Nation", "s_name", "n_name", "supplier JOIN nation ON s_nationkey = n_nationkey"),
+    "placed_by": ("Order", "Customer", "concat('Order ', o_orderkey)", "c_name", "orders JOIN customer ON o_custkey = c_custkey"),
+    "contains_part": ("Order", "Part", "concat('Order ', l_orderkey)", "concat(p_name, ' ', p_partkey)", "(SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) JOIN part ON l_partkey = p_partkey"),
+    "supplied_by": ("Part", "Supplier", "concat(p_name, ' ', p_partkey)", "s_name", "(SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey"),
+}
+
+
+def sql_key(kind: str, name: str) -> str:
+    flat = rf"regexp_replace(regexp_replace(regexp_replace(lower({name}), '^[\s\x{{00a0}}]+|[\s\x{{00a0}}]+$', '', 'g'), '[\s\x{{00a0}}]+', ' ', 'g'), '[^a-z0-9\- ]', '', 'g')"
+    return f"('{kind.lower()}:' || replace({flat}, ' ', '-'))"
+
+
+def sql_id(prefix: str, text: str) -> str:
+    return f"('{prefix}:' || substr(sha256({text}), 1, 32))"
+
+
+def entities(spark: SparkSession, d: str, kinds: list[str] | None = None) -> DataFrame:
+    out = []
+    for kind, (name, label) in NODES.items():
+        if kinds is None or kind in kinds:
+            rows = table(spark, d, name).select(F.expr(label).alias("display_name"))
+            key = ids.canonical_key(F.lit(kind), "display_name")
+            out.append(rows.select(ids.entity_id(key).alias("entity_id"), F.lit(kind).alias("entity_type"), "display_name", key.alias("canonical_key")))
+    return G.union(out)
+
+
+def relationships(spark: SparkSession, d: str, verbs: list[str] | None = None) -> DataFrame:
+    """Ends are minted from names by the tables' own joins; columns and predicates reach the scans."""
+    t = lambda n: table(spark, d, n)
+    line = lambda *c: t("lineitem").select(*c).distinct()
+    joins = {
+        "nation_in": lambda: t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")),
+        "customer_in": lambda: t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")),
+        "supplier_in": lambda: t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")),
+        "placed_by": lambda: t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")),
+        "contains_part": lambda: line("l_orderkey", "l_partkey").join(t("part"), F.col("l_partkey") == F.col("p_partkey")),
+        "supplied_by": lambda: line("l_partkey", "l_suppkey").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")),
+    }
+    out = []
+    for verb, (a, b, an, bn, _) in LINKS.items():
+        if verbs is None or verb in verbs:
+            end = lambda kind, name: ids.entity_id(ids.canonical_key(F.lit(kind), F.expr(name)))
+            rows = joins[verb]().select(end(a, an).alias("source_entity_id"), end(b, bn).alias("target_entity_id"))
+            out.append(rows.select(ids.relationship_id(F.lit(verb), "source_entity_id", "target_entity_id").alias("relationship_id"), F.lit(verb).alias("relationship_type"), "source_entity_id", "target_entity_id"))
+    return G.union(out)
+
+
+ENT = "ent AS (" + " UNION ALL ".join(f"SELECT {sql_id('entity', sql_key(k, n))} AS entity_id, '{k}' AS entity_type, {n} AS display_name, {sql_key(k, n)} AS canonical_key FROM {t}" for k, (t, n) in NODES.items()) + ")"
+
+
+def sql_links(verbs=None) -> str:
+    parts = []
+    for verb, (a, b, an, bn, joined) in LINKS.items():
+        if verbs is None or verb in verbs:
+            s, t = sql_id("entity", sql_key(a, an)), sql_id("entity", sql_key(b, bn))
+            parts.append(f"SELECT {sql_id('rel', f''''{verb}:' || s || ':' || t''')} AS relationship_id, '{verb}' AS relationship_type, s AS source_entity_id, t AS target_entity_id FROM (SELECT {s} AS s, {t} AS t FROM {joined})")
+    return "rel AS (" + " UNION ALL ".join(parts) + ")"
+
+
+REL = sql_links()
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# -- identity and text ------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT p_partkey, {sql_key('Part', 'p_name')} AS canonical_key, {sql_id('entity', sql_key('Part', 'p_name'))} AS entity_id FROM part")
+def ids_entity(spark, d):
+    key = ids.canonical_key(F.lit("Part"), "p_name")
+    return table(spark, d, "part").select("p_partkey", key.alias("canonical_key"), ids.entity_id(key).alias("entity_id"))
+
+
+@query(f"SELECT doc_id, sha256(text) AS content_hash, {sql_id('src', "source || ':' || sha256(text)")} AS source_file_id, {sql_id('chunk', "source || ':section_text:' || sha256(text)")} AS chunk_id FROM documents")
+def ids_documents(spark, d):
+    h = ids.content_hash("text")
+    return table(spark, d, "documents").select("doc_id", h.alias("content_hash"), ids.source_file_id("source", h).alias("source_file_id"), ids.chunk_id("source", F.lit("section_text"), h).alias("chunk_id"))
+
+
+@query("SELECT c_custkey, CAST(CAST(('0x' || substr(sha256(c_name), 1, 16)) AS UBIGINT) % 4611686018427387904 AS BIGINT) AS big FROM customer")
+def ids_big_int(spark, d):
+    return table(spark, d, "customer").select("c_custkey", ids.big_int("c_name").alias("big"))
+
+
+@query("SELECT p_partkey, lower(trim(regexp_replace(p_type, '[^0-9a-zA-Z]+', '_', 'g'), '_')) AS slug FROM part")
+def slugify(spark, d):
+    return table(spark, d, "part").select("p_partkey", T.slug("p_type").alias("slug"))
+
+
+STOPS = ", ".join(f"'{w}'" for w in dict.fromkeys(T.STOPWORDS))
+ROLLUP = ", ".join(f"'{w}'" for w in dict.fromkeys(T.ROLLUP_STOPWORDS))
+TOK = f"list_distinct(list_filter(regexp_extract_all(lower(coalesce({{c}}, '')), '[a-z0-9]+'), lambda w: length(w) >= 4 AND w NOT IN ({STOPS})))"
+
+
+@query(f"SELECT doc_id, array_to_string(list_sort({TOK.format(c='text')}), ' ') AS tokens FROM documents")
+def salient_tokens(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(T.salient_tokens("text")), " ").alias("tokens"))
+
+
+@query(f"SELECT w, count(*) AS df FROM (SELECT unnest({TOK.format(c='text')}) AS w FROM conversations) GROUP BY w")
+def document_frequency(spark, d):
+    return table(spark, d, "conversations").select(F.explode(T.salient_tokens("text")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+
+
+@query("SELECT doc_id, CAST(len(c) AS BIGINT) AS n, sha256(array_to_string(c, chr(1))) AS digest FROM (SELECT doc_id, CASE WHEN length(text) = 0 THEN [] ELSE list_transform(range(0, CAST(ceil(length(text) / 1000.0) AS BIGINT)), lambda i: substr(text, CAST(i * 1000 + 1 AS BIGINT), 1000)) END AS c FROM (SELECT doc_id, replace(trim(text), chr(10), ' ') AS text FROM documents) WHERE length(text) > 1500)")
+def chunk_hard_split(spark, d):
+    one_line = table(spark, d, "documents").select("doc_id", F.replace(F.trim("text"), F.lit("\n"), F.lit(" ")).alias("text")).where(F.length("text") > 1500)
+    # parts are stripped of white space at their ends before they are cut; these texts have none there
+    return one_line.select("doc_id", T.split_text("text").alias("c")).select("doc_id", F.size("c").cast("bigint").alias("n"), F.sha2(F.array_join("c", "\x01").cast("binary"), 256).alias("digest"))
+
+
+@query()
+def chunk_greedy(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.posexplode(T.split_text("text")).alias("pos", "chunk")).select("doc_id", "pos", F.length("chunk").alias("n_chars"), ids.content_hash("chunk").alias("content_hash"))
+
+
+@query("SELECT page_id, CASE WHEN ext IN ('.html', '.htm') THEN 'html' ELSE 'markdown' END AS source_type FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '.html' ELSE '.md' END AS ext FROM pages)")
+def route_sources(spark, d):
+    path = F.concat(F.lit("p"), F.col("page_id"), F.when(F.col("page_id") % 2 == 0, ".html").otherwise(".md"))
+    return table(spark, d, "pages").select("page_id", T.route(path).alias("source_type"))
+
+
+@query()
+def html_elements(spark, d):
+    pages = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("path"), F.encode("html", "utf-8").alias("content"))
+    return files.elements(pages, kind="html").groupBy("path", "element_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("content")).alias("n_chars"))
+
+
+# -- graph, compile and gates ----------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {ENT} SELECT * FROM ent")
+def graph_entities(spark, d):
+    return entities(spark, d)
+
+
+@query(f"WITH {REL} SELECT * FROM rel")
+def graph_relationships(spark, d):
+    return relationships(spark, d)
+
+
+def event_entities(spark, d) -> DataFrame:
+    e = table(spark, d, "events")
+    return e.select(F.concat(F.lit("user:"), "user_id").alias("entity_id"), F.array("event_type").alias("aliases"), F.when(F.col("event_id") % 3 != 0, F.get_json_object("props", "$.k")).alias("description"), (F.col("value") / 1000).alias("confidence"), F.lit(0).alias("file_ord"), F.col("event_id").alias("pos"))
+
+
+@query(
+    """WITH e AS (SELECT 'user:' || user_id AS entity_id, event_type AS a, CASE WHEN event_id % 3 != 0 THEN json_extract_string(props, '$.k') END AS t, value / 1000 AS c, event_id AS pos FROM events),
+    al AS (SELECT entity_id, string_agg(a, ',' ORDER BY p) AS aliases FROM (SELECT entity_id, a, min(pos) AS p FROM e GROUP BY entity_id, a) GROUP BY entity_id),
+    m AS (SELECT entity_id, count(*) AS n, min(pos) AS pos, max(c) AS best, arg_min(coalesce(c, -1), pos) AS own, arg_min(t, pos) FILTER (WHERE t IS NOT NULL AND t != '') AS description FROM e GROUP BY entity_id)
+    SELECT entity_id, pos, aliases, description, round(CASE WHEN n > 1 AND coalesce(best, 0) > CASE WHEN own = -1 THEN 0 ELSE own END THEN best ELSE own END, 9) AS confidence FROM m JOIN al USING (entity_id)"""
+)
+def entity_merge(spark, d):
+    return C.merge_entities(event_entities(spark, d)).select("entity_id", "pos", F.array_join("aliases", ",").alias("aliases"), "description", F.round("confidence", 9).alias("confidence"))
+
+
+@query("SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id FROM documents GROUP BY 1")
+def dedup_keep_first(spark, d):
+    rows = table(spark, d, "documents").select(ids.content_hash("text").alias("content_hash"), "doc_id", F.lit(0).alias("file_ord"), F.col("doc_id").alias("pos"))
+    return C.keep_first(rows, "content_hash").select("content_hash", "doc_id")
+
+
+@query("SELECT count(*) AS rows, count(DISTINCT text) AS kept, count(*) - count(DISTINCT text) AS removed FROM documents")
+def collapse_counts(spark, d):
+    return C.collapse_counts(table(spark, d, "documents").select("text"), "text")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT min(doc_id) FROM documents GROUP BY text)")
+def additivity_guard(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return C.lost_ids(docs, docs.groupBy("text").agg(F.min("doc_id").alias("doc_id")), "doc_id")
+
+
+@query("SELECT 'duplicate_order' AS rule, 'fail' AS severity, 'lineitem' AS \"table\", CAST(l_orderkey AS VARCHAR) AS key, count(*) || ' rows' AS message FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1")
+def gate_duplicate_ids(spark, d):
+    return G.duplicate_ids(table(spark, d, "lineitem"), "l_orderkey", "duplicate_order", "lineitem")
+
+
+@query("SELECT 'dangling_customer' AS rule, 'fail' AS severity, 'orders' AS \"table\", CAST(o_orderkey AS VARCHAR) AS key, 'o_custkey=' || o_custkey AS message FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)")
+def gate_dangling_fk(spark, d):
+    return G.dangling(table(spark, d, "orders"), ["o_custkey"], table(spark, d, "customer").where("c_acctbal >= 0"), "c_custkey", "dangling_customer", "orders", "o_orderkey")
+
+
+@query("SELECT 'dangling_party' AS rule, 'fail' AS severity, 'nations' AS \"table\", CAST(n_nationkey AS VARCHAR) AS key, c || '=' || v AS message FROM (SELECT n_nationkey, 'n_nationkey' AS c, n_nationkey AS v FROM nation UNION ALL SELECT n_nationkey, 'n_regionkey', n_regionkey FROM nation) WHERE v NOT IN (SELECT r_regionkey FROM region WHERE r_regionkey > 1)")
+def gate_two_column_fk(spark, d):
+    return G.dangling(table(spark, d, "nation"), ["n_nationkey", "n_regionkey"], table(spark, d, "region").where("r_regionkey > 1"), "r_regionkey", "dangling_party", "nations", "n_nationkey")
+
+
+@query("SELECT 'secret' AS rule, 'fail' AS severity, 'config' AS \"table\", CAST(doc_id AS VARCHAR) AS key, 'pattern ' || p AS message FROM (SELECT doc_id, 4 AS p FROM documents WHERE regexp_matches(text, '(?i)token\\s*[=:]\\s*\\S{20,}') UNION ALL SELECT doc_id, 6 FROM documents WHERE regexp_matches(text, '[A-Za-z0-9+/]{40,}={0,2}'))")
+def gate_secrets(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return G.secrets(docs, "doc_id", "text")
+
+
+# -- typed graph ------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {ENT} SELECT entity_type, count(*) AS n FROM ent GROUP BY entity_type")
+def type_histogram(spark, d):
+    return Y.type_counts(entities(spark, d))
+
+
+PAIRS = f"{ENT}, {REL}, pairs AS (SELECT a.entity_type AS source_type, b.entity_type AS target_type, relationship_type AS verb, count(*) AS n, min(relationship_id) AS first FROM rel JOIN (SELECT DISTINCT entity_id, entity_type FROM ent) a ON source_entity_id = a.entity_id JOIN (SELECT DISTINCT entity_id, entity_type FROM ent) b ON target_entity_id = b.entity_id GROUP BY ALL)"
+
+
+@query(f"WITH {PAIRS} SELECT source_type, target_type, verb, n FROM pairs")
+def pair_histogram(spark, d):
+    return Y.pair_verbs(entities(spark, d), relationships(spark, d)).drop("first")
+
+
+@query("SELECT o_orderpriority AS source_type, o_orderstatus AS target_type, verb, CAST(n AS BIGINT) AS n FROM (SELECT *, sum(k) OVER w AS n, row_number() OVER (w ORDER BY k DESC, first) AS r FROM (SELECT o_orderpriority, o_orderstatus, c_mktsegment AS verb, count(*) AS k, min(o_orderkey) AS first FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL) WINDOW w AS (PARTITION BY o_orderpriority, o_orderstatus)) WHERE r = 1")
+def dominant_verb(spark, d):
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    pairs = o.groupBy(F.col("o_orderpriority").alias("source_type"), F.col("o_orderstatus").alias("target_type"), F.col("c_mktsegment").alias("verb")).agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first"))
+    return Y.dominant_verbs(pairs).drop("first")
+
+
+@query(f"WITH {PAIRS} SELECT source_type, target_type, arg_min(verb, first) AS verb, CAST(sum(n) AS BIGINT) AS n FROM pairs GROUP BY 1, 2 HAVING sum(n) >= 10 ORDER BY n DESC LIMIT 3")
+def multitype_pairs(spark, d):
+    return Y.top_pairs(Y.dominant_verbs(Y.pair_verbs(entities(spark, d), relationships(spark, d))), 10, 3).drop("first")
+
+
+@query(f"WITH {ENT} SELECT * FROM ent WHERE entity_type = 'Supplier'")
+def entity_slice(spark, d):
+    return Y.type_table(entities(spark, d), "Supplier")
+
+
+@query(f"WITH {sql_links(['placed_by'])} SELECT source_entity_id, target_entity_id FROM rel")
+def edge_slice(spark, d):
+    return Y.pair_table(entities(spark, d, ["Order", "Customer"]), relationships(spark, d), "Order", "Customer")
+
+
+@query(f"WITH {sql_links(['customer_in'])} SELECT relationship_type, source_entity_id, target_entity_id FROM rel UNION ALL SELECT 'home_of', target_entity_id, source_entity_id FROM rel")
+def inverse_edges(spark, d):
+    return Q.with_inverses(relationships(spark, d, ["customer_in"]), {"customer_in": "home_of"})
+
+
+# -- profiles ----------------------------------------------------------------------------------------------------------------
+
+CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+
+
+@query(" UNION ALL ".join(f"SELECT {i} AS index, '{c}' AS name, '{k}' AS inferred_type, CAST(0 AS BIGINT) AS null_count, count(DISTINCT CAST({c} AS VARCHAR)) AS unique_count FROM customer" for i, (c, k) in enumerate(zip(CUSTOMER, ["integer", "string", "integer", "float", "string"]))))
+def column_profile(spark, d):
+    return profile.column_profile(table(spark, d, "customer").select(CUSTOMER))
+
+
+@query("SELECT source AS source_file_id, lang AS element_type, count(*) AS n, CAST(0 AS BIGINT) AS pages FROM documents GROUP BY ALL")
+def doc_inventory(spark, d):
+    return profile.inventory(table(spark, d, "documents").select(F.col("source").alias("source_file_id"), F.col("lang").alias("element_type"), F.lit(None).cast("int").alias("page_number")))
+
+
+# -- densification: a conversation is a document -------------------------------------------------------------------------------
+
+
+def turns(spark, d, user: str, assistant: str) -> DataFrame:
+    c = table(spark, d, "conversations").where(F.col("role").isin("user", "assistant"))
+    return c.select(F.col("conv_id").alias("doc"), F.col("turn").alias("pos"), F.concat_ws(":", F.lit("t"), "conv_id", "turn").alias("entity_id"), F.when(F.col("role") == "user", user).otherwise(assistant).alias("entity_type"), F.col("text").alias("display_name"))
+
+
+def no_edges(spark) -> DataFrame:
+    return spark.createDataFrame([], "doc bigint, relationship_type string, source_entity_id string, target_entity_id string")
+
+
+WORDS = f"""pool AS (SELECT conv_id AS doc, turn AS pos, 't:' || conv_id || ':' || turn AS id, role, {TOK.format(c='text')} AS ws FROM conversations WHERE role IN ('user', 'assistant')),
+wd AS (SELECT doc, pos, id, role, unnest(ws) AS w FROM pool), sz AS (SELECT doc, count(*) AS n FROM pool GROUP BY doc),
+ok AS (SELECT doc, w FROM (SELECT doc, w, count(*) AS df FROM wd GROUP BY doc, w) JOIN sz USING (doc) WHERE df >= 2 AND df <= greatest(2, floor(0.4 * n))),
+keep AS (SELECT wd.* FROM wd JOIN ok USING (doc, w)),
+best AS (SELECT * FROM (SELECT a.doc, a.id AS s, a.pos AS sp, b.id AS t, row_number() OVER (PARTITION BY a.doc, a.pos ORDER BY count(*) DESC, b.pos) AS r FROM keep a JOIN keep b ON a.doc = b.doc AND a.w = b.w AND a.role = 'user' AND b.role = 'assistant' GROUP BY a.doc, a.id, a.pos, b.id, b.pos) WHERE r <= 3)"""
+
+
+@query(f"WITH {WORDS} SELECT DISTINCT doc, w FROM keep")
+def ubiquity_gate(spark, d):
+    return D.discriminating(turns(spark, d, "Symptom", "Resolution")).select("doc", "w").distinct()
+
+
+@query(f"WITH {WORDS} SELECT doc, 'resolved_by' AS relationship_type, s AS source_entity_id, t AS target_entity_id, CAST(0.45 AS DOUBLE) AS confidence FROM best")
+def scr_links(spark, d):
+    return D.symptom_edges(turns(spark, d, "Symptom", "Resolution"), no_edges(spark)).drop("origin", "rank")
+
+
+@query(f"WITH {WORDS} SELECT best.doc, CASE WHEN regexp_matches(lower(c.text), '{'|'.join(T.DIAGNOSTIC_STEMS)}') THEN 'diagnosed_by' ELSE 'remediated_by' END AS relationship_type, s AS source_entity_id, t AS target_entity_id FROM best JOIN conversations c ON 't:' || c.conv_id || ':' || c.turn = best.t")
+def rca_links(spark, d):
+    return D.remedy_edges(turns(spark, d, "Symptom", "Procedure"), no_edges(spark)).select("doc", "relationship_type", "source_entity_id", "target_entity_id")
+
+
+def shelf(spark, d) -> DataFrame:
+    """Parts of a brand as a document: sizes above 45 are its models, the others its components."""
+    p = table(spark, d, "part")
+    return p.select(F.regexp_extract("p_brand", "(\\d+)", 1).cast("bigint").alias("doc"), F.col("p_partkey").alias("pos"), F.concat(F.lit("p:"), "p_partkey").alias("entity_id"), F.when(F.col("p_size") > 45, "DeviceModel").otherwise("Component").alias("entity_type"), F.concat(F.lit("Book "), "p_name", F.lit(" "), "p_partkey").alias("display_name"))
+
+
+@query(
+    """WITH s AS (SELECT CAST(regexp_extract(p_brand, '(\\d+)', 1) AS BIGINT) AS doc, p_partkey AS pos, 'p:' || p_partkey AS id, p_size > 45 AS m, 'Book ' || p_name || ' ' || p_partkey AS n FROM part),
+    top AS (SELECT * FROM (SELECT doc, id, row_number() OVER (PARTITION BY doc ORDER BY length(n) DESC, pos) AS r FROM s WHERE m) WHERE r <= 5)
+    SELECT s.doc, 'has_component' AS relationship_type, top.id AS source_entity_id, s.id AS target_entity_id, CAST(0.5 AS DOUBLE) AS confidence FROM s JOIN top USING (doc) WHERE NOT s.m"""
+)
+def hub_edges(spark, d):
+    return D.hub_edges(shelf(spark, d), no_edges(spark)).drop("origin", "rank")
+
+
+def placed_events(spark, d) -> DataFrame:
+    e = table(spark, d, "events")
+    return e.select(F.col("user_id").alias("doc"), F.col("event_id").alias("pos"), F.concat(F.lit("e:"), "event_id").alias("entity_id"), F.when(F.col("event_type") == "signup", "Procedure").otherwise("Step").alias("entity_type"), F.expr("cast(unix_timestamp(cast(ts as timestamp)) div 3600 as bigint)").alias("at"))
+
+
+@query(
+    """WITH p AS (SELECT user_id AS doc, event_id AS pos, 'e:' || event_id AS id, event_type = 'signup' AS lead, CAST(epoch(ts) AS BIGINT) // 3600 AS hour FROM events),
+    w AS (SELECT *, last_value(CASE WHEN lead THEN id END IGNORE NULLS) OVER o AS l, last_value(CASE WHEN lead THEN hour END IGNORE NULLS) OVER o AS la, row_number() OVER o AS seq FROM p
+          WINDOW o AS (PARTITION BY doc ORDER BY hour, CASE WHEN lead THEN 0 ELSE 1 END, pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    n AS (SELECT doc, l, id, row_number() OVER (PARTITION BY doc, l ORDER BY seq) AS k FROM w WHERE NOT lead AND l IS NOT NULL AND hour - la <= 40)
+    SELECT doc, 'has_step' AS relationship_type, l AS source_entity_id, id AS target_entity_id FROM n WHERE k <= 60"""
+)
+def reading_order_steps(spark, d):
+    return D.attach_steps(placed_events(spark, d), no_edges(spark)).select("doc", "relationship_type", "source_entity_id", "target_entity_id")
+
+
+@query(
+    f"""WITH p AS (SELECT CAST(p_size AS BIGINT) AS doc, 'p:' || p_partkey AS id, p_partkey, p_partkey % 2 = 0 AS umb, list_distinct(list_filter(regexp_extract_all(lower(p_name || CASE WHEN p_partkey % 2 = 0 THEN ' process' ELSE '' END), '[a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN ({ROLLUP}))) AS ws FROM part),
+    t AS (SELECT doc, id, umb, unnest(ws) AS w FROM p), f AS (SELECT * FROM t WHERE NOT umb)
+    SELECT DISTINCT u.doc, 'has_step' AS relationship_type, u.id AS source_entity_id, 's:' || substr(f.id, 3) AS target_entity_id FROM t u JOIN f ON u.doc = f.doc AND u.w = f.w WHERE u.umb"""
+)
+def umbrella_rollup(spark, d):
+    p = table(spark, d, "part")
+    doc, umb = F.col("p_size").cast("bigint"), F.col("p_partkey") % 2 == 0
+    own = p.select(doc.alias("doc"), F.col("p_partkey").alias("pos"), F.concat(F.lit("p:"), "p_partkey").alias("entity_id"), F.lit("Procedure").alias("entity_type"), F.concat("p_name", F.when(umb, " process").otherwise("")).alias("display_name"))
+    steps = p.where(~umb).select(doc.alias("doc"), F.lit("has_step").alias("relationship_type"), F.concat(F.lit("p:"), "p_partkey").alias("source_entity_id"), F.concat(F.lit("s:"), "p_partkey").alias("target_entity_id"))
+    return D.umbrella_edges(own, steps).select("doc", "relationship_type", "source_entity_id", "target_entity_id")
+
+
+# -- graph queries -----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT s_name AS n_name, count(DISTINCT l_partkey) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_suppkey, s_name ORDER BY n DESC, s_name LIMIT 10")
+def top_suppliers_by_parts(spark, d):
+    return Q.top_by_neighbours(entities(spark, d, ["Supplier", "Part"]), relationships(spark, d, ["supplied_by"]), "Supplier", "supplied_by", 10, reverse=True).select("n_name", "n")
+
+
+@query(f"WITH {sql_links(['supplied_by'])} SELECT source_entity_id AS id, count(DISTINCT target_entity_id) AS n FROM rel GROUP BY 1 HAVING count(DISTINCT target_entity_id) >= 2")
+def shared_parts(spark, d):
+    return Q.sharing(relationships(spark, d, ["supplied_by"]), "supplied_by", 2, reverse=False)
+
+
+@query("SELECT count(DISTINCT c_custkey) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE contains(lower(n_name), '1')")
+def affected_count(spark, d):
+    return Q.affected(relationships(spark, d, ["customer_in"]), entities(spark, d, ["Nation"]), "1", "Nation", "customer_in")
+
+
+@query("SELECT DISTINCT n_name AS from_name, s_name AS to_name FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE contains(lower(n_name), '1')")
+def neighbours_of(spark, d):
+    return Q.neighbours(entities(spark, d, ["Nation", "Supplier"]), relationships(spark, d, ["supplier_in"]), "Nation", "1", "supplier_in", reverse=True)
+
+
+#: Nations fan out to customers and suppliers (optional branches multiply), customers to orders.
+FAN = [("supplier", "symptom", ["supplier_in"], True), ("region", "symptom", ["nation_in"], False)]
+
+
+@query("SELECT n_name AS symptom_name, s_name AS supplier_name, r_name AS region_name FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey WHERE contains(lower(n_name), '1')")
+def rca_fanout(spark, d):
+    return Q.fan_out(entities(spark, d, ["Nation", "Supplier", "Region"]), relationships(spark, d, ["supplier_in", "nation_in"]), "1", "Nation", FAN)
+
+
+@query("SELECT n_name AS symptom_name, count(DISTINCT s_suppkey) AS n_supplier, count(DISTINCT c_custkey) AS n_customer FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name")
+def fan_counts(spark, d):
+    hops = [("supplier", "symptom", ["supplier_in"], True), ("customer", "symptom", ["customer_in"], True)]
+    return Q.fan_counts(entities(spark, d, ["Nation"]), relationships(spark, d, ["supplier_in", "customer_in"]), "", "Nation", hops).drop("symptom_id")
+
+
+@query(f"WITH {sql_links(['supplied_by'])}, own AS (SELECT target_entity_id AS t FROM rel WHERE source_entity_id = (SELECT min(source_entity_id) FROM rel)) SELECT source_entity_id AS id, count(*) AS shared FROM rel JOIN own ON target_entity_id = t WHERE source_entity_id != (SELECT min(source_entity_id) FROM rel) GROUP BY 1")
+def same_suppliers(spark, d):
+    edges = relationships(spark, d, ["supplied_by"])
+    return Q.same_neighbours(edges, "supplied_by", edges.agg(F.min("source_entity_id").alias("m")).first()["m"])
+
+
+@query("SELECT count(*) AS total, CAST(sum(CASE WHEN o_custkey IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS isolated FROM customer LEFT JOIN (SELECT DISTINCT o_custkey FROM orders) ON o_custkey = c_custkey")
+def isolated_nodes(spark, d):
+    return Q.isolated(entities(spark, d, ["Customer"]), relationships(spark, d, ["placed_by"]), "Customer")
+
+
+def nation_graph(spark, d) -> DataFrame:
+    return relationships(spark, d, ["nation_in", "supplier_in"]).withColumn("confidence", F.when(F.col("relationship_type") == "nation_in", 0.9).otherwise(0.8))
+
+
+@query(
+    f"""WITH RECURSIVE {sql_links(['nation_in', 'supplier_in'])}, e AS (SELECT source_entity_id AS a, target_entity_id AS b, CASE WHEN relationship_type = 'nation_in' THEN 0.9 ELSE 0.8 END AS c FROM rel UNION ALL SELECT target_entity_id, source_entity_id, CASE WHEN relationship_type = 'nation_in' THEN 0.9 ELSE 0.8 END FROM rel),
+    start AS (SELECT DISTINCT {sql_id('entity', sql_key('Region', 'r_name'))} AS root FROM region),
+    h1 AS (SELECT root, b AS id, max(c) AS score FROM start JOIN e ON a = root GROUP BY root, b),
+    h2 AS (SELECT root, b AS id, max(score * c) AS score FROM h1 JOIN e ON a = id WHERE b != root AND (root, b) NOT IN (SELECT (root, id) FROM h1) GROUP BY root, b)
+    SELECT root, root AS id, 0 AS hops, CAST(1 AS DOUBLE) AS score FROM start UNION ALL SELECT root, id, 1, round(CAST(score AS DOUBLE), 6) FROM h1 UNION ALL SELECT root, id, 2, round(CAST(score AS DOUBLE), 6) FROM h2"""
+)
+def traverse_two_hop(spark, d):
+    start = entities(spark, d, ["Region"]).select(F.col("entity_id").alias("id"))
+    return Q.traverse(nation_graph(spark, d), start, 2).select("root", "id", "hops", F.round("score", 6).alias("score"))
+
+
+@query()
+def shortest_path_string(spark, d):
+    start = entities(spark, d, ["Region"]).select(F.col("entity_id").alias("id"))
+    return Q.path_text(Q.traverse(nation_graph(spark, d), start, 2), entities(spark, d, ["Region", "Nation", "Supplier"]))
+
+
+# -- search ------------------------------------------------------------------------------------------------------------------
+
+
+def chunk_table(spark, d) -> DataFrame:
+    """Orders as chunks that refer to their parts."""
+    e = relationships(spark, d, ["contains_part"]).groupBy("source_entity_id").agg(F.sort_array(F.collect_list("target_entity_id")).alias("related_entity_ids"))
+    null = lambda k: F.lit(None).cast(k)
+    return e.select(F.col("source_entity_id").alias("chunk_id"), F.lit("src").alias("source_file_id"), F.lit("text").alias("content"), null("string").alias("content_html"), null("string").alias("embedding_text"), F.lit("table_row").alias("chunk_type"), "related_entity_ids", null("array<string>").alias("entity_search_keys"), null("int").alias("page_number"), null("string").alias("section_path"), null("string").alias("blob_url"), F.lit("h").alias("content_hash"))
+
+
+def part_entities(spark, d) -> DataFrame:
+    return entities(spark, d, ["Part"]).withColumn("search_aliases", T.search_aliases("canonical_key", "display_name", F.array().cast("array<string>")))
+
+
+@query(
+    f"""WITH {sql_links(['contains_part'])}, p AS (SELECT DISTINCT {sql_id('entity', sql_key('Part', NODES['Part'][1]))} AS id, {sql_key('Part', NODES['Part'][1])} AS k, lower({NODES['Part'][1]}) AS n FROM part)
+    SELECT source_entity_id AS chunk_id, string_agg(k || ',' || n, ',' ORDER BY target_entity_id) AS keys, arg_min(k, target_entity_id) AS canonical_key, count(*) AS n FROM rel JOIN p ON target_entity_id = id GROUP BY 1"""
+)
+def entity_search_keys(spark, d):
+    got = S.entity_search_keys(chunk_table(spark, d), part_entities(spark, d))
+    return got.select("chunk_id", F.array_join("keys", ",").alias("keys"), "canonical_key", F.size("types").cast("bigint").alias("n"))
+
+
+@query(f"WITH {sql_links(['contains_part'])} SELECT source_entity_id AS chunk_id, string_agg(target_entity_id, ',' ORDER BY target_entity_id) AS entity_ids, CAST(count(*) AS BIGINT) AS n_types, CAST(2 * count(*) AS BIGINT) AS n_aliases, 'text' AS embedding_text, 'src' AS source_path FROM rel GROUP BY 1")
+def search_docs(spark, d):
+    docs = S.chunk_docs(chunk_table(spark, d), part_entities(spark, d))
+    return docs.select("chunk_id", F.array_join("entity_ids", ",").alias("entity_ids"), F.size("entity_types").cast("bigint").alias("n_types"), F.size("entity_aliases").cast("bigint").alias("n_aliases"), "embedding_text", "source_path")
+
+
+@query("SELECT doc_id, sha256(text) AS content_hash FROM documents WHERE doc_id % 3 != 0 OR (doc_id % 3 = 0 AND doc_id % 2 = 0)")
+def push_delta(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", ids.content_hash("text").alias("content_hash"))
+    stored = docs.where("doc_id % 3 = 0").withColumn("content_hash", F.when(F.col("doc_id") % 2 == 0, "old").otherwise(F.col("content_hash")))
+    return S.changed(docs, stored, "doc_id")
+
+
+def bench_queries(spark, d) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+BM25 = """q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS w FROM benchmark),
+ds AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM documents), st AS (SELECT count(*) AS n, avg(len(ws)) AS al FROM ds),
+tm AS (SELECT doc_id, len, w, count(*) AS tf FROM (SELECT doc_id, len(ws) AS len, unnest(ws) AS w FROM ds) WHERE w IN (SELECT w FROM q) GROUP BY ALL), df AS (SELECT w, count(*) AS df FROM tm GROUP BY w),
+sc AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al))) AS score FROM tm JOIN df USING (w) JOIN q USING (w), st GROUP BY ALL),
+bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM sc) WHERE rank <= 10)"""
+
+
+@query(f"WITH {BM25} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM bm")
+def bm25_topk(spark, d):
+    return S.bm25(table(spark, d, "documents").select("doc_id", "text"), bench_queries(spark, d)).select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+COS = """qs AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0),
+cs AS (SELECT query_id, vec_id, list_sum(list_transform(range(1, 65), lambda i: CAST(q[i] AS DOUBLE) * CAST(embedding[i] AS DOUBLE))) / (sqrt(list_sum(list_transform(q, lambda x: CAST(x AS DOUBLE) * x))) * sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)))) AS score FROM embeddings, qs),
+co AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM cs) WHERE rank <= 10)"""
+
+
+def vector_queries(spark, d) -> DataFrame:
+    return table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+@query(f"WITH {COS} SELECT query_id, vec_id, round(score, 6) AS score, rank FROM co")
+def cosine_topk(spark, d):
+    return S.cosine(table(spark, d, "embeddings"), vector_queries(spark, d)).select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(f"WITH {BM25}, other AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM bm WHERE doc_id % 2 = 0), fu AS (SELECT query_id, doc_id, coalesce(1.0 / (60 + bm.rank), 0) + coalesce(1.0 / (60 + other.rank), 0) AS score FROM bm FULL JOIN other USING (query_id, doc_id)) SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM fu")
+def rrf_fusion(spark, d):
+    from pyspark.sql import Window
+
+    a = S.bm25(table(spark, d, "documents").select("doc_id", "text"), bench_queries(spark, d))
+    b = a.where("doc_id % 2 = 0").select("query_id", "doc_id", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")).alias("rank"))
+    return S.fuse(a, b, "doc_id").select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("SELECT * FROM (SELECT source, doc_id, CAST(sum(n_chars) OVER (PARTITION BY source ORDER BY n_chars, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS used FROM documents) WHERE used <= 3500")
+def context_budget(spark, d):
+    docs = table(spark, d, "documents").select("source", "doc_id", "n_chars")
+    return S.within_budget(docs, F.col("n_chars"), 3500, ["source"], [F.col("n_chars"), F.col("doc_id")]).select("source", "doc_id", "used")
+
 
 def queries() -> dict:
-    return {}
+    def ready(f):
+        def run(spark, d):
+            prepare(spark)
+            return f(spark, d)
+
+        run.__name__ = f.__name__
+        return run
+
+    return {name: ready(f) for name, f in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

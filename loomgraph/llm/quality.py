@@ -59,7 +59,8 @@ def score(docs: DataFrame, model: charlm.Model | None, name: str = "nll", size:
 
 
 def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> charlm.Model | None:
-    trusted = docs.select("doc_id", "text").join(trusted_ids(labels), "doc_id", "left_semi")
+    # the same join at every size: labels grow with the documents, so they are not broadcast while they happen to be few
+    trusted = docs.select("doc_id", "text").hint("merge").join(trusted_ids(labels).hint("merge"), "doc_id", "left_semi")
     return charlm.train(trusted.withColumn("model", F.lit("trusted")), scratch, ORDER, split_words, MAX_ENTRIES)
 
 

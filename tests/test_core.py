@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomgraph import schemas
 from loomgraph.functions import ids, text as T
 from loomgraph.operators import canonicalize as K, compile as C, densify as D, gates as G, graph as Q, layout as L, search as S, typed as Y
+from loomgraph.session import saver
 from loomgraph.sources import files, profile, sinks
 from loomgraph.streaming import incremental
 
@@ -108,7 +109,7 @@ def test_symptom_edges(spark):
         D.symptom_edges(e, edges(spark), least=0)
 
 
-def test_steps_by_reading_order_and_umbrella(spark):
+def test_steps_by_reading_order_and_umbrella(spark, tmp_path):
     e = doc(spark, [("Procedure", "Remove battery"), ("Step", "unscrew the cover"), ("Step", "lift out"), ("Procedure", "Battery replacement")])
     el = spark.createDataFrame([("d", 0, 1, 0, "How to remove battery"), ("d", 1, 1, 1, "First unscrew the cover"), ("d", 2, 1, 2, "then lift out")], "doc string, pos int, page_number int, sort_order int, content string")
     found = D.step_edges(e, edges(spark), el)
@@ -116,7 +117,7 @@ def test_steps_by_reading_order_and_umbrella(spark):
     known = found.select("doc", "relationship_type", "source_entity_id", "target_entity_id")
     up = D.umbrella_edges(e, known)
     assert pairs(up) == {("has_step", "Procedure:Battery replacement", "Step:unscrew the cover"), ("has_step", "Procedure:Battery replacement", "Step:lift out")}
-    every = D.densify(e, edges(spark), el)
+    every = D.densify(e, edges(spark), el, save=saver(spark, str(tmp_path)))
     assert pairs(found) | pairs(up) <= pairs(every)
     assert D.added(every, F.lit("2020-01-01").cast("timestamp")).where("relationship_id like 'rel:%'").count() == every.count()
 

@@ -59,43 +59,80 @@ class Codec:
         self.value = {i: b for b, i in self.bytes.items()}
         self.longest = max(map(len, self.ids))
         self.cost = min(s for s, _ in self.ids.values()) - BYTE_COST
+        #: Every piece and every beginning of one (None), so that a walk from a boundary ends where no piece goes on.
+        self.walk: dict[str, tuple[float, int] | None] = {p[:k]: None for p in self.ids for k in range(1, len(p))} | self.ids
         self.crossing = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.cache: dict[str, tuple[int, ...]] = {}
 
+    def raw(self, char: str) -> tuple[float, tuple[int, ...]]:
+        """The byte pieces of a character and their score."""
+        data = (SPACE if char == LITERAL else char).encode("utf-8", "surrogatepass")
+        return self.cost * len(data), tuple(self.bytes[b] for b in data)
+
+    def short(self, chars: str) -> tuple[int, ...]:
+        """The best segmentation of a text within one window."""
+        n, walk = len(chars), self.walk
+        score: list = [None] * (n + 1)
+        back: list = [None] * (n + 1)
+        score[0] = 0.0
+        for start in range(n):
+            here = score[start]
+            single = False
+            for end in range(start + 1, n + 1):
+                hit = walk.get(chars[start:end], 0)
+                if hit == 0:
+                    break
+                if hit is not None:
+                    s = here + hit[0]
+                    if score[end] is None or s > score[end]:
+                        score[end], back[end] = s, (start, (hit[1],))
+                    if end == start + 1:
+                        single = True
+            if not single:
+                cost, ids = self.raw(chars[start])
+                if score[start + 1] is None or here + cost > score[start + 1]:
+                    score[start + 1], back[start + 1] = here + cost, (start, ids)
+        return tuple(self.path(back, 0, n))
+
     def stream(self, chars: str):
-        """Yields committed ids of the best segmentation of chars, where a NUL-free marker \\ue000 never stands for a space."""
-        longest, get = self.longest, self.ids.get
+        """Yields committed ids of the best segmentation of chars, in which LITERAL stands for a literal U+2581.
+
+        Boundaries are final in order; scores of the last `longest` final ones and of those ahead are kept.
+        """
+        longest, walk = self.longest, self.walk
         score = {0: 0.0}
         back: dict[int, tuple[int, tuple[int, ...]]] = {}
         base, check = 0, 4 * longest
-        for end in range(1, len(chars) + 1):
-            best, came = None, None
-            for start in range(max(0, end - longest), end):
-                if start in score and (hit := get(chars[start:end])) is not None:
-                    s = score[start] + hit[0]
-                    if best is None or s > best:
-                        best, came = s, (start, (hit[1],))
-            char = chars[end - 1]
-            raw = (SPACE if char == LITERAL else char).encode("utf-8", "surrogatepass")
-            s = score[end - 1] + self.cost * len(raw)
-            if best is None or s > best:
-                best, came = s, (end - 1, tuple(self.bytes[b] for b in raw))
-            score[end], back[end] = best, came
-            score.pop(end - longest, None)
-            if end - base >= check:
-                meet = self.meeting(score, back)
+        for start in range(len(chars)):
+            here = score[start]
+            single = False
+            for end in range(start + 1, min(start + longest, len(chars)) + 1):
+                hit = walk.get(chars[start:end], 0)
+                if hit == 0:
+                    break
+                if hit is not None:
+                    s = here + hit[0]
+                    if end not in score or s > score[end]:
+                        score[end], back[end] = s, (start, (hit[1],))
+                    single |= end == start + 1
+            if not single:
+                cost, ids = self.raw(chars[start])
+                if start + 1 not in score or here + cost > score[start + 1]:
+                    score[start + 1], back[start + 1] = here + cost, (start, ids)
+            score.pop(start - longest, None)
+            if start - base >= check:
+                meet = self.meeting({k for k in score if k <= start}, back)
                 if meet > base:
                     yield from self.path(back, base, meet)
                     for k in range(base + 1, meet + 1):
                         back.pop(k, None)
                     base = meet
-                check = end - base + 4 * longest
+                check = start - base + 4 * longest
         yield from self.path(back, base, len(chars))
 
     @staticmethod
-    def meeting(score: dict, back: dict) -> int:
+    def meeting(ends: set, back: dict) -> int:
         """The last boundary on the paths of all surviving ends: the largest ends step back until one is left."""
-        ends = set(score)
         while len(ends) > 1:
             last = max(ends)
             ends.remove(last)
@@ -105,7 +142,7 @@ class Codec:
         return ends.pop()
 
     @staticmethod
-    def path(back: dict, start: int, end: int) -> list[int]:
+    def path(back, start: int, end: int) -> list[int]:
         steps = []
         while end > start:
             end, ids = back[end]
@@ -131,7 +168,7 @@ class Codec:
         for cut in [chars] if self.crossing else CUTS.findall(chars):
             ids = cache.get(cut)
             if ids is None:
-                ids = tuple(self.stream(cut))
+                ids = self.short(cut) if len(cut) <= CACHED_CHARS else tuple(self.stream(cut))
                 if len(cut) <= CACHED_CHARS:
                     if len(cache) >= CACHE:
                         cache.clear()
@@ -159,6 +196,16 @@ class Codec:
         return out[1:] if out.startswith(" ") else out
 
 
+_held: dict = {}
+
+
+def codec_of(vocabulary: tuple) -> Codec:
+    """The codec of a broadcast vocabulary; a worker keeps it, with its remembered cuts, from task to task."""
+    if _held.get("key") != (key := hash((len(vocabulary[0]), tuple(vocabulary[0]), tuple(vocabulary[1])))):
+        _held.update(key=key, codec=Codec(*vocabulary))
+    return _held["codec"]
+
+
 def encode(docs: DataFrame, path: str = MODEL, name: str = "ids") -> DataFrame:
     """Adds the ids of text."""
     check_free(docs, name)
@@ -167,7 +214,7 @@ def encode(docs: DataFrame, path: str = MODEL, name: str = "ids") -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        codec = Codec(*shared.value)
+        codec = codec_of(shared.value)
         for batch in batches:
             flat, ends = array.array("i"), [0]
             for text in batch.column(at).to_pylist():
@@ -187,7 +234,7 @@ def decode(rows: DataFrame, path: str = MODEL, ids: str = "ids", name: str = "de
     at = rows.columns.index(ids)
 
     def run(batches):
-        codec = Codec(*shared.value)
+        codec = codec_of(shared.value)
         for batch in batches:
             column = batch.column(at)
             texts = [codec.decode(v or []) for v in column.to_pylist()]

@@ -10,66 +10,93 @@ line, the others drop theirs. Lines under `MIN_TOKENS` tokens are never dropped.
 A document of which recurring lines make up `COPY_SHARE` or more is a copy of a whole document, not a carrier of shared
 lines; it is left as it is for near-duplicate detection, which keeps one of each group.
 
-Each document hands on a template once, partial sums precede the shuffle, and the join back to lines is salted by
+Templates are hashed once, in Arrow batches, and written; partial sums precede the shuffle, and the join back to lines is salted by
 document, so a template that a third of all documents share is spread over tasks.
 
-Null texts stay null, empty ones empty. A null doc_id sorts first. Repeated rows of one doc_id count as one document, and
-each is treated alike. An empty table gives an empty table.
+Null texts stay null, empty ones empty. A null doc_id sorts first. Repeated rows of one doc_id count
+each, and are treated alike. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import check_free, table
+from .common import Scratch, binary_texts, bound_batches, check_free, table
 
 LEAD, PARTS = 2, 4
 MIN_TOKENS, GENERAL_TOKENS, LONG_TOKENS = 6, 10, 50
 MIN_DOCS, LONG_DOCS = 3, 2
 COPY_SHARE = 0.8
 SALTS = 32
-SPACES = "[\\\\x09-\\\\x0D\\\\x20]+"
-
-
-def templates(line: str) -> str:
-    """SQL: an array of (template hash, token count) of the line expression; empty below MIN_TOKENS."""
-    tokens = f"filter(split(if({line} rlike '[0-9]', regexp_replace({line}, '[^\\\\x09-\\\\x0D\\\\x20]*[0-9][^\\\\x09-\\\\x0D\\\\x20]*', '<*>'), {line}), '{SPACES}'), x -> x != '')"
-    part = f"cast(ceil((size(t) - {LEAD}) / {PARTS}) as int)"
-    general = ", ".join(
-        f"xxhash64(size(t), {k + 1}, array_join(slice(t, 1, {LEAD} + {k} * p), ' '), array_join(slice(t, {LEAD} + {k + 1} * p + 1, greatest(size(t) - {LEAD} - {k + 1} * p, 0)), ' '))"
-        for k in range(PARTS)
-    )
-    leaf = f"if(size(t) < {MIN_TOKENS}, array(), if(size(t) < {GENERAL_TOKENS}, array(xxhash64(size(t), 0, array_join(t, ' '))), transform(array({part}), p -> concat(array(xxhash64(size(t), 0, array_join(t, ' '))), array({general})))[0]))"
-    return f"transform(array({tokens}), t -> named_struct('n', size(t), 'h', cast({leaf} as array<bigint>)))[0]"
+DIGIT = re.compile(rb"[0-9]")
+VARIABLE = re.compile(rb"[^\x09-\x0D\x20]*[0-9][^\x09-\x0D\x20]*")
+
+
+def templates(line: bytes) -> tuple[int, list[int]]:
+    """The token count of a line and the hashes of its templates (none below MIN_TOKENS)."""
+    if DIGIT.search(line):
+        line = VARIABLE.sub(b"<*>", line)
+    t = line.split()
+    n = len(t)
+    if n < MIN_TOKENS:
+        return n, []
+    digest = xxhash.xxh3_64_intdigest
+    out = [digest(b" ".join(t), 8 * n)]
+    if n >= GENERAL_TOKENS:
+        p = -(-(n - LEAD) // PARTS)
+        out += [digest(b" ".join(t[: LEAD + k * p]) + b"\0" + b" ".join(t[LEAD + (k + 1) * p :]), 8 * n + k + 1) for k in range(PARTS)]
+    return n, out
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, place, n, h) of lines that have templates."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    return lines.select("doc_id", "place", F.expr(templates("line")).alias("t")).select("doc_id", "place", "t.n", F.explode("t.h").alias("h"))
+    """(doc_id, place, n, h, fresh) of lines that have templates; fresh marks a template's first place in its document."""
+
+    def run(batches):
+        for batch in batches:
+            owner, place, size, hashes, fresh = [], [], [], [], []
+            for i, text in enumerate(binary_texts(batch.column(1))):
+                seen = set()
+                for k, line in enumerate(text.split(b"\n")):
+                    n, hs = templates(line)
+                    for h in hs:
+                        owner.append(i)
+                        place.append(k)
+                        size.append(n)
+                        hashes.append(h)
+                        fresh.append(h not in seen)
+                        seen.add(h)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(place, pa.int32()), pa.array(size, pa.int32()), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(fresh, pa.bool_())], ["doc_id", "place", "n", "h", "fresh"])
+
+    bound_batches(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, place int, n int, h long, fresh boolean")
 
 
 def recurring(lines: DataFrame, min_docs: int = MIN_DOCS, long_docs: int = LONG_DOCS) -> DataFrame:
     """(h, first, docs): templates in enough documents, with the first of those."""
-    once = lines.groupBy("h", "doc_id").agg(F.max("n").alias("n"))
     key = F.coalesce("doc_id", F.lit(-(2**63)))
-    found = once.groupBy("h").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("docs"), F.min(key).alias("first"))
+    found = lines.where("fresh").groupBy("h").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("docs"), F.min(key).alias("first"))
     return found.where((F.col("docs") >= min_docs) | ((F.col("n") >= LONG_TOKENS) & (F.col("docs") >= long_docs))).select("h", "first", "docs")
 
 
-def dropped_places(docs: DataFrame) -> DataFrame:
+def dropped_places(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, places): the lines that recur and are not the first of their kind."""
-    lines = lines_of(docs)
+    lines = scratch.save(lines_of(docs))
     salt = F.pmod(F.xxhash64("doc_id", "place"), F.lit(SALTS)).cast("int")
     spread = recurring(lines).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     hits = lines.withColumn("salt", salt).join(spread, ["h", "salt"]).where(F.coalesce("doc_id", F.lit(-(2**63))) != F.col("first"))
     return hits.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
 
 
-def clean(docs: DataFrame, text: str = "clean_text", count: str = "n_dropped") -> DataFrame:
+def clean(docs: DataFrame, scratch: Scratch, text: str = "clean_text", count: str = "n_dropped") -> DataFrame:
     """Adds the text without dropped lines and the number of them to the columns of docs."""
     check_free(docs, text, count, "lg_places", "lg_id")
-    places = dropped_places(docs.select("doc_id", "text")).select(F.col("doc_id").alias("lg_id"), F.col("places").alias("lg_places"))
+    places = dropped_places(docs.select("doc_id", "text"), scratch).select(F.col("doc_id").alias("lg_id"), F.col("places").alias("lg_places"))
     out = docs.join(places, F.col("doc_id").eqNullSafe(F.col("lg_id")), "left")
     lines = "split(text, '\\n')"
     share = f"aggregate(lg_places, 0L, (s, i) -> s + length({lines}[i])) >= {COPY_SHARE} * length(replace(text, '\\n', ''))"
@@ -79,9 +106,9 @@ def clean(docs: DataFrame, text: str = "clean_text", count: str = "n_dropped") -
     return out.select(*docs.columns, text, count)
 
 
-def drop_lines(docs: DataFrame) -> DataFrame:
+def drop_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """docs with its own columns, text without dropped lines; n_chars, if there, is counted anew where lines went."""
-    out = clean(docs, "lg_text", "lg_count")
+    out = clean(docs, scratch, "lg_text", "lg_count")
     columns = []
     for c in docs.columns:
         if c == "text":
@@ -94,7 +121,7 @@ def drop_lines(docs: DataFrame) -> DataFrame:
 
 
 def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = clean(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = clean(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "op4"))
     return out.select("doc_id", "n_dropped", F.length(F.coalesce("clean_text", F.lit(""))).cast("long").alias("n_chars"), F.sha2(F.coalesce("clean_text", F.lit("")).cast("binary"), 256).alias("clean_sha256"), "clean_text")
 
 

@@ -120,25 +120,25 @@ def test_chat_collapse(spark):
 def test_line_templates(spark):
     line = "the server {} answered with code {} after some time today"
     rows = [(i, f"own words of document {chr(97 + i)} " * (i + 3) + "\n" + line.format("abc" if i else "x", i) + "\nshort one") for i in range(5)]
-    got = {r["doc_id"]: r for r in linededup.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r for r in linededup.clean(spark.createDataFrame(rows, "doc_id long, text string"), scratch(spark)).collect()}
     assert got[0]["n_dropped"] == 0 and all(got[i]["n_dropped"] == 1 and "server" not in got[i]["clean_text"] and got[i]["clean_text"].endswith("short one") for i in range(1, 5))
 
 
 def test_line_templates_general_part_and_copies(spark):
     words = [f"w{chr(97 + k)}" for k in range(14)]
-    varied = [" ".join([*words[:4], *v, *words[6:]]) for v in (("x", "y"), ("p", "q"), ("r", "s"))]
+    varied = [" ".join([*words[:5], *v, *words[7:]]) for v in (("x", "y"), ("p", "q"), ("r", "s"))]
     other = ["alpha beta " * 20, "gamma delta " * 20, "epsilon zeta " * 20]
-    got = {r["doc_id"]: r["n_dropped"] for r in linededup.clean(spark.createDataFrame([(i, f"{o}\n{v}") for i, (o, v) in enumerate(zip(other, varied))], "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r["n_dropped"] for r in linededup.clean(spark.createDataFrame([(i, f"{o}\n{v}") for i, (o, v) in enumerate(zip(other, varied))], "doc_id long, text string"), scratch(spark)).collect()}
     assert got == {0: 0, 1: 1, 2: 1}
     copies = spark.createDataFrame([(i, "one two three four five six seven\neight nine ten eleven twelve thirteen") for i in range(4)], "doc_id long, text string")
-    assert {r["n_dropped"] for r in linededup.clean(copies).collect()} == {0}
+    assert {r["n_dropped"] for r in linededup.clean(copies, scratch(spark)).collect()} == {0}
 
 
 def test_line_templates_odd(spark, odd, none):
-    got = linededup.drop_lines(odd)
+    got = linededup.drop_lines(odd, scratch(spark))
     assert got.columns == odd.columns and got.count() == len(ODD)
     assert got.where("doc_id = 1").first()["text"] is None
-    assert linededup.drop_lines(none).count() == 0
+    assert linededup.drop_lines(none, scratch(spark)).count() == 0
 
 
 # -- 5 ---------------------------------------------------------------------------------------------------------------------

@@ -130,3 +130,39 @@ def batches_to_model(batches: DataFrame, complete) -> DataFrame:
             yield pd.DataFrame({"source_file_id": f["source_file_id"], "section": f["section"], "payload": complete(f["text"].tolist())})
 
     return batches.select("source_file_id", "section", "text").mapInPandas(run, "source_file_id string, section string, payload string")
+
+
+class InvalidPayload(ValueError):
+    """A strict answer held an item that is not valid."""
+
+
+def strict(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entities and relationships of answers, or InvalidPayload if any item is not valid."""
+    entities, e = valid_entities(docs)
+    relations, r = valid_relations(docs)
+    bad = e.unionByName(r).where("dropped > 0").take(1)
+    if bad:
+        raise InvalidPayload(f"{bad[0]['source_file_id']}: {bad[0]['dropped']} items are not valid")
+    return entities, relations
+
+
+def prompts(batches: DataFrame, brief: str = "") -> DataFrame:
+    """Section batches with their user message: the domain block, if there is a brief, then the source block."""
+    domain = F.lit(f"## Domain\n{brief}\n\n") if brief else F.lit("")
+    return batches.withColumn("text", F.concat(domain, F.lit("## Source "), "source_file_id", F.lit("\n"), "text"))
+
+
+def domain_brief(given: dict, rephrase=None) -> dict:
+    """A brief as given, with fields that a model's rephrasing adds; given fields win where the model leaves one out."""
+    out = dict(rephrase(given)) if rephrase else {}
+    return {**given, **{k: v for k, v in out.items() if v}}
+
+
+def resolve_brief(path: str | None = None, existing: dict | None = None, prompt: str | None = None) -> dict | None:
+    """The brief of a file, else the existing one, else of a prompt, else none."""
+    import json
+
+    if path:
+        with open(path, encoding="utf-8") as f:
+            return json.load(f)
+    return existing or ({"brief": prompt} if prompt else None)

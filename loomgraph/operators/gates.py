@@ -170,3 +170,23 @@ def bridge(model: dict) -> list[dict]:
         if x and x not in linked:
             say("unlinked_type", x, "no relationship type uses it", "warn")
     return out
+
+
+def visual_types_with_url(model: dict) -> list[dict]:
+    """Types bound to visual tables that do not carry blob_url."""
+    out = []
+    for e in model.get("entityTypes") or []:
+        binding = e.get("dataBinding") or {}
+        if binding.get("table") in ("visual_assets", "visual_regions") and "blob_url" not in (binding.get("properties") or {}).values():
+            out.append({"rule": "visual_type_without_url", "severity": "fail", "table": "model", "key": str(e.get("id")), "message": "no blob_url property"})
+    return out
+
+
+def domain_in_system_message(messages: DataFrame, brief: str, key: str = "key", text: str = "system") -> DataFrame:
+    """System messages that hold text of the domain brief, which belongs in the user message."""
+    return filtered(messages, F.lower(text).contains(brief.lower()), "domain_in_system_message", "messages", key, "domain text")
+
+
+def missing_environment(names: list[str], env: dict[str, str]) -> list[dict]:
+    """Names that are unset, empty or an unresolved ${VARIABLE}."""
+    return [{"rule": "environment_missing", "severity": "fail", "table": "config", "key": n, "message": "not set"} for n in names if not env.get(n) or "${" in env[n]]

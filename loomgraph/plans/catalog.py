@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import ids, text as T
-from ..operators import compile as C, densify as D, gates as G, graph as Q, search as S, typed as Y
+from ..operators import canonicalize as K, compile as C, densify as D, gates as G, graph as Q, search as S, typed as Y
 from ..sources import files, profile
 from ..session import prepare
 
@@ -518,6 +518,49 @@ def context_budget(spark, d):
     return S.within_budget(docs, F.col("n_chars"), 3500, ["source"], [F.col("n_chars"), F.col("doc_id")]).select("source", "doc_id", "used")
 
 
+@query("SELECT lang AS source_file_id, source AS section, min(doc_id) AS first, sha256(string_agg('[paragraph|' || source || '] ' || text, chr(10) || chr(10) ORDER BY doc_id)) AS digest FROM documents WHERE text != '' GROUP BY lang, source")
+def section_batches(spark, d):
+    elements = table(spark, d, "documents").select(F.col("lang").alias("source_file_id"), F.col("source").alias("section_path"), F.lit("paragraph").alias("element_type"), F.col("doc_id").alias("sort_order"), F.col("text").alias("content"))
+    return K.section_batches(elements).select("source_file_id", "section", "first", ids.content_hash("text").alias("digest"))
+
+
+def answers(spark, d) -> DataFrame:
+    """Parts of a brand as one model answer."""
+    item = F.to_json(F.struct(F.col("p_type").alias("name"), F.lit("Part").alias("type"), F.array("p_name").alias("aliases"), (F.col("p_size") / 40).alias("confidence")))
+    lists = table(spark, d, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", item.alias("j")))).alias("js"))
+    return lists.select(F.col("p_brand").alias("source_file_id"), F.concat(F.lit('{"entities":['), F.array_join(F.transform("js", lambda x: x["j"]), ","), F.lit("]}")).alias("payload"))
+
+
+@query(f"SELECT p_brand AS source_file_id, {sql_key('Part', 'p_type')} AS canonical_key, round(max(p_size / 40.0), 6) AS confidence, arg_min(p_type, p_partkey) AS display_name, CAST(count(DISTINCT p_name) AS BIGINT) AS n_aliases FROM part WHERE p_size <= 40 GROUP BY ALL")
+def answer_entities(spark, d):
+    good, _ = K.valid_entities(answers(spark, d))
+    return K.merged_entities(good).select("source_file_id", "canonical_key", F.round("confidence", 6).alias("confidence"), "display_name", F.size("aliases").cast("bigint").alias("n_aliases"))
+
+
+@query("SELECT p_brand AS source_file_id, count(*) FILTER (WHERE p_size > 40) AS dropped FROM part GROUP BY p_brand")
+def answer_drops(spark, d):
+    return K.valid_entities(answers(spark, d))[1]
+
+
+@query(f"SELECT {sql_id('evid', "source || ':chunk:' || 'e' || doc_id || ':c' || doc_id || ':' || CASE WHEN doc_id % 7 = 0 THEN '' ELSE CAST(doc_id % 7 AS VARCHAR) END || ':' || substr(sha256(text), 1, 16)")} AS evidence_id, 'chunk' AS source_type, sha256(text) AS content_hash FROM documents")
+def text_evidence(spark, d):
+    chunks = table(spark, d, "documents").select(F.col("source").alias("source_file_id"), F.concat(F.lit("e"), "doc_id").alias("document_element_id"), F.concat(F.lit("c"), "doc_id").alias("chunk_id"), (F.col("doc_id") % 7).cast("int").alias("page_number"), F.lit(None).cast("string").alias("section_path"), F.lit(None).cast("string").alias("table_id"), F.col("text").alias("content"))
+    return K.text_evidence(chunks, F.current_timestamp()).select("evidence_id", "source_type", "content_hash")
+
+
+@query("SELECT doc_id, regexp_matches(lower(text), 'sdt|diagnos|check|test|inspect|validat|verify|status|troubleshoot|detect|scan') AS diagnostic, regexp_matches(text, '(?i)replacement process$|\\breplacement$|\\bprocess$') AS umbrella FROM documents")
+def name_predicates(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.is_diagnostic("text").alias("diagnostic"), T.is_umbrella("text").alias("umbrella"))
+
+
+@query("SELECT l_orderkey, l_linenumber, rn FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS rn FROM lineitem) WHERE rn <= 3")
+def top_k_per_key(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_linenumber")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.row_number().over(w).cast("bigint").alias("rn"), "l_extendedprice").where("rn <= 3").drop("l_extendedprice")
+
+
 def queries() -> dict:
     def ready(f):
         def run(spark, d):

@@ -138,3 +138,9 @@ def completed(spark: SparkSession, folder: str) -> DataFrame:
 
 def mark_completed(keys: DataFrame, folder: str) -> None:
     keys.select("key").write.mode("append").json(folder)
+
+
+def write_table_artifacts(tables: DataFrame, folder: str) -> None:
+    """HTML and plain forms of tables (source_file_id, t, content_html, content), in a folder for each source and number."""
+    rows = tables.select(F.regexp_replace("source_file_id", ":", "_").alias("source"), F.col("t").alias("table"), F.explode(F.array(F.struct(F.lit("html").alias("form"), F.col("content_html").alias("value")), F.struct(F.lit("text").alias("form"), F.col("content").alias("value")))).alias("r"))
+    rows.select("source", "table", "r.form", "r.value").write.mode("overwrite").partitionBy("source", "table", "form").text(folder)

@@ -33,6 +33,7 @@ from .common import Scratch, binary_texts, bound_batches, check_free, mix64, tab
 
 SLOTS, ROWS = 96, 4
 BANDS = SLOTS // ROWS
+SALTS = 32
 #: Members of a group that one task settles.
 LIMIT = 256
 #: Fixed: A-Z become a-z; words are split at the bytes 0x09-0x0D and 0x20.
@@ -193,6 +194,15 @@ def settle_groups(rows: DataFrame, percent: int) -> DataFrame:
     return rows.select("g", "id", "n", "d").groupBy("g").applyInArrow(run, "a long, b long")
 
 
+def salt():
+    return F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+
+
+def spread(small: DataFrame) -> DataFrame:
+    """One row for each salt: a family's row reaches its members in as many tasks."""
+    return small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def judge_families(members: DataFrame, scratch: Scratch, percent: int) -> tuple[DataFrame, DataFrame]:
     """Large groups (g, id, n, d): core links (a, b), and the next groups (g, id, n, d, core)."""
     up, down = 100 + percent, 100 - percent
@@ -203,15 +213,15 @@ def judge_families(members: DataFrame, scratch: Scratch, percent: int) -> tuple[
     more, less = F.array_sort(F.array_except("d", "common")), F.array_sort(F.array_except("common", "d"))
     mark = F.lit(0x5BD1E9959D1B54A3).cast("long")
     differences = F.concat(more, F.transform(less, lambda e: e.bitwiseXOR(mark)))
-    apart = members.join(consensus, "g").select("g", "id", "n", differences.alias("d"))
+    apart = members.withColumn("salt", salt()).join(spread(consensus), ["g", "salt"]).select("g", "id", "n", differences.alias("d"))
     apart = scratch.save(apart.withColumn("f", (F.lit(up) * F.size("d") - F.lit(down) * F.col("n")).cast("long")))
     best = apart.groupBy("g").agg(F.min(F.struct("f", "id")).alias("b")).select("g", F.col("b.f").alias("bf"), F.col("b.id").alias("b"))
-    judged = apart.join(best, "g").withColumn("core", F.col("f") + F.col("bf") <= 0)
+    judged = apart.withColumn("salt", salt()).join(spread(best), ["g", "salt"]).withColumn("core", F.col("f") + F.col("bf") <= 0)
     rest = judged.where("not core").groupBy("g").agg(F.min("f").alias("rf"))
     core_links = scratch.save(judged.where("core and id != b").select(F.least("b", "id").alias("a"), F.greatest("b", "id").alias("b")).distinct())
     needed = F.greatest(F.lit(1).cast("long"), F.ceil((F.col("f") + F.when(F.col("core"), F.col("rf")).otherwise(F.col("bf"))) / (2.0 * up)))
     prefix = F.size("d") - needed.cast("int") + 1
-    keys = judged.join(rest, "g").where(prefix > 0).select("g", "id", "core", F.explode(F.slice("d", F.lit(1), prefix)).alias("e"))
+    keys = judged.join(spread(rest), ["g", "salt"]).where(prefix > 0).select("g", "id", "core", F.explode(F.slice("d", F.lit(1), prefix)).alias("e"))
     open_ = keys.groupBy("g", "e").agg(F.count(F.lit(1)).alias("k"), F.min("core").alias("closed")).where("k > 1 and not closed").select("g", "e")
     rows = keys.join(open_, ["g", "e"]).join(apart.select("g", "id", "n", "d"), ["g", "id"])
     return core_links, rows.select(F.xxhash64("g", "e").alias("g"), "id", "n", "d", "core")

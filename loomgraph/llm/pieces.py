@@ -7,8 +7,8 @@ highest sum of scores. Characters that no piece covers are written as the byte p
 
 The search keeps scores of the last `longest` boundaries only, and back pointers since the last commit: whenever all
 surviving paths meet in one boundary, the ids before it are committed. Where no piece can cross a boundary (before a
-space that follows another character) paths always meet, so the text is cut there and the ids of a cut are remembered,
-up to `CACHE` of them.
+space that follows another character, and between any two characters that no piece has side by side) paths always meet, so
+the text is cut there and the ids of a cut are remembered, up to twice `CACHE` of them.
 
 Null or empty texts have no ids and decode to the empty text. Ties between segmentations go to the longer last piece.
 """
@@ -28,9 +28,10 @@ from .common import bound_batches, check_free, extended, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 BYTE_COST = 10.0
+NEVER = float("-inf")
 #: A private-use character that stands for a literal U+2581 during the search.
 LITERAL = "\ue000"
-CACHE, CACHED_CHARS = 500_000, 64
+CACHE, CACHED_CHARS = 400_000, 64
 CUTS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -49,6 +50,24 @@ def load(path: str = MODEL) -> tuple[list[str], list[float], list[int]]:
     return [sp.id_to_piece(i) for i in range(n)], scores, kinds
 
 
+class Cuts(dict):
+    """Remembered ids of cuts, as bytes; when full, the older half goes and what is met again is kept."""
+
+    def __init__(self, solve):
+        self.solve, self.old = solve, {}
+
+    def __missing__(self, cut: str) -> bytes:
+        ids = self.old.get(cut)
+        if ids is None:
+            ids = self.solve(cut)
+        if len(cut) <= CACHED_CHARS:
+            if len(self) >= CACHE:
+                self.old = dict(self)
+                self.clear()
+            self[cut] = ids
+        return ids
+
+
 class Codec:
     def __init__(self, pieces: list[str], scores: list[float], kinds: list[int]):
         self.text = [p.replace(SPACE, " ") for p in pieces]
@@ -59,40 +78,50 @@ class Codec:
         self.value = {i: b for b, i in self.bytes.items()}
         self.longest = max(map(len, self.ids))
         self.cost = min(s for s, _ in self.ids.values()) - BYTE_COST
-        #: Every piece and every beginning of one (None), so that a walk from a boundary ends where no piece goes on.
-        self.walk: dict[str, tuple[float, int] | None] = {p[:k]: None for p in self.ids for k in range(1, len(p))} | self.ids
+        #: Every piece, and every beginning of one at an impossible score, so that a walk from a boundary ends where no piece goes on.
+        self.walk: dict[str, tuple[float, int]] = {p[:k]: (NEVER, 0) for p in self.ids for k in range(1, len(p))} | self.ids
         self.crossing = any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        #: Neighbouring characters within some piece; paths always meet between others.
+        self.joined = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        self.cache = Cuts(self.solve)
+        forms = [bytes([self.value[i]]) if i in self.value else t.encode("utf-8", "surrogatepass") for i, t in enumerate(self.text)]
+        self.sizes = np.array([len(f) for f in forms], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.forms = np.frombuffer(b"".join(forms), np.uint8)
 
     def raw(self, char: str) -> tuple[float, tuple[int, ...]]:
         """The byte pieces of a character and their score."""
         data = (SPACE if char == LITERAL else char).encode("utf-8", "surrogatepass")
         return self.cost * len(data), tuple(self.bytes[b] for b in data)
 
-    def short(self, chars: str) -> tuple[int, ...]:
+    def short(self, chars: str) -> list[int]:
         """The best segmentation of a text within one window."""
-        n, walk = len(chars), self.walk
-        score: list = [None] * (n + 1)
-        back: list = [None] * (n + 1)
+        n, get, known = len(chars), self.walk.get, self.ids
+        score, back, piece = [NEVER] * (n + 1), [0] * (n + 1), [None] * (n + 1)
         score[0] = 0.0
         for start in range(n):
             here = score[start]
-            single = False
             for end in range(start + 1, n + 1):
-                hit = walk.get(chars[start:end], 0)
-                if hit == 0:
+                hit = get(chars[start:end])
+                if hit is None:
                     break
-                if hit is not None:
-                    s = here + hit[0]
-                    if score[end] is None or s > score[end]:
-                        score[end], back[end] = s, (start, (hit[1],))
-                    if end == start + 1:
-                        single = True
-            if not single:
+                s = here + hit[0]
+                if s > score[end]:
+                    score[end], back[end], piece[end] = s, start, hit[1]
+            if chars[start] not in known:
                 cost, ids = self.raw(chars[start])
-                if score[start + 1] is None or here + cost > score[start + 1]:
-                    score[start + 1], back[start + 1] = here + cost, (start, ids)
-        return tuple(self.path(back, 0, n))
+                if here + cost > score[start + 1]:
+                    score[start + 1], back[start + 1], piece[start + 1] = here + cost, start, ids
+        out: list[int] = []
+        while n:
+            p = piece[n]
+            if type(p) is int:
+                out.append(p)
+            else:
+                out.extend(reversed(p))
+            n = back[n]
+        out.reverse()
+        return out
 
     def stream(self, chars: str):
         """Yields committed ids of the best segmentation of chars, in which LITERAL stands for a literal U+2581.
@@ -105,19 +134,16 @@ class Codec:
         base, check = 0, 4 * longest
         for start in range(len(chars)):
             here = score[start]
-            single = False
             for end in range(start + 1, min(start + longest, len(chars)) + 1):
-                hit = walk.get(chars[start:end], 0)
-                if hit == 0:
+                hit = walk.get(chars[start:end])
+                if hit is None:
                     break
-                if hit is not None:
-                    s = here + hit[0]
-                    if end not in score or s > score[end]:
-                        score[end], back[end] = s, (start, (hit[1],))
-                    single |= end == start + 1
-            if not single:
+                s = here + hit[0]
+                if s > score.get(end, NEVER):
+                    score[end], back[end] = s, (start, (hit[1],))
+            if chars[start] not in self.ids:
                 cost, ids = self.raw(chars[start])
-                if start + 1 not in score or here + cost > score[start + 1]:
+                if here + cost > score.get(start + 1, NEVER):
                     score[start + 1], back[start + 1] = here + cost, (start, ids)
             score.pop(start - longest, None)
             if start - base >= check:
@@ -149,51 +175,43 @@ class Codec:
             steps.append(ids)
         return [i for ids in reversed(steps) for i in ids]
 
-    def encode(self, text: str) -> list[int]:
+    def solve(self, cut: str) -> bytes:
+        """The ids of a cut: its parts between characters that no piece joins are segmented by themselves."""
+        joined, body = self.joined, cut[1:]
+        # plain letters go together in nearly all pairs, so looking for a gap among them is not worth it
+        ends = [0] if body.isascii() and body.isalpha() else [0, *[k for k in range(1, len(cut)) if cut[k - 1 : k + 1] not in joined]]
+        if len(ends) > 1:
+            ends.append(len(cut))
+            return b"".join([self.cache[cut[i:j]] for i, j in zip(ends, ends[1:])])
+        return array.array("i", self.short(cut) if len(cut) <= CACHED_CHARS else self.stream(cut)).tobytes()
+
+    def encode_bytes(self, text: str) -> bytes:
+        """The ids of a text as 32-bit integers."""
         if not text:
-            return []
+            return b""
         if LITERAL in text:  # a private mark of this codec: its own bytes, by way of pieces of text without it
-            out: list[int] = []
-            for k, part in enumerate(text.split(LITERAL)):
-                if k:
-                    out += [self.bytes[b] for b in LITERAL.encode()]
-                out += self.run(part, dummy=k == 0)
-            return out
+            own = array.array("i", [self.bytes[b] for b in LITERAL.encode()]).tobytes()
+            return own.join([self.run(part, dummy=k == 0) for k, part in enumerate(text.split(LITERAL))])
         return self.run(text, dummy=True)
 
-    def run(self, text: str, dummy: bool) -> list[int]:
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encode_bytes(text), np.int32).tolist()
+
+    def run(self, text: str, dummy: bool) -> bytes:
         chars = (" " * dummy + text).replace(SPACE, LITERAL).replace(" ", SPACE)
-        out: list[int] = []
-        cache = self.cache
-        for cut in [chars] if self.crossing else CUTS.findall(chars):
-            ids = cache.get(cut)
-            if ids is None:
-                ids = self.short(cut) if len(cut) <= CACHED_CHARS else tuple(self.stream(cut))
-                if len(cut) <= CACHED_CHARS:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[cut] = ids
-            out += ids
-        return out
+        return b"".join(map(self.cache.__getitem__, [chars] if self.crossing else CUTS.findall(chars)))
+
+    def decode_many(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The texts of lists of ids that end at the given places."""
+        sizes = self.sizes[ids]
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        data = self.forms[np.repeat(self.starts[ids] - total[:-1], sizes) + np.arange(total[-1])]
+        at = total[np.concatenate([[0], ends])]
+        texts = [data[i:j].tobytes() for i, j in zip(at, at[1:])]
+        return pa.array([(t[1:] if t[:1] == b" " else t).decode("utf-8", "replace") for t in texts], pa.string())
 
     def decode(self, ids: list[int]) -> str:
-        text, value = self.text, self.value
-        if not value.keys().isdisjoint(ids):
-            parts, held = [], bytearray()
-            for i in ids:
-                if i in value:
-                    held.append(value[i])
-                else:
-                    if held:
-                        parts.append(held.decode("utf-8", "replace"))
-                        held.clear()
-                    parts.append(text[i])
-            if held:
-                parts.append(held.decode("utf-8", "replace"))
-            out = "".join(parts)
-        else:
-            out = "".join(map(text.__getitem__, ids))
-        return out[1:] if out.startswith(" ") else out
+        return self.decode_many(np.array(ids, np.int64), np.array([len(ids)]))[0].as_py()
 
 
 _held: dict = {}
@@ -216,11 +234,9 @@ def encode(docs: DataFrame, path: str = MODEL, name: str = "ids") -> DataFrame:
     def run(batches):
         codec = codec_of(shared.value)
         for batch in batches:
-            flat, ends = array.array("i"), [0]
-            for text in batch.column(at).to_pylist():
-                flat.extend(codec.encode(text or ""))
-                ends.append(len(flat))
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if len(flat) else [], pa.int32()))
+            parts = [codec.encode_bytes(text or "") for text in batch.column(at).to_pylist()]
+            ends = np.cumsum([0, *map(len, parts)]) // 4
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, extended(docs, **{name: "array<int>"}))
@@ -237,8 +253,9 @@ def decode(rows: DataFrame, path: str = MODEL, ids: str = "ids", name: str = "de
         codec = codec_of(shared.value)
         for batch in batches:
             column = batch.column(at)
-            texts = [codec.decode(v or []) for v in column.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, name])
+            ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            texts = codec.decode_many(column.flatten().to_numpy(zero_copy_only=False), ends.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, name])
 
     return rows.mapInArrow(run, extended(rows, **{name: "string"}))
 

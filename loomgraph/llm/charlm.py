@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mix64
+from .common import mix64, released
 
 START, END, REPEAT = "\x02", "\x03", "\x04"
 #: Distinct words held by a counting task before it hands its counts on.
@@ -57,7 +57,7 @@ def count_grams(df: DataFrame, order: int, split, text: str = "text", model: str
                 yield from flush()
         yield from flush()
 
-    parts = df.select(F.col(model).cast("string").alias("model"), F.col(text).alias("text")).mapInArrow(run, "model string, gram string, n long")
+    parts = df.select(F.col(model).cast("string").alias("model"), F.col(text).alias("text")).mapInArrow(released(run), "model string, gram string, n long")
     return parts.groupBy("model", "gram").agg(F.sum("n").alias("n"))
 
 

@@ -90,3 +90,25 @@ def extended(df: DataFrame, **kinds: str):
     for name, kind in kinds.items():
         out = out.add(name, StructType.fromDDL(f"x {kind}")[0].dataType)
     return out
+
+
+def release() -> None:
+    """Hands freed memory of a Python worker back to the system at a task's end; workers live on from stage to stage."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def released(run):
+    """run, a function over Arrow batches, with release() at its end."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        release()
+
+    return wrapped

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import charlm
-from .common import Scratch, bound_batches, check_free, extended, table
+from .common import Scratch, bound_batches, check_free, extended, released, table
 
 ORDER = 4
 MAX_ENTRIES = 8_000_000
@@ -73,7 +73,7 @@ def predict(docs: DataFrame, model: charlm.Model | None) -> DataFrame:
             pred = [p if s else "und" for p, s in zip(pred, some)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(np.where(some, score, 0.0)), pa.array(np.where(some, entropy, 0.0), mask=~some)], [*batch.schema.names, "lang_pred", "score", "cross_entropy"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def identify(docs: DataFrame, scratch: Scratch) -> DataFrame:

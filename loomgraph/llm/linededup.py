@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Scratch, binary_texts, bound_batches, check_free, table
+from .common import Scratch, binary_texts, bound_batches, check_free, released, table
 
 LEAD, PARTS = 2, 4
 MIN_TOKENS, GENERAL_TOKENS, LONG_TOKENS = 6, 10, 50
@@ -74,7 +74,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
     bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, place int, n int, h long, fresh boolean")
+    return docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {kind}, place int, n int, h long, fresh boolean")
 
 
 def recurring(lines: DataFrame, min_docs: int = MIN_DOCS, long_docs: int = LONG_DOCS) -> DataFrame:

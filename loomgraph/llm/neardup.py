@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Scratch, binary_texts, bound_batches, check_free, mix64, table
+from .common import Scratch, binary_texts, bound_batches, check_free, mix64, released, table
 
 SLOTS, ROWS = 96, 4
 BANDS = SLOTS // ROWS
@@ -75,8 +75,23 @@ def hash_bytes(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
+#: Shingles whose walks over the slots are held at once (each takes 2 * SLOTS bytes).
+WALKS = 40_000
+
+
 def super_minhash(hashes: np.ndarray, counts: np.ndarray, slots: int = SLOTS) -> np.ndarray:
     """Signatures, a row for each document (rows of empty sets are meaningless)."""
+    ends = np.cumsum(counts)
+    out, at = [], 0
+    while at < len(counts):
+        start = ends[at] - counts[at]
+        stop = max(at + 1, int(np.searchsorted(ends, start + WALKS, side="right")))
+        out.append(signatures_of(hashes[start : ends[stop - 1]], counts[at:stop], slots))
+        at = stop
+    return np.concatenate(out) if out else np.zeros((0, slots))
+
+
+def signatures_of(hashes: np.ndarray, counts: np.ndarray, slots: int) -> np.ndarray:
     docs = len(counts)
     values = np.full(docs * slots, np.inf)
     owner = np.repeat(np.arange(docs), counts)
@@ -132,7 +147,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), bands], ["doc_id", "n_shingles", "c1", "c2", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, c1 long, c2 long, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {kind}, n_shingles long, c1 long, c2 long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -144,7 +159,7 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
             sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(hashes.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["id", "s"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, s array<long>")
+    return docs.select("id", "text").mapInArrow(released(run), "id long, s array<long>")
 
 
 def settle(ids: np.ndarray, sizes: np.ndarray, differences: list, percent: int) -> list[tuple[int, int]]:

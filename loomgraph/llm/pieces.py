@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import bound_batches, check_free, extended, table
+from .common import bound_batches, check_free, extended, released, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -31,7 +31,7 @@ BYTE_COST = 10.0
 NEVER = float("-inf")
 #: A private-use character that stands for a literal U+2581 during the search.
 LITERAL = "\ue000"
-CACHE, CACHED_CHARS = 400_000, 64
+CACHE, CACHED_CHARS = 250_000, 64
 CUTS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -214,16 +214,6 @@ class Codec:
         return self.decode_many(np.array(ids, np.int64), np.array([len(ids)]))[0].as_py()
 
 
-_held: dict = {}
-
-
-def codec_of(vocabulary: tuple) -> Codec:
-    """The codec of a broadcast vocabulary; a worker keeps it, with its remembered cuts, from task to task."""
-    if _held.get("key") != (key := hash((len(vocabulary[0]), tuple(vocabulary[0]), tuple(vocabulary[1])))):
-        _held.update(key=key, codec=Codec(*vocabulary))
-    return _held["codec"]
-
-
 def encode(docs: DataFrame, path: str = MODEL, name: str = "ids") -> DataFrame:
     """Adds the ids of text."""
     check_free(docs, name)
@@ -232,14 +222,14 @@ def encode(docs: DataFrame, path: str = MODEL, name: str = "ids") -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        codec = codec_of(shared.value)
+        codec = Codec(*shared.value)
         for batch in batches:
             parts = [codec.encode_bytes(text or "") for text in batch.column(at).to_pylist()]
             ends = np.cumsum([0, *map(len, parts)]) // 4
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, extended(docs, **{name: "array<int>"}))
+    return docs.mapInArrow(released(run), extended(docs, **{name: "array<int>"}))
 
 
 def decode(rows: DataFrame, path: str = MODEL, ids: str = "ids", name: str = "decoded") -> DataFrame:
@@ -250,14 +240,14 @@ def decode(rows: DataFrame, path: str = MODEL, ids: str = "ids", name: str = "de
     at = rows.columns.index(ids)
 
     def run(batches):
-        codec = codec_of(shared.value)
+        codec = Codec(*shared.value)
         for batch in batches:
             column = batch.column(at)
             ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
             texts = codec.decode_many(column.flatten().to_numpy(zero_copy_only=False), ends.astype(np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, name])
 
-    return rows.mapInArrow(run, extended(rows, **{name: "string"}))
+    return rows.mapInArrow(released(run), extended(rows, **{name: "string"}))
 
 
 def round_trip(docs: DataFrame, path: str = MODEL) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import charlm
-from .common import Scratch, bound_batches, check_free, extended, table
+from .common import Scratch, bound_batches, check_free, extended, released, table
 
 ORDER = 5
 MAX_ENTRIES = 8_000_000
@@ -55,7 +55,7 @@ def score(docs: DataFrame, model: charlm.Model | None, name: str = "nll", size:
             sums = scores.sums(texts) if scores else np.zeros((len(texts), 2))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(-sums[:, 0]), pa.array(sums[:, 1])], [*batch.schema.names, name, size])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> charlm.Model | None:

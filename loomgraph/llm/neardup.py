@@ -35,7 +35,7 @@ SLOTS, ROWS = 96, 4
 BANDS = SLOTS // ROWS
 SALTS = 32
 #: Members of a group that one task settles.
-LIMIT = 256
+LIMIT = 512
 #: Fixed: A-Z become a-z; words are split at the bytes 0x09-0x0D and 0x20.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -242,16 +242,14 @@ def judge_families(members: DataFrame, scratch: Scratch, percent: int) -> tuple[
     return core_links, rows.select(F.xxhash64("g", "e").alias("g"), "id", "n", "d", "core")
 
 
-def links(groups: DataFrame, sets: DataFrame, scratch: Scratch, percent: int, limit: int = LIMIT) -> DataFrame:
-    """Confirmed links (a, b) that connect what is linked among ids that share a group. groups: (g, id), distinct."""
-    low = groups.groupBy("g").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("k")).where("k > 1").select("g", "low")
-    families = groups.join(low, "g").select(F.col("low").alias("g"), "id").distinct()
+def links(families: DataFrame, sets: DataFrame, scratch: Scratch, percent: int, limit: int = LIMIT) -> DataFrame:
+    """Confirmed links (a, b) that connect what is linked among ids that share a family (g, id)."""
     rows = scratch.save(families.join(sets, "id").select("g", "id", F.size("s").cast("long").alias("n"), F.col("s").alias("d"), F.lit(False).alias("core")))
     found: list[DataFrame] = []
     while True:
         size = scratch.save(rows.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.min("core").alias("closed")).where("k > 1 and not closed").select("g", "k"))
-        found.append(scratch.save(settle_groups(rows.join(size.where(F.col("k") <= limit), "g"), percent)))
-        large = scratch.save(rows.join(size.where(F.col("k") > limit), "g").select("g", "id", "n", "d"))
+        found.append(scratch.save(settle_groups(rows.join(size.where(F.col("k") <= limit), "g", "left_semi"), percent)))
+        large = scratch.save(rows.join(size.where(F.col("k") > limit), "g", "left_semi").select("g", "id", "n", "d"))
         if not large.take(1):
             return union(found).distinct()
         core, following = judge_families(large, scratch, percent)
@@ -295,13 +293,13 @@ def group(docs: DataFrame, scratch: Scratch, words: int = 5, percent: int = 80,
     some = rows.where("n_shingles > 0 and doc_id is not null")
     classes = scratch.save(some.groupBy("c1", "c2", "n_shingles").agg(F.min("doc_id").cast("long").alias("id"), F.min_by("bands", "doc_id").alias("bands")))
     groups = classes.select("id", F.posexplode("bands").alias("band", "h")).select(F.xxhash64("band", "h").alias("g"), "id")
-    shared = groups.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("g")
-    groups = scratch.save(groups.join(shared, "g"))
-    wanted = groups.select("id").distinct()
+    buckets = groups.groupBy("g").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("k")).where("k > 1").select("g", "low")
+    families = scratch.save(groups.join(buckets, "g").select(F.col("low").alias("g"), "id").distinct())
+    wanted = families.select("id").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null").join(wanted, "id", "left_semi")
     # rows of one doc_id with several texts: each set stands by its own class, whose lowest id may be shared
     sets = scratch.save(shingle_sets(texts, words).dropDuplicates(["id"]))
-    edges = links(groups.select("g", "id").distinct(), sets, scratch, percent, limit)
+    edges = links(families, sets, scratch, percent, limit)
     roots = components(edges, scratch)
     labelled = classes.select("c1", "c2", "n_shingles", "id").join(roots, "id", "left").select("c1", "c2", "n_shingles", F.coalesce("root", "id").alias("root"))
     keep = F.col("n_shingles") > 0

@@ -168,7 +168,7 @@ def brute_components(rows, words, percent):
     return {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize("limit", [256, 12])
+@pytest.mark.parametrize("limit", [512, 12])
 def test_near_duplicates_in_large_families(spark, limit):
     rnd = random.Random(4)
     vocab = [f"w{k}" for k in range(2000)]

@@ -296,7 +296,7 @@ def group(docs: DataFrame, scratch: Scratch, words: int = 5, percent: int = 80,
     buckets = groups.groupBy("g").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("k")).where("k > 1").select("g", "low")
     families = scratch.save(groups.join(buckets, "g").select(F.col("low").alias("g"), "id").distinct())
     wanted = families.select("id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null").join(wanted, "id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null").hint("merge").join(wanted.hint("merge"), "id", "left_semi")  # the same join at every size
     # rows of one doc_id with several texts: each set stands by its own class, whose lowest id may be shared
     sets = scratch.save(shingle_sets(texts, words).dropDuplicates(["id"]))
     edges = links(families, sets, scratch, percent, limit)

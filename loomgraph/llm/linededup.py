@@ -5,7 +5,8 @@ then by the `LEAD` leading tokens; below that, a line with `GENERAL_TOKENS` toke
 fixed tokens) and to `PARTS` generalised ones, each of which leaves one part of the remaining tokens variable. So lines that
 differ in digits anywhere, or in any words within one part, share a template. A template recurs if `MIN_DOCS` documents
 (`LONG_DOCS` for `LONG_TOKENS` tokens or more) have it. The first document (lowest doc_id) of a recurring template keeps its
-line, the others drop theirs. Lines under `MIN_TOKENS` tokens are never dropped.
+line, the others drop theirs. Lines under `MIN_TOKENS` tokens have their exact template only: `drop_lines` counts and drops them
+like the others, `clean` leaves them out unless told `short`, as the SQL of the query does.
 
 A document of which recurring lines make up `COPY_SHARE` or more is a copy of a whole document, not a carrier of shared
 lines; it is left as it is for near-duplicate detection, which keeps one of each group.
@@ -37,13 +38,13 @@ DIGIT = re.compile(rb"[0-9]")
 VARIABLE = re.compile(rb"[^\x09-\x0D\x20]*[0-9][^\x09-\x0D\x20]*")
 
 
-def templates(line: bytes) -> tuple[int, list[int]]:
-    """The token count of a line and the hashes of its templates (none below MIN_TOKENS)."""
+def templates(line: bytes, short: bool = False) -> tuple[int, list[int]]:
+    """The token count of a line and the hashes of its templates; below MIN_TOKENS, none unless `short`."""
     if DIGIT.search(line):
         line = VARIABLE.sub(b"<*>", line)
     t = line.split()
     n = len(t)
-    if n < MIN_TOKENS:
+    if n < (1 if short else MIN_TOKENS):
         return n, []
     digest = xxhash.xxh3_64_intdigest
     out = [digest(b" ".join(t), 8 * n)]
@@ -53,7 +54,7 @@ def templates(line: bytes) -> tuple[int, list[int]]:
     return n, out
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
+def lines_of(docs: DataFrame, short: bool = False) -> DataFrame:
     """(doc_id, place, n, h, fresh) of lines that have templates; fresh marks a template's first place in its document."""
 
     def run(batches):
@@ -62,7 +63,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
             for i, text in enumerate(binary_texts(batch.column(1))):
                 seen = set()
                 for k, line in enumerate(text.split(b"\n")):
-                    n, hs = templates(line)
+                    n, hs = templates(line, short)
                     for h in hs:
                         owner.append(i)
                         place.append(k)
@@ -84,19 +85,19 @@ def recurring(lines: DataFrame, min_docs: int = MIN_DOCS, long_docs: int = LONG_
     return found.where((F.col("docs") >= min_docs) | ((F.col("n") >= LONG_TOKENS) & (F.col("docs") >= long_docs))).select("h", "first", "docs")
 
 
-def dropped_places(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def dropped_places(docs: DataFrame, scratch: Scratch, short: bool = False) -> DataFrame:
     """(doc_id, places): the lines that recur and are not the first of their kind."""
-    lines = scratch.save(lines_of(docs))
+    lines = scratch.save(lines_of(docs, short))
     salt = F.pmod(F.xxhash64("doc_id", "place"), F.lit(SALTS)).cast("int")
     spread = recurring(lines).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     hits = lines.withColumn("salt", salt).join(spread, ["h", "salt"]).where(F.coalesce("doc_id", F.lit(-(2**63))) != F.col("first"))
     return hits.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
 
 
-def clean(docs: DataFrame, scratch: Scratch, text: str = "clean_text", count: str = "n_dropped") -> DataFrame:
+def clean(docs: DataFrame, scratch: Scratch, text: str = "clean_text", count: str = "n_dropped", short: bool = False) -> DataFrame:
     """Adds the text without dropped lines and the number of them to the columns of docs."""
     check_free(docs, text, count, "lg_places", "lg_id")
-    places = dropped_places(docs.select("doc_id", "text"), scratch).select(F.col("doc_id").alias("lg_id"), F.col("places").alias("lg_places"))
+    places = dropped_places(docs.select("doc_id", "text"), scratch, short).select(F.col("doc_id").alias("lg_id"), F.col("places").alias("lg_places"))
     out = docs.join(places, F.col("doc_id").eqNullSafe(F.col("lg_id")), "left")
     lines = "split(text, '\\n')"
     share = f"aggregate(lg_places, 0L, (s, i) -> s + length({lines}[i])) >= {COPY_SHARE} * length(replace(text, '\\n', ''))"
@@ -108,7 +109,7 @@ def clean(docs: DataFrame, scratch: Scratch, text: str = "clean_text", count: st
 
 def drop_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """docs with its own columns, text without dropped lines; n_chars, if there, is counted anew where lines went."""
-    out = clean(docs, scratch, "lg_text", "lg_count")
+    out = clean(docs, scratch, "lg_text", "lg_count", short=True)
     columns = []
     for c in docs.columns:
         if c == "text":

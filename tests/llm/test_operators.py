@@ -134,6 +134,12 @@ def test_line_templates_general_part_and_copies(spark):
     assert {r["n_dropped"] for r in linededup.clean(copies, scratch(spark)).collect()} == {0}
 
 
+def test_line_dedup_of_short_lines(spark):
+    rows = [(i, f"own words of document {chr(97 + i)} " * 5 + "\nAll rights reserved.\n\nonly here " + chr(97 + i)) for i in range(4)]
+    got = {r["doc_id"]: r["text"].split("\n")[1:] for r in linededup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string"), scratch(spark)).collect()}
+    assert got == {i: ["All rights reserved."] * (i == 0) + ["", "only here " + chr(97 + i)] for i in range(4)}
+
+
 def test_line_templates_odd(spark, odd, none):
     got = linededup.drop_lines(odd, scratch(spark))
     assert got.columns == odd.columns and got.count() == len(ODD)

@@ -8,8 +8,11 @@ differ in digits anywhere, or in any words within one part, share a template. A
 line, the others drop theirs. Lines under `MIN_TOKENS` tokens have their exact template only: `drop_lines` counts and drops them
 like the others, `clean` leaves them out unless told `short`, as the SQL of the query does.
 
-A document of which recurring lines make up `COPY_SHARE` or more is a copy of a whole document, not a carrier of shared
-lines; it is left as it is for near-duplicate detection, which keeps one of each group.
+A document of which recurring lines make up `COPY_SHARE` or more may be a copy of a whole document, which is for near-duplicate
+detection to drop. `clean` leaves each such document as it is, as the SQL of the query does. `drop_lines` confirms it: the
+document that is first for most of its recurring lines is its source, and if what is left of the source is a near-duplicate
+(`WORDS`-word shingles, `PERCENT`) of the document without the lines that are first elsewhere, those alone go. So the source
+and its copy lose the same lines. Without such a source, all recurring lines go. A source is never a confirmed copy itself.
 
 Templates are hashed once, in Arrow batches, and written; partial sums precede the shuffle, and the join back to lines is salted by
 document, so a template that a third of all documents share is spread over tasks.
@@ -28,11 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import Scratch, binary_texts, bound_batches, check_free, released, table
+from .neardup import shingle_sets
 
 LEAD, PARTS = 2, 4
 MIN_TOKENS, GENERAL_TOKENS, LONG_TOKENS = 6, 10, 50
 MIN_DOCS, LONG_DOCS = 3, 2
 COPY_SHARE = 0.8
+#: What the pipeline's near-dedup links.
+WORDS, PERCENT = 5, 80
 SALTS = 32
 DIGIT = re.compile(rb"[0-9]")
 VARIABLE = re.compile(rb"[^\x09-\x0D\x20]*[0-9][^\x09-\x0D\x20]*")
@@ -85,37 +91,77 @@ def recurring(lines: DataFrame, min_docs: int = MIN_DOCS, long_docs: int = LONG_
     return found.where((F.col("docs") >= min_docs) | ((F.col("n") >= LONG_TOKENS) & (F.col("docs") >= long_docs))).select("h", "first", "docs")
 
 
-def dropped_places(docs: DataFrame, scratch: Scratch, short: bool = False) -> DataFrame:
-    """(doc_id, places): the lines that recur and are not the first of their kind."""
+def recurring_places(docs: DataFrame, scratch: Scratch, short: bool = False) -> DataFrame:
+    """(doc_id, place, first): the lines that recur and are not the first of their kind, with the first documents."""
     lines = scratch.save(lines_of(docs, short))
     salt = F.pmod(F.xxhash64("doc_id", "place"), F.lit(SALTS)).cast("int")
     spread = recurring(lines).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     hits = lines.withColumn("salt", salt).join(spread, ["h", "salt"]).where(F.coalesce("doc_id", F.lit(-(2**63))) != F.col("first"))
-    return hits.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    return hits.select("doc_id", "place", "first")
+
+
+LINES = "split(text, '\\n')"
+
+
+def share_of(places: str) -> str:
+    return f"aggregate({places}, 0L, (s, i) -> s + length({LINES}[i])) >= {COPY_SHARE} * length(replace(text, '\\n', ''))"
+
+
+def without(places: str) -> str:
+    return f"if(size({places}) = 0, text, array_join(filter({LINES}, (x, i) -> not array_contains({places}, i)), '\\n'))"
 
 
 def clean(docs: DataFrame, scratch: Scratch, text: str = "clean_text", count: str = "n_dropped", short: bool = False) -> DataFrame:
     """Adds the text without dropped lines and the number of them to the columns of docs."""
     check_free(docs, text, count, "lg_places", "lg_id")
-    places = dropped_places(docs.select("doc_id", "text"), scratch, short).select(F.col("doc_id").alias("lg_id"), F.col("places").alias("lg_places"))
+    hits = recurring_places(docs.select("doc_id", "text"), scratch, short)
+    places = hits.groupBy(F.col("doc_id").alias("lg_id")).agg(F.collect_set("place").alias("lg_places"))
     out = docs.join(places, F.col("doc_id").eqNullSafe(F.col("lg_id")), "left")
-    lines = "split(text, '\\n')"
-    share = f"aggregate(lg_places, 0L, (s, i) -> s + length({lines}[i])) >= {COPY_SHARE} * length(replace(text, '\\n', ''))"
-    out = out.withColumn("lg_places", F.expr(f"if(lg_places is null or {share}, cast(array() as array<int>), lg_places)"))
-    kept = f"if(size(lg_places) = 0, text, array_join(filter({lines}, (x, i) -> not array_contains(lg_places, i)), '\\n'))"
-    out = out.withColumn(text, F.expr(kept)).withColumn(count, F.size("lg_places").cast("long"))
+    out = out.withColumn("lg_places", F.expr(f"if(lg_places is null or {share_of('lg_places')}, cast(array() as array<int>), lg_places)"))
+    out = out.withColumn(text, F.expr(without("lg_places"))).withColumn(count, F.size("lg_places").cast("long"))
     return out.select(*docs.columns, text, count)
 
 
+def confirmed(docs: DataFrame, marks: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id of documents that are near-duplicates of their source after both lost what is first elsewhere.
+
+    Every row of a doc_id must be one, with every row of its source.
+    """
+    found = docs.select("doc_id", "text").join(marks, "doc_id")
+    some = scratch.save(found.where(F.expr(share_of("places"))).select("doc_id", "source", F.expr(without("foreign")).alias("text")))
+    key = F.coalesce("doc_id", F.lit(-(2**63))).cast("long")
+    wanted = some.select(F.col("source").alias("key")).distinct()
+    sources = docs.select(key.alias("key"), "doc_id", "text").join(wanted, "key", "left_semi").join(marks.select(F.col("doc_id").alias("lg_id"), "places"), F.col("doc_id") == F.col("lg_id"), "left")
+    left = F.expr(f"if(places is null, text, {without('places')})")
+    sets = shingle_sets(sources.select(F.col("key").alias("id"), left.alias("text")), WORDS).select(F.col("id").alias("source"), F.col("s").alias("t"))
+    own = shingle_sets(some.select(F.col("doc_id").cast("long").alias("id"), "text"), WORDS)
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+    own = own.join(some.select(F.col("doc_id").cast("long").alias("id"), "source").distinct(), "id").withColumn("salt", salt)
+    pairs = own.join(sets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["source", "salt"])
+    both = F.size(F.array_intersect("s", "t"))
+    like = (both > 0) & (100 * both >= PERCENT * (F.size("s") + F.size("t") - both))
+    near = scratch.save(pairs.select("id", "source", like.alias("like")).groupBy("id", "source").agg(F.min("like").alias("like")).where("like").select("id", "source"))
+    return near.join(near.select(F.col("id").alias("source")), "source", "left_anti").select("id")
+
+
 def drop_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """docs with its own columns, text without dropped lines; n_chars, if there, is counted anew where lines went."""
-    out = clean(docs, scratch, "lg_text", "lg_count", short=True)
+    check_free(docs, "lg_text", "lg_places", "lg_id")
+    hits = recurring_places(docs.select("doc_id", "text"), scratch, short=True)
+    marks = hits.groupBy("doc_id").agg(F.collect_set(F.struct("place", "first")).alias("hits"), F.mode("first", True).alias("source"))
+    places = "array_distinct(transform({}, h -> h.place))"
+    marks = scratch.save(marks.select("doc_id", "source", F.expr(places.format("hits")).alias("places"), F.expr(places.format("filter(hits, h -> h.first != source)")).alias("foreign")))
+    copies = confirmed(docs, marks, scratch).select(F.col("id").alias("copy"))
+    chosen = marks.join(copies, F.col("doc_id").cast("long") == F.col("copy"), "left")
+    chosen = chosen.select(F.col("doc_id").alias("lg_id"), F.when(F.col("copy").isNull(), F.col("places")).otherwise(F.col("foreign")).alias("lg_places"))
+    out = docs.join(chosen, F.col("doc_id") == F.col("lg_id"), "left")  # a null doc_id is the first of its lines
+    out = out.withColumn("lg_places", F.coalesce("lg_places", F.array().cast("array<int>"))).withColumn("lg_text", F.expr(without("lg_places")))
     columns = []
     for c in docs.columns:
         if c == "text":
             columns.append(F.col("lg_text").alias(c))
         elif c == "n_chars":
-            columns.append(F.when(F.col("lg_count") > 0, F.length("lg_text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c))
+            columns.append(F.when(F.size("lg_places") > 0, F.length("lg_text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c))
         else:
             columns.append(F.col(c))
     return out.select(columns)

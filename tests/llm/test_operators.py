@@ -140,6 +140,17 @@ def test_line_dedup_of_short_lines(spark):
     assert got == {i: ["All rights reserved."] * (i == 0) + ["", "only here " + chr(97 + i)] for i in range(4)}
 
 
+def test_line_dedup_of_mosaics_and_copies(spark):
+    words = lambda seed, n: " ".join(random.Random(seed).choices([a + b + c for a in "bdfgklm" for b in "aeiou" for c in "nrst"], k=n))
+    lines = [words(k, 60) for k in range(9)]
+    note = "released under the same old terms as before"
+    rows = {0: ["first " * 9, note], 1: [*lines[:4], note], 2: lines[4:7], 3: [lines[0], lines[4], "some own words"], 4: [*lines[:4], note, "a few words more"], 5: ["another " * 9, note]}
+    docs = spark.createDataFrame([(i, "\n".join(x)) for i, x in rows.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"].split("\n") for r in linededup.drop_lines(docs, scratch(spark)).collect()}
+    # 3 is put together from 1 and 2; 4 is a copy of 1, and both lose the line that is first in 0
+    assert got == rows | {1: lines[:4], 3: ["some own words"], 4: [*lines[:4], "a few words more"], 5: rows[5][:1]}
+
+
 def test_line_templates_odd(spark, odd, none):
     got = linededup.drop_lines(odd, scratch(spark))
     assert got.columns == odd.columns and got.count() == len(ODD)

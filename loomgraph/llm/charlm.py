@@ -2,9 +2,10 @@
 
 A word is a run without white space between a start mark and an end mark; contexts do not cross words. Counting runs
 once over the distinct words of a partition; the counts of all partitions are summed and joined as DataFrames:
-count-of-counts give the discounts, context sums the back-off weights, and each order joins the order below. The
-finished model is held in arrays sorted by gram hash. Its size is checked before it is sent to the executors; if it is
-over `max_entries`, the order is lowered by one and checked again (an order of 1 is bounded by the alphabet).
+count-of-counts give the discounts, context sums the back-off weights, and each order joins the order below. The size of
+the finished model is checked. Up to `max_entries` it is held in arrays sorted by gram hash and sent to the executors. Beyond
+that it stays in tables, and the distinct grams of the documents are joined to them by shuffle (`Tables.sums`); order, counts
+and values are the same.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ START, END, REPEAT = "\x02", "\x03", "\x04"
 FLUSH_WORDS = 200_000
 #: Words whose scores a scoring task keeps.
 CACHE_WORDS = 400_000
+#: Shares of the rows of a gram that joins split: of tails of one or two characters, and of documents.
+SALTS, DOC_SALTS = 32, 8
 
 
 def gram_counts(words: Counter, order: int) -> Counter:
@@ -202,19 +205,68 @@ def collect_model(probs: DataFrame, backs: DataFrame, order: int) -> Model:
     return Model(names, order, grams, contexts, floor)
 
 
-def train(df: DataFrame, scratch, order: int, split, max_entries: int, text: str = "text", model: str = "model") -> Model | None:
+@dataclass
+class Tables:
+    """A model left in tables: probabilities (model, k, gram, p) and back-off weights (model, k, ctx, gamma)."""
+
+    names: list[str]
+    order: int
+    probs: DataFrame
+    backs: DataFrame
+    scratch: object
+
+    def gram_scores(self, grams: DataFrame) -> DataFrame:
+        """(gram, v) of distinct grams: the natural log probability of the last character under each model, in order of names."""
+        tails = grams.select("gram", F.explode(F.sequence(F.lit(1), F.length("gram"))).alias("k")).withColumn("tail", F.expr("right(gram, k)"))
+        # one or two characters end very many grams
+        tails = tails.withColumn("salt", F.when(F.col("k") <= 2, F.pmod(F.xxhash64("gram"), F.lit(SALTS))).otherwise(0).cast("int"))
+        salts = F.explode(F.sequence(F.lit(0), F.when(F.col("k") <= 2, SALTS - 1).otherwise(0)))
+        p = self.probs.select("model", "k", F.col("gram").alias("tail"), F.log(F.greatest("p", F.lit(1e-300))).alias("lp")).withColumn("salt", salts)
+        g = self.backs.where("k > 1").select("model", "k", "ctx", F.log(F.greatest("gamma", F.lit(1e-300))).alias("lg")).withColumn("salt", salts)
+        none = F.lit(None)
+        seen = tails.join(p, ["k", "tail", "salt"]).select("gram", "model", "k", "lp", none.cast("double").alias("lg"))
+        back = tails.withColumn("ctx", F.expr("left(tail, k - 1)")).join(g, ["k", "ctx", "salt"]).select("gram", "model", "k", none.cast("double").alias("lp"), "lg")
+        every = grams.select("gram", F.explode(F.array(*map(F.lit, self.names))).alias("model"), none.cast("int").alias("k"), none.cast("double").alias("lp"), none.cast("double").alias("lg"))
+        # at most two rows for each length and model
+        by = every.unionByName(seen).unionByName(back).groupBy("gram", "model").agg(F.max(F.when(F.col("lp").isNotNull(), F.struct("k", "lp"))).alias("best"), F.collect_list(F.when(F.col("lg").isNotNull(), F.struct("k", "lg"))).alias("backs"))
+        floors = self.backs.where("k = 0").select("model", F.log(F.greatest("gamma", F.lit(1e-12))).alias("floor"))
+        by = by.join(F.broadcast(floors), "model", "left")  # a row for each model
+        value = F.expr(f"coalesce(best.lp, floor, {float(np.log(1e-6))!r}D) + aggregate(filter(backs, b -> b.k > coalesce(best.k, 0)), 0D, (s, b) -> s + b.lg)")
+        return by.withColumn("value", value).groupBy("gram").agg(*[F.max(F.when(F.col("model") == n, F.col("value"))).alias(f"v{i}") for i, n in enumerate(self.names)]).select("gram", F.array(*[f"v{i}" for i in range(len(self.names))]).alias("v"))
+
+    def sums(self, docs: DataFrame, split) -> DataFrame:
+        """docs with lg_sums (the log probability of its text under each model; null without words) and lg_size (characters scored)."""
+        order = self.order
+
+        def run(batches):
+            for batch in batches:
+                rows, grams, counts = [], [], []
+                for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    found = gram_counts(Counter(split(text)), order) if text else {}
+                    rows += [row] * len(found)
+                    grams += found.keys()
+                    counts += found.values()
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(grams, pa.string()), pa.array(counts, pa.int64())], ["lg_row", "gram", "n"])
+
+        rows = self.scratch.save(docs.withColumn("lg_row", F.monotonically_increasing_id()))
+        held = self.scratch.save(rows.select("lg_row", "text").mapInArrow(released(run), "lg_row long, gram string, n long"))
+        values = self.scratch.save(self.gram_scores(held.select("gram").distinct()))
+        spread = values.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(DOC_SALTS - 1))))
+        found = held.withColumn("salt", F.pmod(F.xxhash64("lg_row"), F.lit(DOC_SALTS)).cast("int")).join(spread.hint("merge"), ["gram", "salt"])
+        total = found.groupBy("lg_row").agg(F.array(*[F.sum(F.col("n") * F.col("v")[i]) for i in range(len(self.names))]).alias("lg_sums"), F.sum("n").alias("lg_size"))
+        return rows.join(total, "lg_row", "left").withColumn("lg_size", F.coalesce("lg_size", F.lit(0)).cast("double")).drop("lg_row")
+
+
+def train(df: DataFrame, scratch, order: int, split, max_entries: int, text: str = "text", model: str = "model") -> Model | Tables | None:
     """A model for each value of `model`; None if no row has one."""
-    counts = scratch.save(count_grams(df, order, split, text, model))
-    while True:
-        probs, backs = kneser_ney(counts, order, scratch)
-        entries = probs.count() + backs.count()
-        if not entries:
-            return None
-        if entries <= max_entries or order == 1:
-            return collect_model(probs, backs, order)
-        order -= 1
-        shorter = F.when(F.length("gram") > order, F.expr(f"substring(gram, 1, {order})")).otherwise(F.col("gram"))
-        counts = scratch.save(counts.select("model", shorter.alias("gram"), "n").groupBy("model", "gram").agg(F.sum("n").alias("n")))
+    probs, backs = kneser_ney(scratch.save(count_grams(df, order, split, text, model)), order, scratch)
+    entries = probs.count() + backs.count()
+    if not entries:
+        return None
+    if entries <= max_entries:
+        return collect_model(probs, backs, order)
+    names = sorted(r[0] for r in probs.select("model").distinct().collect())
+    return Tables(names, order, probs, backs, scratch)
 
 
 class WordScores:

@@ -41,35 +41,43 @@ def held_out(doc_id) :
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(True))
 
 
-def fit(docs: DataFrame, scratch: Scratch) -> charlm.Model | None:
+def fit(docs: DataFrame, scratch: Scratch) -> charlm.Model | charlm.Tables | None:
     rows = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("lang").alias("model"), "text")
     return charlm.train(rows, scratch, ORDER, split_letters, MAX_ENTRIES)
 
 
-def predict(docs: DataFrame, model: charlm.Model | None) -> DataFrame:
+def predict(docs: DataFrame, model: charlm.Model | charlm.Tables | None) -> DataFrame:
     """Adds lang_pred, score and cross_entropy to the columns of docs."""
     check_free(docs, "lang_pred", "score", "cross_entropy")
+    schema = extended(docs, lang_pred="string", score="double", cross_entropy="double")
+    joined, names = isinstance(model, charlm.Tables), model.names if model else []
+    if joined:
+        check_free(docs, "lg_sums", "lg_size", "lg_row")
+        docs, model = model.sums(docs, split_letters), None
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_ENTRIES entries
     at = docs.columns.index("text")
-    schema = extended(docs, lang_pred="string", score="double", cross_entropy="double")
 
     def run(batches):
-        model = shared.value
-        scores = charlm.WordScores(model) if model else None
+        scores = charlm.WordScores(shared.value) if shared.value else None
         for batch in batches:
+            given = None
+            if joined:
+                sizes = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+                given = np.column_stack([np.array([v or [0.0] * len(names) for v in batch.column(batch.num_columns - 2).to_pylist()]).reshape(-1, len(names)), sizes])
+                batch = batch.select(range(batch.num_columns - 2))
             texts = [split_letters(t) if t else [] for t in batch.column(at).to_pylist()]
             n = len(texts)
             pred, score, entropy = [None] * n, np.zeros(n), np.full(n, np.nan)
-            if scores:
-                sums = scores.sums(texts)
+            if scores or joined:
+                sums = given if joined else scores.sums(texts)
                 size = np.maximum(sums[:, -1], 1)
                 h = -sums[:, :-1] / size[:, None]
                 best = h.argmin(1)
                 entropy = h[np.arange(n), best]
                 gap = (h - entropy[:, None]) * np.minimum(size, EVIDENCE)[:, None] / TEMPERATURE
                 score = 1 / np.exp(-gap).sum(1)
-                pred = [model.names[b] for b in best]
-            some = np.array([bool(t) and scores is not None for t in texts], bool)
+                pred = [names[b] for b in best]
+            some = np.array([bool(t) and bool(names) for t in texts], bool)
             pred = [p if s else "und" for p, s in zip(pred, some)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(np.where(some, score, 0.0)), pa.array(np.where(some, entropy, 0.0), mask=~some)], [*batch.schema.names, "lang_pred", "score", "cross_entropy"])
 

@@ -41,9 +41,13 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).select("doc_id").distinct()
 
 
-def score(docs: DataFrame, model: charlm.Model | None, name: str = "nll", size: str = "nll_chars") -> DataFrame:
+def score(docs: DataFrame, model: charlm.Model | charlm.Tables | None, name: str = "nll", size: str = "nll_chars") -> DataFrame:
     """Adds the summed negative log probability (nats) and the number of characters scored; other columns pass."""
     check_free(docs, name, size)
+    if isinstance(model, charlm.Tables):
+        check_free(docs, "lg_sums", "lg_size", "lg_row")
+        nll = -F.coalesce(F.col("lg_sums")[0], F.lit(0.0))
+        return model.sums(docs, split_words).select(*docs.columns, nll.alias(name), F.col("lg_size").alias(size))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_ENTRIES entries
     schema = extended(docs, **{name: "double", size: "double"})
     at = docs.columns.index("text")
@@ -58,7 +62,7 @@ def score(docs: DataFrame, model: charlm.Model | None, name: str = "nll", size:
     return docs.mapInArrow(released(run), schema)
 
 
-def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> charlm.Model | None:
+def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> charlm.Model | charlm.Tables | None:
     # the same join at every size: labels grow with the documents, so they are not broadcast while they happen to be few
     trusted = docs.select("doc_id", "text").hint("merge").join(trusted_ids(labels).hint("merge"), "doc_id", "left_semi")
     return charlm.train(trusted.withColumn("model", F.lit("trusted")), scratch, ORDER, split_words, MAX_ENTRIES)
@@ -86,7 +90,7 @@ def verdict(scored: DataFrame, limits: tuple[dict, float, float]) -> DataFrame:
     return scored.withColumns({"cross_entropy": F.when(F.col("nll_chars") > 0, value), "limit": limit}).withColumn("keep", F.coalesce(F.col("cross_entropy") <= F.col("limit"), F.lit(True)))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[charlm.Model | None, tuple, DataFrame]:
+def fitted(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[charlm.Model | charlm.Tables | None, tuple, DataFrame]:
     bound_batches(docs.sparkSession)
     model = fit(docs, labels, scratch)
     scored = scratch.save(score(docs.select("doc_id", "lang", "text"), model).drop("text"))

@@ -269,6 +269,18 @@ def test_kneser_ney_sums_to_one(spark):
     assert model.log_probs(["ab"])[0, 0] > model.log_probs(["a?"])[0, 0] and len(alphabet) == 4
 
 
+def test_models_beyond_the_bound_score_alike(spark, odd, small, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang").unionByName(odd.select("doc_id", "text", "lang"))
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    runs = [lambda: quality.classify(docs, labels, scratch(spark)), lambda: langid.identify(docs, scratch(spark))]
+    ordered = lambda df: [tuple(pytest.approx(v, rel=1e-4) if isinstance(v, float) else v for v in r) for r in df.orderBy("doc_id", *df.columns[-2:-1], "cross_entropy").collect()]
+    want = [ordered(run()) for run in runs]
+    monkeypatch.setattr(quality, "MAX_ENTRIES", 100)
+    monkeypatch.setattr(langid, "MAX_ENTRIES", 100)
+    for run, rows in zip(runs, want):
+        assert ordered(run()) == rows
+
+
 def test_quality(spark, small):
     got = quality.op7_quality_classifier(spark, small).join(spark.read.parquet(f"{small}/labels.parquet"), "doc_id")
     good, bad = got.where("quality = 1 and toxic = 0"), got.where("quality = 0")

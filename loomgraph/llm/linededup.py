@@ -14,6 +14,11 @@ document that is first for most of its recurring lines is its source, and if wha
 (`WORDS`-word shingles, `PERCENT`) of the document without the lines that are first elsewhere, those alone go. So the source
 and its copy lose the same lines. Without such a source, all recurring lines go. A source is never a confirmed copy itself.
 
+`drop_lines` then cuts passages: runs of `LONG_TOKENS` tokens or more within a line that an earlier document has word for word,
+wherever they stand and whatever the rest of the line is. Of the `SEED`-token grams of a line, the one of least hash is marked in
+each run of `LONG_TOKENS` tokens, so equal runs have equal marks; around marks of two documents or more, all windows of
+`LONG_TOKENS` tokens are hashed and compared. The first document of a window keeps it, and copies are confirmed as above.
+
 Templates are hashed once, in Arrow batches, and written; partial sums precede the shuffle, and the join back to lines is salted by
 document, so a template that a third of all documents share is spread over tasks.
 
@@ -30,16 +35,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Scratch, binary_texts, bound_batches, check_free, released, table
+from .common import Scratch, binary_texts, bound_batches, check_free, mix64, released, table
 from .neardup import shingle_sets
 
 LEAD, PARTS = 2, 4
 MIN_TOKENS, GENERAL_TOKENS, LONG_TOKENS = 6, 10, 50
 MIN_DOCS, LONG_DOCS = 3, 2
+SEED = 25
 COPY_SHARE = 0.8
 #: What the pipeline's near-dedup links.
 WORDS, PERCENT = 5, 80
 SALTS = 32
+TOKEN = re.compile(rb"[^\x09-\x0D\x20]+")
 DIGIT = re.compile(rb"[0-9]")
 VARIABLE = re.compile(rb"[^\x09-\x0D\x20]*[0-9][^\x09-\x0D\x20]*")
 
@@ -122,18 +129,12 @@ def clean(docs: DataFrame, scratch: Scratch, text: str = "clean_text", count: st
     return out.select(*docs.columns, text, count)
 
 
-def confirmed(docs: DataFrame, marks: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id of documents that are near-duplicates of their source after both lost what is first elsewhere.
+def confirmed(some: DataFrame, sources: DataFrame, scratch: Scratch) -> DataFrame:
+    """id of documents (doc_id, source, text) that are near-duplicates of their source (source, text).
 
     Every row of a doc_id must be one, with every row of its source.
     """
-    found = docs.select("doc_id", "text").join(marks, "doc_id")
-    some = scratch.save(found.where(F.expr(share_of("places"))).select("doc_id", "source", F.expr(without("foreign")).alias("text")))
-    key = F.coalesce("doc_id", F.lit(-(2**63))).cast("long")
-    wanted = some.select(F.col("source").alias("key")).distinct()
-    sources = docs.select(key.alias("key"), "doc_id", "text").join(wanted, "key", "left_semi").join(marks.select(F.col("doc_id").alias("lg_id"), "places"), F.col("doc_id") == F.col("lg_id"), "left")
-    left = F.expr(f"if(places is null, text, {without('places')})")
-    sets = shingle_sets(sources.select(F.col("key").alias("id"), left.alias("text")), WORDS).select(F.col("id").alias("source"), F.col("s").alias("t"))
+    sets = shingle_sets(sources.select(F.col("source").alias("id"), "text"), WORDS).select(F.col("id").alias("source"), F.col("s").alias("t"))
     own = shingle_sets(some.select(F.col("doc_id").cast("long").alias("id"), "text"), WORDS)
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
     own = own.join(some.select(F.col("doc_id").cast("long").alias("id"), "source").distinct(), "id").withColumn("salt", salt)
@@ -144,27 +145,160 @@ def confirmed(docs: DataFrame, marks: DataFrame, scratch: Scratch) -> DataFrame:
     return near.join(near.select(F.col("id").alias("source")), "source", "left_anti").select("id")
 
 
+def marked(hits: DataFrame, what: str, scratch: Scratch) -> DataFrame:
+    """(doc_id, source, gone, foreign) of hits (doc_id, `what`, first): what recurs, and what of it is first elsewhere than in source."""
+    marks = hits.groupBy("doc_id").agg(F.collect_set(F.struct(F.col(what).alias("x"), "first")).alias("hits"), F.mode("first", True).alias("source"))
+    some = "array_distinct(transform({}, h -> h.x))"
+    return scratch.save(marks.select("doc_id", "source", F.expr(some.format("hits")).alias("gone"), F.expr(some.format("filter(hits, h -> h.first != source)")).alias("foreign")))
+
+
+def at_sources(docs: DataFrame, some: DataFrame, marks: DataFrame) -> DataFrame:
+    """(source, text, gone) of the sources of some."""
+    key = F.coalesce("doc_id", F.lit(-(2**63))).cast("long")
+    return docs.select(key.alias("source"), "doc_id", "text").join(some.select("source").distinct(), "source", "left_semi").join(marks.select(F.col("doc_id").alias("lg_id"), "gone"), F.col("doc_id") == F.col("lg_id"), "left").select("source", "text", "gone")
+
+
+def chosen(docs: DataFrame, marks: DataFrame, copies: DataFrame) -> DataFrame:
+    """docs with lg_gone: what goes from each, null if nothing recurs."""
+    marks = marks.join(copies, F.col("doc_id").cast("long") == F.col("id"), "left")
+    marks = marks.select(F.col("doc_id").alias("lg_id"), F.when(F.col("id").isNull(), F.col("gone")).otherwise(F.col("foreign")).alias("lg_gone"))
+    return docs.join(marks, F.col("doc_id") == F.col("lg_id"), "left").drop("lg_id")  # a null doc_id is the first of all it has
+
+
+def without_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    marks = marked(recurring_places(docs.select("doc_id", "text"), scratch, short=True), "place", scratch)
+    found = docs.select("doc_id", "text").join(marks, "doc_id")
+    some = scratch.save(found.where(F.expr(share_of("gone"))).select("doc_id", "source", F.expr(without("foreign")).alias("text")))
+    sources = at_sources(docs, some, marks).select("source", F.expr(f"if(gone is null, text, {without('gone')})").alias("text"))
+    out = chosen(docs, marks, confirmed(some, sources, scratch))
+    return out.withColumn("text", F.expr(f"if(lg_gone is null, text, {without('lg_gone')})")).drop("lg_gone")
+
+
+def window_hashes(tokens: list[bytes], k: int) -> np.ndarray:
+    """Hashes of all runs of k tokens: polynomials of token hashes, modulo 2^64."""
+    base = 0x9E3779B97F4A7C15
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens))
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(h), np.uint64(base))]))
+        back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(h), np.uint64(pow(base, -1, 2**64)))]))
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(h * powers[:-1])])
+        return mix64((sums[k:] - sums[:-k]) * back[: len(h) - k + 1])
+
+
+def seeds(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the marked grams of a line: the least of each run of LONG_TOKENS tokens."""
+    h = window_hashes(tokens, SEED)
+    width = LONG_TOKENS - SEED + 1
+    at = np.unique(np.lib.stride_tricks.sliding_window_view(h, width).argmin(1) + np.arange(len(h) - width + 1))
+    return at, h[at]
+
+
+def long_lines(text: bytes):
+    for k, line in enumerate(text.split(b"\n")):
+        if len(line) >= 2 * LONG_TOKENS - 1 and len(tokens := line.split()) >= LONG_TOKENS:
+            yield k, line, tokens
+
+
+def cut(text: bytes, gone: np.ndarray) -> bytes:
+    """The text without the tokens of windows whose hash is in gone; a line of nothing else goes too."""
+    lines = text.split(b"\n")
+    for k, line, tokens in long_lines(text):
+        hit = np.flatnonzero(np.isin(window_hashes(tokens, LONG_TOKENS), gone))
+        if len(hit):
+            lost = np.zeros(len(tokens) + 1, np.int64)
+            np.add.at(lost, hit, 1)
+            np.add.at(lost, hit + LONG_TOKENS, -1)
+            lost = np.cumsum(lost)[:-1] > 0
+            places = [m.start() for m in TOKEN.finditer(line)] + [len(line)]
+            kept = b"".join(line[places[i] : places[i + 1]] for i in np.flatnonzero(~lost)).rstrip()
+            lines[k] = line[: places[0]] + kept if kept else None
+    return b"\n".join(x for x in lines if x is not None)
+
+
+def cut_texts(docs: DataFrame, gone: str) -> DataFrame:
+    """docs with their text cut; the column gone (window hashes, or null) goes."""
+    text, hashes = docs.columns.index("text"), docs.columns.index(gone)
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(text).to_pylist()
+            for i, g in enumerate(batch.column(hashes)):
+                if g.is_valid and len(g) and texts[i]:
+                    texts[i] = cut(texts[i].encode(), g.values.to_numpy(zero_copy_only=False).view(np.uint64)).decode()
+            batch = batch.set_column(text, "text", pa.array(texts, pa.string()))
+            yield batch.drop_columns([gone])
+
+    return docs.mapInArrow(released(run), docs.drop(gone).schema)
+
+
+def marks_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, h) of the marked grams of each document's long lines."""
+
+    def run(batches):
+        for batch in batches:
+            owner, hashes = [], [np.zeros(0, np.uint64)]
+            for i, text in enumerate(binary_texts(batch.column(1))):
+                found = [seeds(tokens)[1] for _, _, tokens in long_lines(text)]
+                if found:
+                    hashes.append(np.unique(np.concatenate(found)))
+                    owner.append(np.full(len(hashes[-1]), i))
+            owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(np.concatenate(hashes).view(np.int64))], ["doc_id", "h"])
+
+    return docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h long")
+
+
+def windows_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, h): windows of LONG_TOKENS tokens that hold a marked gram of the column marks."""
+
+    def run(batches):
+        for batch in batches:
+            owner, hashes = [], [np.zeros(0, np.uint64)]
+            for i, (text, marks) in enumerate(zip(binary_texts(batch.column(1)), batch.column(2))):
+                marks, found = marks.values.to_numpy(zero_copy_only=False).view(np.uint64), []
+                for _, _, tokens in long_lines(text):
+                    at, h = seeds(tokens)
+                    at = at[np.isin(h, marks)]
+                    if len(at):
+                        w = window_hashes(tokens, LONG_TOKENS)
+                        near = np.unique((at[:, None] - np.arange(LONG_TOKENS - SEED + 1)).ravel())
+                        found.append(w[near[(near >= 0) & (near < len(w))]])
+                if found:
+                    hashes.append(np.unique(np.concatenate(found)))
+                    owner.append(np.full(len(hashes[-1]), i))
+            owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(np.concatenate(hashes).view(np.int64))], ["doc_id", "h"])
+
+    return docs.select("doc_id", "text", "marks").mapInArrow(released(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h long")
+
+
+def shared(rows: DataFrame) -> DataFrame:
+    """(doc_id, h, first) of rows (doc_id, h) whose hash two documents or more have."""
+    key = F.coalesce("doc_id", F.lit(-(2**63)))
+    firsts = rows.groupBy("h").agg(F.min(key).alias("first"), F.max(key).alias("last")).where("first != last").select("h", "first")
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    return rows.withColumn("salt", salt).join(firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["h", "salt"]).select("doc_id", "h", "first")
+
+
+def without_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    marks = shared(scratch.save(marks_of(docs))).groupBy(F.col("doc_id").alias("lg_id")).agg(F.collect_set("h").alias("marks"))
+    near = docs.select("doc_id", "text").join(marks, F.col("doc_id").eqNullSafe(F.col("lg_id")))
+    hits = shared(scratch.save(windows_of(near))).where(F.coalesce("doc_id", F.lit(-(2**63))) != F.col("first"))
+    gone = marked(hits, "h", scratch)
+    some = scratch.save(cut_texts(docs.select("doc_id", "text").join(gone.select("doc_id", "source", "foreign"), "doc_id"), "foreign"))
+    sources = cut_texts(at_sources(docs, some, gone), "gone")
+    return cut_texts(chosen(docs, gone, confirmed(some, sources, scratch)), "lg_gone")
+
+
 def drop_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """docs with its own columns, text without dropped lines; n_chars, if there, is counted anew where lines went."""
-    check_free(docs, "lg_text", "lg_places", "lg_id")
-    hits = recurring_places(docs.select("doc_id", "text"), scratch, short=True)
-    marks = hits.groupBy("doc_id").agg(F.collect_set(F.struct("place", "first")).alias("hits"), F.mode("first", True).alias("source"))
-    places = "array_distinct(transform({}, h -> h.place))"
-    marks = scratch.save(marks.select("doc_id", "source", F.expr(places.format("hits")).alias("places"), F.expr(places.format("filter(hits, h -> h.first != source)")).alias("foreign")))
-    copies = confirmed(docs, marks, scratch).select(F.col("id").alias("copy"))
-    chosen = marks.join(copies, F.col("doc_id").cast("long") == F.col("copy"), "left")
-    chosen = chosen.select(F.col("doc_id").alias("lg_id"), F.when(F.col("copy").isNull(), F.col("places")).otherwise(F.col("foreign")).alias("lg_places"))
-    out = docs.join(chosen, F.col("doc_id") == F.col("lg_id"), "left")  # a null doc_id is the first of its lines
-    out = out.withColumn("lg_places", F.coalesce("lg_places", F.array().cast("array<int>"))).withColumn("lg_text", F.expr(without("lg_places")))
-    columns = []
-    for c in docs.columns:
-        if c == "text":
-            columns.append(F.col("lg_text").alias(c))
-        elif c == "n_chars":
-            columns.append(F.when(F.size("lg_places") > 0, F.length("lg_text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c))
-        else:
-            columns.append(F.col(c))
-    return out.select(columns)
+    """docs with its own columns, text without dropped lines and passages; n_chars, if there, is counted anew where some went."""
+    check_free(docs, "lg_gone", "lg_id", "lg_text")
+    bound_batches(docs.sparkSession)
+    kept = scratch.save(without_lines(docs.withColumn("lg_text", F.xxhash64("text")), scratch))
+    out = without_passages(kept, scratch)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.xxhash64("text") != F.col("lg_text"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(docs.columns)
 
 
 def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

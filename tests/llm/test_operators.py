@@ -151,6 +151,17 @@ def test_line_dedup_of_mosaics_and_copies(spark):
     assert got == rows | {1: lines[:4], 3: ["some own words"], 4: [*lines[:4], "a few words more"], 5: rows[5][:1]}
 
 
+def test_line_dedup_of_passages_within_lines(spark):
+    rnd = random.Random(8)
+    words = lambda n: " ".join("".join(rnd.choices("bcdfghklmnprstvw", k=6)) for _ in range(n))
+    passage, under = words(50), words(49)
+    rows = {0: f"{words(70)} {passage} {words(9)}", 1: words(80), 2: f"{(a := words(3))} {passage} {(b := words(90))}", 3: f"{(c := words(60))} {under} {(e := words(60))}", 4: f"{words(61)} {under} {words(60)}"}
+    rows[5] = rows[1].replace(rows[1].split()[55], "other")  # a near-duplicate is left whole for near-dedup
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in linededup.drop_lines(docs, scratch(spark)).collect()}
+    assert got == rows | {2: f"{a} {b}"}
+
+
 def test_line_templates_odd(spark, odd, none):
     got = linededup.drop_lines(odd, scratch(spark))
     assert got.columns == odd.columns and got.count() == len(ODD)

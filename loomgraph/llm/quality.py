@@ -7,6 +7,11 @@ are joined shard by shard (see charlm), and a document's cross-entropy is shrunk
 `quantile` of the trusted documents of its language plus `slack` nats; a language with fewer than `MIN_TRUSTED` of them
 uses the quantile of all.
 
+A few toxic words do not move a mean, so a document is also rejected for its worst word. A word (a run of letters, lower case)
+has the log odds of its share of documents labelled toxic against its share of trusted ones. The limit is the `quantile` of the
+worst words of trusted documents, each left out of the counts it is measured by (`FLOOR` at least), plus `slack` nats. Rows of
+one doc_id are treated alike in this. Without a toxic or without a trusted document no word counts.
+
 Null or empty texts have no cross-entropy and are kept (nothing speaks against them). Null languages form a group.
 Repeated rows are scored each; labels with several rows for one doc_id count as trusted if any row is.
 """
@@ -27,6 +32,7 @@ QUANTILE = 0.995
 SLACK = 0.15
 MIN_TRUSTED = 50
 PIECE = 64
+FLOOR = 1.0
 
 
 def split_words(text: str) -> list[str]:
@@ -62,10 +68,41 @@ def score(docs: DataFrame, model: charlm.Model | charlm.Tables | None, name: str
     return docs.mapInArrow(released(run), schema)
 
 
-def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> charlm.Model | charlm.Tables | None:
+def labelled(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, text, toxic) of documents that are labelled toxic or trusted."""
+    kinds = labels.where("toxic = 1").select("doc_id", F.lit(True).alias("toxic")).unionByName(trusted_ids(labels).withColumn("toxic", F.lit(False))).groupBy("doc_id").agg(F.min("toxic").alias("toxic"))
     # the same join at every size: labels grow with the documents, so they are not broadcast while they happen to be few
-    trusted = docs.select("doc_id", "text").hint("merge").join(trusted_ids(labels).hint("merge"), "doc_id", "left_semi")
-    return charlm.train(trusted.withColumn("model", F.lit("trusted")), scratch, ORDER, split_words, MAX_ENTRIES)
+    return scratch.save(docs.select("doc_id", "text").hint("merge").join(kinds.hint("merge"), "doc_id"))
+
+
+def fit(known: DataFrame, scratch: Scratch) -> charlm.Model | charlm.Tables | None:
+    return charlm.train(known.where("not toxic").withColumn("model", F.lit("trusted")), scratch, ORDER, split_words, MAX_ENTRIES)
+
+
+def words_of(docs: DataFrame) -> DataFrame:
+    """docs with a row for each of its distinct words in place of its text."""
+    return docs.withColumn("word", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+")))).where("word != ''").drop("text")
+
+
+def toxic_words(known: DataFrame, scratch: Scratch, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame | None:
+    """(word): words any of which condemns a document."""
+    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count_distinct("doc_id").alias("n")).collect()}
+    if len(sizes) < 2:
+        return None
+    counts = words_of(known).groupBy("word").agg(F.sum(F.col("toxic").cast("long")).alias("t"), F.sum((~F.col("toxic")).cast("long")).alias("o"))
+    odds = lambda o: F.log((F.col("t") + 0.5) / (sizes[True] + 1)) - F.log((o + 0.5) / (sizes[False] + 1))
+    counts = scratch.save(counts.where("t > 0").select("word", odds(F.col("o")).alias("odds"), odds(F.greatest(F.col("o") - 1, F.lit(0))).alias("alone")).where(F.col("alone") > FLOOR))
+    clean = known.where("not toxic").select("doc_id", "text")
+    worst = words_of(clean).join(counts, "word").groupBy("doc_id").agg(F.max("alone").alias("worst"))
+    every = clean.select("doc_id").distinct().join(worst, "doc_id", "left")
+    limit = every.agg(F.percentile_approx(F.coalesce("worst", F.lit(FLOOR)), F.lit(quantile), F.lit(10_000)).alias("q")).first()["q"] + slack
+    return scratch.save(counts.where(F.col("odds") > limit).select("word"))
+
+
+def toxic_ids(docs: DataFrame, words: DataFrame | None) -> DataFrame:
+    """lg_toxic: doc_id of documents with a word that condemns them."""
+    ids = docs.select(F.col("doc_id").alias("lg_toxic"), "text")
+    return ids.limit(0).select("lg_toxic") if words is None else words_of(ids).join(words, "word").select("lg_toxic").distinct()
 
 
 def thresholds(scored: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> tuple[dict, float, float]:
@@ -90,25 +127,28 @@ def verdict(scored: DataFrame, limits: tuple[dict, float, float]) -> DataFrame:
     return scored.withColumns({"cross_entropy": F.when(F.col("nll_chars") > 0, value), "limit": limit}).withColumn("keep", F.coalesce(F.col("cross_entropy") <= F.col("limit"), F.lit(True)))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[charlm.Model | charlm.Tables | None, tuple, DataFrame]:
+def fitted(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[charlm.Model | charlm.Tables | None, tuple, DataFrame, DataFrame]:
     bound_batches(docs.sparkSession)
-    model = fit(docs, labels, scratch)
+    known = labelled(docs, labels, scratch)
+    model = fit(known, scratch)
     scored = scratch.save(score(docs.select("doc_id", "lang", "text"), model).drop("text"))
-    return model, thresholds(scored, labels), scored
+    return model, thresholds(scored, labels), scored, scratch.save(toxic_ids(docs, toxic_words(known, scratch)))
 
 
 def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """A row for each row of docs: doc_id, lang, perplexity, cross_entropy, limit, keep."""
-    _, limits, scored = fitted(docs, labels, scratch)
+    _, limits, scored, toxic = fitted(docs, labels, scratch)
     out = verdict(scored, limits).withColumn("perplexity", F.when(F.col("nll_chars") > 0, F.exp(F.col("nll") / F.col("nll_chars"))))
-    return out.select("doc_id", "lang", "perplexity", "cross_entropy", "limit", "keep")
+    out = out.join(toxic.withColumn("lg_bad", F.lit(True)), F.col("doc_id").eqNullSafe(F.col("lg_toxic")), "left")
+    return out.select("doc_id", "lang", "perplexity", "cross_entropy", "limit", (F.col("keep") & F.col("lg_bad").isNull()).alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows of docs that the classifier keeps, with their own columns."""
-    check_free(docs, "nll", "nll_chars", "cross_entropy", "limit", "keep")
-    model, limits, _ = fitted(docs, labels, scratch)
-    return verdict(score(docs, model), limits).where("keep").select(docs.columns)
+    check_free(docs, "nll", "nll_chars", "cross_entropy", "limit", "keep", "lg_toxic")
+    model, limits, _, toxic = fitted(docs, labels, scratch)
+    clean = docs.join(toxic, F.col("doc_id").eqNullSafe(F.col("lg_toxic")), "left_anti")
+    return verdict(score(clean, model), limits).where("keep").select(docs.columns)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

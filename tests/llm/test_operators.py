@@ -298,6 +298,17 @@ def test_quality(spark, small):
     assert good.where("keep").count() >= 0.97 * good.count() and bad.where("not keep").count() >= 0.9 * bad.count()
 
 
+def test_quality_of_toxic_documents(spark):
+    rnd = random.Random(9)
+    vocab = ["".join(rnd.choices("abdeghilmnorstu", k=rnd.randint(2, 8))) for _ in range(400)]
+    rows = [(i, " ".join([*rnd.choices(vocab, k=80), *["Blorf,", "zanktu"][i % 2 : i % 2 + (i >= 80)], *rnd.choices(vocab, k=80)]), "en") for i in range(120)]
+    labels = spark.createDataFrame([(i, 1, int(i >= 80)) for i in range(100) if i not in range(60, 80)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    # 60 to 79 and 100 to 119 have no label; one word in 160 is toxic from 80 on
+    assert {r["doc_id"] for r in quality.classify(docs, labels, scratch(spark)).where("keep").collect()} == set(range(80))
+    assert {r["doc_id"] for r in quality.keep_good(docs, labels, scratch(spark)).collect()} == set(range(80))
+
+
 def test_quality_odd(spark, odd, none):
     labels = spark.createDataFrame([(4, 1, 0), (4, 1, None), (5, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
     got = quality.keep_good(odd, labels, scratch(spark))

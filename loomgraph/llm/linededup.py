@@ -45,7 +45,7 @@ SEED = 25
 COPY_SHARE = 0.8
 #: What the pipeline's near-dedup links.
 WORDS, PERCENT = 5, 80
-SALTS = 32
+SALTS, COPIES = 32, 64
 TOKEN = re.compile(rb"[^\x09-\x0D\x20]+")
 DIGIT = re.compile(rb"[0-9]")
 VARIABLE = re.compile(rb"[^\x09-\x0D\x20]*[0-9][^\x09-\x0D\x20]*")
@@ -136,9 +136,12 @@ def confirmed(some: DataFrame, sources: DataFrame, scratch: Scratch) -> DataFram
     """
     sets = shingle_sets(sources.select(F.col("source").alias("id"), "text"), WORDS).select(F.col("id").alias("source"), F.col("s").alias("t"))
     own = shingle_sets(some.select(F.col("doc_id").cast("long").alias("id"), "text"), WORDS)
-    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
-    own = own.join(some.select(F.col("doc_id").cast("long").alias("id"), "source").distinct(), "id").withColumn("salt", salt)
-    pairs = own.join(sets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["source", "salt"])
+    ids = some.select(F.col("doc_id").cast("long").alias("id"), "source").distinct()
+    # a source's set is repeated for every COPIES documents that it is compared with, not for each salt: sets are large
+    shares = scratch.save(ids.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / COPIES).cast("int").alias("shares")))
+    own = own.join(ids.join(shares, "source").withColumn("salt", F.expr("cast(pmod(xxhash64(id), shares) as int)")).drop("shares"), "id")
+    sets = sets.join(shares, "source").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    pairs = own.join(sets, ["source", "salt"])
     both = F.size(F.array_intersect("s", "t"))
     like = (both > 0) & (100 * both >= PERCENT * (F.size("s") + F.size("t") - both))
     near = scratch.save(pairs.select("id", "source", like.alias("like")).groupBy("id", "source").agg(F.min("like").alias("like")).where("like").select("id", "source"))

@@ -1,22 +1,30 @@
 """SentencePiece encoding and decoding by streaming Viterbi.
 
-The pieces and scores come from a model file (a parameter; read by the driver, sent to the executors; its size is that
-of the vocabulary). Scores that are merge ranks become log probabilities by Zipf's law. A text is a dummy space and its characters, spaces written as U+2581; the best segmentation has the
-highest sum of scores. Characters that no piece covers are written as the byte pieces of their UTF-8 form, each at
-`BYTE_COST` below the lowest score; a literal U+2581 is always written as bytes, so that decoding is exact.
-
-The search keeps scores of the last `longest` boundaries only, and back pointers since the last commit: whenever all
-surviving paths meet in one boundary, the ids before it are committed. Where no piece can cross a boundary (before a
-space that follows another character, and between any two characters that no piece has side by side) paths always meet, so
-the text is cut there and the ids of a cut are remembered, up to twice `CACHE` of them.
-
-Null or empty texts have no ids and decode to the empty text. Ties between segmentations go to the longer last piece.
+The pieces come from a model file (a parameter; read by the driver, sent to the executors; its size is that of the
+vocabulary). A text is a dummy space and its characters, spaces written as U+2581; the search keeps one best path to each
+boundary between characters. Where the model has log probabilities, a path's score is their sum. Where it has merge ranks
+(all scores are whole numbers), sums of ranks are no likelihood; a step then scores 0 if the model's own merges leave the
+piece and the one before it side by side, and is impossible if they would not. Exactly one path to each boundary is
+possible then, and its pieces are those that the merges give: the ids are the model's.
+
+Characters that no piece covers are written as the byte pieces of their UTF-8 form (`BYTE_COST` below the lowest score); a
+literal U+2581 is always written as bytes, so that decoding is exact (the model's own encoder takes it for a space).
+
+`Codec.stream` is the only search. It looks at `longest` characters ahead of a boundary, keeps scores and back pointers
+since the last commit, and every 4 * `longest` boundaries walks back from all surviving ends: where their paths meet, the
+ids before are committed and their window is freed. Paths always meet where no piece can cross a boundary (before a space that
+follows another character, and between any two characters that no piece has side by side); so `Codec.run` hands such stretches
+to the search one by one, and remembers the ids of up to twice `CACHE` short ones. Tests hold the result with and without that
+memory, and over the whole text in one search, to be equal.
+
+Null or empty texts have no ids and decode to the empty text. Ties between segmentations go to the longer last piece. Very long
+texts need memory for one window and the ids. Repeated rows are answered each; an empty table gives an empty table; columns
+named as an output raise an error.
 """
 
 from __future__ import annotations
 
 import array
-import math
 import re
 
 import numpy as np
@@ -32,6 +40,8 @@ NEVER = float("-inf")
 #: A private-use character that stands for a literal U+2581 during the search.
 LITERAL = "\ue000"
 CACHE, CACHED_CHARS = 250_000, 64
+#: Remembered answers about pairs of pieces.
+PAIRS = 1_000_000
 CUTS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -42,12 +52,34 @@ def load(path: str = MODEL) -> tuple[list[str], list[float], list[int]]:
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     n = sp.get_piece_size()
     kinds = [1 if sp.is_byte(i) else 2 if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) else 0 for i in range(n)]
-    scores = [sp.get_score(i) for i in range(n)]
-    own = [s for s, k in zip(scores, kinds) if k == 0]
-    if all(s == int(s) for s in own):
-        # merge ranks are no log probabilities, and their sums would prefer many short pieces: Zipf's law turns ranks into some
-        scores = [-math.log(2.7 - s) - math.log(math.log(2.7 + n)) for s in scores]
-    return [sp.id_to_piece(i) for i in range(n)], scores, kinds
+    return [sp.id_to_piece(i) for i in range(n)], [sp.get_score(i) for i in range(n)], kinds
+
+
+class Apart(dict):
+    """Whether the model's merges leave two pieces side by side; keys are before * width + piece, with width for no piece before."""
+
+    def __init__(self, pieces: list[str], rank: dict[str, float]):
+        self.pieces, self.rank, self.width = pieces, rank, len(pieces)
+
+    def merged(self, chars: str) -> list[str]:
+        """The pieces that merging neighbours, best rank and then leftmost first, gives."""
+        parts, rank = list(chars), self.rank.get
+        while len(parts) > 1:
+            ranks = [rank(a + b, NEVER) for a, b in zip(parts, parts[1:])]
+            best = max(ranks)
+            if best == NEVER:
+                break
+            k = ranks.index(best)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        return parts
+
+    def __missing__(self, key: int) -> bool:
+        before, piece = divmod(key, self.width)
+        wanted = [self.pieces[piece]] if before == self.width else [self.pieces[before], self.pieces[piece]]
+        if len(self) >= PAIRS:
+            self.clear()
+        self[key] = out = self.merged("".join(wanted)) == wanted
+        return out
 
 
 class Cuts(dict):
@@ -71,15 +103,18 @@ class Cuts(dict):
 class Codec:
     def __init__(self, pieces: list[str], scores: list[float], kinds: list[int]):
         self.text = [p.replace(SPACE, " ") for p in pieces]
-        self.ids = {p: (s, i) for i, (p, s, k) in enumerate(zip(pieces, scores, kinds)) if k == 0}
+        self.ids = {p: i for i, (p, k) in enumerate(zip(pieces, kinds)) if k == 0}
+        self.scores, self.width = scores, len(pieces)
+        ranked = all(scores[i] == int(scores[i]) for i in self.ids.values())
+        self.apart = Apart(pieces, {p: scores[i] for p, i in self.ids.items()}) if ranked else None
         self.bytes = {int(p[3:-1], 16): i for i, (p, k) in enumerate(zip(pieces, kinds)) if k == 1}
         if len(self.bytes) != 256:
             raise ValueError("the model has no byte fallback")
         self.value = {i: b for b, i in self.bytes.items()}
         self.longest = max(map(len, self.ids))
-        self.cost = min(s for s, _ in self.ids.values()) - BYTE_COST
-        #: Every piece, and every beginning of one at an impossible score, so that a walk from a boundary ends where no piece goes on.
-        self.walk: dict[str, tuple[float, int]] = {p[:k]: (NEVER, 0) for p in self.ids for k in range(1, len(p))} | self.ids
+        self.cost = min(scores[i] for i in self.ids.values()) - BYTE_COST
+        #: Every piece, and -1 for every other beginning of one, so that a walk from a boundary ends where no piece goes on.
+        self.walk: dict[str, int] = {p[:k]: -1 for p in self.ids for k in range(1, len(p))} | self.ids
         self.crossing = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         #: Neighbouring characters within some piece; paths always meet between others.
         self.joined = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
@@ -89,91 +124,82 @@ class Codec:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.forms = np.frombuffer(b"".join(forms), np.uint8)
 
-    def raw(self, char: str) -> tuple[float, tuple[int, ...]]:
-        """The byte pieces of a character and their score."""
-        data = (SPACE if char == LITERAL else char).encode("utf-8", "surrogatepass")
-        return self.cost * len(data), tuple(self.bytes[b] for b in data)
+    def raw(self, char: str) -> tuple[int, ...]:
+        """The byte pieces of a character."""
+        return tuple(self.bytes[b] for b in (SPACE if char == LITERAL else char).encode("utf-8", "surrogatepass"))
 
-    def short(self, chars: str) -> list[int]:
-        """The best segmentation of a text within one window."""
+    def advance(self, chars: str, at: int, stop: int, base: int, back: list, piece: list, score: list) -> None:
+        """Takes the steps from boundaries at to stop of a model with scores."""
         n, get, known = len(chars), self.walk.get, self.ids
-        score, back, piece = [NEVER] * (n + 1), [0] * (n + 1), [None] * (n + 1)
-        score[0] = 0.0
-        for start in range(n):
-            here = score[start]
+        for start in range(at, stop):
+            k = start - base
+            here = score[k]
             for end in range(start + 1, n + 1):
                 hit = get(chars[start:end])
                 if hit is None:
                     break
-                s = here + hit[0]
-                if s > score[end]:
-                    score[end], back[end], piece[end] = s, start, hit[1]
+                k += 1
+                if hit >= 0 and here + self.scores[hit] > score[k]:
+                    score[k], back[k], piece[k] = here + self.scores[hit], start, hit
             if chars[start] not in known:
-                cost, ids = self.raw(chars[start])
-                if here + cost > score[start + 1]:
-                    score[start + 1], back[start + 1], piece[start + 1] = here + cost, start, ids
-        out: list[int] = []
-        while n:
-            p = piece[n]
-            if type(p) is int:
-                out.append(p)
-            else:
-                out.extend(reversed(p))
-            n = back[n]
-        out.reverse()
-        return out
+                cost, k = self.cost * len(self.raw(chars[start])), start - base + 1
+                if here + cost > score[k]:
+                    score[k], back[k], piece[k] = here + cost, start, self.width
+
+    def advance_merges(self, chars: str, at: int, stop: int, base: int, back: list, piece: list, score: list) -> None:
+        """Takes the steps of a model with merge ranks: every possible path scores 0, and the first to a boundary is the only one."""
+        n, get, apart, width = len(chars), self.walk.get, self.apart, self.width
+        for start in range(at, stop):
+            k = start - base
+            pair = width * piece[k]
+            for end in range(start + 1, n + 1):
+                hit = get(chars[start:end])
+                if hit is None:
+                    break
+                k += 1
+                if hit >= 0 and piece[k] < 0 and apart[pair + hit]:
+                    back[k], piece[k] = start, hit
+            k = start - base + 1
+            if piece[k] < 0 and chars[start] not in self.ids:
+                back[k], piece[k] = start, width
 
     def stream(self, chars: str):
-        """Yields committed ids of the best segmentation of chars, in which LITERAL stands for a literal U+2581.
+        """Yields lists of committed ids of the best segmentation of chars, in which LITERAL stands for a literal U+2581.
 
-        Boundaries are final in order; scores of the last `longest` final ones and of those ahead are kept.
+        back, piece (-1: not reached; the number of pieces: raw bytes, or the start) and score hold the boundaries since the last commit.
         """
-        longest, walk = self.longest, self.walk
-        score = {0: 0.0}
-        back: dict[int, tuple[int, tuple[int, ...]]] = {}
-        base, check = 0, 4 * longest
-        for start in range(len(chars)):
-            here = score[start]
-            for end in range(start + 1, min(start + longest, len(chars)) + 1):
-                hit = walk.get(chars[start:end])
-                if hit is None:
-                    break
-                s = here + hit[0]
-                if s > score.get(end, NEVER):
-                    score[end], back[end] = s, (start, (hit[1],))
-            if chars[start] not in self.ids:
-                cost, ids = self.raw(chars[start])
-                if here + cost > score.get(start + 1, NEVER):
-                    score[start + 1], back[start + 1] = here + cost, (start, ids)
-            score.pop(start - longest, None)
-            if start - base >= check:
-                meet = self.meeting({k for k in score if k <= start}, back)
-                if meet > base:
-                    yield from self.path(back, base, meet)
-                    for k in range(base + 1, meet + 1):
-                        back.pop(k, None)
-                    base = meet
-                check = start - base + 4 * longest
-        yield from self.path(back, base, len(chars))
-
-    @staticmethod
-    def meeting(ends: set, back: dict) -> int:
-        """The last boundary on the paths of all surviving ends: the largest ends step back until one is left."""
-        while len(ends) > 1:
-            last = max(ends)
-            ends.remove(last)
-            ends.add(back[last][0] if last in back else last)
-            if last in ends:
-                return -1
-        return ends.pop()
-
-    @staticmethod
-    def path(back, start: int, end: int) -> list[int]:
-        steps = []
-        while end > start:
-            end, ids = back[end]
-            steps.append(ids)
-        return [i for ids in reversed(steps) for i in ids]
+        n, step, advance = len(chars), 4 * self.longest, self.advance if self.apart is None else self.advance_merges
+        base, at = 0, 0
+        back, piece, score = [0], [self.width], [0.0]
+        while at < n:
+            stop = min(n, at + step)
+            more = min(n, stop + self.longest) - base + 1 - len(back)
+            back += [0] * more
+            piece += [-1] * more
+            score += [NEVER] * more
+            advance(chars, at, stop, base, back, piece, score)
+            at = meet = stop
+            if at < n:
+                ends = {k + base for k in range(at - base, len(back)) if piece[k] >= 0}
+                while len(ends) > 1:  # the largest end steps back until all paths have met
+                    last = max(ends)
+                    ends.remove(last)
+                    ends.add(back[last - base] if last > base else base)
+                meet = ends.pop()
+            if meet > base:
+                out: list[int] = []
+                k = meet
+                while k > base:
+                    p = piece[k - base]
+                    if p < self.width:
+                        out.append(p)
+                    else:
+                        out.extend(reversed(self.raw(chars[k - 1])))
+                    k = back[k - base]
+                out.reverse()
+                yield out
+                del back[: meet - base], piece[: meet - base], score[: meet - base]
+                base = meet
 
     def solve(self, cut: str) -> bytes:
         """The ids of a cut: its parts between characters that no piece joins are segmented by themselves."""
@@ -183,7 +209,11 @@ class Codec:
         if len(ends) > 1:
             ends.append(len(cut))
             return b"".join([self.cache[cut[i:j]] for i, j in zip(ends, ends[1:])])
-        return array.array("i", self.short(cut) if len(cut) <= CACHED_CHARS else self.stream(cut)).tobytes()
+        return b"".join([array.array("i", ids).tobytes() for ids in self.stream(cut)])
+
+    def whole(self, text: str) -> list[int]:
+        """The ids of a text by one search over all of it, without the memory of stretches."""
+        return [i for ids in self.stream((" " + text).replace(SPACE, LITERAL).replace(" ", SPACE)) for i in ids] if text else []
 
     def encode_bytes(self, text: str) -> bytes:
         """The ids of a text as 32-bit integers."""
@@ -214,6 +244,19 @@ class Codec:
         return self.decode_many(np.array(ids, np.int64), np.array([len(ids)]))[0].as_py()
 
 
+_codecs: dict[str, Codec] = {}
+
+
+def codec_for(path: str, model: tuple) -> Codec:
+    """The codec of a worker, which lives on from task to task with what it knows of pairs; remembered cuts go."""
+    if path not in _codecs:
+        _codecs.clear()
+        _codecs[path] = Codec(*model)
+    codec = _codecs[path]
+    codec.cache = Cuts(codec.solve)
+    return codec
+
+
 def encode(docs: DataFrame, path: str = MODEL, name: str = "ids") -> DataFrame:
     """Adds the ids of text."""
     check_free(docs, name)
@@ -222,12 +265,13 @@ def encode(docs: DataFrame, path: str = MODEL, name: str = "ids") -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        codec = Codec(*shared.value)
+        codec = codec_for(path, shared.value)
         for batch in batches:
             parts = [codec.encode_bytes(text or "") for text in batch.column(at).to_pylist()]
             ends = np.cumsum([0, *map(len, parts)]) // 4
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, name])
+        codec.cache = Cuts(codec.solve)
 
     return docs.mapInArrow(released(run), extended(docs, **{name: "array<int>"}))
 
@@ -240,7 +284,7 @@ def decode(rows: DataFrame, path: str = MODEL, ids: str = "ids", name: str = "de
     at = rows.columns.index(ids)
 
     def run(batches):
-        codec = Codec(*shared.value)
+        codec = codec_for(path, shared.value)
         for batch in batches:
             column = batch.column(at)
             ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))

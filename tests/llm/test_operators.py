@@ -376,19 +376,49 @@ def test_pieces_round_trip(codec, text):
     assert codec.decode(codec.encode(text)) == text
 
 
-def test_streaming_search_is_the_best_one(codec):
+def test_ids_are_those_of_the_model(spark, small, codec):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    rows = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    got = {r["doc_id"]: list(r["ids"]) for r in pieces.op10_pieces(spark, small).collect()}
+    assert got == dict(zip(rows, model.encode(list(rows.values()))))
+    rnd = random.Random(6)
+    for _ in range(400):
+        text = "".join(rnd.choice(["th", "e", "in", " ", "  ", "aso", "é", "中", "\n", "7", "ABC", "\U0001f600"]) for _ in range(rnd.randint(0, 60)))
+        assert codec.encode(text) == codec.whole(text) == model.encode(text)
+
+
+@pytest.mark.parametrize("text", ["ab cd " * 180_000, "x" * 1_100_000, " " * 1_050_000, "日" * 400_000])
+def test_a_megabyte_in_one_search(codec, text):
+    import sentencepiece
+
+    got, most, n = [], 0, 0
+    for ids in codec.stream((" " + text).replace(" ", "▁")):
+        got += ids
+        most = max(most, len(ids))
+    assert got == codec.encode(text) == sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL).encode(text)
+    assert most < 1000 or len(set(text)) == 1  # committed as it goes
+
+
+def test_streaming_search_of_scores_is_the_best_one():
+    """A model with log probabilities, against a table of all boundaries."""
     rnd = random.Random(6)
-    for _ in range(40):
-        chars = "".join(rnd.choice("thein aso▁é中") for _ in range(rnd.randint(1, 200))).replace(" ", "▁")
+    own = sorted({"".join(rnd.choices("abc▁", k=rnd.randint(1, 5))) for _ in range(60)} | set("abc"))
+    scores = [0.0] * 256 + [-rnd.uniform(1, 9) for _ in own]
+    codec = pieces.Codec([f"<0x{b:02X}>" for b in range(256)] + own, scores, [1] * 256 + [0] * len(own))
+    for _ in range(200):
+        chars = "".join(rnd.choice("abc▁é中") for _ in range(rnd.randint(1, 300)))
         best = [0.0] + [-1e18] * len(chars)
         for end in range(1, len(chars) + 1):
-            best[end] = best[end - 1] + codec.cost * len(chars[end - 1].encode())
+            if chars[end - 1] not in codec.ids:
+                best[end] = best[end - 1] + codec.cost * len(chars[end - 1].encode())
             for start in range(max(0, end - codec.longest), end):
                 if chars[start:end] in codec.ids:
-                    best[end] = max(best[end], best[start] + codec.ids[chars[start:end]][0])
-        score = {i: s for s, i in codec.ids.values()}
-        got = sum(codec.cost if i in codec.value else score[i] for i in codec.stream(chars))
-        assert abs(got - best[-1]) < 1e-6
+                    best[end] = max(best[end], best[start] + scores[codec.ids[chars[start:end]]])
+        got = [i for ids in codec.stream(chars) for i in ids]
+        assert abs(sum(codec.cost if i in codec.value else scores[i] for i in got) - best[-1]) < 1e-6
+        assert sum(len(codec.text[i].replace("▁", " ").encode()) if i not in codec.value else 1 for i in got) == len(chars.replace("▁", " ").encode())
 
 
 def test_pieces_odd(spark, odd, none):

@@ -1,64 +1,216 @@
-"""Interpolated modified Kneser-Ney character models over words, built with DataFrame joins.
-
-A word is a run without white space between a start mark and an end mark; contexts do not cross words. Counting runs
-once over the distinct words of a partition; the counts of all partitions are summed and joined as DataFrames:
-count-of-counts give the discounts, context sums the back-off weights, and each order joins the order below. The size of
-the finished model is checked. Up to `max_entries` it is held in arrays sorted by gram hash and sent to the executors. Beyond
-that it stays in tables, and the distinct grams of the documents are joined to them by shuffle (`Tables.sums`); order, counts
-and values are the same.
+"""Interpolated modified Kneser-Ney character models over words, built and applied with DataFrame joins.
+
+A word is a run of word characters (`spaces`: all but white space; `letters`: letters and marks, lower case) between a start
+and an end mark; contexts do not cross words. Of `spaces` words, one equal to the word before it is one repeat mark. Each
+character after the start mark is predicted from the `order` - 1 characters before it in its word, so a text of any length and a
+word of any length have the same grams, whole. U+0000 to U+0008 separate words.
+
+Training: tasks hand on counts of distinct grams; the counts are summed and joined as DataFrames: count-of-counts give the
+discounts, context sums the back-off weights, and each order joins the order below.
+
+Scoring by joins (`joined_sums`): documents are taken in blocks, which are runs of about `BLOCK_CHARS` characters of rows of
+one file, the same in every attempt (frames that are not read from files are written first). Each block's distinct grams are
+collected by its tasks; the distinct grams of all blocks are joined to the model's tables by shuffle, sharded by gram, which gives
+each its log probability with all back-offs; the values go back to the blocks, and meet their documents (compressed) in one
+task a block. Nothing of the model reaches the driver or all executors, and there is one way at every size.
+
+Scoring by arrays (`Model`): hash arrays sorted by gram for each model, for callers that check their size first. Grams are
+looked up by 64-bit hashes; values are the same.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import functools
+import re
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+import pyarrow.ipc  # noqa: F401
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mix64, released
+from .common import extended, mix64, released
 
 START, END, REPEAT = "\x02", "\x03", "\x04"
-#: Distinct words held by a counting task before it hands its counts on.
-FLUSH_WORDS = 200_000
-#: Words whose scores a scoring task keeps.
-CACHE_WORDS = 400_000
-#: Shares of the rows of a gram that joins split: of tails of one or two characters, and of documents.
-SALTS, DOC_SALTS = 32, 8
-
-
-def gram_counts(words: Counter, order: int) -> Counter:
-    """Counts of the grams of `order` and of the shorter ones that begin at a word's start."""
-    out: Counter = Counter()
-    for word, n in words.items():
-        w = START + word + END
-        for i in range(2, min(order, len(w)) + 1):
-            out[w[:i]] += n
-        for i in range(1, len(w) - order + 1):
-            out[w[i : i + order]] += n
+#: Characters whose grams are handled at once, of a block of documents, and entries of counts that a task holds.
+CHUNK, BLOCK_CHARS, HELD = 1_000_000, 32_000_000, 1_500_000
+#: Shares of the rows of tails of one or two characters, which end very many grams.
+SALTS = 32
+_FACTORS = mix64(np.arange(1, 17, dtype=np.uint64)) | np.uint64(1)
+
+
+@functools.cache
+def word_characters(kind: str) -> np.ndarray:
+    """Which code points belong to words."""
+    if kind == "spaces":
+        out = np.ones(0x110000, bool)
+        out[[c for c in range(0x110000) if chr(c).isspace()]] = False
+    else:
+        out = np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)), bool, 0x110000)
+    out[:9] = False  # among them the marks of this module
+    return out
+
+
+@dataclass
+class Grams:
+    """The longest gram that ends at each scored character of some texts."""
+
+    hashes: np.ndarray
+    owner: np.ndarray  # the text of each
+    codes: np.ndarray
+    at: np.ndarray  # the place of its last character in codes
+    size: np.ndarray  # its length
+
+    def strings(self, which: np.ndarray, order: int) -> np.ndarray:
+        rows = self.at[which][:, None] - self.size[which][:, None] + 1 + np.arange(order)
+        out = np.where(np.arange(order) < self.size[which][:, None], self.codes[np.minimum(rows, len(self.codes) - 1)], 0)
+        return np.ascontiguousarray(out.astype(np.uint32)).view(f"<U{order}").ravel()
+
+
+def hash_codes(codes: np.ndarray, place: np.ndarray, order: int) -> np.ndarray:
+    """Hashes of the grams that end at each place of codes: as many characters as order and place allow."""
+    m = mix64(codes)
+    with np.errstate(over="ignore"):
+        h = m * _FACTORS[0]
+        for j in range(1, order):
+            step = m[:-j] * _FACTORS[j]
+            step[place[j:] < j] = 0
+            h[j:] += step
+    return h
+
+
+def hash_strings(grams: np.ndarray) -> np.ndarray:
+    """The same hashes of whole strings of a fixed-width array."""
+    width = grams.dtype.itemsize // 4
+    codes = np.ascontiguousarray(grams).view(np.uint32).reshape(len(grams), width).astype(np.uint64)
+    size = (codes != 0).sum(1)
+    m = mix64(codes)
+    out = np.zeros(len(grams), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(width):
+            back = size - 1 - j
+            rows = np.flatnonzero(back >= 0)
+            out[rows] += m[rows, back[rows]] * _FACTORS[j]
     return out
 
 
-def count_grams(df: DataFrame, order: int, split, text: str = "text", model: str = "model") -> DataFrame:
+def grams_of(texts: list[str], kind: str, order: int) -> Grams:
+    joined = " ".join(texts)
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    if kind == "letters":
+        lowered = [t.lower() for t in texts]
+        joined, lengths = " ".join(lowered), np.fromiter(map(len, lowered), np.int64, len(texts))
+    source = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = np.concatenate([[False], word_characters(kind)[source], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    size = ends - starts
+    first = np.cumsum(lengths + 1) - lengths - 1  # of each text in joined
+    text = np.searchsorted(first, starts, side="right") - 1
+    repeat = np.zeros(len(size), bool)
+    if kind == "spaces" and len(size):
+        factors = mix64(np.arange(int(size.max()), dtype=np.uint64)) | np.uint64(1)
+        place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        with np.errstate(over="ignore"):
+            words = np.add.reduceat(mix64(source[inside[1:-1]].astype(np.uint64)) * factors[place], np.cumsum(size) - size)
+        repeat[1:] = (words[1:] == words[:-1]) & (size[1:] == size[:-1]) & (text[1:] == text[:-1])
+    full = np.where(repeat, 1, size) + 2
+    offset = np.cumsum(full) - full
+    place = np.arange(int(full.sum())) - np.repeat(offset, full)
+    codes = source[np.clip(np.repeat(starts - 1, full) + place, 0, max(len(source) - 1, 0))].astype(np.uint64) if len(source) else np.zeros(0, np.uint64)
+    codes[offset], codes[offset + full - 1], codes[offset[repeat] + 1] = ord(START), ord(END), ord(REPEAT)
+    at = np.flatnonzero(place > 0)
+    return Grams(hash_codes(codes, place, order)[at], np.repeat(text, full - 1), codes, at, np.minimum(place[at] + 1, order))
+
+
+def chunks(texts: list[str | None], kind: str):
+    """(numbers of texts, parts of them) of about CHUNK characters. Only texts beyond that are cut, between two different words."""
+    rows, parts, held = [], [], 0
+    for i, text in enumerate(texts):
+        at = 0
+        while text and at < len(text):
+            stop = len(text) if len(text) - at <= CHUNK else cut_after(text, at, at + CHUNK, kind)
+            rows.append(i)
+            parts.append(text[at:stop])
+            held += stop - at
+            at = stop
+            if held >= CHUNK:
+                yield rows, parts
+                rows, parts, held = [], [], 0
+    if rows:
+        yield rows, parts
+
+
+SPACED = re.compile(r"[^\s\x00-\x08]+")
+
+
+def cut_after(text: str, at: int, stop: int, kind: str) -> int:
+    inside = word_characters(kind)
+    while stop < len(text) and inside[ord(text[stop])]:
+        stop += 1
+    if kind == "spaces":  # a repeated word needs the word before it
+        last = SPACED.findall(text[at:stop].rsplit(None, 1)[-1])[-1:]
+        while (m := SPACED.search(text, stop)) and [m[0]] == last:
+            stop = m.end()
+    return stop
+
+
+class Tally:
+    """Distinct grams with counts, in arrays that are merged now and then."""
+
+    def __init__(self, order: int):
+        self.order, self.parts, self.size = order, [], 0
+
+    def add(self, grams: Grams) -> None:
+        h, first, n = np.unique(grams.hashes, return_index=True, return_counts=True)
+        self.parts.append((h, grams.strings(first, self.order), n))
+        self.size += len(h)
+        if self.size > HELD:
+            self.merge()
+
+    def merge(self) -> None:
+        if len(self.parts) > 1:
+            h, first, inverse = np.unique(np.concatenate([p[0] for p in self.parts]), return_index=True, return_inverse=True)
+            n = np.bincount(inverse, np.concatenate([p[2] for p in self.parts])).astype(np.int64)
+            self.parts = [(h, np.concatenate([p[1] for p in self.parts])[first], n)]
+            self.size = len(h)
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        """The grams and counts; the tally is empty then."""
+        self.merge()
+        out = self.parts[0][1:] if self.parts else (np.zeros(0, "<U1"), np.zeros(0, np.int64))
+        self.parts, self.size = [], 0
+        return out
+
+
+def tallies(batches, order: int, kind: str):
+    """(name, grams, counts) of batches whose columns begin with a name and a text; a name may come more than once."""
+    held: dict = {}
+    for batch in batches:
+        by: dict = {}
+        for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if name is not None and text:
+                by.setdefault(name, []).append(text)
+        for name, texts in by.items():
+            tally = held.setdefault(name, Tally(order))
+            for _, parts in chunks(texts, kind):
+                tally.add(grams_of(parts, kind, order))
+        while sum(t.size for t in held.values()) > 2 * HELD:
+            name = max(held, key=lambda k: held[k].size)
+            yield name, *held.pop(name).take()
+    for name, tally in held.items():
+        yield name, *tally.take()
+
+
+def count_grams(df: DataFrame, order: int, kind: str, text: str = "text", model: str = "model") -> DataFrame:
     """(model, gram, n) summed over all rows; rows whose model is null do not count."""
 
     def run(batches):
-        held: dict[str, Counter] = {}
-
-        def flush():
-            for name, words in held.items():
-                grams = gram_counts(words, order)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["model", "gram", "n"])
-            held.clear()
-
-        for batch in batches:
-            for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if name is not None and value:
-                    held.setdefault(name, Counter()).update(split(value))
-            if sum(map(len, held.values())) > FLUSH_WORDS:
-                yield from flush()
-        yield from flush()
+        for name, grams, n in tallies(batches, order, kind):
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(n), pa.string()), pa.array(grams.tolist(), pa.string()), pa.array(n, pa.int64())], ["model", "gram", "n"])
 
     parts = df.select(F.col(model).cast("string").alias("model"), F.col(text).alias("text")).mapInArrow(released(run), "model string, gram string, n long")
     return parts.groupBy("model", "gram").agg(F.sum("n").alias("n"))
@@ -108,113 +260,106 @@ def kneser_ney(grams: DataFrame, order: int, scratch) -> tuple[DataFrame, DataFr
     return union(probs).select("model", "k", "gram", "p"), union(backs)
 
 
-def rows_hash(codes: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of the k-character windows that end at each place; the first k - 1 are meaningless."""
-    h = np.full(len(codes), np.uint64(k), np.uint64)
-    for back in range(k - 1, -1, -1):
-        shifted = np.zeros(len(codes), np.uint64)
-        shifted[back:] = codes[: len(codes) - back]
-        h = mix64(h ^ (shifted + np.uint64(1)))
-    return h
-
-
-def string_hash(grams: list[str], k: int) -> np.ndarray:
-    if not grams:
-        return np.zeros(0, np.uint64)
-    codes = np.frombuffer("".join(grams).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    return rows_hash(codes, k)[k - 1 :: k]
-
-
 @dataclass
 class Model:
-    """Sorted hash arrays by order: keys, and one column of log values for each model (nan: not seen)."""
+    """For each model: arrays of gram hashes in order with log probabilities, and of context hashes with log back-off weights."""
 
     names: list[str]
     order: int
-    grams: dict[int, tuple[np.ndarray, np.ndarray]]
-    contexts: dict[int, tuple[np.ndarray, np.ndarray]]
-    floor: np.ndarray
-
-    def log_probs(self, words: list[str]) -> np.ndarray:
-        """Sums of natural log probabilities, a row for each word and a column for each model."""
-        m = len(self.names)
-        lengths = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
-        codes = np.frombuffer("".join([f"{START}{w}{END}" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        ends = np.cumsum(lengths)
-        starts = ends - lengths
-        place = np.arange(len(codes)) - np.repeat(starts, lengths)
-        at = np.flatnonzero(place > 0)
-        have = np.minimum(place[at] + 1, self.order)
-        total = np.zeros((len(at), m))
-        done = np.zeros((len(at), m), bool)
-        hashes = {k: rows_hash(codes, k) for k in range(1, self.order + 1)}
+    grams: list[tuple[np.ndarray, np.ndarray]]
+    contexts: list[tuple[np.ndarray, np.ndarray]]
+    floor: list[float]
+
+    def values(self, grams: np.ndarray) -> np.ndarray:
+        """Log probabilities of the last character of distinct grams, a column for each model."""
+        width = grams.dtype.itemsize // 4
+        codes = np.ascontiguousarray(grams).view(np.uint32).reshape(len(grams), width)
+        size = (codes != 0).sum(1)
+        out = np.zeros((len(grams), len(self.names)))
+        done = np.zeros(out.shape, bool)
         for k in range(self.order, 0, -1):
-            idx = np.flatnonzero((have >= k) & ~done.all(1))
-            if not len(idx):
-                continue
-            found = self.look(self.grams.get(k), hashes[k][at[idx]], m)
-            hit = ~np.isnan(found) & ~done[idx]
-            total[idx] += np.where(hit, found, 0)
-            miss = ~hit & ~done[idx]
-            if k > 1:
-                back = self.look(self.contexts.get(k), hashes[k - 1][at[idx] - 1], m)
-                total[idx] += np.where(miss & ~np.isnan(back), back, 0)
-            else:
-                total[idx] += np.where(miss, self.floor, 0)
-            done[idx] |= hit
-        return np.add.reduceat(total, np.searchsorted(at, starts), axis=0) if len(words) else np.zeros((0, m))
-
-    @staticmethod
-    def look(entry, keys: np.ndarray, m: int) -> np.ndarray:
-        if entry is None or not len(entry[0]):
-            return np.full((len(keys), m), np.nan)
-        pos = np.minimum(np.searchsorted(entry[0], keys), len(entry[0]) - 1)
-        out = entry[1][pos].astype(np.float64)
-        out[entry[0][pos] != keys] = np.nan
+            rows = np.flatnonzero(size >= k)
+            tail = codes[rows[:, None], (size[rows] - k)[:, None] + np.arange(k)]
+            h = hash_strings(np.ascontiguousarray(tail).view(f"<U{k}").ravel())
+            c = hash_strings(np.ascontiguousarray(tail[:, :-1]).view(f"<U{k - 1}").ravel()) if k > 1 else None
+            for m in range(len(self.names)):
+                found, value = self.look(self.grams[m], h)
+                found &= ~done[rows, m]
+                out[rows[found], m] += value[found]
+                done[rows[found], m] = True
+                left = ~done[rows, m]
+                if k > 1:
+                    found, value = self.look(self.contexts[m], c)
+                    found &= left
+                    out[rows[found], m] += value[found]
+                else:
+                    out[rows[left], m] += self.floor[m]
         return out
 
-
-def collect_model(probs: DataFrame, backs: DataFrame, order: int) -> Model:
-    """Brings a model of checked size to the driver."""
-    names = sorted(r[0] for r in probs.select("model").distinct().collect())
-    col = {n: i for i, n in enumerate(names)}
-
-    def arrays(df: DataFrame, text: str, value: str, shift: int):
-        got = df.toArrow()
-        out = {}
-        ks = got.column("k").to_numpy()
-        which = np.array([col[x] for x in got.column("model").to_pylist()], np.int64)
-        values = np.log(np.maximum(got.column(value).to_numpy(), 1e-300))
-        texts = got.column(text).to_pylist()
-        for k in sorted(set(ks.tolist())):
-            sel = np.flatnonzero(ks == k)
-            if k - shift < 1:
-                continue
-            h = string_hash([texts[i] for i in sel], k - shift)
-            keys, inverse = np.unique(h, return_inverse=True)
-            table = np.full((len(keys), len(names)), np.nan, np.float32)
-            table[inverse, which[sel]] = values[sel]
-            out[k] = (keys, table)
-        return out
-
-    grams = arrays(probs, "gram", "p", 0)
-    contexts = arrays(backs.where("k > 1"), "ctx", "gamma", 1)
-    floor = np.full(len(names), np.log(1e-6))
-    for r in backs.where("k = 0").collect():
-        floor[col[r["model"]]] = np.log(max(r["gamma"], 1e-12))
-    return Model(names, order, grams, contexts, floor)
+    @staticmethod
+    def look(entry: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(entry[0]):
+            return np.zeros(len(keys), bool), np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(entry[0], keys), len(entry[0]) - 1)
+        return entry[0][at] == keys, entry[1][at].astype(np.float64)
+
+
+def sums(texts: list[str | None], kind: str, order: int, width: int, values) -> np.ndarray:
+    """For each text: the log probability under each model, then the number of characters scored. values(grams, strings) gives a row for each."""
+    out = np.zeros((len(texts), width + 1))
+    for rows, parts in chunks(texts, kind):
+        g = grams_of(parts, kind, order)
+        if len(g.hashes):
+            h, first, inverse = np.unique(g.hashes, return_index=True, return_inverse=True)
+            v = values(h, lambda: g.strings(first, order))
+            owner = np.array(rows)[g.owner]
+            for m in range(width):
+                out[:, m] += np.bincount(owner, v[:, m][inverse], len(texts))
+            out[:, width] += np.bincount(owner, minlength=len(texts))
+    return out
 
 
 @dataclass
 class Tables:
-    """A model left in tables: probabilities (model, k, gram, p) and back-off weights (model, k, ctx, gamma)."""
+    """A model in tables: probabilities (model, k, gram, p) and back-off weights (model, k, ctx, gamma)."""
 
     names: list[str]
     order: int
+    kind: str
     probs: DataFrame
     backs: DataFrame
     scratch: object
 
+    def entries(self) -> int:
+        return self.probs.count() + self.backs.count()
+
+    def collect(self) -> Model:
+        """The model as arrays on the driver, 12 bytes an entry; callers check entries() first."""
+        number = {n: i for i, n in enumerate(self.names)}
+
+        def run(batches):
+            for batch in batches:
+                which = pa.array([number[x] for x in batch.column(0).to_pylist()], pa.int32())
+                texts = np.array(batch.column(1).to_pylist() or [""])
+                h = hash_strings(texts)[: batch.num_rows]
+                yield pa.RecordBatch.from_arrays([which, pa.array(h.view(np.int64)), batch.column(2).cast(pa.float32())], ["m", "h", "v"])
+
+        def arrays(df: DataFrame, text: str, value: str):
+            log = F.log(F.greatest(value, F.lit(1e-300))).alias("v")
+            got = df.select("model", text, log).mapInArrow(run, "m int, h long, v float").toArrow()
+            m, h, v = (got.column(c).to_numpy() for c in ("m", "h", "v"))
+            out = []
+            for i in range(len(self.names)):
+                own = np.flatnonzero(m == i)
+                own = own[np.argsort(h[own].view(np.uint64))]
+                out.append((h[own].view(np.uint64).copy(), v[own].copy()))
+            return out
+
+        floor = [float(np.log(1e-6))] * len(self.names)
+        for r in self.backs.where("k = 0").collect():  # a row for each model
+            floor[number[r["model"]]] = float(np.log(max(r["gamma"], 1e-12)))
+        return Model(self.names, self.order, arrays(self.probs, "gram", "p"), arrays(self.backs.where("k > 1"), "ctx", "gamma"), floor)
+
     def gram_scores(self, grams: DataFrame) -> DataFrame:
         """(gram, v) of distinct grams: the natural log probability of the last character under each model, in order of names."""
         tails = grams.select("gram", F.explode(F.sequence(F.lit(1), F.length("gram"))).alias("k")).withColumn("tail", F.expr("right(gram, k)"))
@@ -234,62 +379,118 @@ class Tables:
         value = F.expr(f"coalesce(best.lp, floor, {float(np.log(1e-6))!r}D) + aggregate(filter(backs, b -> b.k > coalesce(best.k, 0)), 0D, (s, b) -> s + b.lg)")
         return by.withColumn("value", value).groupBy("gram").agg(*[F.max(F.when(F.col("model") == n, F.col("value"))).alias(f"v{i}") for i, n in enumerate(self.names)]).select("gram", F.array(*[f"v{i}" for i in range(len(self.names))]).alias("v"))
 
-    def sums(self, docs: DataFrame, split) -> DataFrame:
-        """docs with lg_sums (the log probability of its text under each model; null without words) and lg_size (characters scored)."""
-        order = self.order
-
-        def run(batches):
+    def joined_sums(self, docs: DataFrame, extra: DataFrame | None = None, find=None, name: str = "lg_found") -> DataFrame:
+        """docs with lg_sums (the log probability of its text under each model), lg_size (characters scored), and `name`: whether
+        find (text to words) gives a word of extra (word). Columns of docs pass."""
+        order, kind, width, spark = self.order, self.kind, len(self.names), docs.sparkSession
+        bits = spark.sparkContext.broadcast(sieve_array(extra, self.scratch)) if extra is not None else None  # 8 MB
+        blocks, columns = in_blocks(docs, self.scratch), docs.columns
+        at = columns.index("text")
+
+        def needed(batches):
+            words: dict = {}
+
+            passed: list = []
+
+            def watch(batches):
+                for batch in batches:
+                    if bits is not None:
+                        for block, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                            if text:
+                                words.setdefault(block, set()).update(find(text))
+                        for block in [b for b, w in words.items() if len(w) > 100_000]:
+                            passed.append((block, passing(words.pop(block), bits.value)))
+                    yield batch
+
+            for block, grams, _ in tallies(watch(batches), order, kind):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), block)), pa.array(grams.tolist(), pa.string())], ["lg_block", "gram"])
+            for block, found in [*passed, *((b, passing(w, bits.value)) for b, w in words.items())]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), block)), pa.array([WORD + w for w in found], pa.string())], ["lg_block", "gram"])
+
+        need = self.scratch.save(blocks.select("lg_block", "text").mapInArrow(released(needed), "lg_block long, gram string").distinct())
+        values = self.gram_scores(need.where(~F.col("gram").startswith(WORD)).select("gram").distinct())
+        if extra is not None:
+            values = values.unionByName(extra.select(F.concat(F.lit(WORD), "word").alias("gram"), F.lit(None).cast("array<double>").alias("v")).distinct())
+        hits = need.hint("merge").join(values.hint("merge"), "gram")
+
+        def packed(batches):
             for batch in batches:
-                rows, grams, counts = [], [], []
-                for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    found = gram_counts(Counter(split(text)), order) if text else {}
-                    rows += [row] * len(found)
-                    grams += found.keys()
-                    counts += found.values()
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(grams, pa.string()), pa.array(counts, pa.int64())], ["lg_row", "gram", "n"])
-
-        rows = self.scratch.save(docs.withColumn("lg_row", F.monotonically_increasing_id()))
-        held = self.scratch.save(rows.select("lg_row", "text").mapInArrow(released(run), "lg_row long, gram string, n long"))
-        values = self.scratch.save(self.gram_scores(held.select("gram").distinct()))
-        spread = values.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(DOC_SALTS - 1))))
-        found = held.withColumn("salt", F.pmod(F.xxhash64("lg_row"), F.lit(DOC_SALTS)).cast("int")).join(spread.hint("merge"), ["gram", "salt"])
-        total = found.groupBy("lg_row").agg(F.array(*[F.sum(F.col("n") * F.col("v")[i]) for i in range(len(self.names))]).alias("lg_sums"), F.sum("n").alias("lg_size"))
-        return rows.join(total, "lg_row", "left").withColumn("lg_size", F.coalesce("lg_size", F.lit(0)).cast("double")).drop("lg_row")
-
-
-def train(df: DataFrame, scratch, order: int, split, max_entries: int, text: str = "text", model: str = "model") -> Model | Tables | None:
+                sink = pa.BufferOutputStream()
+                block = batch.column(0)
+                rest = batch.select(range(1, batch.num_columns))
+                for value in pa.compute.unique(block).to_pylist():
+                    sink = pa.BufferOutputStream()
+                    some = rest.filter(pa.compute.equal(block, value))
+                    with pa.ipc.new_stream(sink, rest.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                        out.write_batch(some)
+                    yield pa.RecordBatch.from_arrays([pa.array([value], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["lg_block", "data"])
+
+        def score(left: pa.Table, right: pa.Table) -> pa.Table:
+            grams = right.column("gram").to_pylist()
+            own = [i for i, g in enumerate(grams) if not g.startswith(WORD)]
+            bad = {g[len(WORD) :] for g in grams if g.startswith(WORD)}
+            h = hash_strings(np.array([grams[i] for i in own], f"<U{order}")) if own else np.zeros(0, np.uint64)
+            v = np.array(right.column("v").take(pa.array(own, pa.int64())).to_pylist(), np.float64).reshape(len(own), width)
+            sort = np.argsort(h)
+            h, v = h[sort], v[sort]
+            out = []
+            for data in left.column("data"):
+                for batch in pa.ipc.open_stream(data.as_py()):
+                    texts = batch.column(at).to_pylist()
+                    got = sums(texts, kind, order, width, lambda keys, _: v[np.searchsorted(h, keys)])
+                    found = [bool(bad and t and not bad.isdisjoint(find(t))) for t in texts]
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * width, pa.int32()), pa.array(got[:, :width].ravel()))
+                    out.append(pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(got[:, width]), pa.array(found, pa.bool_())], [*columns, "lg_sums", "lg_size", name]))
+            return pa.Table.from_batches(out, out[0].schema if out else schema_of(left))
+
+        data = blocks.select("lg_block", *columns).mapInArrow(packed, "lg_block long, data binary")
+        schema = extended(docs, **{"lg_sums": "array<double>", "lg_size": "double", name: "boolean"})
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        empty = to_arrow_schema(schema)
+        schema_of = lambda _: empty
+        return data.groupBy("lg_block").cogroup(hits.groupBy("lg_block")).applyInArrow(score, schema)
+
+
+#: Begins words among grams; no gram begins so.
+WORD = "\x05\x05"
+
+
+def sieve_array(words: DataFrame, scratch) -> np.ndarray:
+    from .common import SIEVE, sieve
+
+    out = np.zeros(1 << (SIEVE - 6), np.uint64)
+    got = sieve(words, "word").toArrow()  # at most 2^20 rows
+    out[got.column("lg_word").to_numpy()] = got.column("lg_bits").to_numpy().view(np.uint64)
+    return out
+
+
+def passing(words: set, bits: np.ndarray) -> list[str]:
+    import xxhash
+
+    words = list(words)
+    h = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42) for w in words), np.uint64, len(words))
+    hit = bits[((h & np.uint64((len(bits) << 6) - 1)) >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)
+    return [words[i] for i in np.flatnonzero(hit)]
+
+
+def in_blocks(docs: DataFrame, scratch) -> DataFrame:
+    """docs with lg_block: rows of a file by their number, the same in every attempt and however the file is split."""
+    try:
+        rows = docs.select("*", F.col("_metadata.file_path").alias("lg_file"), F.col("_metadata.row_index").alias("lg_row"))
+    except AnalysisException:  # not read from files
+        docs = scratch.save(docs)
+        rows = docs.select("*", F.col("_metadata.file_path").alias("lg_file"), F.col("_metadata.row_index").alias("lg_row"))
+    got = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).first()
+    blocks = max(1, -(-(got["chars"] or 0) // BLOCK_CHARS))
+    per = max(1, -(-got["n"] // blocks))
+    # small files share blocks
+    block = F.xxhash64(F.pmod(F.xxhash64("lg_file"), F.lit(4 * blocks)), F.floor(F.col("lg_row") / per))
+    return rows.withColumn("lg_block", block).drop("lg_file", "lg_row")
+
+
+def train(df: DataFrame, scratch, order: int, kind: str, text: str = "text", model: str = "model") -> Tables | None:
     """A model for each value of `model`; None if no row has one."""
-    probs, backs = kneser_ney(scratch.save(count_grams(df, order, split, text, model)), order, scratch)
-    entries = probs.count() + backs.count()
-    if not entries:
-        return None
-    if entries <= max_entries:
-        return collect_model(probs, backs, order)
-    names = sorted(r[0] for r in probs.select("model").distinct().collect())
-    return Tables(names, order, probs, backs, scratch)
-
-
-class WordScores:
-    """Scores of distinct words, kept between batches up to CACHE_WORDS."""
-
-    def __init__(self, model: Model):
-        self.model, self.index = model, {}
-        self.rows = np.zeros((0, len(model.names) + 1))
-
-    def sums(self, texts: list[list[str]]) -> np.ndarray:
-        """For each list of words: the log probability under each model, then the number of characters scored."""
-        if len(self.index) > CACHE_WORDS:
-            self.index, self.rows = {}, self.rows[:0]
-        new = list({w for t in texts for w in t} - self.index.keys())
-        if new:
-            scores = np.concatenate([self.model.log_probs(new[i : i + 20_000]) for i in range(0, len(new), 20_000)])
-            lengths = np.fromiter((len(w) + 1 for w in new), np.float64, len(new))
-            base = len(self.rows)
-            self.rows = np.concatenate([self.rows, np.column_stack([scores, lengths])])
-            self.index.update(zip(new, range(base, base + len(new))))
-        out = np.zeros((len(texts), self.rows.shape[1]))
-        get = self.index.__getitem__
-        for i, words in enumerate(texts):
-            if words:
-                out[i] = self.rows[np.fromiter(map(get, words), np.int64, len(words))].sum(0)
-        return out
+    probs, backs = kneser_ney(scratch.save(count_grams(df, order, kind, text, model)), order, scratch)
+    names = sorted(r[0] for r in probs.select("model").distinct().collect())  # a row for each model
+    return Tables(names, order, kind, probs, backs, scratch) if names else None

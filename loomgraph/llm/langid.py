@@ -4,14 +4,18 @@ The language with the lowest cross-entropy per character wins. Training sees tex
 out (crc32 of doc_id as text, mod `FOLDS`, is not 0), with counts over all of them. A result is marked rejected if its
 cross-entropy is above the `QUANTILE` of training texts of that language plus `SLACK` (calibration).
 
-Texts that are null or have no letter get `und` and score 0. Ties go to the language that sorts first. Null doc_id: held
-out (no crc32). Rows repeated are answered each. With no labelled training row every text is `und`.
+Words are runs of letters and their marks. Models of up to `MAX_ENTRIES` entries in all (12 bytes each) are sent to the executors as
+sorted hash arrays for each language, sparse: a language holds what it has seen. Beyond that, documents meet the values of
+their grams by joins (charlm), and the arrays are those of a block of documents. Order, counts and values are the same.
+
+Texts that are null or have no letter get `und` and score 0 (a number form such as U+00BD is no letter). Ties go to the language
+that sorts first. Null doc_id: held out (no crc32). Rows repeated are answered each. With no labelled training row every text
+is `und`. Texts and words of any length are read whole. An empty table gives an empty table. Columns named like an output raise
+an error in `predict`; `identify` takes doc_id, lang and text alone.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -20,68 +24,65 @@ from . import charlm
 from .common import Scratch, bound_batches, check_free, extended, released, table
 
 ORDER = 4
-MAX_ENTRIES = 8_000_000
+MAX_ENTRIES = 4_000_000
 FOLDS = 5
 QUANTILE = 0.999
 SLACK = 0.1
 #: Characters of evidence beyond which a score does not harden, and the temperature of the score.
 EVIDENCE, TEMPERATURE = 200.0, 4.0
-PIECE = 64
-LETTERS = re.compile(r"[^\W\d_]+")
-
 
-def split_letters(text: str) -> list[str]:
-    words = LETTERS.findall(text.lower())
-    if words and max(map(len, words)) > PIECE:
-        words = [w[i : i + PIECE] for w in words for i in range(0, len(w), PIECE)]
-    return words
 
-
-def held_out(doc_id) :
+def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(True))
 
 
-def fit(docs: DataFrame, scratch: Scratch) -> charlm.Model | charlm.Tables | None:
+def fit(docs: DataFrame, scratch: Scratch) -> charlm.Tables | None:
     rows = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("lang").alias("model"), "text")
-    return charlm.train(rows, scratch, ORDER, split_letters, MAX_ENTRIES)
+    return charlm.train(rows, scratch, ORDER, "letters")
+
+
+def decided(sums: np.ndarray, names: list[str]) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score, cross-entropy and whether there is a language, for rows of sums and sizes."""
+    size = sums[:, -1]
+    some = size > 0
+    h = -sums[:, :-1] / np.maximum(size, 1)[:, None]
+    best = h.argmin(1)
+    entropy = h[np.arange(len(h)), best]
+    gap = (h - entropy[:, None]) * np.minimum(size, EVIDENCE)[:, None] / TEMPERATURE
+    score = 1 / np.exp(-gap).sum(1)
+    return [names[b] if s else "und" for b, s in zip(best, some)], np.where(some, score, 0.0), np.where(some, entropy, 0.0), some
+
+
+def letterless(text: str | None) -> bool:
+    """Whether a text has no letter (marks alone are none)."""
+    return not text or not any(map(str.isalpha, text))
 
 
-def predict(docs: DataFrame, model: charlm.Model | charlm.Tables | None) -> DataFrame:
+def predict(docs: DataFrame, model: charlm.Tables | None) -> DataFrame:
     """Adds lang_pred, score and cross_entropy to the columns of docs."""
-    check_free(docs, "lang_pred", "score", "cross_entropy")
-    schema = extended(docs, lang_pred="string", score="double", cross_entropy="double")
-    joined, names = isinstance(model, charlm.Tables), model.names if model else []
-    if joined:
-        check_free(docs, "lg_sums", "lg_size", "lg_row")
-        docs, model = model.sums(docs, split_letters), None
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_ENTRIES entries
-    at = docs.columns.index("text")
+    check_free(docs, "lang_pred", "score", "cross_entropy", "lg_sums", "lg_size", "lg_found", "lg_block")
+    if model is None:
+        return docs.select("*", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"))
+    schema, names, own = extended(docs, lang_pred="string", score="double", cross_entropy="double"), model.names, docs.columns
+    at = own.index("text")
+    joined = model.entries() > MAX_ENTRIES
+    rows = model.joined_sums(docs).drop("lg_found") if joined else docs
+    shared = docs.sparkSession.sparkContext.broadcast(None if joined else model.collect())  # at most 12 * MAX_ENTRIES bytes
 
     def run(batches):
-        scores = charlm.WordScores(shared.value) if shared.value else None
+        arrays = shared.value
         for batch in batches:
-            given = None
+            texts = batch.column(at).to_pylist()
             if joined:
-                sizes = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
-                given = np.column_stack([np.array([v or [0.0] * len(names) for v in batch.column(batch.num_columns - 2).to_pylist()]).reshape(-1, len(names)), sizes])
-                batch = batch.select(range(batch.num_columns - 2))
-            texts = [split_letters(t) if t else [] for t in batch.column(at).to_pylist()]
-            n = len(texts)
-            pred, score, entropy = [None] * n, np.zeros(n), np.full(n, np.nan)
-            if scores or joined:
-                sums = given if joined else scores.sums(texts)
-                size = np.maximum(sums[:, -1], 1)
-                h = -sums[:, :-1] / size[:, None]
-                best = h.argmin(1)
-                entropy = h[np.arange(n), best]
-                gap = (h - entropy[:, None]) * np.minimum(size, EVIDENCE)[:, None] / TEMPERATURE
-                score = 1 / np.exp(-gap).sum(1)
-                pred = [names[b] for b in best]
-            some = np.array([bool(t) and bool(names) for t in texts], bool)
-            pred = [p if s else "und" for p, s in zip(pred, some)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(np.where(some, score, 0.0)), pa.array(np.where(some, entropy, 0.0), mask=~some)], [*batch.schema.names, "lang_pred", "score", "cross_entropy"])
-
-    return docs.mapInArrow(released(run), schema)
+                sums = np.column_stack([np.array(batch.column(len(own)).to_pylist()).reshape(-1, len(names)), batch.column(len(own) + 1).to_numpy(zero_copy_only=False)])
+                batch = batch.select(range(len(own)))
+            else:
+                sums = charlm.sums(texts, "letters", ORDER, len(names), lambda _, grams: arrays.values(grams()))
+            sums[[i for i, t in enumerate(texts) if letterless(t)], -1] = 0
+            pred, score, entropy, some = decided(sums, names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(entropy, mask=~some)], [*batch.schema.names, "lang_pred", "score", "cross_entropy"])
+
+    return rows.mapInArrow(released(run), schema)
 
 
 def identify(docs: DataFrame, scratch: Scratch) -> DataFrame:

@@ -1,180 +1,208 @@
 """Line dedup by a log-template tree of fixed depth, grown as DataFrame aggregations.
 
-A line's tokens are its runs without white space; a token with a digit is a variable field. The tree goes by token count,
-then by the `LEAD` leading tokens; below that, a line with `GENERAL_TOKENS` tokens or more belongs to its own template (all
-fixed tokens) and to `PARTS` generalised ones, each of which leaves one part of the remaining tokens variable. So lines that
-differ in digits anywhere, or in any words within one part, share a template. A template recurs if `MIN_DOCS` documents
-(`LONG_DOCS` for `LONG_TOKENS` tokens or more) have it. The first document (lowest doc_id) of a recurring template keeps its
-line, the others drop theirs. Lines under `MIN_TOKENS` tokens have their exact template only: `drop_lines` counts and drops them
-like the others, `clean` leaves them out unless told `short`, as the SQL of the query does.
-
-A document of which recurring lines make up `COPY_SHARE` or more may be a copy of a whole document, which is for near-duplicate
-detection to drop. `clean` leaves each such document as it is, as the SQL of the query does. `drop_lines` confirms it: the
-document that is first for most of its recurring lines is its source, and if what is left of the source is a near-duplicate
-(`WORDS`-word shingles, `PERCENT`) of the document without the lines that are first elsewhere, those alone go. So the source
-and its copy lose the same lines. Without such a source, all recurring lines go. A source is never a confirmed copy itself.
-
-`drop_lines` then cuts passages: runs of `LONG_TOKENS` tokens or more within a line that an earlier document has word for word,
-wherever they stand and whatever the rest of the line is. Of the `SEED`-token grams of a line, the one of least hash is marked in
-each run of `LONG_TOKENS` tokens, so equal runs have equal marks; around marks of two documents or more, all windows of
-`LONG_TOKENS` tokens are hashed and compared. The first document of a window keeps it, and copies are confirmed as above.
-
-Templates are hashed once, in Arrow batches, and written; partial sums precede the shuffle, and the join back to lines is salted by
-document, so a template that a third of all documents share is spread over tasks.
-
-Null texts stay null, empty ones empty. A null doc_id sorts first. Repeated rows of one doc_id count
-each, and are treated alike. An empty table gives an empty table.
+A line's tokens are its runs without white space; a token with a digit is a variable field. The tree goes by token count, then
+by the `LEAD` leading tokens, then by which of `PARTS` equal parts of the other tokens a branch fixes: all of them, or all but
+two (all but one in a line too short for that). A leaf is the cluster of lines that agree in all that its branch fixes, and its
+template has a wildcard wherever its members differ (`templates`). So lines that differ in digits anywhere, or in words of any
+two parts, share a leaf. A branch fixes at least `MIN_FIXED` tokens; a shorter line has its exact leaf alone.
+(MIN_FIXED: with fewer, ordinary sentences of common words meet by chance; README has the figures.) A leaf recurs if `MIN_DOCS`
+texts have it, or `LONG_DOCS` in the case of lines of `LONG_TOKENS` tokens or more, which two authors don't write alike by chance.
+The first document (lowest doc_id) of a recurring leaf keeps its line, the others drop theirs.
+
+Passages are then cut: runs of `LONG_TOKENS` tokens or more, within lines that stay, that an earlier document has word for word
+in such a line, wherever they stand. Of the `SEED`-token grams of a line, the one of least hash is marked in each run of
+`LONG_TOKENS` tokens, so equal runs have equal marks; around marks of two texts or more, all windows of `LONG_TOKENS` tokens are
+hashed and compared.
+
+Documents of equal text are one text here, whose id is the lowest of theirs: copies of a whole document are no recurring lines,
+and get the same result. Texts that share a doc_id are judged by themselves. `drop_lines`, the pipeline's stage, also spares what
+a near-duplicate shares with its source (the text that is first for most of what recurs in it), if both are near-duplicates
+(`WORDS`-word shingles, `PERCENT`) once what recurs from elsewhere is gone, since near-duplicate detection is to drop it as
+a whole. Only texts of which `CANDIDATE` or more recurs can be such copies, and are looked at.
+
+Plans: leaves and marks are hashed in Arrow batches, counted with partial sums before the shuffle; places are hashed again and
+sieved by the recurring hashes (common.sieve), so that only what may recur meets them, in a join salted by text. Keys, classes of
+equal texts and windows are 64-bit hashes.
+
+Null texts stay null, empty ones empty. A null doc_id sorts first. Repeated rows are answered each, alike. Of texts that tie as
+lowest doc_id of a leaf, each keeps its line. Very long texts are handled line by line. An empty table gives an empty table.
+Extra columns pass; columns named like an output or beginning with lg_ raise an error.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Scratch, binary_texts, bound_batches, check_free, mix64, released, table
+from .common import Scratch, binary_texts, bound_batches, check_free, extended, mix64, released, sieve, sieved, table
 from .neardup import shingle_sets
 
-LEAD, PARTS = 2, 4
-MIN_TOKENS, GENERAL_TOKENS, LONG_TOKENS = 6, 10, 50
-MIN_DOCS, LONG_DOCS = 3, 2
+LEAD, PARTS, MIN_FIXED = 1, 4, 5
+LONG_TOKENS, MIN_DOCS, LONG_DOCS = 50, 3, 2
 SEED = 25
-COPY_SHARE = 0.8
+CANDIDATE = 0.5
 #: What the pipeline's near-dedup links.
 WORDS, PERCENT = 5, 80
 SALTS, COPIES = 32, 64
+FIRST = -(2**63)
 TOKEN = re.compile(rb"[^\x09-\x0D\x20]+")
 DIGIT = re.compile(rb"[0-9]")
 VARIABLE = re.compile(rb"[^\x09-\x0D\x20]*[0-9][^\x09-\x0D\x20]*")
+#: The parts that a branch leaves variable: none, each, each two.
+BRANCHES = [(), *combinations(range(PARTS), 1), *combinations(range(PARTS), 2)]
 
 
-def templates(line: bytes, short: bool = False) -> tuple[int, list[int]]:
-    """The token count of a line and the hashes of its templates; below MIN_TOKENS, none unless `short`."""
-    if DIGIT.search(line):
-        line = VARIABLE.sub(b"<*>", line)
-    t = line.split()
-    n = len(t)
-    if n < (1 if short else MIN_TOKENS):
-        return n, []
-    digest = xxhash.xxh3_64_intdigest
-    out = [digest(b" ".join(t), 8 * n)]
-    if n >= GENERAL_TOKENS:
-        p = -(-(n - LEAD) // PARTS)
-        out += [digest(b" ".join(t[: LEAD + k * p]) + b"\0" + b" ".join(t[LEAD + (k + 1) * p :]), 8 * n + k + 1) for k in range(PARTS)]
-    return n, out
-
-
-def lines_of(docs: DataFrame, short: bool = False) -> DataFrame:
-    """(doc_id, place, n, h, fresh) of lines that have templates; fresh marks a template's first place in its document."""
-
-    def run(batches):
-        for batch in batches:
-            owner, place, size, hashes, fresh = [], [], [], [], []
-            for i, text in enumerate(binary_texts(batch.column(1))):
-                seen = set()
-                for k, line in enumerate(text.split(b"\n")):
-                    n, hs = templates(line, short)
-                    for h in hs:
-                        owner.append(i)
-                        place.append(k)
-                        size.append(n)
-                        hashes.append(h)
-                        fresh.append(h not in seen)
-                        seen.add(h)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(place, pa.int32()), pa.array(size, pa.int32()), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(fresh, pa.bool_())], ["doc_id", "place", "n", "h", "fresh"])
+def fields(line: bytes) -> list[bytes]:
+    """Tokens of a line, those with a digit as wildcards."""
+    return (VARIABLE.sub(b"<*>", line) if DIGIT.search(line) else line).split()
 
-    bound_batches(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {kind}, place int, n int, h long, fresh boolean")
-
-
-def recurring(lines: DataFrame, min_docs: int = MIN_DOCS, long_docs: int = LONG_DOCS) -> DataFrame:
-    """(h, first, docs): templates in enough documents, with the first of those."""
-    key = F.coalesce("doc_id", F.lit(-(2**63)))
-    found = lines.where("fresh").groupBy("h").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("docs"), F.min(key).alias("first"))
-    return found.where((F.col("docs") >= min_docs) | ((F.col("n") >= LONG_TOKENS) & (F.col("docs") >= long_docs))).select("h", "first", "docs")
 
+def branch_kinds(n: np.ndarray) -> np.ndarray:
+    """How many parts branches of lines of n tokens may leave variable at most."""
+    part = -(-(n - LEAD) // PARTS)
+    return np.where(n - 2 * part >= MIN_FIXED, 2, np.where(n - part >= MIN_FIXED, 1, 0))
 
-def recurring_places(docs: DataFrame, scratch: Scratch, short: bool = False) -> DataFrame:
-    """(doc_id, place, first): the lines that recur and are not the first of their kind, with the first documents."""
-    lines = scratch.save(lines_of(docs, short))
-    salt = F.pmod(F.xxhash64("doc_id", "place"), F.lit(SALTS)).cast("int")
-    spread = recurring(lines).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    hits = lines.withColumn("salt", salt).join(spread, ["h", "salt"]).where(F.coalesce("doc_id", F.lit(-(2**63))) != F.col("first"))
-    return hits.select("doc_id", "place", "first")
-
-
-LINES = "split(text, '\\n')"
-
-
-def share_of(places: str) -> str:
-    return f"aggregate({places}, 0L, (s, i) -> s + length({LINES}[i])) >= {COPY_SHARE} * length(replace(text, '\\n', ''))"
-
-
-def without(places: str) -> str:
-    return f"if(size({places}) = 0, text, array_join(filter({LINES}, (x, i) -> not array_contains({places}, i)), '\\n'))"
 
+def leaves(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(text, place, tokens, branch, leaf) of each leaf that each line belongs to."""
+    owner, place, size, parts = [], [], [], []
+    digest = xxhash.xxh3_64_intdigest
+    for i, text in enumerate(texts):
+        for k, line in enumerate(text.split(b"\n")):
+            t = fields(line)
+            if t:
+                n = len(t)
+                p = -(-(n - LEAD) // PARTS)
+                owner.append(i)
+                place.append(k)
+                size.append(n)
+                parts.append(digest(b" ".join(t[:LEAD])))
+                parts += [digest(b" ".join(t[LEAD + j * p : LEAD + (j + 1) * p])) for j in range(PARTS)]
+    n = np.array(size, np.int64)
+    hashed = np.array(parts, np.uint64).reshape(-1, PARTS + 1)
+    with np.errstate(over="ignore"):
+        hashed = mix64(hashed + np.arange(1, PARTS + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        node = mix64(n.astype(np.uint64)) + hashed[:, 0]
+        kinds = branch_kinds(n)
+        rows, branch, leaf = [], [], []
+        for b, free in enumerate(BRANCHES):
+            some = np.flatnonzero((kinds == len(free)) | (len(free) == 0))
+            rows.append(some)
+            branch.append(np.full(len(some), b))
+            leaf.append(mix64((node[some] + hashed[some][:, [1 + j for j in range(PARTS) if j not in free]].sum(1, dtype=np.uint64)) ^ np.uint64(b + 1)))
+    rows = np.concatenate(rows)
+    return np.array(owner, np.int64)[rows], np.array(place, np.int64)[rows], n[rows], np.concatenate(branch), np.concatenate(leaf)
+
+
+def class_of(text="text"):
+    return F.xxhash64(text)
+
+
+def distinct_texts(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(cls, id, text): each text once, with the lowest doc_id it has. Only texts that may have copies are shuffled."""
+    rows = docs.where("text is not null").select(class_of().alias("cls"), F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("id"), "text")
+    copied = scratch.save(rows.groupBy("cls").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("cls"))
+    rows = sieved(rows, scratch.save(sieve(copied, "cls")), "cls")
+    several = rows.where("lg_may").groupBy("cls").agg(F.min("id").alias("id"), F.any_value("text").alias("text"))
+    return rows.where("not lg_may").select("cls", "id", "text").unionByName(several)
+
+
+def keys_of(texts: DataFrame, places: bool, passages: bool) -> DataFrame:
+    """(cls, id, place, h, least, n, total): leaves of lines, and marks of passages (place -1), with the number of texts that make
+    them recur, and the tokens of the line and of the text. Without places, each hash once for each text.
+    """
 
-def clean(docs: DataFrame, scratch: Scratch, text: str = "clean_text", count: str = "n_dropped", short: bool = False) -> DataFrame:
-    """Adds the text without dropped lines and the number of them to the columns of docs."""
-    check_free(docs, text, count, "lg_places", "lg_id")
-    hits = recurring_places(docs.select("doc_id", "text"), scratch, short)
-    places = hits.groupBy(F.col("doc_id").alias("lg_id")).agg(F.collect_set("place").alias("lg_places"))
-    out = docs.join(places, F.col("doc_id").eqNullSafe(F.col("lg_id")), "left")
-    out = out.withColumn("lg_places", F.expr(f"if(lg_places is null or {share_of('lg_places')}, cast(array() as array<int>), lg_places)"))
-    out = out.withColumn(text, F.expr(without("lg_places"))).withColumn(count, F.size("lg_places").cast("long"))
-    return out.select(*docs.columns, text, count)
+    def run(batches):
+        for batch in batches:
+            data = binary_texts(batch.column(2))
+            owner, place, n, branch, h = leaves(data)
+            least = np.where(n >= LONG_TOKENS, LONG_DOCS, MIN_DOCS)
+            total = np.bincount(owner[branch == 0], n[branch == 0], len(data)).astype(np.int64)
+            if passages:
+                marks = [[], []]
+                for i, text in enumerate(data):
+                    found = [seeds(tokens)[1] for _, _, tokens in long_lines(text)]
+                    if found:
+                        marks[1].append(np.unique(np.concatenate(found)))
+                        marks[0].append(np.full(len(marks[1][-1]), i))
+                if marks[0]:
+                    owner, h = np.concatenate([owner, *marks[0]]), np.concatenate([h, *marks[1]])
+                    more = len(h) - len(place)
+                    place, least, n = np.concatenate([place, np.full(more, -1)]), np.concatenate([least, np.full(more, 2)]), np.concatenate([n, np.zeros(more, np.int64)])
+            if not places and len(h):
+                order = np.lexsort((h, owner))
+                new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1])])
+                keep = order[new]
+                owner, place, h, least, n = owner[keep], place[keep], h[keep], least[keep], n[keep]
+            take = pa.array(owner)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(place.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(least.astype(np.int8)), pa.array(n.astype(np.int32)), pa.array(total[owner])],
+                ["cls", "id", "place", "h", "least", "n", "total"],
+            )
+
+    return texts.mapInArrow(released(run), "cls long, id long, place int, h long, least tinyint, n int, total long")
+
+
+def shared(rows: DataFrame, counts: DataFrame, scratch: Scratch) -> DataFrame:
+    """rows with the first text's id of their hash, of those hashes whose counts say that they recur."""
+    found = counts.groupBy("h").agg(F.count(F.lit(1)).alias("texts"), F.min("id").alias("first"), F.max("least").alias("least")).where("texts >= least").select("h", "first")
+    found = scratch.save(found)
+    rows = sieved(rows, scratch.save(sieve(found, "h")), "h").where("lg_may").drop("lg_may")
+    salt = F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")
+    return rows.withColumn("lg_salt", salt).join(found.withColumn("lg_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["h", "lg_salt"]).drop("lg_salt")
 
 
 def confirmed(some: DataFrame, sources: DataFrame, scratch: Scratch) -> DataFrame:
-    """id of documents (doc_id, source, text) that are near-duplicates of their source (source, text).
-
-    Every row of a doc_id must be one, with every row of its source.
-    """
+    """cls of texts (cls, source, text) that are near-duplicates of a text of their source (source, text)."""
     sets = shingle_sets(sources.select(F.col("source").alias("id"), "text"), WORDS).select(F.col("id").alias("source"), F.col("s").alias("t"))
-    own = shingle_sets(some.select(F.col("doc_id").cast("long").alias("id"), "text"), WORDS)
-    ids = some.select(F.col("doc_id").cast("long").alias("id"), "source").distinct()
-    # a source's set is repeated for every COPIES documents that it is compared with, not for each salt: sets are large
-    shares = scratch.save(ids.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / COPIES).cast("int").alias("shares")))
-    own = own.join(ids.join(shares, "source").withColumn("salt", F.expr("cast(pmod(xxhash64(id), shares) as int)")).drop("shares"), "id")
+    own = shingle_sets(some.select(F.col("cls").alias("id"), "text"), WORDS).select(F.col("id").alias("cls"), "s")
+    # a source's set is repeated for every COPIES texts that it is compared with, not for each salt: sets are large
+    shares = scratch.save(some.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / COPIES).cast("int").alias("shares")))
+    own = own.join(some.select("cls", "source").join(shares, "source").withColumn("salt", F.expr("cast(pmod(xxhash64(cls), shares) as int)")).drop("shares"), "cls")
     sets = sets.join(shares, "source").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
-    pairs = own.join(sets, ["source", "salt"])
     both = F.size(F.array_intersect("s", "t"))
     like = (both > 0) & (100 * both >= PERCENT * (F.size("s") + F.size("t") - both))
-    near = scratch.save(pairs.select("id", "source", like.alias("like")).groupBy("id", "source").agg(F.min("like").alias("like")).where("like").select("id", "source"))
-    return near.join(near.select(F.col("id").alias("source")), "source", "left_anti").select("id")
+    near = scratch.save(own.join(sets, ["source", "salt"]).where(like).select("cls").distinct())
+    # a text that others have as their source is never spared itself
+    ids = some.join(near, "cls", "left_semi").select(F.col("source").alias("id")).distinct()
+    return near.join(sources.select("cls", F.col("source").alias("id")).join(ids, "id", "left_semi").select("cls").distinct(), "cls", "left_anti")
 
 
-def marked(hits: DataFrame, what: str, scratch: Scratch) -> DataFrame:
-    """(doc_id, source, gone, foreign) of hits (doc_id, `what`, first): what recurs, and what of it is first elsewhere than in source."""
-    marks = hits.groupBy("doc_id").agg(F.collect_set(F.struct(F.col(what).alias("x"), "first")).alias("hits"), F.mode("first", True).alias("source"))
-    some = "array_distinct(transform({}, h -> h.x))"
-    return scratch.save(marks.select("doc_id", "source", F.expr(some.format("hits")).alias("gone"), F.expr(some.format("filter(hits, h -> h.first != source)")).alias("foreign")))
-
+def spare(texts: DataFrame, marks: DataFrame, without, scratch: Scratch) -> DataFrame:
+    """(cls, gone): of marks (cls, gone, foreign, source, total, share), what really goes: of a confirmed near-duplicate, what is first elsewhere.
 
-def at_sources(docs: DataFrame, some: DataFrame, marks: DataFrame) -> DataFrame:
-    """(source, text, gone) of the sources of some."""
-    key = F.coalesce("doc_id", F.lit(-(2**63))).cast("long")
-    return docs.select(key.alias("source"), "doc_id", "text").join(some.select("source").distinct(), "source", "left_semi").join(marks.select(F.col("doc_id").alias("lg_id"), "gone"), F.col("doc_id") == F.col("lg_id"), "left").select("source", "text", "gone")
+    without(texts, column of gone things) gives texts without those. Texts with too little that recurs are not
+    compared with their source.
+    """
+    likely = scratch.save(marks.where(F.col("share") >= CANDIDATE).select("cls", "source", "foreign"))
+    some = scratch.save(without(texts.select("cls", "text").join(likely.select("cls", "source", "foreign").hint("merge"), "cls"), "foreign"))
+    of = texts.join(likely.select(F.col("source").alias("id")).distinct().hint("merge"), "id", "left_semi").join(marks.select("cls", "gone"), "cls", "left")
+    sources = scratch.save(without(of, "gone").select("cls", F.col("id").alias("source"), "text"))
+    near = confirmed(some, sources, scratch).withColumn("lg_near", F.lit(True))
+    return marks.join(near, "cls", "left").select("cls", F.when(F.col("lg_near"), F.col("foreign")).otherwise(F.col("gone")).alias("gone"))
+
+
+def marked(hits: DataFrame, what: str) -> DataFrame:
+    """(cls, gone, foreign, source, total, share): what recurs of each text, what of it is first elsewhere than in its source, the source's id, its tokens, and the share that recurs."""
+    hits = hits.where("id != first")
+    marks = hits.groupBy("cls").agg(F.collect_set(F.struct(F.col(what).alias("x"), "first", "n")).alias("hits"), F.mode("first", True).alias("source"), F.max("total").alias("total"))
+    some = "array_distinct(transform({}, h -> h.x))"
+    share = "aggregate(array_distinct(transform(hits, h -> named_struct('x', h.x, 'n', h.n))), 0L, (s, h) -> s + h.n) / total"
+    return marks.select("cls", "source", "total", F.expr(share).alias("share"), F.expr(some.format("hits")).alias("gone"), F.expr(some.format("filter(hits, h -> h.first != source)")).alias("foreign"))
 
 
-def chosen(docs: DataFrame, marks: DataFrame, copies: DataFrame) -> DataFrame:
-    """docs with lg_gone: what goes from each, null if nothing recurs."""
-    marks = marks.join(copies, F.col("doc_id").cast("long") == F.col("id"), "left")
-    marks = marks.select(F.col("doc_id").alias("lg_id"), F.when(F.col("id").isNull(), F.col("gone")).otherwise(F.col("foreign")).alias("lg_gone"))
-    return docs.join(marks, F.col("doc_id") == F.col("lg_id"), "left").drop("lg_id")  # a null doc_id is the first of all it has
+LINES = "split(text, '\\n')"
 
 
-def without_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    marks = marked(recurring_places(docs.select("doc_id", "text"), scratch, short=True), "place", scratch)
-    found = docs.select("doc_id", "text").join(marks, "doc_id")
-    some = scratch.save(found.where(F.expr(share_of("gone"))).select("doc_id", "source", F.expr(without("foreign")).alias("text")))
-    sources = at_sources(docs, some, marks).select("source", F.expr(f"if(gone is null, text, {without('gone')})").alias("text"))
-    out = chosen(docs, marks, confirmed(some, sources, scratch))
-    return out.withColumn("text", F.expr(f"if(lg_gone is null, text, {without('lg_gone')})")).drop("lg_gone")
+def without_places(texts: DataFrame, gone: str) -> DataFrame:
+    """texts without the lines at places of the column gone (null: none), which goes."""
+    kept = f"if(coalesce(size({gone}), 0) <= 0, text, array_join(filter({LINES}, (x, i) -> not array_contains({gone}, i)), '\\n'))"
+    return texts.withColumn("text", F.expr(kept)).drop(gone)
 
 
 def window_hashes(tokens: list[bytes], k: int) -> np.ndarray:
@@ -218,8 +246,8 @@ def cut(text: bytes, gone: np.ndarray) -> bytes:
     return b"\n".join(x for x in lines if x is not None)
 
 
-def cut_texts(docs: DataFrame, gone: str) -> DataFrame:
-    """docs with their text cut; the column gone (window hashes, or null) goes."""
+def without_windows(docs: DataFrame, gone: str) -> DataFrame:
+    """docs without the windows whose hashes are in the column gone (null: none), which goes."""
     text, hashes = docs.columns.index("text"), docs.columns.index(gone)
 
     def run(batches):
@@ -234,32 +262,18 @@ def cut_texts(docs: DataFrame, gone: str) -> DataFrame:
     return docs.mapInArrow(released(run), docs.drop(gone).schema)
 
 
-def marks_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, h) of the marked grams of each document's long lines."""
+def windows_of(texts: DataFrame) -> DataFrame:
+    """(cls, id, h, n, total): windows of LONG_TOKENS tokens around marked grams of the column marks, of lines not in the column gone."""
 
     def run(batches):
         for batch in batches:
-            owner, hashes = [], [np.zeros(0, np.uint64)]
-            for i, text in enumerate(binary_texts(batch.column(1))):
-                found = [seeds(tokens)[1] for _, _, tokens in long_lines(text)]
-                if found:
-                    hashes.append(np.unique(np.concatenate(found)))
-                    owner.append(np.full(len(hashes[-1]), i))
-            owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(np.concatenate(hashes).view(np.int64))], ["doc_id", "h"])
-
-    return docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h long")
-
-
-def windows_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, h): windows of LONG_TOKENS tokens that hold a marked gram of the column marks."""
-
-    def run(batches):
-        for batch in batches:
-            owner, hashes = [], [np.zeros(0, np.uint64)]
-            for i, (text, marks) in enumerate(zip(binary_texts(batch.column(1)), batch.column(2))):
-                marks, found = marks.values.to_numpy(zero_copy_only=False).view(np.uint64), []
-                for _, _, tokens in long_lines(text):
+            owner, hashes, total = [], [np.zeros(0, np.uint64)], []
+            for i, (text, gone, marks) in enumerate(zip(binary_texts(batch.column(2)), batch.column(3).to_pylist(), batch.column(4))):
+                gone, marks, found = set(gone or ()), marks.values.to_numpy(zero_copy_only=False).view(np.uint64), []
+                total.append(len(text.split()))
+                for k, _, tokens in long_lines(text):
+                    if k in gone:
+                        continue
                     at, h = seeds(tokens)
                     at = at[np.isin(h, marks)]
                     if len(at):
@@ -270,55 +284,121 @@ def windows_of(docs: DataFrame) -> DataFrame:
                     hashes.append(np.unique(np.concatenate(found)))
                     owner.append(np.full(len(hashes[-1]), i))
             owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(np.concatenate(hashes).view(np.int64))], ["doc_id", "h"])
+            take, h = pa.array(owner), np.concatenate(hashes)
+            # the tokens of windows overlap; a share of 1 means that nothing is known of how much of a text they are
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(h.view(np.int64)), pa.array(np.array(total, np.int64)[owner].astype(np.int32)), pa.array(np.array(total, np.int64)[owner])], ["cls", "id", "h", "n", "total"])
 
-    return docs.select("doc_id", "text", "marks").mapInArrow(released(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h long")
+    return texts.select("cls", "id", "text", "gone", "marks").mapInArrow(released(run), "cls long, id long, h long, n int, total long")
 
 
-def shared(rows: DataFrame) -> DataFrame:
-    """(doc_id, h, first) of rows (doc_id, h) whose hash two documents or more have."""
-    key = F.coalesce("doc_id", F.lit(-(2**63)))
-    firsts = rows.groupBy("h").agg(F.min(key).alias("first"), F.max(key).alias("last")).where("first != last").select("h", "first")
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-    return rows.withColumn("salt", salt).join(firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["h", "salt"]).select("doc_id", "h", "first")
+def recurring(docs: DataFrame, scratch: Scratch, passages: bool = True, copies: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """(cls, gone): places of lines that go from texts, and hashes of windows that go from what is left (None without passages).
+
+    With copies, near-duplicates of a source are spared.
+    """
+    texts = distinct_texts(docs.select("doc_id", "text"), scratch)
+    hits = scratch.save(shared(keys_of(texts, True, passages), keys_of(texts, False, passages), scratch))
+    places = scratch.save(marked(hits.where("place >= 0"), "place"))
+    lines = scratch.save(spare(texts, places, without_places, scratch) if copies else places.select("cls", "gone"))
+    if not passages:
+        return lines, None
+    marks = hits.where("place < 0").groupBy("cls").agg(F.collect_set("h").alias("marks"))
+    near = texts.join(marks.hint("merge"), "cls").join(lines, "cls", "left")
+    windows = scratch.save(windows_of(near))
+    counts = windows.groupBy("h").agg(F.count(F.lit(1)).alias("texts"), F.min("id").alias("first"))
+    found = scratch.save(counts.where("texts > 1").select("h", "first"))
+    salt = F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")
+    spread = found.withColumn("lg_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    again = windows.withColumn("lg_salt", salt).join(spread, ["h", "lg_salt"]).drop("lg_salt")
+    cuts = scratch.save(marked(again, "h"))
+    if not copies:
+        return lines, cuts.select("cls", "gone")
+    both = lambda t, gone: without_windows(without_places(t.join(lines.withColumnRenamed("gone", "lg_lines"), "cls", "left"), "lg_lines"), gone)
+    return lines, scratch.save(spare(texts, cuts, both, scratch))
+
+
+def apply(docs: DataFrame, lines: DataFrame, windows: DataFrame | None, scratch: Scratch, count: str) -> DataFrame:
+    """docs with their text without what goes, and the number of dropped lines. Texts that lose nothing are not shuffled."""
+    gone = lines.select("cls", F.col("gone").alias("lg_places"))
+    if windows is not None:
+        gone = gone.join(windows.select("cls", F.col("gone").alias("lg_windows")), "cls", "full")
+    else:
+        gone = gone.withColumn("lg_windows", F.lit(None).cast("array<bigint>"))
+    gone = scratch.save(gone.where("size(lg_places) > 0 or size(lg_windows) > 0"))
+    rows = sieved(docs.withColumn("lg_cls", class_of()), scratch.save(sieve(gone, "cls")), "lg_cls")
+    salt = F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.lit(SALTS)).cast("int")  # equal texts may be very many
+    some = rows.where("lg_may").withColumn("lg_salt", salt)
+    spread = gone.withColumn("lg_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("cls", "lg_cls")
+    some = some.join(spread, ["lg_cls", "lg_salt"], "left").withColumn(count, F.greatest(F.coalesce(F.size("lg_places"), F.lit(0)), F.lit(0)).cast("long"))
+    some = without_places(some, "lg_places").select(*docs.columns, count, "lg_windows")
+    some = some.drop("lg_windows") if windows is None else without_windows(some, "lg_windows")
+    rest = rows.where("not lg_may").select(*docs.columns, F.lit(0).cast("long").alias(count))
+    return rest.unionByName(some)
+
+
+def clean(docs: DataFrame, scratch: Scratch, text: str = "clean_text", count: str = "n_dropped", passages: bool = True) -> DataFrame:
+    """Adds the text without what recurs, and the number of dropped lines, to the columns of docs."""
+    check_free(docs, text, count, *LG)
+    bound_batches(docs.sparkSession)
+    lines, windows = recurring(docs, scratch, passages)
+    out = apply(docs.withColumn("lg_text", F.col("text")), lines, windows, scratch, count)
+    return out.withColumnRenamed("text", text).withColumnRenamed("lg_text", "text").select(*docs.columns, text, count)
 
 
-def without_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    marks = shared(scratch.save(marks_of(docs))).groupBy(F.col("doc_id").alias("lg_id")).agg(F.collect_set("h").alias("marks"))
-    near = docs.select("doc_id", "text").join(marks, F.col("doc_id").eqNullSafe(F.col("lg_id")))
-    hits = shared(scratch.save(windows_of(near))).where(F.coalesce("doc_id", F.lit(-(2**63))) != F.col("first"))
-    gone = marked(hits, "h", scratch)
-    some = scratch.save(cut_texts(docs.select("doc_id", "text").join(gone.select("doc_id", "source", "foreign"), "doc_id"), "foreign"))
-    sources = cut_texts(at_sources(docs, some, gone), "gone")
-    return cut_texts(chosen(docs, gone, confirmed(some, sources, scratch)), "lg_gone")
+LG = ("lg_text", "lg_cls", "lg_may", "lg_salt", "lg_places", "lg_windows", "lg_dropped", "lg_lines", "lg_near")
 
 
 def drop_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """docs with its own columns, text without dropped lines and passages; n_chars, if there, is counted anew where some went."""
-    check_free(docs, "lg_gone", "lg_id", "lg_text")
+    check_free(docs, *LG)
     bound_batches(docs.sparkSession)
-    kept = scratch.save(without_lines(docs.withColumn("lg_text", F.xxhash64("text")), scratch))
-    out = without_passages(kept, scratch)
+    lines, windows = recurring(docs, scratch, copies=True)
+    out = apply(docs.withColumn("lg_text", F.xxhash64("text")), lines, windows, scratch, "lg_dropped")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.xxhash64("text") != F.col("lg_text"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(docs.columns)
 
 
+def templates(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(leaf, n_tokens, n_texts, first, template): recurring leaves, with a wildcard wherever members differ (or hold a digit).
+
+    Members meet as a pair of least and greatest token at each place, so a leaf of any size is a sum.
+    """
+    bound_batches(docs.sparkSession)
+    texts = distinct_texts(docs.select("doc_id", "text"), scratch)
+    hits = shared(keys_of(texts, True, False), keys_of(texts, False, False), scratch).select("cls", "id", "place", "h", "first")
+    lines = hits.join(texts.select("cls", F.expr(LINES).alias("lines")), "cls").select("cls", "h", "first", F.expr("lines[place]").alias("line"))
+    tokens = lines.withColumn("t", F.expr(r"filter(split(regexp_replace(line, r'[^\x09-\x0D\x20]*[0-9][^\x09-\x0D\x20]*', '<*>'), r'[\x09-\x0D\x20]+'), x -> x != '')"))
+    at = tokens.select("cls", "h", "first", F.posexplode("t").alias("at", "token"))
+    places = at.groupBy("h", "at").agg(F.min("token").alias("least"), F.max("token").alias("most"), F.min("first").alias("first"), F.count_distinct("cls").alias("texts"))
+    rows = places.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("at", F.when(F.col("least") == F.col("most"), F.col("least")).otherwise("<*>").alias("token")))).alias("t"), F.max("texts").alias("n_texts"), F.min("first").alias("first"))
+    return rows.select(F.col("h").alias("leaf"), F.size("t").alias("n_tokens"), "n_texts", "first", F.expr("array_join(transform(t, x -> x.token), ' ')").alias("template"))
+
+
 def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = clean(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "op4"))
     return out.select("doc_id", "n_dropped", F.length(F.coalesce("clean_text", F.lit(""))).cast("long").alias("n_chars"), F.sha2(F.coalesce("clean_text", F.lit("")).cast("binary"), 256).alias("clean_sha256"), "clean_text")
 
 
 OP4_SQL = r"""
-WITH lines AS (SELECT doc_id, i - 1 AS place, s[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents), unnest(range(1, len(s) + 1)) AS u(i)),
-tok AS (SELECT doc_id, place, line, list_filter(regexp_split_to_array(regexp_replace(line, '[^\x09-\x0D\x20]*[0-9][^\x09-\x0D\x20]*', '<*>', 'g'), '[\x09-\x0D\x20]+'), lambda x: x != '') AS t FROM lines),
-big AS (SELECT *, CAST(ceil((len(t) - 2) / 4.0) AS INTEGER) AS p FROM tok WHERE len(t) >= 6),
-tmpl AS (SELECT doc_id, place, len(t) AS n, -1 AS k, array_to_string(t, ' ') AS a, '' AS b FROM big
-  UNION ALL SELECT doc_id, place, len(t), k, array_to_string(t[1:2 + k * p], ' '), array_to_string(t[2 + (k + 1) * p + 1:], ' ') FROM big, range(4) AS r(k) WHERE len(t) >= 10),
-rec AS (SELECT n, k, a, b, min(doc_id) AS f FROM tmpl GROUP BY n, k, a, b HAVING count(DISTINCT doc_id) >= 3 OR (n >= 50 AND count(DISTINCT doc_id) >= 2)),
-gone AS (SELECT DISTINCT doc_id, place FROM tmpl JOIN rec USING (n, k, a, b) WHERE doc_id != f),
-part AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.place) FILTER (WHERE g.place IS NULL) AS kept, count(g.place) AS n,
-         sum(CASE WHEN g.place IS NULL THEN 0 ELSE length(l.line) END) >= 0.8 * sum(length(l.line)) AS copy FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.place = l.place GROUP BY l.doc_id),
-res AS (SELECT d.doc_id, CASE WHEN coalesce(n, 0) = 0 OR copy THEN 0 ELSE n END AS n_dropped, CASE WHEN coalesce(n, 0) = 0 OR copy THEN d.text ELSE coalesce(kept, '') END AS clean_text FROM documents d LEFT JOIN part USING (doc_id))
-SELECT doc_id, CAST(n_dropped AS BIGINT) AS n_dropped, CAST(length(coalesce(clean_text, '')) AS BIGINT) AS n_chars, sha256(coalesce(clean_text, '')) AS clean_sha256, clean_text FROM res
+WITH txt AS (SELECT text, min(doc_id) AS id, row_number() OVER (ORDER BY text) AS c FROM documents WHERE text IS NOT NULL GROUP BY text),
+lines AS (SELECT c, id, i - 1 AS place, s[i] AS line FROM (SELECT c, id, string_split(text, chr(10)) AS s FROM txt), unnest(range(1, len(s) + 1)) AS u(i)),
+tok AS (SELECT c, id, place, line, list_filter(regexp_split_to_array(regexp_replace(line, '[^\x09-\x0D\x20]*[0-9][^\x09-\x0D\x20]*', '<*>', 'g'), '[\x09-\x0D\x20]+'), lambda x: x != '') AS t FROM lines),
+big AS (SELECT c, id, place, t, len(t) AS n, CAST(ceil((len(t) - 1) / 4.0) AS INTEGER) AS p FROM tok WHERE len(t) > 0),
+kind AS (SELECT *, CASE WHEN n - 2 * p >= 5 THEN 2 WHEN n - p >= 5 THEN 1 ELSE 0 END AS kind FROM big),
+leaf AS (SELECT c, id, place, n, -1 AS a, -1 AS b, array_to_string(t, ' ') AS k FROM kind
+  UNION ALL SELECT c, id, place, n, a, a, array_to_string(list_transform(range(1, n + 1), lambda i: CASE WHEN i > 1 AND (i - 2) // p = a THEN '' ELSE t[i] END), ' ') FROM kind, range(4) AS r(a) WHERE kind = 1
+  UNION ALL SELECT c, id, place, n, a, b, array_to_string(list_transform(range(1, n + 1), lambda i: CASE WHEN i > 1 AND (i - 2) // p IN (a, b) THEN '' ELSE t[i] END), ' ') FROM kind, range(4) AS r(a), range(4) AS q(b) WHERE kind = 2 AND a < b),
+rec AS (SELECT n, a, b, k, min(id) AS f FROM leaf GROUP BY n, a, b, k HAVING count(DISTINCT c) >= 3 OR (n >= 50 AND count(DISTINCT c) >= 2)),
+gone AS (SELECT DISTINCT c, place FROM leaf JOIN rec USING (n, a, b, k) WHERE id != f),
+kept AS (SELECT l.c, l.id, l.place, l.line, regexp_extract_all(l.line, '[^\x09-\x0D\x20]+[\x09-\x0D\x20]*') AS u, regexp_extract_all(l.line, '[^\x09-\x0D\x20]+') AS t FROM lines l LEFT JOIN gone g ON g.c = l.c AND g.place = l.place WHERE g.c IS NULL),
+win AS (SELECT c, id, place, i, hash(array_to_string(t[i:i + 49], ' ')) AS h FROM kept, unnest(range(1, len(t) - 48)) AS r(i) WHERE len(t) >= 50),
+rw AS (SELECT h, min(id) AS f FROM win GROUP BY h HAVING count(DISTINCT c) > 1),
+cov AS (SELECT c, place, list(i) AS s FROM win JOIN rw USING (h) WHERE id != f GROUP BY c, place),
+fin AS (SELECT k.c, k.place, CASE WHEN v.s IS NULL THEN k.line ELSE
+  (SELECT regexp_extract(k.line, '^[\x09-\x0D\x20]*') || coalesce(string_agg(k.u[j], '' ORDER BY j), '') FROM range(1, len(k.u) + 1) AS r(j) WHERE len(list_filter(v.s, lambda x: x <= j AND j < x + 50)) = 0) END AS line, v.s IS NOT NULL AS cut
+  FROM kept k LEFT JOIN cov v ON v.c = k.c AND v.place = k.place),
+part AS (SELECT c, string_agg(CASE WHEN cut THEN regexp_replace(line, '[\x09-\x0D\x20]+$', '') ELSE line END, chr(10) ORDER BY place) AS x FROM fin WHERE NOT cut OR regexp_replace(line, '[\x09-\x0D\x20]', '', 'g') != '' GROUP BY c),
+res AS (SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(part.x, '') END AS clean_text, (SELECT count(*) FROM gone WHERE gone.c = txt.c) AS n FROM documents d LEFT JOIN txt ON txt.text = d.text LEFT JOIN part ON part.c = txt.c)
+SELECT doc_id, CAST(n AS BIGINT) AS n_dropped, CAST(length(coalesce(clean_text, '')) AS BIGINT) AS n_chars, sha256(coalesce(clean_text, '')) AS clean_sha256, clean_text FROM res
 """

@@ -121,7 +121,7 @@ def test_line_templates(spark):
     line = "the server {} answered with code {} after some time today"
     rows = [(i, f"own words of document {chr(97 + i)} " * (i + 3) + "\n" + line.format("abc" if i else "x", i) + "\nshort one") for i in range(5)]
     got = {r["doc_id"]: r for r in linededup.clean(spark.createDataFrame(rows, "doc_id long, text string"), scratch(spark)).collect()}
-    assert got[0]["n_dropped"] == 0 and all(got[i]["n_dropped"] == 1 and "server" not in got[i]["clean_text"] and got[i]["clean_text"].endswith("short one") for i in range(1, 5))
+    assert got[0]["n_dropped"] == 0 and all(got[i]["n_dropped"] == 2 and got[i]["clean_text"] == rows[i][1].split("\n")[0] for i in range(1, 5))
 
 
 def test_line_templates_general_part_and_copies(spark):
@@ -134,6 +134,23 @@ def test_line_templates_general_part_and_copies(spark):
     assert {r["n_dropped"] for r in linededup.clean(copies, scratch(spark)).collect()} == {0}
 
 
+def test_names_in_lines_are_wildcards(spark):
+    lines = ["user alice logged in from host paris at the main gate today ok", "user bob logged in from host paris at the main gate today ok", "user bob logged in from host rome at the main gate today ok"]
+    own = ["first own text of it", "second thing that stands alone", "third and last of these"]
+    docs = spark.createDataFrame([(i, f"{o}\n{x}") for i, (o, x) in enumerate(zip(own, lines))], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_dropped"] for r in linededup.clean(docs, scratch(spark)).collect()} == {0: 0, 1: 1, 2: 1}
+    found = {r["template"]: r for r in linededup.templates(docs, scratch(spark)).collect()}
+    top = found["user <*> logged in from host <*> at the main gate today ok"]
+    assert top["n_texts"] == 3 and top["first"] == 0 and top["n_tokens"] == 13
+
+
+def test_boilerplate_pages_and_texts_that_share_an_id(spark):
+    line = "the same old footer line stands on every page of it"
+    rows = [(1, line), (2, f"{line}\n{line}"), (3, f"own words here\n{line}"), (9, f"unique words at nine\n{line}"), (9, "something else\nonly here and nowhere else at all"), (None, "no id\nat all"), (None, "no id\nat all")]
+    got = sorted((r["doc_id"] or 0, r["clean_text"], r["n_dropped"]) for r in linededup.clean(spark.createDataFrame(rows, "doc_id long, text string"), scratch(spark)).collect())
+    assert got == [(0, "no id\nat all", 0)] * 2 + [(1, line, 0), (2, "", 2), (3, "own words here", 1), (9, "something else\nonly here and nowhere else at all", 0), (9, "unique words at nine", 1)]
+
+
 def test_line_dedup_of_short_lines(spark):
     rows = [(i, f"own words of document {chr(97 + i)} " * 5 + "\nAll rights reserved.\n\nonly here " + chr(97 + i)) for i in range(4)]
     got = {r["doc_id"]: r["text"].split("\n")[1:] for r in linededup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string"), scratch(spark)).collect()}
@@ -167,6 +184,10 @@ def test_line_templates_odd(spark, odd, none):
     assert got.columns == odd.columns and got.count() == len(ODD)
     assert got.where("doc_id = 1").first()["text"] is None
     assert linededup.drop_lines(none, scratch(spark)).count() == 0
+    assert linededup.clean(odd, scratch(spark)).where("text = clean_text").count() == len(ODD) - 1
+    assert linededup.templates(none, scratch(spark)).count() == 0
+    with pytest.raises(ValueError, match="already in use"):
+        linededup.drop_lines(odd.withColumn("lg_may", F.lit(1)), scratch(spark))
 
 
 # -- 5 ---------------------------------------------------------------------------------------------------------------------
@@ -267,29 +288,106 @@ def test_pii_further_kinds_and_redaction(spark):
 # -- 7, 8 ------------------------------------------------------------------------------------------------------------------
 
 
-def test_kneser_ney_sums_to_one(spark):
-    df = spark.createDataFrame([("m", "abab abba baab aab"), ("m", "bab")], "model string, text string")
-    model = charlm.train(df, scratch(spark), 3, str.split, 10**6)
+def brute_kneser_ney(words, order):
+    """p(history, character) of an interpolated modified Kneser-Ney model, by plain dictionaries."""
+    from collections import Counter, defaultdict
+
+    top = Counter()
+    for w in words:
+        w = charlm.START + w + charlm.END
+        for i in range(1, len(w)):
+            top[w[max(0, i - order + 1) : i + 1]] += 1
+    level = {order: {g: n for g, n in top.items() if len(g) == order}}
+    for k in range(order - 1, 0, -1):
+        before = defaultdict(set)
+        for g in level[k + 1]:
+            before[g[1:]].add(g[0])
+        level[k] = {g: len(v) for g, v in before.items()} | {g: n for g, n in top.items() if len(g) == k and g[0] == charlm.START}
+    cuts = {}
+    for k, grams in level.items():
+        n = [sum(v == i for v in grams.values()) for i in range(5)]
+        y = n[1] / max(n[1] + 2 * n[2], 1)
+        cuts[k] = [0] + [min(max(i - (i + 1) * y * n[i + 1] / max(n[i], 1), 0.1), i - 0.1) for i in (1, 2, 3)]
+    size = len(level[1])
+
+    def p(history, c):
+        if not history:
+            rest = {g: v for g, v in level[1].items()}
+            low = 1 / (size + 1)
+        else:
+            rest = {g: v for g, v in level[len(history) + 1].items() if g[:-1] == history}
+            low = p(history[1:], c)
+        if not rest:
+            return low
+        d, total = cuts[len(history) + 1], sum(rest.values())
+        n = rest.get(history + c, 0)
+        return (n - d[min(n, 3)]) / total + sum(d[min(v, 3)] for v in rest.values()) / total * low
+
+    return p, [g for g in level[1]]
+
+
+def test_kneser_ney_against_dictionaries_and_sums_to_one(spark):
     import numpy as np
 
-    alphabet = ["a", "b", charlm.END, "?"]
-    # every history's next characters: seen ones, and the mass of one unseen
-    for history in ("", "a", "ab", "ba"):
-        p = [np.exp(model.log_probs([history + c])[0, 0] - model.log_probs([history])[0, 0]) for c in ("a", "b")]
-        assert all(0 < v < 1.5 for v in p)
-    assert model.log_probs(["ab"])[0, 0] > model.log_probs(["a?"])[0, 0] and len(alphabet) == 4
-
+    rnd = random.Random(3)
+    words = ["".join(rnd.choices("abcd", weights=[5, 3, 2, 1], k=rnd.randint(1, 6))) for _ in range(150)]
+    p, alphabet = brute_kneser_ney(words, 4)
+    for history in ("", "\x02", "\x02a", "ab", "abc", "dd", "zz", "\x02ab"):
+        assert abs(sum(p(history, c) for c in [*alphabet, "?"]) - 1) < 1e-9
+    tables = charlm.train(spark.createDataFrame([("m", " ".join(words[:90])), ("m", "  ".join(words[90:])), (None, "xyz"), ("m", None)], "model string, text string"), scratch(spark), 4, "letters")
+    model = tables.collect()
+    probe = [*words[:20], "dcba", "aaaaaaaa", "z", "abz", "za"]
+    want = []
+    for w in probe:
+        full = "\x02" + w + "\x03"
+        want.append(sum(np.log(p(full[max(0, i - 3) : i], full[i])) for i in range(1, len(full))))
+    got = charlm.sums(probe, "letters", 4, 1, lambda _, grams: model.values(grams()))
+    assert np.allclose(got[:, 0], want, rtol=1e-5) and got[:, 1].tolist() == [len(w) + 1 for w in probe]
+    joined = tables.joined_sums(spark.createDataFrame(list(enumerate(probe)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert np.allclose([r["lg_sums"][0] for r in joined], want, rtol=1e-9)
+
+
+def test_grams_do_not_depend_on_how_texts_are_cut(monkeypatch):
+    import numpy as np
 
-def test_models_beyond_the_bound_score_alike(spark, odd, small, monkeypatch):
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choice(["no", "no", "a", "xy\u0301z", "\U0001f600", "w" * 30]) for _ in range(rnd.randint(0, 80))) for _ in range(30)] + [None, "", "x" * 500, "no " * 300]
+    for kind in ("spaces", "letters"):
+        value = lambda h, grams: (h % np.uint64(1009)).astype(float)[:, None]
+        want = charlm.sums(texts, kind, 5, 1, value)
+        monkeypatch.setattr(charlm, "CHUNK", 40)
+        assert (charlm.sums(texts, kind, 5, 1, value) == want).all()
+        assert (np.concatenate([charlm.sums([t], kind, 5, 1, value) for t in texts]) == want).all()
+        monkeypatch.undo()
+        repeats = sum(len(re.findall(r"\S+", t or "")) for t in texts)
+        assert kind == "letters" or want[:, 1].sum() < sum(len(w) + 1 for t in texts for w in (t or "").split()) and repeats
+    g = charlm.grams_of(["ab ab", "c"], "spaces", 3)
+    assert g.strings(np.arange(len(g.hashes)), 3).tolist() == ["\x02a", "\x02ab", "ab\x03", "\x02\x04", "\x02\x04\x03", "\x02c", "\x02c\x03"]
+    assert (charlm.hash_strings(g.strings(np.arange(len(g.hashes)), 3)) == g.hashes).all()
+
+
+def test_languages_by_joins_and_by_arrays_alike(spark, odd, small, monkeypatch):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang").unionByName(odd.select("doc_id", "text", "lang"))
-    labels = spark.read.parquet(f"{small}/labels.parquet")
-    runs = [lambda: quality.classify(docs, labels, scratch(spark)), lambda: langid.identify(docs, scratch(spark))]
-    ordered = lambda df: [tuple(pytest.approx(v, rel=1e-4) if isinstance(v, float) else v for v in r) for r in df.orderBy("doc_id", *df.columns[-2:-1], "cross_entropy").collect()]
-    want = [ordered(run()) for run in runs]
-    monkeypatch.setattr(quality, "MAX_ENTRIES", 100)
+    ordered = lambda df: [tuple(pytest.approx(v, rel=1e-4) if isinstance(v, float) else v for v in r) for r in df.orderBy("doc_id", "lang_pred", "cross_entropy").collect()]
+    want = ordered(langid.identify(docs, scratch(spark)))
     monkeypatch.setattr(langid, "MAX_ENTRIES", 100)
-    for run, rows in zip(runs, want):
-        assert ordered(run()) == rows
+    monkeypatch.setattr(charlm, "BLOCK_CHARS", 50_000)
+    assert ordered(langid.identify(docs, scratch(spark))) == want
+
+
+def test_letters_that_are_none(spark):
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(["plain words of text here", "½ ² ①", "\u0301\u0301", "1 2", "und x"] * 3)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, scratch(spark)).collect()}
+    assert [got[i] for i in range(5)] == ["en", "und", "und", "und", "en"]
+
+
+def test_quality_of_documents_whose_labels_were_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    known, held = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
+    got = quality.classify(docs, known, scratch(spark)).join(held, "doc_id").groupBy("quality", "toxic").agg(F.avg(F.col("keep").cast("double")).alias("kept")).collect()
+    kept = {(r["quality"], r["toxic"]): r["kept"] for r in got}
+    assert kept[1, 0] >= 0.97 and kept[0, 0] <= 0.1
 
 
 def test_quality(spark, small):

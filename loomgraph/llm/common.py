@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -10,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomgraph.session import prepare
 
-#: Arrow batches hold at most this many rows, so that a batch of long texts fits a Python worker.
-BATCH_ROWS = 512
+#: Arrow batches hold at most this many rows and, but for the last row, bytes, so that a batch of long texts fits a Python worker.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +24,7 @@ def bound_batches(spark: SparkSession) -> None:
     """Bounds the Arrow batches of this session (a documented side effect of the operators) and ships the package."""
     prepare(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def ascii_lower(column):
@@ -32,14 +35,20 @@ def ascii_lower(column):
 class Scratch:
     """Tables in the shared folder named by spark.checkpoint.dir; they cut lineage and survive lost executors.
 
-    Where the setting is unset (tests on one machine), a temporary folder is used.
+    Where the setting is unset, a session on one machine gets a temporary folder that goes with the process; a cluster must name
+    a folder that all its machines share. Tables that the result of an operator reads stay, for the cluster to clear.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not root:
-            root = f"file://{tempfile.mkdtemp(prefix='loomgraph-')}"
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="loomgraph-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            root = f"file://{folder}"
         self.root = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
         self.count = 0
 

@@ -6,8 +6,8 @@ with nothing). Documents are linked if 100 * intersection >= percent * union.
 1. Signatures (`SLOTS` values) by SuperMinHash: each shingle walks a permutation of the slots and offers the value
    step + fraction; all shingles of a batch take a step together, and a document stops once every slot holds a value below
    the next step. Equal sets collapse to one class by a 128-bit sum of shingle hashes.
-2. Bands of `ROWS` slots. Buckets with the same lowest id become one family. A family of up to `LIMIT` classes is settled in
-   one task (a bounded group: intersections of whole sets as a matrix product, then union-find), which hands on a spanning
+2. Bands of `ROWS` slots. Buckets with the same lowest id become one family. A family of up to `LIMIT` classes with up to
+   `ELEMENTS` shingles in all is settled in one task (a bounded group: intersections of whole sets as a matrix product, then union-find), which hands on a spanning
    forest. Larger families are never gathered or paired off: a family has a consensus C, the shingles of more than half of
    its members. With D(x) the difference of x and C, x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)| shingles and are
    linked if that is at most share * (|x| + |y|). Let f(x) = |D(x)| - share * |x|. Every pair with f(x) + f(y) <= 0 is
@@ -19,8 +19,12 @@ with nothing). Documents are linked if 100 * intersection >= percent * union.
 3. Links are confirmed on whole sets of 64-bit shingle hashes.
 4. Components by alternating large-star and small-star rounds (union-find as joins) until nothing changes.
 
-Null or empty texts: 0 shingles, a component of their own. A null doc_id is a document too. Repeated rows of a doc_id are
-answered each; they share a component (that of the lowest class any of them is in is found through their common id).
+Links are between classes (rows of equal sets), whatever their doc_ids; rows that share a doc_id are one document for reachability,
+so their classes are linked. component_id is the lowest doc_id of the component. Null or empty texts: 0 shingles, a component of
+their own. A row with a null doc_id is a document: its component_id is the lowest doc_id it reaches, else null, and `keep_first`
+drops it in the first case only. Repeated rows are answered each; `keep_first` keeps all rows of the lowest doc_id whose text is in
+that component. Ties cannot arise: classes of one id are one component. An empty table gives an empty table. Very long texts need
+memory for their own set. Extra columns pass; columns named lg_drop raise an error.
 """
 
 from __future__ import annotations
@@ -29,13 +33,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Scratch, binary_texts, bound_batches, check_free, mix64, released, table
+from .common import Scratch, binary_texts, bound_batches, check_free, extended, mix64, released, sieve, sieved, table
 
 SLOTS, ROWS = 96, 4
 BANDS = SLOTS // ROWS
 SALTS = 32
-#: Members of a group that one task settles.
-LIMIT = 512
+#: Members of a group that one task settles, and their shingles.
+LIMIT, ELEMENTS = 512, 8_000_000
 #: Fixed: A-Z become a-z; words are split at the bytes 0x09-0x0D and 0x20.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -133,12 +137,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             texts = binary_texts(batch.column(1))
             hashes, counts = shingle_hashes(texts, words)
-            sums = np.zeros((2, len(texts)), np.uint64)
-            if len(hashes):
-                some = np.flatnonzero(counts)
-                starts = (np.cumsum(counts) - counts)[some]
-                for k in range(2):
-                    sums[k, some] = np.add.reduceat(mix64(hashes + np.uint64(k)), starts)
+            sums = class_sums(hashes, counts)
             sig = super_minhash(hashes, counts).view(np.uint64).reshape(len(texts), BANDS, ROWS)
             band = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(texts), BANDS))
             for r in range(ROWS):
@@ -150,16 +149,28 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {kind}, n_shingles long, c1 long, c2 long, bands array<long>")
 
 
+def class_sums(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Two 64-bit sums of each set's hashes: equal sets have equal ones."""
+    sums = np.zeros((2, len(counts)), np.uint64)
+    if len(hashes):
+        some = np.flatnonzero(counts)
+        starts = (np.cumsum(counts) - counts)[some]
+        for k in range(2):
+            sums[k, some] = np.add.reduceat(mix64(hashes + np.uint64(k)), starts)
+    return sums
+
+
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(id, s): sorted shingle hashes."""
+    """(id, c1, c2, n, s): sorted shingle hashes, with their number and their class."""
 
     def run(batches):
         for batch in batches:
             hashes, counts = shingle_hashes(binary_texts(batch.column(1)), words)
+            sums = class_sums(hashes, counts).view(np.int64)
             sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(hashes.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["id", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums[0]), pa.array(sums[1]), pa.array(counts), sets], ["id", "c1", "c2", "n", "s"])
 
-    return docs.select("id", "text").mapInArrow(released(run), "id long, s array<long>")
+    return docs.select("id", "text").mapInArrow(released(run), "id long, c1 long, c2 long, n long, s array<long>")
 
 
 def settle(ids: np.ndarray, sizes: np.ndarray, differences: list, percent: int) -> list[tuple[int, int]]:
@@ -247,9 +258,10 @@ def links(families: DataFrame, sets: DataFrame, scratch: Scratch, percent: int,
     rows = scratch.save(families.join(sets, "id").select("g", "id", F.size("s").cast("long").alias("n"), F.col("s").alias("d"), F.lit(False).alias("core")))
     found: list[DataFrame] = []
     while True:
-        size = scratch.save(rows.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.min("core").alias("closed")).where("k > 1 and not closed").select("g", "k"))
-        found.append(scratch.save(settle_groups(rows.join(size.where(F.col("k") <= limit), "g", "left_semi"), percent)))
-        large = scratch.save(rows.join(size.where(F.col("k") > limit), "g", "left_semi").select("g", "id", "n", "d"))
+        size = scratch.save(rows.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.min("core").alias("closed"), F.sum(F.size("d")).alias("e")).where("k > 1 and not closed"))
+        small = (F.col("k") <= limit) & (F.col("e") <= ELEMENTS)
+        found.append(scratch.save(settle_groups(rows.join(size.where(small), "g", "left_semi"), percent)))
+        large = scratch.save(rows.join(size.where(~small), "g", "left_semi").select("g", "id", "n", "d"))
         if not large.take(1):
             return union(found).distinct()
         core, following = judge_families(large, scratch, percent)
@@ -268,7 +280,8 @@ def union(frames: list[DataFrame]) -> DataFrame:
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, root): the lowest id reachable, for every id with an edge. Large-star and small-star rounds.
 
-    Each round's joins move labels, not neighbour lists, so an id with any number of edges is a sum, not a gathered group.
+    Each round's joins move labels, not neighbour lists. The lowest neighbour is a sum, whatever the number of edges; the join of a
+    hub's edges with its one label is left to adaptive execution to split.
     """
     now = scratch.save(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
@@ -285,37 +298,69 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return now.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
+CLASS = ("c1", "c2", "n_shingles")
+
+
 def group(docs: DataFrame, scratch: Scratch, words: int = 5, percent: int = 80, limit: int = LIMIT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs."""
+    """(doc_id, n_shingles, c1, c2, component_id) for each row of docs."""
     spark = docs.sparkSession
     bound_batches(spark)
     rows = scratch.save(signatures(docs, words))
-    some = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = scratch.save(some.groupBy("c1", "c2", "n_shingles").agg(F.min("doc_id").cast("long").alias("id"), F.min_by("bands", "doc_id").alias("bands")))
+    classes = rows.where("n_shingles > 0").groupBy(*CLASS).agg(F.min(F.col("doc_id").cast("long")).alias("doc"), F.any_value("bands").alias("bands"))
+    # a class's number here: 64 bits of its 128 and its size
+    classes = scratch.save(classes.withColumn("id", F.xxhash64(*CLASS)))
     groups = classes.select("id", F.posexplode("bands").alias("band", "h")).select(F.xxhash64("band", "h").alias("g"), "id")
     buckets = groups.groupBy("g").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("k")).where("k > 1").select("g", "low")
     families = scratch.save(groups.join(buckets, "g").select(F.col("low").alias("g"), "id").distinct())
-    wanted = families.select("id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null").hint("merge").join(wanted.hint("merge"), "id", "left_semi")  # the same join at every size
-    # rows of one doc_id with several texts: each set stands by its own class, whose lowest id may be shared
-    sets = scratch.save(shingle_sets(texts, words).dropDuplicates(["id"]))
+    wanted = scratch.save(classes.join(families.select("id").distinct(), "id", "left_semi").select("id", "doc", *CLASS))
+    # texts are read again where they are; only those that may be a wanted class's first go on, as sets
+    texts = sieved(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), scratch.save(sieve(wanted, "doc")), "id").where("lg_may").drop("lg_may")
+    sets = shingle_sets(texts, words).withColumn("id", F.xxhash64("c1", "c2", "n")).join(wanted.select("id"), "id", "left_semi")
+    sets = scratch.save(sets.groupBy("id").agg(F.any_value("s").alias("s")))
     edges = links(families, sets, scratch, percent, limit)
+    # classes of one doc_id are one document
+    pairs = rows.where("n_shingles > 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(*CLASS).alias("id"))
+    several = scratch.save(pairs.groupBy("doc").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a != b").select("doc", "a"))
+    pairs = sieved(pairs, scratch.save(sieve(several, "doc")), "doc").where("lg_may").drop("lg_may").distinct()
+    edges = edges.unionByName(pairs.join(several, "doc").where("a != id").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")))
     roots = components(edges, scratch)
-    labelled = classes.select("c1", "c2", "n_shingles", "id").join(roots, "id", "left").select("c1", "c2", "n_shingles", F.coalesce("root", "id").alias("root"))
-    keep = F.col("n_shingles") > 0
+    roots = roots.unionByName(roots.select(F.col("root").alias("id"), "root").distinct())
+    lowest = classes.join(roots, "id").groupBy("root").agg(F.min("doc").alias("component_id"))
+    labelled = classes.join(roots.join(lowest, "root"), "id", "left").select(*CLASS, F.coalesce("component_id", "doc").alias("component_id"))
     # a class that holds many copies is one row here; the copies' side is split by a salt
     salts = 16
-    left = rows.select("doc_id", "n_shingles", "c1", "c2", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"))
+    left = rows.select("doc_id", *CLASS, F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"))
     right = labelled.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    out = left.join(right, ["c1", "c2", "n_shingles", "salt"], "left")
-    return out.select("doc_id", "n_shingles", F.when(keep & F.col("doc_id").isNotNull(), F.coalesce("root", F.col("doc_id").cast("long"))).otherwise(F.col("doc_id").cast("long")).alias("component_id"))
+    out = left.join(right, [*CLASS, "salt"], "left")
+    return out.select("doc_id", "n_shingles", "c1", "c2", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id").cast("long")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, scratch: Scratch, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that are the lowest doc_id of their component, with their own columns."""
-    check_free(docs, "lg_drop")
-    gone = group(docs, scratch, words, percent).where("component_id != doc_id").select(F.col("doc_id").alias("lg_drop")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("lg_drop"), "left_anti")
+    check_free(docs, "lg_drop", "lg_may")
+    found = scratch.save(group(docs, scratch, words, percent))
+    gone = found.where("component_id != doc_id").select(F.col("doc_id").alias("lg_drop")).distinct()
+    # a text without doc_id goes if it reaches a document that has one
+    texts = found.where("doc_id is null and component_id is not null").select("n_shingles", "c1", "c2").distinct()
+    named = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col("lg_drop"), "left_anti")
+    nameless = docs.where("doc_id is null")
+    if texts.take(1):
+        nameless = drop_classes(nameless, texts, words)
+    return named.unionByName(nameless)
+
+
+def drop_classes(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """docs without those whose sets are in classes (n_shingles, c1, c2)."""
+    at, kinds = docs.columns.index("text"), ("lg_n", "lg_c1", "lg_c2")
+
+    def run(batches):
+        for batch in batches:
+            hashes, counts = shingle_hashes(binary_texts(batch.column(at)), words)
+            sums = class_sums(hashes, counts).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts), pa.array(sums[0]), pa.array(sums[1])], [*batch.schema.names, *kinds])
+
+    rows = docs.mapInArrow(run, extended(docs, **dict.fromkeys(kinds, "long")))
+    return rows.join(classes.toDF(*kinds), list(kinds), "left_anti").select(docs.columns)
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -217,8 +217,9 @@ def brute_components(rows, words, percent):
     return {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize("limit", [512, 12])
-def test_near_duplicates_in_large_families(spark, limit):
+@pytest.mark.parametrize("limit, elements", [(512, 10**7), (12, 10**7), (512, 500)])
+def test_near_duplicates_in_large_families(spark, limit, elements, monkeypatch):
+    monkeypatch.setattr(neardup, "ELEMENTS", elements)
     rnd = random.Random(4)
     vocab = [f"w{k}" for k in range(2000)]
     base = [rnd.choice(vocab) for _ in range(120)]
@@ -229,6 +230,17 @@ def test_near_duplicates_in_large_families(spark, limit):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == want
 
 
+def test_near_duplicates_of_texts_that_share_an_id_or_have_none(spark):
+    words = lambda seed: " ".join(f"w{random.Random(seed * 100 + k).randint(0, 10**6)}" for k in range(40))
+    a, b, c, d = map(words, range(4))
+    rows = [(6, a), (6, b), (7, a + " z"), (8, b + " z"), (None, c), (None, c + " z"), (9, c + " y"), (None, d), (10, d.replace("w", "v"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in neardup.group(df, scratch(spark), 3, 85).collect())
+    assert got == [(0, 0), (0, 9), (0, 9), (6, 6), (6, 6), (7, 6), (8, 6), (9, 9), (10, 10)]
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in neardup.keep_first(df, scratch(spark), 3, 85).collect())
+    assert kept == sorted([(0, d), (6, a), (6, b), (9, c + " y"), (10, d.replace("w", "v"))])
+
+
 def test_near_duplicates_odd(spark, odd, none):
     got = neardup.keep_first(odd, scratch(spark))
     assert got.columns == odd.columns

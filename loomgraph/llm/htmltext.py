@@ -7,12 +7,16 @@ element is article content. Decoding picks, bottom up, for each subtree the best
 children decide each for themselves); so nothing kept lies under something dropped as a whole, and the reverse.
 
 Text inside a block: character references decoded, white space runs to one space, trimmed; blocks joined by one newline.
-Elements that never show text (scripts, styles, the head, templates, form controls) have none.
+Elements that never show text (scripts, styles, the head, templates, form controls, and whatever has the attribute hidden or the
+style display:none) have none.
 
 The trees are trained on `TRAIN_PAGES` made-up pages, on the driver; no page of the input is used.
 
-Null or empty html gives the empty text; so does a page without content. Repeated rows are answered each. Broken markup is
-read as far as it goes: unknown end tags are ignored, missing ones implied.
+Null or empty html gives the empty text; so does a page without content. Repeated rows are answered each; ties of the decoding go to
+keeping. An empty table gives an empty table; extra columns pass, and one named like the output raises an error. Broken markup is
+read as far as it goes: unknown end tags are ignored, missing ones implied; a quote opens a value only after =, and only if the
+quote that closes it ends the value (else the tag goes up to >). Reading is linear in the page, whatever is left open: end tags
+look for their element only if one is open, and block starts only at elements that they may close.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from __future__ import annotations
 import functools
 import html as html_module
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +34,10 @@ from . import gbt
 from .common import bound_batches, check_free, extended, table
 
 TRAIN_PAGES = 700
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|itemprop|aria-label|style|hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:"[^"]*+"(?=[\s/>])|'[^']*+'(?=[\s/>]))|=)*+)(?:>|\Z)""", re.S)
+ATTRIBUTE = re.compile(r"""([^\s=>/"']+)(?:\s*=\s*(?:"([^"]*)"(?=[\s/]|\Z)|'([^']*)'(?=[\s/]|\Z)|([^\s>]*)))?""")
+NAMED = frozenset("class id role itemprop aria-label".split())
+UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 SPACE = re.compile(r"\s+")
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,7 +45,9 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 HIDDEN = frozenset("head script style template noscript textarea select option button svg iframe object canvas audio video datalist title math noembed noframes xmp".split())
 BLOCK = frozenset("html body address article aside blockquote center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
+#: Elements that the start of a block may close, or at which it stops looking.
 SCOPE = frozenset("ul ol dl table html body div section article main aside nav header footer form".split())
+MARKS = SCOPE | {"p", *CLOSES, *(x for xs in CLOSES.values() for x in xs)}
 #: Attribute tokens by what they speak for.
 GOOD = re.compile(r"article|content|main|post(?!er)|entry|story|text|body|prose|news|blog", re.I)
 BAD = {
@@ -61,11 +70,13 @@ class Page:
         self.tags, self.parents, self.tokens = ["html"], [-1], [""]
         self.blocks: list[tuple[int, str, int]] = []
         self.inline = [0]
-        stack: list[tuple[str, int]] = [("html", 0)]  # every open tag, with the element it belongs to
+        stack: list[tuple[str, int, bool]] = [("html", 0, False)]  # every open tag, with the element it belongs to, and whether it hides
+        counts: Counter = Counter()  # of open tags by name
+        scopes: list[Counter] = [Counter()]  # of open inline tags by name, for each open block
+        marks: list[int] = []  # places of MARKS in the stack
         hidden = 0
         buffer: list[str] = []
         linked = 0
-        in_link = 0
         at, size = 0, len(source)
 
         def put(piece: str) -> None:
@@ -74,7 +85,7 @@ class Page:
                 return
             piece = html_module.unescape(piece) if "&" in piece else piece
             buffer.append(piece)
-            if in_link:
+            if counts["a"]:
                 linked += len(piece.strip())
 
         def flush() -> None:
@@ -86,15 +97,32 @@ class Page:
                 buffer.clear()
             linked = 0
 
+        def open_tag(name: str, element: int, hides: bool) -> None:
+            nonlocal hidden
+            if name in MARKS:
+                marks.append(len(stack))
+            stack.append((name, element, hides))
+            counts[name] += 1
+            hidden += hides
+            if name in BLOCK:
+                scopes.append(Counter())
+            else:
+                scopes[-1][name] += 1
+
         def close(index: int) -> None:
-            nonlocal hidden, in_link
+            nonlocal hidden
             while len(stack) > index:
-                name = stack[-1][0]
+                name, _, hides = stack[-1]
                 if name in BLOCK:
                     flush()
+                    scopes.pop()
+                else:
+                    scopes[-1][name] -= 1
                 stack.pop()
-                hidden -= name in HIDDEN
-                in_link -= name == "a"
+                counts[name] -= 1
+                hidden -= hides
+                if marks and marks[-1] == len(stack):
+                    marks.pop()
 
         while at < size:
             m = TAG.search(source, at)
@@ -107,27 +135,27 @@ class Page:
                 continue
             name = m[2].lower()
             if m[1]:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == name:
-                        close(i)
-                        break
-                    if name not in BLOCK and stack[i][0] in BLOCK and name != "a":
-                        break
-                else:
-                    if name == "p":
-                        flush()
+                if (counts if name in BLOCK or name == "a" else scopes[-1])[name]:
+                    i = len(stack) - 1
+                    while stack[i][0] != name:
+                        i -= 1
+                    close(i)
+                elif name == "p":
+                    flush()
                 continue
-            if name in BLOCK and len(stack) > 1:
-                shut = CLOSES.get(name, ())
-                for i in range(len(stack) - 1, 0, -1):
-                    other = stack[i][0]
-                    if other == "p" or other in shut:
-                        close(i)
-                        if other != "p":
-                            continue
+            if name in BLOCK:
+                shut = CLOSES.get(name)
+                k = len(marks) - 1
+                while k >= 0:
+                    other = stack[marks[k]][0]
+                    if other == "p":
+                        close(marks[k])
                         break
-                    if other in SCOPE:
+                    if shut is None or other in SCOPE:
                         break
+                    if other in shut:
+                        close(marks[k])
+                    k -= 1
             if name == "br":
                 put(" ")
                 continue
@@ -136,28 +164,26 @@ class Page:
                     flush()
                 self.inline[stack[-1][1]] += 1
                 continue
-            if name in ("html", "body") and any(t == name for t, _ in stack[1:]) or name == "html":
+            if name == "html" or name == "body" and counts["body"]:
                 continue
+            tokens, hides = attributes(m[3]) if m[3] else ("", False)
+            hides = hides or name in HIDDEN
             if name in RAW:
                 end = re.compile(f"</{re.escape(name)}", re.I).search(source, at)
-                at = size if end is None else end.start()
                 if end is None:
                     break
-                stack.append((name, stack[-1][1]))
-                hidden += name in HIDDEN
-                continue
-            if name in BLOCK:
+                at = end.start()
+                open_tag(name, stack[-1][1], hides)
+            elif name in BLOCK:
                 flush()
-                stack.append((name, len(self.tags)))
+                self.parents.append(stack[-1][1])
                 self.tags.append(name)
-                self.parents.append(stack[-2][1])
-                self.tokens.append(token_text(m[3]) if m[3] else "")
+                self.tokens.append(tokens)
                 self.inline.append(0)
+                open_tag(name, len(self.tags) - 1, hides)
             else:
                 self.inline[stack[-1][1]] += 1
-                stack.append((name, stack[-1][1]))
-            hidden += name in HIDDEN
-            in_link += name == "a"
+                open_tag(name, stack[-1][1], hides)
         close(1)
         flush()
 
@@ -239,8 +265,16 @@ class Page:
         return [text for e, text, _ in self.blocks if choice[e] == 2 or choice[e] == 1 and p[e] >= 0.5]
 
 
-def token_text(attrs: str) -> str:
-    return " ".join(m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attrs) if m[1].lower() not in ("style", "hidden"))
+def attributes(text: str) -> tuple[str, bool]:
+    """The values of naming attributes, and whether the element hides what it holds."""
+    values, hides = [], False
+    for m in ATTRIBUTE.finditer(text):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name in NAMED:
+            values.append(value)
+        elif name == "hidden" or name == "style" and UNSEEN.search(value):
+            hides = True
+    return " ".join(values), hides
 
 
 def made_up_page(rng: np.random.Generator) -> tuple[str, list[str]]:

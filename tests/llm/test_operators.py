@@ -56,6 +56,39 @@ def test_html_text_leaves_the_rest_out():
     assert got[1] == got[2] == ""
 
 
+def test_html_quotes_hidden_text_and_attributes():
+    long = "A long paragraph, with commas, that says a lot of things about it."
+    page = f"<body><nav class=menu><a href=/>Home</a></nav><article><h1>Title of it</h1><p title='it's fine'>{long}</p><p title='it's'>Hello there, {long}<p data-id=sidebar data-class='ad'>{long}</p><p title=\"odd>{long}</p><p class=\"x\">{long} <b a='>'>bold</b></p><p hidden>unseen words</p><div style='display: none'><p>unseen too</p></div><p class=hidden-gem>{long}</p></article>"
+    got = htmltext.texts_of([page], htmltext.forest())[0].split("\n")
+    assert got == ["Title of it", long, f"Hello there, {long}", long, long, f"{long} bold", long]
+    assert htmltext.attributes(" data-id=x class='a b' id=\"c\" hidden=''") == ("a b c", True)
+
+
+@pytest.mark.parametrize("piece", ["<b></i>", "<a ", "<b>", "<blockquote>", "<p><b>", "<i><div><b></i>", "<thead><blockquote>", "<li><dt>", "</p>", "<a href=\"", "<a b='c", "<!--", "<td><p>", "&amp", "<title>"])
+def test_broken_markup_is_read_in_linear_time(piece):
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        htmltext.Page(piece * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 0.2
+
+
+def test_html_odd(spark):
+    page = "<article><h1>Title here</h1><p>Some words, and more words, that make up a paragraph.</p></article>"
+    rows = [(1, None, None), (2, "u", ""), (3, "u", page), (3, "u", page), (None, None, page), (4, "u", "<p>" + "x " * 500_000), (5, "u", "plain text, no tags at all")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("n_chars", F.lit(1))
+    got = htmltext.extract(pages)
+    assert got.columns == [*pages.columns, "text"]
+    texts = [r["text"] for r in got.orderBy("page_id").collect()]
+    assert len(texts) == len(rows) and sum(t.startswith("Title here\nSome words") for t in texts) == 3 and sum(t == "" for t in texts) >= 2
+    assert htmltext.extract(pages.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="already in use"):
+        htmltext.extract(pages.withColumn("text", F.lit(1)))
+
+
 def test_forest_learns_and_prints_as_sql():
     import numpy as np
 

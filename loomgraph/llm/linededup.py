@@ -20,7 +20,7 @@ a near-duplicate shares with its source (the text that is first for most of what
 (`WORDS`-word shingles, `PERCENT`) once what recurs from elsewhere is gone, since near-duplicate detection is to drop it as
 a whole. Only texts of which `CANDIDATE` or more recurs can be such copies, and are looked at.
 
-Plans: leaves and marks are hashed in Arrow batches, counted with partial sums before the shuffle; places are hashed again and
+Plans: leaves and marks are hashed once, in Arrow batches, and written; they are counted with partial sums before the shuffle, and
 sieved by the recurring hashes (common.sieve), so that only what may recur meets them, in a join salted by text. Keys, classes of
 equal texts and windows are 64-bit hashes.
 
@@ -31,15 +31,13 @@ Extra columns pass; columns named like an output or beginning with lg_ raise an
 
 from __future__ import annotations
 
-import re
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Scratch, binary_texts, bound_batches, check_free, extended, mix64, released, sieve, sieved, table
+from .common import Scratch, binary_texts, bound_batches, check_free, mix64, released, sieve, sieved, table
 from .neardup import shingle_sets
 
 LEAD, PARTS, MIN_FIXED = 1, 4, 5
@@ -50,53 +48,123 @@ CANDIDATE = 0.5
 WORDS, PERCENT = 5, 80
 SALTS, COPIES = 32, 64
 FIRST = -(2**63)
-TOKEN = re.compile(rb"[^\x09-\x0D\x20]+")
-DIGIT = re.compile(rb"[0-9]")
-VARIABLE = re.compile(rb"[^\x09-\x0D\x20]*[0-9][^\x09-\x0D\x20]*")
 #: The parts that a branch leaves variable: none, each, each two.
 BRANCHES = [(), *combinations(range(PARTS), 1), *combinations(range(PARTS), 2)]
 
 
-def fields(line: bytes) -> list[bytes]:
-    """Tokens of a line, those with a digit as wildcards."""
-    return (VARIABLE.sub(b"<*>", line) if DIGIT.search(line) else line).split()
-
-
 def branch_kinds(n: np.ndarray) -> np.ndarray:
     """How many parts branches of lines of n tokens may leave variable at most."""
     part = -(-(n - LEAD) // PARTS)
     return np.where(n - 2 * part >= MIN_FIXED, 2, np.where(n - part >= MIN_FIXED, 1, 0))
 
 
-def leaves(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(text, place, tokens, branch, leaf) of each leaf that each line belongs to."""
-    owner, place, size, parts = [], [], [], []
-    digest = xxhash.xxh3_64_intdigest
-    for i, text in enumerate(texts):
-        for k, line in enumerate(text.split(b"\n")):
-            t = fields(line)
-            if t:
-                n = len(t)
-                p = -(-(n - LEAD) // PARTS)
-                owner.append(i)
-                place.append(k)
-                size.append(n)
-                parts.append(digest(b" ".join(t[:LEAD])))
-                parts += [digest(b" ".join(t[LEAD + j * p : LEAD + (j + 1) * p])) for j in range(PARTS)]
-    n = np.array(size, np.int64)
-    hashed = np.array(parts, np.uint64).reshape(-1, PARTS + 1)
+#: Bytes of text that are tokenised at once; a longer line is taken whole.
+CHUNK = 4_000_000
+BASE = 0x9E3779B97F4A7C15
+SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+BYTES = mix64(np.arange(256, dtype=np.uint64) + np.uint64(1))
+WILDCARD = mix64(np.array([BASE], np.uint64))[0]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse, modulo 2^64."""
     with np.errstate(over="ignore"):
-        hashed = mix64(hashed + np.arange(1, PARTS + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        node = mix64(n.astype(np.uint64)) + hashed[:, 0]
-        kinds = branch_kinds(n)
-        rows, branch, leaf = [], [], []
-        for b, free in enumerate(BRANCHES):
-            some = np.flatnonzero((kinds == len(free)) | (len(free) == 0))
-            rows.append(some)
-            branch.append(np.full(len(some), b))
-            leaf.append(mix64((node[some] + hashed[some][:, [1 + j for j in range(PARTS) if j not in free]].sum(1, dtype=np.uint64)) ^ np.uint64(b + 1)))
-    rows = np.concatenate(rows)
-    return np.array(owner, np.int64)[rows], np.array(place, np.int64)[rows], n[rows], np.concatenate(branch), np.concatenate(leaf)
+        return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(x))])) for x in (BASE, pow(BASE, -1, 2**64)))
+
+
+class Lines:
+    """The tokens of the lines of some texts: hashes, and hashes of runs of them by prefix sums."""
+
+    def __init__(self, parts: list[tuple[int, int, bytes]]):
+        """parts: (text, place of the first line, lines)."""
+        data = np.frombuffer(b"\n".join([p[2] for p in parts]), np.uint8)
+        inside = np.concatenate([[False], ~SPACES[data], [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        self.starts, self.ends = edges[::2], edges[1::2]
+        breaks = np.cumsum(data == 10)
+        line = np.where(self.starts > 0, breaks[self.starts - 1], 0) if len(data) else np.zeros(0, np.int64)
+        sizes = np.array([len(p[2]) for p in parts], np.int64)
+        first = np.cumsum(sizes + 1) - sizes - 1
+        part = np.searchsorted(first, self.starts, side="right") - 1
+        before = np.where(first > 0, breaks[np.maximum(first - 1, 0)], 0) if len(data) else np.zeros(len(parts), np.int64)
+        power, inverse = powers(len(data))
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(BYTES[data] * power[:-1])])
+            self.hash = mix64((sums[self.ends] - sums[self.starts]) * inverse[self.starts])
+            digits = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])
+            fields = np.where(digits[self.ends] > digits[self.starts], WILDCARD, self.hash)
+            token_power, self.inverse = powers(len(self.hash))
+            self.sums = np.concatenate([[np.uint64(0)], np.cumsum(self.hash * token_power[:-1])])
+            self.field_sums = np.concatenate([[np.uint64(0)], np.cumsum(fields * token_power[:-1])])
+        # lines that have tokens: their first token, tokens, text and place
+        self.at = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.zeros(0, np.int64)
+        self.n = np.diff(np.concatenate([self.at, [len(line)]]))
+        self.text = np.array([p[0] for p in parts], np.int64)[part[self.at]]
+        self.place = line[self.at] - before[part[self.at]] + np.array([p[1] for p in parts], np.int64)[part[self.at]]
+
+    def runs(self, sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix64((sums[stop] - sums[start]) * self.inverse[start] + (stop - start).astype(np.uint64))
+
+    def leaves(self) -> tuple[np.ndarray, ...]:
+        """(line, branch, leaf) of each leaf that each line belongs to."""
+        p = -(-(self.n - LEAD) // PARTS)
+        edges = [np.minimum(LEAD + j * p, self.n) for j in range(PARTS + 1)]
+        hashed = [self.runs(self.field_sums, self.at + edges[j], self.at + edges[j + 1]) for j in range(PARTS)]
+        with np.errstate(over="ignore"):
+            node = mix64(self.n.astype(np.uint64)) + self.runs(self.field_sums, self.at, self.at + np.minimum(LEAD, self.n))
+            hashed = [mix64(h + np.uint64(j + 1) * np.uint64(BASE)) for j, h in enumerate(hashed)]
+            kinds = branch_kinds(self.n)
+            rows, branch, leaf = [], [], []
+            for b, free in enumerate(BRANCHES):
+                some = np.flatnonzero((kinds == len(free)) | (len(free) == 0))
+                total = node[some]
+                for j in range(PARTS):
+                    if j not in free:
+                        total = total + hashed[j][some]
+                rows.append(some)
+                branch.append(np.full(len(some), b))
+                leaf.append(mix64(total ^ np.uint64(b + 1)))
+        return np.concatenate(rows), np.concatenate(branch), np.concatenate(leaf)
+
+    def windows(self, size: int, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first token, hash) of all runs of size tokens of some lines."""
+        count = np.maximum(self.n[lines] - size + 1, 0)
+        start = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.at[lines], count)
+        return start, self.runs(self.sums, start, start + size)
+
+    def marks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(line, first token, hash) of marked grams: the least of each run of LONG_TOKENS tokens."""
+        lines = np.flatnonzero(self.n >= LONG_TOKENS)
+        if not len(lines):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        start, h = self.windows(SEED, lines)
+        width = LONG_TOKENS - SEED + 1
+        count = self.n[lines] - LONG_TOKENS + 1  # runs of each line
+        base = np.cumsum(self.n[lines] - SEED + 1) - (self.n[lines] - SEED + 1)
+        run = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(base, count)
+        found = np.unique(np.lib.stride_tricks.sliding_window_view(h, width)[run].argmin(1) + run)
+        return lines[np.searchsorted(base, found, side="right") - 1], start[found], h[found]
+
+
+def pieces_of(texts: list[bytes]):
+    """Lines of texts, in parts of about CHUNK bytes."""
+    parts, held = [], 0
+    for i, text in enumerate(texts):
+        at = place = 0
+        while at < len(text):
+            stop = len(text) if len(text) - at <= CHUNK else text.find(b"\n", at + CHUNK)
+            stop = len(text) if stop < 0 else stop
+            parts.append((i, place, text[at:stop]))
+            held += stop - at
+            if stop < len(text):
+                place += text.count(b"\n", at, stop) + 1
+            at = stop + 1
+            if held >= CHUNK:
+                yield Lines(parts)
+                parts, held = [], 0
+    if parts:
+        yield Lines(parts)
 
 
 def class_of(text="text"):
@@ -112,40 +180,36 @@ def distinct_texts(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return rows.where("not lg_may").select("cls", "id", "text").unionByName(several)
 
 
-def keys_of(texts: DataFrame, places: bool, passages: bool) -> DataFrame:
-    """(cls, id, place, h, least, n, total): leaves of lines, and marks of passages (place -1), with the number of texts that make
-    them recur, and the tokens of the line and of the text. Without places, each hash once for each text.
-    """
+def keys_of(texts: DataFrame, passages: bool) -> DataFrame:
+    """(cls, id, place, h, fresh, least, n, total): leaves of lines, and marks of passages (place -1), with whether it is the hash's
+    first place in the text, the number of texts that make it recur, and the tokens of the line and of the text."""
 
     def run(batches):
         for batch in batches:
             data = binary_texts(batch.column(2))
-            owner, place, n, branch, h = leaves(data)
-            least = np.where(n >= LONG_TOKENS, LONG_DOCS, MIN_DOCS)
-            total = np.bincount(owner[branch == 0], n[branch == 0], len(data)).astype(np.int64)
-            if passages:
-                marks = [[], []]
-                for i, text in enumerate(data):
-                    found = [seeds(tokens)[1] for _, _, tokens in long_lines(text)]
-                    if found:
-                        marks[1].append(np.unique(np.concatenate(found)))
-                        marks[0].append(np.full(len(marks[1][-1]), i))
-                if marks[0]:
-                    owner, h = np.concatenate([owner, *marks[0]]), np.concatenate([h, *marks[1]])
-                    more = len(h) - len(place)
-                    place, least, n = np.concatenate([place, np.full(more, -1)]), np.concatenate([least, np.full(more, 2)]), np.concatenate([n, np.zeros(more, np.int64)])
-            if not places and len(h):
-                order = np.lexsort((h, owner))
-                new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1])])
-                keep = order[new]
-                owner, place, h, least, n = owner[keep], place[keep], h[keep], least[keep], n[keep]
+            total, out = np.zeros(len(data), np.int64), []
+            for lines in pieces_of(data):
+                total += np.bincount(lines.text, lines.n, len(data)).astype(np.int64)
+                row, _, h = lines.leaves()
+                n = lines.n[row]
+                out.append((lines.text[row], lines.place[row], h, np.where(n >= LONG_TOKENS, LONG_DOCS, MIN_DOCS), n))
+                if passages:
+                    row, _, h = lines.marks()
+                    out.append((lines.text[row], np.full(len(h), -1), h, np.full(len(h), 2), np.zeros(len(h), np.int64)))
+            owner, place, h, least, n = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
+            order = np.lexsort((h, owner))
+            fresh = np.zeros(len(h), bool)
+            if len(h):
+                fresh[order] = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1])])
+            keep = fresh | (place >= 0)
+            owner, place, h, fresh, least, n = owner[keep], place[keep], h[keep], fresh[keep], least[keep], n[keep]
             take = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(place.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(least.astype(np.int8)), pa.array(n.astype(np.int32)), pa.array(total[owner])],
-                ["cls", "id", "place", "h", "least", "n", "total"],
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(place.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(fresh), pa.array(least.astype(np.int8)), pa.array(n.astype(np.int32)), pa.array(total[owner])],
+                ["cls", "id", "place", "h", "fresh", "least", "n", "total"],
             )
 
-    return texts.mapInArrow(released(run), "cls long, id long, place int, h long, least tinyint, n int, total long")
+    return texts.mapInArrow(released(run), "cls long, id long, place int, h long, fresh boolean, least tinyint, n int, total long")
 
 
 def shared(rows: DataFrame, counts: DataFrame, scratch: Scratch) -> DataFrame:
@@ -205,45 +269,34 @@ def without_places(texts: DataFrame, gone: str) -> DataFrame:
     return texts.withColumn("text", F.expr(kept)).drop(gone)
 
 
-def window_hashes(tokens: list[bytes], k: int) -> np.ndarray:
-    """Hashes of all runs of k tokens: polynomials of token hashes, modulo 2^64."""
-    base = 0x9E3779B97F4A7C15
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens))
-    with np.errstate(over="ignore"):
-        powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(h), np.uint64(base))]))
-        back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(h), np.uint64(pow(base, -1, 2**64)))]))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(h * powers[:-1])])
-        return mix64((sums[k:] - sums[:-k]) * back[: len(h) - k + 1])
-
-
-def seeds(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the marked grams of a line: the least of each run of LONG_TOKENS tokens."""
-    h = window_hashes(tokens, SEED)
-    width = LONG_TOKENS - SEED + 1
-    at = np.unique(np.lib.stride_tricks.sliding_window_view(h, width).argmin(1) + np.arange(len(h) - width + 1))
-    return at, h[at]
-
-
-def long_lines(text: bytes):
-    for k, line in enumerate(text.split(b"\n")):
-        if len(line) >= 2 * LONG_TOKENS - 1 and len(tokens := line.split()) >= LONG_TOKENS:
-            yield k, line, tokens
-
-
 def cut(text: bytes, gone: np.ndarray) -> bytes:
     """The text without the tokens of windows whose hash is in gone; a line of nothing else goes too."""
-    lines = text.split(b"\n")
-    for k, line, tokens in long_lines(text):
-        hit = np.flatnonzero(np.isin(window_hashes(tokens, LONG_TOKENS), gone))
+    out: list[bytes | None] = []
+    at = 0
+    while at <= len(text):
+        stop = len(text) if len(text) - at <= CHUNK else text.find(b"\n", at + CHUNK)
+        stop = len(text) if stop < 0 else stop
+        part = text[at:stop]
+        lines, found = part.split(b"\n"), Lines([(0, 0, part)])
+        long = np.flatnonzero(found.n >= LONG_TOKENS)
+        start, h = found.windows(LONG_TOKENS, long)
+        hit = start[np.isin(h, gone)]
         if len(hit):
-            lost = np.zeros(len(tokens) + 1, np.int64)
+            lost = np.zeros(len(found.hash) + 1, np.int64)
             np.add.at(lost, hit, 1)
             np.add.at(lost, hit + LONG_TOKENS, -1)
             lost = np.cumsum(lost)[:-1] > 0
-            places = [m.start() for m in TOKEN.finditer(line)] + [len(line)]
-            kept = b"".join(line[places[i] : places[i + 1]] for i in np.flatnonzero(~lost)).rstrip()
-            lines[k] = line[: places[0]] + kept if kept else None
-    return b"\n".join(x for x in lines if x is not None)
+            for k in long:
+                own = slice(found.at[k], found.at[k] + found.n[k])
+                if lost[own].any():
+                    line = lines[found.place[k]]
+                    places = found.starts[own] - found.starts[found.at[k]] + len(line) - len(line.lstrip())
+                    places = [*places.tolist(), len(line)]
+                    kept = b"".join([line[places[i] : places[i + 1]] for i in np.flatnonzero(~lost[own])]).rstrip()
+                    lines[found.place[k]] = line[: places[0]] + kept if kept else None
+        out += lines
+        at = stop + 1
+    return b"\n".join(x for x in out if x is not None)
 
 
 def without_windows(docs: DataFrame, gone: str) -> DataFrame:
@@ -263,30 +316,38 @@ def without_windows(docs: DataFrame, gone: str) -> DataFrame:
 
 
 def windows_of(texts: DataFrame) -> DataFrame:
-    """(cls, id, h, n, total): windows of LONG_TOKENS tokens around marked grams of the column marks, of lines not in the column gone."""
+    """(cls, id, h, n, total): windows of LONG_TOKENS tokens around marked grams of the column marks, of lines not in the column gone.
+
+    Windows overlap, so n, the tokens of one, is that of the text: how much of it recurs is not known from them.
+    """
 
     def run(batches):
         for batch in batches:
-            owner, hashes, total = [], [np.zeros(0, np.uint64)], []
-            for i, (text, gone, marks) in enumerate(zip(binary_texts(batch.column(2)), batch.column(3).to_pylist(), batch.column(4))):
-                gone, marks, found = set(gone or ()), marks.values.to_numpy(zero_copy_only=False).view(np.uint64), []
-                total.append(len(text.split()))
-                for k, _, tokens in long_lines(text):
-                    if k in gone:
-                        continue
-                    at, h = seeds(tokens)
-                    at = at[np.isin(h, marks)]
-                    if len(at):
-                        w = window_hashes(tokens, LONG_TOKENS)
-                        near = np.unique((at[:, None] - np.arange(LONG_TOKENS - SEED + 1)).ravel())
-                        found.append(w[near[(near >= 0) & (near < len(w))]])
-                if found:
-                    hashes.append(np.unique(np.concatenate(found)))
-                    owner.append(np.full(len(hashes[-1]), i))
-            owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
-            take, h = pa.array(owner), np.concatenate(hashes)
-            # the tokens of windows overlap; a share of 1 means that nothing is known of how much of a text they are
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(h.view(np.int64)), pa.array(np.array(total, np.int64)[owner].astype(np.int32)), pa.array(np.array(total, np.int64)[owner])], ["cls", "id", "h", "n", "total"])
+            data = binary_texts(batch.column(2))
+            gone = {(i, p) for i, places in enumerate(batch.column(3).to_pylist()) for p in places or ()}
+            marks = batch.column(4)
+            pairs = np.concatenate([mix64(x.values.to_numpy(zero_copy_only=False).view(np.uint64) + mix64(np.array([i], np.uint64))) for i, x in enumerate(marks)] or [np.zeros(0, np.uint64)])
+            pairs.sort()
+            total, owner, hashes = np.zeros(len(data), np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for lines in pieces_of(data):
+                total += np.bincount(lines.text, lines.n, len(data)).astype(np.int64)
+                row, at, h = lines.marks()
+                with np.errstate(over="ignore"):
+                    keep = np.isin(mix64(h + mix64(lines.text[row].astype(np.uint64))), pairs)
+                if gone:
+                    keep &= np.array([(t, p) not in gone for t, p in zip(lines.text[row].tolist(), lines.place[row].tolist())], bool)
+                row, at = row[keep], at[keep]
+                near = at[:, None] - np.arange(LONG_TOKENS - SEED + 1)
+                fits = (near >= lines.at[row][:, None]) & (near + LONG_TOKENS <= (lines.at[row] + lines.n[row])[:, None])
+                start, which = np.unique(near[fits], return_index=True)
+                owner.append(np.repeat(lines.text[row], fits.sum(1))[which])
+                hashes.append(lines.runs(lines.sums, start, start + LONG_TOKENS))
+            owner, h = np.concatenate(owner), np.concatenate(hashes)
+            order = np.lexsort((h, owner))
+            new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1])])[: len(h)]
+            owner, h = owner[order][new], h[order][new]
+            take = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(h.view(np.int64)), pa.array(total[owner].astype(np.int32)), pa.array(total[owner])], ["cls", "id", "h", "n", "total"])
 
     return texts.select("cls", "id", "text", "gone", "marks").mapInArrow(released(run), "cls long, id long, h long, n int, total long")
 
@@ -297,7 +358,9 @@ def recurring(docs: DataFrame, scratch: Scratch, passages: bool = True, copies:
     With copies, near-duplicates of a source are spared.
     """
     texts = distinct_texts(docs.select("doc_id", "text"), scratch)
-    hits = scratch.save(shared(keys_of(texts, True, passages), keys_of(texts, False, passages), scratch))
+    keys = scratch.save(keys_of(texts, passages))
+    hits = scratch.save(shared(keys, keys.where("fresh"), scratch))
+    scratch.drop(keys)
     places = scratch.save(marked(hits.where("place >= 0"), "place"))
     lines = scratch.save(spare(texts, places, without_places, scratch) if copies else places.select("cls", "gone"))
     if not passages:
@@ -366,7 +429,8 @@ def templates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """
     bound_batches(docs.sparkSession)
     texts = distinct_texts(docs.select("doc_id", "text"), scratch)
-    hits = shared(keys_of(texts, True, False), keys_of(texts, False, False), scratch).select("cls", "id", "place", "h", "first")
+    keys = scratch.save(keys_of(texts, False))
+    hits = shared(keys, keys.where("fresh"), scratch).select("cls", "id", "place", "h", "first")
     lines = hits.join(texts.select("cls", F.expr(LINES).alias("lines")), "cls").select("cls", "h", "first", F.expr("lines[place]").alias("line"))
     tokens = lines.withColumn("t", F.expr(r"filter(split(regexp_replace(line, r'[^\x09-\x0D\x20]*[0-9][^\x09-\x0D\x20]*', '<*>'), r'[\x09-\x0D\x20]+'), x -> x != '')"))
     at = tokens.select("cls", "h", "first", F.posexplode("t").alias("at", "token"))

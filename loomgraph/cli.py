@@ -99,7 +99,9 @@ def enrich(a) -> None:
         sinks.mark_completed(payloads.select(F.concat_ws("#", "source_file_id", "section").alias("key")), f"{a.out}/completed")
         good, _ = canonicalize.valid_entities(payloads)
         now = F.current_timestamp()
-        entity = canonicalize.merged_entities(good).withColumns({"is_placeholder": F.lit(False), "content_hash": ids.content_hash("canonical_key"), "created_at": now, "updated_at": now, "file_ord": F.dense_rank().over(Window.orderBy("source_file_id"))})
+        entity = canonicalize.merged_entities(good).withColumns({"is_placeholder": F.lit(False), "content_hash": ids.content_hash("canonical_key"), "created_at": now, "updated_at": now})
+        order = entity.select("source_file_id").distinct().withColumn("file_ord", F.row_number().over(Window.orderBy("source_file_id")))  # one short row a file
+        entity = entity.join(order, "source_file_id")
         tables["entities"] = schemas.conform(compile_.merge_entities(schemas_loaded(entity, "entities")).drop("file_ord", "pos"), "entities", strict=False)
         rel = canonicalize.resolved_relations(canonicalize.valid_relations(payloads)[0], good).withColumns({"is_placeholder": F.lit(False), "content_hash": F.sha2(ids.joined(F.col("relationship_type"), F.col("source_entity_id"), F.col("target_entity_id")).cast("binary"), 256), "created_at": now, "file_ord": F.lit(0)})
         tables["relationships"] = schemas.conform(compile_.keep_first(rel, "relationship_id").drop("file_ord", "pos", "source_file_id"), "relationships", strict=False)

@@ -50,8 +50,14 @@ def plain(grid: str = "grid") -> Column:
 
 
 def embedding_text(grid: str = "grid") -> Column:
-    lines = F.transform(F.col(grid), lambda r: F.array_join(F.transform(r, lambda c: c["text"]), " | "))
-    return F.concat(F.lit("Table: "), F.array_join(lines, "\n"))
+    """Rows as cells between bars; a table with header cells begins with them (the last of each column), after "Table: "."""
+    heads = F.filter(F.col(grid), lambda r: F.exists(r, lambda c: c["header"]))
+    own = F.filter(F.transform(F.col(grid), lambda r: F.transform(r, lambda c: F.when(~c["header"], c["text"]))), lambda r: F.exists(r, lambda c: c.isNotNull()))
+    line = lambda r: F.array_join(F.transform(r, lambda c: F.coalesce(c, F.lit(""))), " | ")
+    width = F.size(F.get(F.col(grid), F.lit(0)))
+    top = F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.aggregate(heads, F.lit("").cast("string"), lambda a, r: F.when(F.get(r, i)["header"], F.get(r, i)["text"]).otherwise(a)))
+    first = F.when(F.size(heads) > 0, F.array(F.concat(F.lit("Table: "), line(top)))).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.concat(first, F.transform(own, line)), "\n")
 
 
 def table_chunks(results: DataFrame, at) -> DataFrame:

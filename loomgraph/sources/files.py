@@ -42,9 +42,10 @@ class Elements:
         self.rows: list[tuple] = []
         self.stack: list[tuple[int, str]] = []
 
-    def add(self, kind: str, title=None, content=None, markup=None, parent=None, page=None, row_index=None, sort=None) -> int:
+    def add(self, kind: str, title=None, content=None, markup=None, parent=None, page=None, row_index=None, sort=None, top: bool = False) -> int:
+        """Adds a row; its parent is the one given, else (unless it is a top one) the last heading."""
         key = len(self.rows)
-        up = parent if parent is not None else (self.stack[-1][0] if self.stack else None)
+        up = parent if parent is not None or top else (self.stack[-1][0] if self.stack else None)
         path = "/".join(t for _, t in self.stack) or None
         self.rows.append((key, key, up, kind, title, content, markup, path, page, key if sort is None else sort, row_index))
         return key
@@ -54,81 +55,109 @@ class Elements:
         up = self.stack[-1][0] if self.stack else None
         key = len(self.rows)
         self.stack.append((key, title))
-        return self.add("section", title=title, content=title, parent=up, page=page)
+        return self.add("section", title=title, content=title, parent=up, page=page, top=True)
+
+
+#: Fixed: tags whose start ends an open paragraph, tags without an end, and table parts that end others.
+ENDS_PARAGRAPH = frozenset("p div h1 h2 h3 h4 h5 h6 table ul ol dl pre form hr article section header footer nav aside main blockquote address fieldset center".split())
+EMPTY_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
+ENDS_CELL = {"td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "tbody": ("td", "th", "tr", "thead", "tbody"), "tfoot": ("td", "th", "tr", "thead", "tbody")}
 
 
 class HtmlReader(HTMLParser):
+    """Nodes (headings, paragraphs, tables, images) in order of their start tags, each with the strings in it.
+
+    A node's text is its strings, trimmed, joined by spaces. Headings and paragraphs within a table are part of it; nested tables
+    and images are nodes of their own too.
+    """
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.out, self.table, self.cell, self.text, self.level, self.skip, self.mode = Elements(), [], None, [], 0, 0, None
-
-    def flush(self) -> None:
-        text = " ".join("".join(self.text).split())
-        self.text = []
-        if text and self.mode == "p":
-            self.out.add("paragraph", content=text)
-        elif text and self.mode == "h":
-            self.out.heading(self.level, text)
-        self.mode = None
+        self.nodes: list[dict] = []
+        self.open: list[dict] = []  # nodes that take strings
+        self.tags: list[tuple[str, dict | None]] = []  # open tags, with their node
+        self.tables: list[dict] = []
+        self.skip = 0
+
+    def mark(self, text: str) -> None:
+        for t in self.tables:
+            t["markup"].append(text)
+
+    def shut(self, at: int) -> None:
+        """Ends the open tags from place at on."""
+        while len(self.tags) > at:
+            tag, node = self.tags.pop()
+            self.mark(f"</{tag}>")
+            if node is not None:
+                self.open.remove(node)
+                if node["tag"] == "table":
+                    self.tables.remove(node)
+
+    def end_open(self, names, stop) -> None:
+        for i in range(len(self.tags) - 1, -1, -1):
+            if self.tags[i][0] in names:
+                self.shut(i)
+                return
+            if self.tags[i][0] in stop:
+                return
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("script", "style"):
-            self.skip += 1
-        elif tag == "table":
-            self.flush()
-            self.table.append([])
-        elif self.table:
-            if tag == "tr":
-                self.table[-1].append([])
-            elif tag in ("td", "th"):
-                if not self.table[-1]:
-                    self.table[-1].append([])
-                self.cell = []
-                self.table[-1][-1].append((tag, self.cell))
-        elif tag in ("h1", "h2", "h3", "h4"):
-            self.flush()
-            self.mode, self.level = "h", int(tag[1])
-        elif tag == "p":
-            self.flush()
-            self.mode = "p"
+        if tag in ENDS_PARAGRAPH:
+            self.end_open(("p", "h1", "h2", "h3", "h4") if tag[0] == "h" and tag[1:].isdigit() else ("p",), ("table", "td", "th"))
+        for _ in ENDS_CELL.get(tag, ()):
+            self.end_open(ENDS_CELL[tag], ("table",))
+        node = None
+        if tag == "table" or tag in ("h1", "h2", "h3", "h4", "p") and not self.tables:
+            node = {"tag": tag, "text": [], "markup": []}
         elif tag == "img":
-            kept, self.mode = (self.mode, self.text), None
             a = dict(attrs)
-            self.out.add("image_ref", title=a.get("alt"), content=a.get("src"))
-            self.mode, self.text = kept
-        elif tag == "br":
-            self.text.append(" ")
+            self.nodes.append({"tag": tag, "text": [x.strip() for x in (a.get("src") or "", a.get("alt") or "")]})
+        if node is not None:
+            self.nodes.append(node)
+            self.open.append(node)
+            if tag == "table":
+                self.tables.append(node)
+        named = "".join(f' {k}="{html.escape(v or "", quote=False).replace(chr(34), "&quot;")}"' for k, v in attrs)
+        self.mark(f"<{tag}{named}/>" if tag in EMPTY_TAGS else f"<{tag}{named}>")
+        if tag not in EMPTY_TAGS:
+            self.tags.append((tag, node))
+            self.skip += tag in ("script", "style", "template")
 
     def handle_endtag(self, tag):
-        if tag in ("script", "style"):
-            self.skip = max(0, self.skip - 1)
-        elif tag == "table" and self.table:
-            rows = [[(k, " ".join("".join(c).split())) for k, c in r] for r in self.table.pop()]
-            self.cell = None
-            if not self.table:
-                markup = "<table>" + "".join("<tr>" + "".join(f"<{k}>{html.escape(c)}</{k}>" for k, c in r) + "</tr>" for r in rows) + "</table>"
-                self.out.add("table", content="\n".join("\t".join(c for _, c in r) for r in rows), markup=markup)
-        elif tag in ("td", "th"):
-            self.cell = None
-        elif not self.table and tag in ("p", "h1", "h2", "h3", "h4", "article", "section", "div", "body", "footer"):
-            self.flush()
+        for i in range(len(self.tags) - 1, -1, -1):
+            if self.tags[i][0] == tag:
+                self.skip = max(0, self.skip - (tag in ("script", "style", "template")))
+                return self.shut(i)
+            if self.tags[i][0] == "table":
+                return None
 
     def handle_data(self, data):
         if self.skip:
             return
-        if self.table:
-            if self.cell is not None:
-                self.cell.append(data)
-        elif self.mode:
-            self.text.append(data)
+        self.mark(html.escape(data, quote=False))
+        for node in self.open:
+            node["text"].append(data.strip())
 
 
 def parse_html(raw: bytes, name: str = "") -> list[tuple]:
     reader = HtmlReader()
     reader.feed(raw.decode("utf-8", "ignore"))
     reader.close()
-    reader.flush()
-    return reader.out.rows
+    reader.shut(0)
+    out = Elements()
+    for node in reader.nodes:
+        text = " ".join(x for x in node["text"] if x).strip()
+        if node["tag"] == "table":
+            out.add("table", content=text, markup="".join(node["markup"]))
+        elif not text:
+            continue
+        elif node["tag"] == "img":
+            out.add("image_ref", content=text)
+        elif node["tag"] == "p":
+            out.add("paragraph", content=text)
+        else:
+            out.heading(int(node["tag"][1]), text)
+    return out.rows
 
 
 def sniff(sample: str) -> str:
@@ -211,11 +240,11 @@ def parse_docx(raw: bytes, name: str = "") -> list[tuple]:
                 out.add("paragraph", content=text)
         elif block.tag == f"{WORD}tbl":
             rows = [[words(c) for c in r.iter(f"{WORD}tc")] for r in block.iter(f"{WORD}tr")]
-            markup = "<table>" + "".join("<tr>" + "".join(f"<td>{html.escape(c)}</td>" for c in r) + "</tr>" for r in rows) + "</table>"
-            top = out.add("table", content="\n".join("\t".join(r) for r in rows), markup=markup)
+            marked = ["<tr>" + "".join(f"<td>{html.escape(c)}</td>" for c in r) + "</tr>" for r in rows]
+            top = out.add("table", title=os.path.splitext(os.path.basename(name))[0] or None, content=" | ".join(" ".join(c for c in r if c) for r in rows).strip(), markup="<table>" + "".join(marked) + "</table>")
             for i, r in enumerate(rows):
                 if any(r):
-                    out.add("table_row", content=" | ".join(r), parent=top, row_index=i)
+                    out.add("table_row", content=" | ".join(c for c in r if c), markup=marked[i], parent=top, row_index=i)
     return out.rows
 
 
@@ -338,20 +367,21 @@ def element_rows(parsed: DataFrame, sources: DataFrame, at=None) -> DataFrame:
 
 def chunk_rows(elements_: DataFrame, at=None) -> DataFrame:
     """Chunks of elements: sections and paragraphs (notes and warnings by how they begin) split, pages, tables and table rows
-    whole; other elements give none."""
-    text = F.when(F.coalesce("content", F.lit("")) == "", F.col("title")).otherwise(F.col("content"))
-    head = F.ltrim(F.coalesce(text, F.lit("")))
+    whole, as plain text with their markup beside it; other elements give none."""
+    own = T.strip(F.coalesce("content", F.lit("")))
+    is_table = F.col("element_type").isin("table", "table_row")
+    text = F.when((F.col("element_type") == "section") & (own == ""), T.strip(F.coalesce("title", F.lit("")))).when(is_table & (own == ""), T.strip_html("content_html")).otherwise(own)
     kind = (
-        F.when(F.col("element_type").isin("section", "paragraph"), F.when(head.startswith("WARNING") | head.startswith("⚠"), "warning").when(head.startswith("NOTE") | head.startswith("Note:"), "note").otherwise("section_text"))
+        F.when(F.col("element_type").isin("section", "paragraph"), F.when(text.startswith("WARNING") | text.startswith("⚠"), "warning").when(text.startswith("NOTE") | text.startswith("Note:"), "note").otherwise("section_text"))
         .when(F.col("element_type") == "page", "raw_page_text").when(F.col("element_type") == "table", "table_html").when(F.col("element_type") == "table_row", "table_row")
     )
-    body = F.when(F.col("element_type") == "table", F.coalesce("content_html", "content")).otherwise(text)
-    pieces = F.when(F.col("element_type").isin("section", "paragraph"), T.split_text(body)).otherwise(F.filter(F.array(body), lambda x: F.coalesce(x, F.lit("")) != ""))
+    bare = (F.col("element_type") == "table") & (T.strip(F.coalesce("content_html", F.lit(""))) != "")  # a table of markup alone is a chunk too
+    pieces = F.when(F.col("element_type").isin("section", "paragraph"), T.split_text(text)).otherwise(F.when((text != "") | bare, F.array(text)).otherwise(F.array().cast("array<string>")))
     rows = elements_.withColumns({"chunk_type": kind, "piece": pieces}).where("chunk_type is not null").select("*", F.posexplode("piece").alias("part", "c"))
     hash_ = ids.content_hash("c")
     out = rows.select(
-        ids.chunk_id("source_file_id", "chunk_type", hash_).alias("chunk_id"), "source_file_id", "document_element_id", "chunk_type", F.col("c").alias("content"), F.when(F.col("element_type") == "table", F.col("content_html")).alias("content_html"),
-        F.when(F.col("element_type") == "table", T.strip_html("c")).alias("embedding_text"), "blob_url", "page_number", "section_path",
+        ids.chunk_id("source_file_id", "chunk_type", hash_).alias("chunk_id"), "source_file_id", "document_element_id", "chunk_type", F.col("c").alias("content"), F.when(is_table, F.col("content_html")).alias("content_html"),
+        F.col("c").alias("embedding_text"), "blob_url", "page_number", "section_path",
         F.when(F.col("element_type") == "table", F.col("document_element_id")).when(F.col("element_type") == "table_row", F.col("parent_element_id")).alias("table_id"), hash_.alias("content_hash"), (at if at is not None else F.current_timestamp()).alias("created_at"),
     )
     return schemas.conform(out, "chunks")

@@ -1,7 +1,8 @@
 """Document fingerprints: 64-bit SimHash, and search within a Hamming radius by permuted block tables.
 
 Terms are pairs of neighbouring words (A-Z lower-cased, split at white space; a text of one word is one term), weighted by
-1 + ln(count). Each term's hash votes its weight up or down on every bit; a bit is set if its sum is positive. A text
+1 + ln(count), as whole 1024ths, so that sums are exact whatever their order. Each term's hash votes its weight up or down on
+every bit; a bit is set if its sum is positive. A text
 without words has the fingerprint 0.
 
 Search: the bits are cut into `BLOCKS` blocks; any two fingerprints that differ in at most `RADIUS` bits agree in at least
@@ -12,7 +13,9 @@ Texts meet their successors by one range shuffle: a task sees documents in order
 last document of each task are paired in a second, small step.
 
 Null texts count as empty. Null doc_ids come first; rows with one doc_id are taken in order of their text. A single
-document is its own successor.
+document is its own successor. Bits whose votes tie are not set. Repeated rows are answered each; an empty table gives an empty
+table; only doc_id and text are read, so extra columns cannot clash. A very long text needs memory for its own terms. There are
+at most `MAX_TASKS` tasks in the ordered pass (each streams its documents), and a number of each is brought to the driver.
 """
 
 from __future__ import annotations
@@ -28,8 +31,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import Scratch, bound_batches, check_free, mix64, table
 
 BITS, BLOCKS, RADIUS = 64, 6, 3
-#: Documents a task of the ordered pass is meant to see.
-TASK_DOCS = 2_000
+#: Documents a task of the ordered pass is meant to see, and the most tasks.
+TASK_DOCS, MAX_TASKS = 2_000, 50_000
+#: Weights are in parts of one.
+PARTS = 1024
 QUERY_EVERY = 50
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -52,7 +57,7 @@ class Fingerprinter:
         terms = mix64(mix64(h[:-1]) ^ h[1:]) if len(h) > 1 else mix64(h)
         terms, counts = np.unique(terms, return_counts=True)
         bits = np.unpackbits(terms.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        weights = (1 + np.log(counts)).astype(np.float32)
+        weights = np.rint(PARTS * (1 + np.log(counts)))  # whole numbers as float64: exact sums
         votes = weights @ bits
         return int.from_bytes(np.packbits(2 * votes > weights.sum(), bitorder="little").tobytes(), "little")
 
@@ -117,7 +122,7 @@ def ordered_pass(docs: DataFrame, tasks: int) -> DataFrame:
 
 def edges_pass(edges: DataFrame) -> DataFrame:
     """Rows of the tasks' last documents, each paired with the first of the next task that has any (after the last: the first)."""
-    parts = sorted(r[0] for r in edges.select("part").distinct().collect())  # a number for each task
+    parts = sorted(r[0] for r in edges.select("part").distinct().collect())  # a number for each task, MAX_TASKS at most
     if not parts:
         return edges
     spark = edges.sparkSession
@@ -156,7 +161,7 @@ def within(queries: DataFrame, entries: DataFrame, radius: int = RADIUS) -> Data
 def fingerprints(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fp, edited_fp, next_fp for each row of docs."""
     bound_batches(docs.sparkSession)
-    tasks = max(1, -(-docs.count() // TASK_DOCS), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tasks = min(MAX_TASKS, max(1, -(-docs.count() // TASK_DOCS), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     rows = scratch.save(ordered_pass(docs, tasks))
     inner = rows.where("edge is null")
     return inner.unionByName(edges_pass(rows.where("edge is not null"))).where("edge is null").drop("part", "edge", "edge_text")

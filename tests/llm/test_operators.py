@@ -118,6 +118,25 @@ def test_simhash_against_brute_force(spark, small):
     assert sum(r["near_edited"] > r["near_next"] for r in got.values()) > 0.95 * len(got)
 
 
+def test_votes_against_loops():
+    import math
+
+    import numpy as np
+    import xxhash
+    from loomgraph.llm.common import mix64
+
+    def mix(x):
+        return int(mix64(np.array([x], np.uint64))[0])
+
+    rnd = random.Random(12)
+    for _ in range(60):
+        text = " ".join(rnd.choice(["A", "b", "cc", "é"]) for _ in range(rnd.randint(0, 30)))
+        words = [xxhash.xxh3_64_intdigest(w) for w in text.encode().lower().split()]
+        terms = [mix(mix(a) ^ b) for a, b in zip(words, words[1:])] if len(words) > 1 else [mix(w) for w in words]
+        votes = [sum((1 if t >> bit & 1 else -1) * round(1024 * (1 + math.log(terms.count(t)))) for t in set(terms)) for bit in range(64)]
+        assert simhash.Fingerprinter()(text) == sum((v > 0) << bit for bit, v in enumerate(votes))
+
+
 def test_simhash_odd(spark, odd, none):
     got = simhash.fingerprints(odd, scratch(spark)).collect()
     assert len(got) == len(ODD)
@@ -320,6 +339,37 @@ def test_pii_against_brute_force(spark):
     assert {r["doc_id"]: r["b"] for r in got} == {i: brute_pii(t or "") for i, t in enumerate(texts)}
 
 
+def test_pii_selects_greedily_best_first(spark):
+    rnd = random.Random(11)
+    rows = [[(rnd.choice("ab"), s := rnd.randint(0, 60), s + rnd.randint(1, 12), float(rnd.randint(0, 5))) for _ in range(n)] for n in [0, 1, 2, 5, 20, 90, 300] * 6]
+
+    def best(spans):
+        out = []
+        for kind, s, e, m in sorted(set(spans), key=lambda c: (-c[3], c[1], c[2], c[0])):
+            if not any(d[1] < e and s < d[2] for d in out):
+                out.append((kind, s, e, m))
+        return {c[:3] for c in out}
+
+    df = spark.createDataFrame([(i, list(set(r))) for i, r in enumerate(rows)], f"doc_id long, c {pii.SPANS}")
+    got = df.select("doc_id", F.expr(pii.greedy("c")).alias("g")).collect()
+    assert {r["doc_id"]: {tuple(c)[:3] for c in r["g"]} for r in got} == {i: best(r) for i, r in enumerate(rows)}
+
+
+def test_pii_of_many_matches_and_odd_tables(spark, odd, none):
+    import time
+
+    ips = lambda n: " ".join(f"10.{i % 256}.{i // 256 % 256}.7" for i in range(n))
+    texts = [ips(20_000), " ".join(f"tel 555-{i:04d}-{i:04d}," for i in range(2_000)), "key=" + "a1B2c3D4e5F6g7H8 " * 1_000]
+    began = time.time()
+    got = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "pii.n_ip", "pii.n_added", F.expr(pii.joined("pii.base")).alias("b")).orderBy("doc_id").collect()
+    assert time.time() - began < 90 and got[0]["n_ip"] == 20_000 and [r["b"] for r in got] == [brute_pii(t) for t in texts]
+    assert got[1]["n_added"] > 1_800
+    assert pii.find(none).count() == 0 and pii.redact(odd).columns == odd.columns
+    assert pii.find(odd).count() == len(ODD)
+    with pytest.raises(ValueError, match="already in use"):
+        pii.find(odd.withColumn("lg_base", F.lit(1)))
+
+
 def test_pii_further_kinds_and_redaction(spark):
     rows = [(1, 'the token = "f33e61083db5dbdf4bd2369d2f80176e57f7aabb" ok'), (2, "mail a.b@c.de now"), (3, None), (4, "plain text only")]
     got = {r["doc_id"]: r["text"] for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -386,7 +436,7 @@ def test_kneser_ney_against_dictionaries_and_sums_to_one(spark):
     for w in probe:
         full = "\x02" + w + "\x03"
         want.append(sum(np.log(p(full[max(0, i - 3) : i], full[i])) for i in range(1, len(full))))
-    got = charlm.sums(probe, "letters", 4, 1, lambda _, grams: model.values(grams()))
+    got = charlm.sums(probe, "letters", 4, 1, model.of)
     assert np.allclose(got[:, 0], want, rtol=1e-5) and got[:, 1].tolist() == [len(w) + 1 for w in probe]
     joined = tables.joined_sums(spark.createDataFrame(list(enumerate(probe)), "doc_id long, text string")).orderBy("doc_id").collect()
     assert np.allclose([r["lg_sums"][0] for r in joined], want, rtol=1e-9)
@@ -398,7 +448,7 @@ def test_grams_do_not_depend_on_how_texts_are_cut(monkeypatch):
     rnd = random.Random(4)
     texts = [" ".join(rnd.choice(["no", "no", "a", "xy\u0301z", "\U0001f600", "w" * 30]) for _ in range(rnd.randint(0, 80))) for _ in range(30)] + [None, "", "x" * 500, "no " * 300]
     for kind in ("spaces", "letters"):
-        value = lambda h, grams: (h % np.uint64(1009)).astype(float)[:, None]
+        value = lambda g: [(g.hashes % np.uint64(1009)).astype(float)]
         want = charlm.sums(texts, kind, 5, 1, value)
         monkeypatch.setattr(charlm, "CHUNK", 40)
         assert (charlm.sums(texts, kind, 5, 1, value) == want).all()
@@ -420,6 +470,20 @@ def test_languages_by_joins_and_by_arrays_alike(spark, odd, small, monkeypatch):
     assert ordered(langid.identify(docs, scratch(spark))) == want
 
 
+def test_distinct_and_index():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 5, 40_000):
+        h = rng.choice(rng.integers(0, 2**63, max(n // 3, 1), dtype=np.uint64) * np.uint64(2), n)
+        u, at, count = charlm.distinct(h)
+        want = np.unique(h, return_counts=True)
+        assert (u == want[0]).all() and (count == want[1]).all() and (h[at] == u).all()
+        if n:
+            keys = rng.permutation(u)
+            assert (keys[charlm.Index(keys).find(h)] == h).all()
+
+
 def test_letters_that_are_none(spark):
     docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(["plain words of text here", "½ ² ①", "\u0301\u0301", "1 2", "und x"] * 3)], "doc_id long, text string, lang string")
     got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, scratch(spark)).collect()}
@@ -441,7 +505,7 @@ def test_quality(spark, small):
     assert good.where("keep").count() >= 0.97 * good.count() and bad.where("not keep").count() >= 0.9 * bad.count()
 
 
-def test_quality_of_toxic_documents(spark):
+def test_quality_of_toxic_documents(spark, monkeypatch):
     rnd = random.Random(9)
     vocab = ["".join(rnd.choices("abdeghilmnorstu", k=rnd.randint(2, 8))) for _ in range(400)]
     rows = [(i, " ".join([*rnd.choices(vocab, k=80), *["Blorf,", "zanktu"][i % 2 : i % 2 + (i >= 80)], *rnd.choices(vocab, k=80)]), "en") for i in range(120)]
@@ -449,6 +513,7 @@ def test_quality_of_toxic_documents(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     # 60 to 79 and 100 to 119 have no label; one word in 160 is toxic from 80 on
     assert {r["doc_id"] for r in quality.classify(docs, labels, scratch(spark)).where("keep").collect()} == set(range(80))
+    monkeypatch.setattr(charlm, "FEW_WORDS", 0)
     assert {r["doc_id"] for r in quality.keep_good(docs, labels, scratch(spark)).collect()} == set(range(80))
 
 

@@ -5,10 +5,12 @@ pass Luhn), phone (8 to 15 digits). Matches that fail the test after the pattern
 
 Further kinds (secret, national phone, social number, bank account): generators with high recall propose spans, which may
 overlap; boosted trees score each by its format and its context; spans at or above a threshold, calibrated for `PRECISION`
-on made-up examples held back from training, are selected. A selected span that overlaps a base span or a better selected
-span is left out. The trees are trained on the driver on `EXAMPLES` made-up examples and become one SQL expression.
+on made-up examples held back from training, are selected. Of those that overlap no base span, the best first, each is
+selected if it overlaps none selected before. The trees are trained on the driver on `EXAMPLES` made-up examples and become one SQL expression.
 
-Positions are code points, ends exclusive. Null and empty texts have no spans. Repeated rows are answered each.
+Positions are code points, ends exclusive. Null and empty texts have no spans. Repeated rows are answered each. Candidates of one
+score are taken by start, end and kind. An empty table gives an empty table; columns named like an output or lg_ helpers raise an
+error. Many matches in one text: positions, overlaps and selection go by blocks of the square root of their number.
 
 To keep matching linear and free of recursion on very long texts, patterns run on a text of equal length in which
 separators that no match can hold are replaced, and a match may begin only where a run of its characters begins or the
@@ -18,6 +20,7 @@ match before it has ended (a match that began later could have begun there).
 from __future__ import annotations
 
 import functools
+import itertools
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -42,15 +45,45 @@ def sql(text: str) -> str:
     return "r'" + text + "'"
 
 
-def spans(text: str, pattern: str, shown: str | None = None) -> str:
+_numbers = itertools.count()
+
+
+def let(value: str, body) -> str:
+    """SQL: body(name) with a name for value, which is computed once."""
+    name = f"v{next(_numbers)}"
+    return f"transform(array({value}), {name} -> {body(name)})[0]"
+
+
+def scan(values: str, op: str, zero: str) -> str:
+    """SQL: for each element of an array of ints, op (of a and x) over those before it, from zero on.
+
+    Arrays can only be appended to by copying, so this goes by blocks of the square root of the size.
+    """
+
+    def plain(xs: str, start: str) -> str:
+        a, x = f"a{next(_numbers)}", f"x{next(_numbers)}"
+        return f"slice(aggregate({xs}, array({start}), ({a}, {x}) -> concat({a}, array({op.format(a=f'element_at({a}, -1)', x=x)}))), 1, size({xs}))"
+
+    def blocked(v: str) -> str:
+        i, b, o, a, x = (f"{c}{next(_numbers)}" for c in "ibocx")
+        blocks = let(f"cast(sqrt(size({v})) as int)", lambda n: f"transform(sequence(0, size({v}) - 1, {n}), {i} -> slice({v}, {i} + 1, {n}))")
+        totals = lambda bs: f"transform({bs}, {b} -> aggregate({b}, {zero}, ({a}, {x}) -> {op.format(a=a, x=x)}))"
+        return let(blocks, lambda bs: let(totals(bs), lambda t: f"flatten(zip_with({bs}, {plain(t, zero)}, ({b}, {o}) -> {plain(b, o)}))"))
+
+    return let(values, lambda v: f"if(size({v}) <= 64, {plain(v, zero)}, {blocked(v)})")
+
+
+def spans(text: str, pattern: str) -> str:
     """SQL: array of (s, e, x) for the matches of pattern in the expression text."""
-    m, g = f"regexp_extract_all({text}, {sql(pattern)}, 0)", f"split({text}, {sql(pattern)}, -1)"
-    return (
-        f"aggregate(zip_with({m}, slice({g}, 1, size({m})), (x, g) -> named_struct('g', length(g), 'n', length(x), 'x', x)),"
-        " named_struct('at', 0, 'out', cast(array() as array<struct<s:int,e:int,x:string>>)),"
-        " (a, v) -> named_struct('at', a.at + v.g + v.n, 'out', concat(a.out, array(named_struct('s', a.at + v.g, 'e', a.at + v.g + v.n, 'x', v.x)))),"
-        " a -> a.out)"
-    )
+    i, x, y = (f"{c}{next(_numbers)}" for c in "ixy")
+
+    def placed(m: str, g: str) -> str:
+        sizes = f"zip_with({m}, slice({g}, 1, size({m})), ({x}, {y}) -> length({x}) + length({y}))"
+        one = lambda at: f"named_struct('s', {at}[{i}] + length({g}[{i}]), 'e', {at}[{i}] + length({g}[{i}]) + length({m}[{i}]), 'x', {m}[{i}])"
+        return let(scan(sizes, "{a} + {x}", "0"), lambda at: f"transform(sequence(0, size({m}) - 1), {i} -> {one(at)})")
+
+    found = let(f"split({text}, {sql(pattern)}, -1)", lambda g: placed("{m}", g))
+    return let(f"regexp_extract_all({text}, {sql(pattern)}, 0)", lambda m: f"if(size({m}) = 0, {NONE}, {found.replace('{m}', m)})")
 
 
 NONE = "cast(array() as array<struct<s:int,e:int,x:string>>)"
@@ -152,21 +185,56 @@ def added_expr(text: str) -> str:
     for kind, pattern in GENERATORS.items():
         seen = f"if({text} rlike {sql(pattern)}, {spans(text, pattern)}, {NONE})"
         parts.append(f"transform({seen}, c -> transform(array({features_sql(text, kind)}), f -> named_struct('kind', '{kind}', 's', c.s, 'e', c.e, 'm', {score}))[0])")
-    return f"filter(concat({', '.join(parts)}), c -> c.m >= {least:.8f}D and not exists(lg_base, b -> b.s < c.e and c.s < b.e))"
+    return f"filter(concat({', '.join(parts)}), c -> c.m >= {least:.8f}D)"
+
+
+SPANS = "array<struct<kind:string,s:int,e:int,m:double>>"
+
+
+def apart(c: str, blocks: str) -> str:
+    """SQL: whether the span c overlaps none of the spans in blocks (s, e, items)."""
+    return f"not exists({blocks}, k -> k.s < {c}.e and {c}.s < k.e and exists(k.items, d -> d.s < {c}.e and {c}.s < d.e))"
+
+
+def blocks_of(sorted_spans: str) -> str:
+    """SQL: spans in order of start as blocks of about the square root of their number, with the first start and the last end."""
+    pick = lambda v, n: f"transform(sequence(0, size({v}) - 1, {n}), i -> slice({v}, i + 1, {n}))"
+    whole = lambda v: let(f"cast(sqrt(size({v})) as int)", lambda n: f"transform({pick(v, n)}, q -> named_struct('s', q[0].s, 'e', array_max(transform(q, d -> d.e)), 'items', q))")
+    return let(sorted_spans, lambda v: f"if(size({v}) = 0, null, {whole(v)})")
+
+
+def greedy(candidates: str) -> str:
+    """SQL: of candidates (kind, s, e, m), best first, those that overlap none selected before. Ties go to the first start, end and kind.
+
+    Candidates are cut into runs that do not touch each other, which are settled by themselves.
+    """
+    rank = "named_struct('r', -c.m, 's', c.s, 'e', c.e, 'kind', c.kind, 'm', c.m)"
+    free = "not exists(a, d -> d.s < c.e and c.s < d.e)"
+    one = f"aggregate(transform(array_sort(transform(run, c -> {rank})), c -> named_struct('kind', c.kind, 's', c.s, 'e', c.e, 'm', c.m)), cast(array() as {SPANS}), (a, c) -> if({free}, concat(a, array(c)), a))"
+
+    def runs(v: str) -> str:
+        heads = lambda ends: f"filter(sequence(0, size({v}) - 1), i -> {v}[i].s >= {ends}[i])"
+        cut = lambda at: f"transform({at}, (i, j) -> slice({v}, i + 1, coalesce(get({at}, j + 1), size({v})) - i))"
+        return let(scan(f"transform({v}, c -> c.e)", "greatest({a}, {x})", "0"), lambda ends: let(heads(ends), cut))
+
+    by_start = f"transform(array_sort(transform({candidates}, c -> named_struct('s', c.s, 'e', c.e, 'kind', c.kind, 'm', c.m))), c -> named_struct('kind', c.kind, 's', c.s, 'e', c.e, 'm', c.m))"
+    return let(by_start, lambda v: f"if(size({v}) <= 1, {v}, flatten(transform({runs(v)}, run -> {one})))")
 
 
 def find(docs: DataFrame, name: str = "pii") -> DataFrame:
-    """Adds a struct to docs: base, email, ip, card, phone and added are arrays of (s, e, ...)."""
-    check_free(docs, name, "lg_text", "lg_base", "lg_added", *[f"lg_{k}" for k in BASE])
+    """Adds a struct to docs: counts (n_ip and so on, n_added), and base and added, arrays of (kind, s, e)."""
+    check_free(docs, name, "lg_text", "lg_base", "lg_added", "lg_blocks", *[f"lg_{k}" for k in BASE])
     own = docs.columns
     out = docs.withColumn("lg_text", F.coalesce("text", F.lit("")))
     out = out.withColumns({f"lg_{k}": F.expr(e) for k, e in base_exprs("lg_text").items()})
     out = out.withColumn("lg_base", F.concat(*[F.expr(f"transform(lg_{k}, m -> named_struct('kind', '{k}', 's', m.s, 'e', m.e))") for k in BASE]))
     out = out.withColumn("lg_added", F.expr(added_expr("lg_text")))
-    better = "d.s < c.e and c.s < d.e and (d.m > c.m or (d.m = c.m and struct(d.s, d.e, d.kind) < struct(c.s, c.e, c.kind)))"
-    added = F.expr(f"transform(filter(lg_added, c -> not exists(lg_added, d -> {better})), c -> named_struct('kind', c.kind, 's', c.s, 'e', c.e))")
-    counts = [F.expr(f"cast(size(lg_{k}) as bigint)").alias(f"n_{k}") for k in BASE]
-    return out.select(*own, F.struct(*counts, F.col("lg_base").alias("base"), added.alias("added")).alias(name))
+    out = out.withColumn("lg_blocks", F.expr(f"if(size(lg_added) = 0, null, {blocks_of('array_sort(transform(lg_base, c -> named_struct(' + chr(39) + 's' + chr(39) + ', c.s, ' + chr(39) + 'e' + chr(39) + ', c.e)))')})"))
+    out = out.withColumn("lg_added", F.expr(f"if(lg_blocks is null, lg_added, filter(lg_added, c -> {apart('c', 'lg_blocks')}))"))
+    added = F.expr(f"if(size(lg_added) = 0, cast(array() as array<struct<kind:string,s:int,e:int>>), transform({greedy('lg_added')}, c -> named_struct('kind', c.kind, 's', c.s, 'e', c.e)))")
+    out = out.withColumn("lg_added", added)
+    counts = [F.expr(f"cast(size(lg_{k}) as bigint)").alias(f"n_{k}") for k in (*BASE, "added")]
+    return out.select(*own, F.struct(*counts, F.col("lg_base").alias("base"), F.col("lg_added").alias("added")).alias(name))
 
 
 def joined(spans_: str) -> str:
@@ -184,4 +252,4 @@ def redact(docs: DataFrame, mask: str = "pii") -> DataFrame:
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "pii.n_email", "pii.n_ip", "pii.n_card", "pii.n_phone", F.expr(f"sha2(cast({joined('pii.base')} as binary), 256)").alias("base_sha256"), F.expr(joined("concat(pii.base, pii.added)")).alias("spans"))
+    return out.select("doc_id", "pii.n_email", "pii.n_ip", "pii.n_card", "pii.n_phone", "pii.n_added", F.expr(f"sha2(cast({joined('pii.base')} as binary), 256)").alias("base_sha256"), F.expr(joined("concat(pii.base, pii.added)")).alias("spans"))

@@ -37,8 +37,6 @@ from .common import extended, mix64, released
 START, END, REPEAT = "\x02", "\x03", "\x04"
 #: Characters whose grams are handled at once, of a block of documents, and entries of counts that a task holds.
 CHUNK, BLOCK_CHARS, HELD = 1_000_000, 32_000_000, 1_500_000
-#: Shares of the rows of tails of one or two characters, which end very many grams.
-SALTS = 32
 _FACTORS = mix64(np.arange(1, 17, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -54,6 +52,49 @@ def word_characters(kind: str) -> np.ndarray:
     return out
 
 
+@functools.cache
+def mixed_codes() -> np.ndarray:
+    return mix64(np.arange(0x110000, dtype=np.uint64))
+
+
+class Index:
+    """Places of distinct 64-bit keys: one slot each by the high bits, and binary search for what meets in a slot."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.shift = np.uint64(64 - max(10, int(4 * len(keys)).bit_length()))
+        self.slots = np.zeros(1 << (64 - int(self.shift)), np.int32)
+        self.slots[keys >> self.shift] = np.arange(len(keys), dtype=np.int32)
+        self.order = np.argsort(keys)
+        self.sorted = keys[self.order]
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The place of each, all of which are keys."""
+        out = self.slots[h >> self.shift]
+        other = np.flatnonzero(self.keys[out] != h)
+        out[other] = self.order[np.searchsorted(self.sorted, h[other])]
+        return out
+
+
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order, a place of each, and their counts. (Sorting alone is several times faster than with places.)"""
+    s = np.sort(h)
+    edges = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+    u = s[edges]
+    shift = np.uint64(64 - max(10, int(4 * len(u)).bit_length()))
+    slots = np.zeros(1 << (64 - int(shift)), np.int64)
+    slots[h >> shift] = np.arange(len(h))
+    at = slots[u >> shift]
+    other = np.flatnonzero(h[at] != u) if len(u) else at
+    if len(other):
+        crowded = np.zeros(len(slots), bool)
+        crowded[u[other] >> shift] = True
+        rows = np.flatnonzero(crowded[h >> shift])
+        few, first = np.unique(h[rows], return_index=True)
+        at[other] = rows[first[np.searchsorted(few, u[other])]]
+    return u, at, np.diff(np.concatenate([edges, [len(s)]]))
+
+
 @dataclass
 class Grams:
     """The longest gram that ends at each scored character of some texts."""
@@ -72,12 +113,12 @@ class Grams:
 
 def hash_codes(codes: np.ndarray, place: np.ndarray, order: int) -> np.ndarray:
     """Hashes of the grams that end at each place of codes: as many characters as order and place allow."""
-    m = mix64(codes)
+    m = mixed_codes()[codes]
     with np.errstate(over="ignore"):
         h = m * _FACTORS[0]
         for j in range(1, order):
             step = m[:-j] * _FACTORS[j]
-            step[place[j:] < j] = 0
+            step *= place[j:] >= j
             h[j:] += step
     return h
 
@@ -115,12 +156,12 @@ def grams_of(texts: list[str], kind: str, order: int) -> Grams:
         factors = mix64(np.arange(int(size.max()), dtype=np.uint64)) | np.uint64(1)
         place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
         with np.errstate(over="ignore"):
-            words = np.add.reduceat(mix64(source[inside[1:-1]].astype(np.uint64)) * factors[place], np.cumsum(size) - size)
+            words = np.add.reduceat(mixed_codes()[source[inside[1:-1]]] * factors[place], np.cumsum(size) - size)
         repeat[1:] = (words[1:] == words[:-1]) & (size[1:] == size[:-1]) & (text[1:] == text[:-1])
     full = np.where(repeat, 1, size) + 2
     offset = np.cumsum(full) - full
     place = np.arange(int(full.sum())) - np.repeat(offset, full)
-    codes = source[np.clip(np.repeat(starts - 1, full) + place, 0, max(len(source) - 1, 0))].astype(np.uint64) if len(source) else np.zeros(0, np.uint64)
+    codes = source[np.clip(np.repeat(starts - 1, full) + place, 0, max(len(source) - 1, 0))] if len(source) else np.zeros(0, np.uint32)
     codes[offset], codes[offset + full - 1], codes[offset[repeat] + 1] = ord(START), ord(END), ord(REPEAT)
     at = np.flatnonzero(place > 0)
     return Grams(hash_codes(codes, place, order)[at], np.repeat(text, full - 1), codes, at, np.minimum(place[at] + 1, order))
@@ -165,7 +206,7 @@ class Tally:
         self.order, self.parts, self.size = order, [], 0
 
     def add(self, grams: Grams) -> None:
-        h, first, n = np.unique(grams.hashes, return_index=True, return_counts=True)
+        h, first, n = distinct(grams.hashes)
         self.parts.append((h, grams.strings(first, self.order), n))
         self.size += len(h)
         if self.size > HELD:
@@ -270,6 +311,12 @@ class Model:
     contexts: list[tuple[np.ndarray, np.ndarray]]
     floor: list[float]
 
+    def of(self, grams: Grams) -> list[np.ndarray]:
+        """For each model, the log probability of each character."""
+        u, first, _ = distinct(grams.hashes)
+        at = Index(u).find(grams.hashes)
+        return [v[at] for v in self.values(grams.strings(first, self.order)).T]
+
     def values(self, grams: np.ndarray) -> np.ndarray:
         """Log probabilities of the last character of distinct grams, a column for each model."""
         width = grams.dtype.itemsize // 4
@@ -305,16 +352,15 @@ class Model:
 
 
 def sums(texts: list[str | None], kind: str, order: int, width: int, values) -> np.ndarray:
-    """For each text: the log probability under each model, then the number of characters scored. values(grams, strings) gives a row for each."""
+    """For each text: the log probability under each model, then the number of characters scored. values(grams) gives a row for each."""
     out = np.zeros((len(texts), width + 1))
     for rows, parts in chunks(texts, kind):
         g = grams_of(parts, kind, order)
         if len(g.hashes):
-            h, first, inverse = np.unique(g.hashes, return_index=True, return_inverse=True)
-            v = values(h, lambda: g.strings(first, order))
+            v = values(g)
             owner = np.array(rows)[g.owner]
             for m in range(width):
-                out[:, m] += np.bincount(owner, v[:, m][inverse], len(texts))
+                out[:, m] += np.bincount(owner, v[m], len(texts))
             out[:, width] += np.bincount(owner, minlength=len(texts))
     return out
 
@@ -361,28 +407,36 @@ class Tables:
         return Model(self.names, self.order, arrays(self.probs, "gram", "p"), arrays(self.backs.where("k > 1"), "ctx", "gamma"), floor)
 
     def gram_scores(self, grams: DataFrame) -> DataFrame:
-        """(gram, v) of distinct grams: the natural log probability of the last character under each model, in order of names."""
-        tails = grams.select("gram", F.explode(F.sequence(F.lit(1), F.length("gram"))).alias("k")).withColumn("tail", F.expr("right(gram, k)"))
-        # one or two characters end very many grams
-        tails = tails.withColumn("salt", F.when(F.col("k") <= 2, F.pmod(F.xxhash64("gram"), F.lit(SALTS))).otherwise(0).cast("int"))
-        salts = F.explode(F.sequence(F.lit(0), F.when(F.col("k") <= 2, SALTS - 1).otherwise(0)))
-        p = self.probs.select("model", "k", F.col("gram").alias("tail"), F.log(F.greatest("p", F.lit(1e-300))).alias("lp")).withColumn("salt", salts)
-        g = self.backs.where("k > 1").select("model", "k", "ctx", F.log(F.greatest("gamma", F.lit(1e-300))).alias("lg")).withColumn("salt", salts)
-        none = F.lit(None)
-        seen = tails.join(p, ["k", "tail", "salt"]).select("gram", "model", "k", "lp", none.cast("double").alias("lg"))
-        back = tails.withColumn("ctx", F.expr("left(tail, k - 1)")).join(g, ["k", "ctx", "salt"]).select("gram", "model", "k", none.cast("double").alias("lp"), "lg")
-        every = grams.select("gram", F.explode(F.array(*map(F.lit, self.names))).alias("model"), none.cast("int").alias("k"), none.cast("double").alias("lp"), none.cast("double").alias("lg"))
-        # at most two rows for each length and model
-        by = every.unionByName(seen).unionByName(back).groupBy("gram", "model").agg(F.max(F.when(F.col("lp").isNotNull(), F.struct("k", "lp"))).alias("best"), F.collect_list(F.when(F.col("lg").isNotNull(), F.struct("k", "lg"))).alias("backs"))
-        floors = self.backs.where("k = 0").select("model", F.log(F.greatest("gamma", F.lit(1e-12))).alias("floor"))
-        by = by.join(F.broadcast(floors), "model", "left")  # a row for each model
-        value = F.expr(f"coalesce(best.lp, floor, {float(np.log(1e-6))!r}D) + aggregate(filter(backs, b -> b.k > coalesce(best.k, 0)), 0D, (s, b) -> s + b.lg)")
-        return by.withColumn("value", value).groupBy("gram").agg(*[F.max(F.when(F.col("model") == n, F.col("value"))).alias(f"v{i}") for i, n in enumerate(self.names)]).select("gram", F.array(*[f"v{i}" for i in range(len(self.names))]).alias("v"))
+        """(gram, v) of distinct grams and of their ends: the natural log probability of the last character under each model, in order
+        of names. Values of short grams come first; a longer one that a model has not seen takes its end's, with the back-off weight."""
+        number = F.array_position(F.array(*map(F.lit, self.names)), F.col("model")) - 1
+        log = lambda c: F.log(F.greatest(c, F.lit(1e-300)))
+        by = lambda df, key, value: df.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(number.cast("int"), log(value)))).alias(value))  # noqa: E731  # at most an entry for each model
+        floors = {r["model"]: float(np.log(max(r["gamma"], 1e-12))) for r in self.backs.where("k = 0").collect()}  # a row for each model
+        low = F.array(*[F.lit(floors.get(n, float(np.log(1e-6)))) for n in self.names])
+        below, out = None, []
+        for k in range(1, self.order + 1):
+            g = grams.where(F.length("gram") >= k).select(F.expr(f"right(gram, {k})").alias("gram")).distinct()
+            g = g.join(by(self.probs.where(F.col("k") == k), "gram", "p"), "gram", "left")
+            if k == 1:
+                g = g.withColumn("low", low).withColumn("gamma", F.lit(None).cast("map<int,double>"))
+            else:
+                g = g.withColumns({"ctx": F.expr(f"left(gram, {k - 1})"), "suffix": F.expr(f"right(gram, {k - 1})")})
+                g = g.join(by(self.backs.where(F.col("k") == k), "ctx", "gamma"), "ctx", "left").join(below, "suffix")
+            v = F.expr("transform(low, (x, i) -> coalesce(element_at(p, i), coalesce(element_at(gamma, i), 0D) + x))")
+            g = self.scratch.save(g.select("gram", v.alias("v")))
+            below = g.select(F.col("gram").alias("suffix"), F.col("v").alias("low"))
+            out.append(g)
+        union = lambda xs: xs[0] if len(xs) == 1 else union([xs[0].unionByName(xs[1]), *xs[2:]])
+        return union(out[1:])
 
     def joined_sums(self, docs: DataFrame, extra: DataFrame | None = None, find=None, name: str = "lg_found") -> DataFrame:
         """docs with lg_sums (the log probability of its text under each model), lg_size (characters scored), and `name`: whether
         find (text to words) gives a word of extra (word). Columns of docs pass."""
         order, kind, width, spark = self.order, self.kind, len(self.names), docs.sparkSession
+        few = extra is not None and extra.count() <= FEW_WORDS
+        listed = spark.sparkContext.broadcast({r["word"] for r in extra.collect()}) if few else None  # FEW_WORDS at most
+        extra = None if few else extra
         bits = spark.sparkContext.broadcast(sieve_array(extra, self.scratch)) if extra is not None else None  # 8 MB
         blocks, columns = in_blocks(docs, self.scratch), docs.columns
         at = columns.index("text")
@@ -408,7 +462,7 @@ class Tables:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), block)), pa.array([WORD + w for w in found], pa.string())], ["lg_block", "gram"])
 
         need = self.scratch.save(blocks.select("lg_block", "text").mapInArrow(released(needed), "lg_block long, gram string").distinct())
-        values = self.gram_scores(need.where(~F.col("gram").startswith(WORD)).select("gram").distinct())
+        values = self.gram_scores(self.scratch.save(need.where(~F.col("gram").startswith(WORD)).select("gram").distinct()))
         if extra is not None:
             values = values.unionByName(extra.select(F.concat(F.lit(WORD), "word").alias("gram"), F.lit(None).cast("array<double>").alias("v")).distinct())
         hits = need.hint("merge").join(values.hint("merge"), "gram")
@@ -428,16 +482,15 @@ class Tables:
         def score(left: pa.Table, right: pa.Table) -> pa.Table:
             grams = right.column("gram").to_pylist()
             own = [i for i, g in enumerate(grams) if not g.startswith(WORD)]
-            bad = {g[len(WORD) :] for g in grams if g.startswith(WORD)}
+            bad = listed.value if listed else {g[len(WORD) :] for g in grams if g.startswith(WORD)}
             h = hash_strings(np.array([grams[i] for i in own], f"<U{order}")) if own else np.zeros(0, np.uint64)
-            v = np.array(right.column("v").take(pa.array(own, pa.int64())).to_pylist(), np.float64).reshape(len(own), width)
-            sort = np.argsort(h)
-            h, v = h[sort], v[sort]
+            v = right.column("v").take(pa.array(own, pa.int64())).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(own), width).T.copy()
+            index = Index(h)
             out = []
             for data in left.column("data"):
                 for batch in pa.ipc.open_stream(data.as_py()):
                     texts = batch.column(at).to_pylist()
-                    got = sums(texts, kind, order, width, lambda keys, _: v[np.searchsorted(h, keys)])
+                    got = sums(texts, kind, order, width, lambda g: v[:, index.find(g.hashes)])
                     found = [bool(bad and t and not bad.isdisjoint(find(t))) for t in texts]
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * width, pa.int32()), pa.array(got[:, :width].ravel()))
                     out.append(pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(got[:, width]), pa.array(found, pa.bool_())], [*columns, "lg_sums", "lg_size", name]))
@@ -452,6 +505,8 @@ class Tables:
         return data.groupBy("lg_block").cogroup(hits.groupBy("lg_block")).applyInArrow(score, schema)
 
 
+#: Words of extra that are sent to executors; more of them go by way of sieves and joins.
+FEW_WORDS = 50_000
 #: Begins words among grams; no gram begins so.
 WORD = "\x05\x05"
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -39,6 +40,8 @@ class Scratch:
     a folder that all its machines share. Tables that the result of an operator reads stay, for the cluster to clear.
     """
 
+    swept = 0.0
+
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -53,6 +56,14 @@ class Scratch:
         self.count = 0
 
     def save(self, df: DataFrame) -> DataFrame:
+        """Writes df and reads it back.
+
+        Shuffle files go when the driver's JVM finds that nothing refers to them, which a small driver program rarely makes it look
+        for; so it is asked to, now and then.
+        """
+        if time.monotonic() - Scratch.swept > 5:
+            self.spark._jvm.System.gc()
+            Scratch.swept = time.monotonic()
         self.count += 1
         path = f"{self.root}/{self.count:03d}"
         df.write.parquet(path)

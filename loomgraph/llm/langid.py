@@ -77,7 +77,7 @@ def predict(docs: DataFrame, model: charlm.Tables | None) -> DataFrame:
                 sums = np.column_stack([np.array(batch.column(len(own)).to_pylist()).reshape(-1, len(names)), batch.column(len(own) + 1).to_numpy(zero_copy_only=False)])
                 batch = batch.select(range(len(own)))
             else:
-                sums = charlm.sums(texts, "letters", ORDER, len(names), lambda _, grams: arrays.values(grams()))
+                sums = charlm.sums(texts, "letters", ORDER, len(names), arrays.of)
             sums[[i for i, t in enumerate(texts) if letterless(t)], -1] = 0
             pred, score, entropy, some = decided(sums, names)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(entropy, mask=~some)], [*batch.schema.names, "lang_pred", "score", "cross_entropy"])

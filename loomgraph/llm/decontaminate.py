@@ -9,7 +9,9 @@ The benchmark is taken in blocks of about `BLOCK_WORDS` words, so what an execut
 through one search for each block, with no join and no shuffle.
 
 Null or empty texts have no words and no hits. Null item texts have no window; a null item_id is reported as the empty
-string. Repeated items count once by item_id; repeated documents are searched each.
+string. Repeated items count once by item_id; repeated documents are searched each. Ties cannot arise: every occurrence counts.
+Very long texts need memory for their own words. An empty table on either side gives no hits. Extra columns pass; columns named
+like an output raise an error.
 """
 
 from __future__ import annotations
@@ -117,7 +119,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, size: str = "n_words", hits: str
     """Adds to docs the number of words, the places of hit words and the ids of items that occur."""
     check_free(docs, size, hits, items)
     bound_batches(docs.sparkSession)
-    rows = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
+    rows = benchmark.select("item_id", "text").where(F.col("text").isNotNull()).distinct()
     words = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-words // (5 * block_words)))
     out = docs

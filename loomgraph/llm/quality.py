@@ -5,8 +5,9 @@ stuttering text is improbable too. Trusted texts (label quality 1 and not toxic)
 (by hash of doc_id), which stay in tables; count joins, sharded by gram, give each document its perplexity under each (see
 charlm), of which the mean counts. Limits are drawn from trusted documents under the models that have not seen them.
 A document's cross-entropy is shrunk towards the mean of trusted documents by `PRIOR` characters, so that a few odd words do not condemn a short text. A document is
-rejected if its value is above its language's limit: the `quantile` of the trusted documents of the language, drawn
-towards that of all trusted documents as by `SHRINK` documents of those, plus `slack` nats.
+rejected if its value is above its language's limit: the `quantile` of the trusted documents of the language plus `slack` nats.
+The distance of that quantile from the language's mean is drawn towards the same distance over all languages, as by `SHRINK`
+documents of those; a language without trusted documents has the quantile of all.
 
 A few toxic words do not move a mean, so a document is also rejected for its worst word. A word (a run of letters, lower case)
 has the log odds of its share of documents labelled toxic against its share of trusted ones. The limit is the `quantile` of the
@@ -99,12 +100,13 @@ def toxic_words(known: DataFrame, scratch: Scratch, quantile: float = QUANTILE,
         return None
     count = lambda rows, name: rows.groupBy("word").agg(F.count(F.lit(1)).alias(name))
     toxic = scratch.save(count(words_of(known.where("toxic")), "t"))
-    own = sieved(words_of(known.where("not toxic")), scratch.save(sieve(toxic, "word")), "word").where("lg_may").drop("lg_may")
-    own = scratch.save(own.join(toxic.select("word"), "word", "left_semi"))
+    # words of trusted documents are many, so only sums of them move; their words are read once more for the few that matter
+    own = lambda words: sieved(words_of(known.where("not toxic")), scratch.save(sieve(words, "word")), "word").where("lg_may").drop("lg_may")
     odds = lambda o: F.log((F.col("t") + 0.5) / (sizes[True] + 1)) - F.log((o + 0.5) / (sizes[False] + 1))
-    counts = toxic.join(count(own, "o"), "word", "left").withColumn("o", F.coalesce("o", F.lit(0)))
-    counts = scratch.save(counts.select("word", odds(F.col("o")).alias("odds"), odds(F.greatest(F.col("o") - 1, F.lit(0))).alias("alone")).where(F.col("alone") > FLOOR))
-    worst = own.join(counts, "word").groupBy("doc_id").agg(F.max("alone").alias("worst"))
+    counts = toxic.join(count(own(toxic), "o"), "word", "left").withColumn("o", F.coalesce("o", F.lit(0)))
+    counts = scratch.save(counts.select("word", "o", odds(F.col("o")).alias("odds"), odds(F.greatest(F.col("o") - 1, F.lit(0))).alias("alone")).where(F.col("alone") > FLOOR))
+    some = scratch.save(counts.where("o > 0").select("word", "alone"))
+    worst = own(some).join(some, "word").groupBy("doc_id").agg(F.max("alone").alias("worst"))
     every = known.where("not toxic").select("doc_id").distinct().join(worst, "doc_id", "left")
     limit = every.agg(F.percentile_approx(F.coalesce("worst", F.lit(FLOOR)), F.lit(quantile), F.lit(10_000)).alias("q")).first()["q"] + slack
     return scratch.save(counts.where(F.col("odds") > limit).select("word"))
@@ -117,10 +119,13 @@ def thresholds(scored: DataFrame, labels: DataFrame, quantile: float = QUANTILE,
     if mean is None:
         return {}, float("inf"), 0.0
     value = (F.col("nll_unseen") + PRIOR * mean) / (F.col("nll_chars") + PRIOR)
-    cut = F.percentile_approx(value, F.lit(quantile), F.lit(10_000))
-    every = good.agg(cut.alias("c")).first()["c"]
-    rows = good.groupBy("lang").agg(cut.alias("c"), F.count(F.lit(1)).alias("n")).collect()
-    return {r["lang"]: (r["n"] * r["c"] + SHRINK * every) / (r["n"] + SHRINK) + slack for r in rows}, every + slack, mean
+    cut = lambda v: F.percentile_approx(v, F.lit(quantile), F.lit(10_000))
+    every = good.agg(cut(value).alias("c")).first()["c"]
+    by = good.groupBy(F.col("lang").alias("lg_lang")).agg(F.avg(value).alias("level"))
+    above = good.join(by, F.col("lang").eqNullSafe(F.col("lg_lang"))).agg(cut(value - F.col("level")).alias("c")).first()["c"]
+    rows = good.groupBy("lang").agg(cut(value).alias("c"), F.avg(value).alias("level"), F.count(F.lit(1)).alias("n")).collect()
+    limit = lambda r: r["level"] + (r["n"] * (r["c"] - r["level"]) + SHRINK * above) / (r["n"] + SHRINK) + slack
+    return {r["lang"]: limit(r) for r in rows}, every + slack, mean
 
 
 def verdict(scored: DataFrame, limits: tuple[dict, float, float]) -> DataFrame:

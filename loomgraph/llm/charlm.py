@@ -512,12 +512,12 @@ WORD = "\x05\x05"
 
 
 def sieve_array(words: DataFrame, scratch) -> np.ndarray:
-    from .common import SIEVE, sieve
+    from .common import SIEVE, WORDS, sieve
 
-    out = np.zeros(1 << (SIEVE - 6), np.uint64)
-    got = sieve(words, "word").toArrow()  # at most 2^20 rows
-    out[got.column("lg_word").to_numpy()] = got.column("lg_bits").to_numpy().view(np.uint64)
-    return out
+    out = np.zeros(((1 << (SIEVE - 6)) // WORDS, WORDS), np.uint64)
+    got = sieve(words, "word").toArrow()  # at most 2^16 rows
+    out[got.column("lg_word").to_numpy()] = got.column("lg_bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
+    return out.ravel()
 
 
 def passing(words: set, bits: np.ndarray) -> list[str]:

@@ -79,23 +79,25 @@ class Scratch:
                     p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-#: A sieve has 2^SIEVE bits, as at most 2^(SIEVE - 6) rows, whatever the number of keys.
-SIEVE = 26
+#: A sieve has 2^SIEVE bits, in rows of WORDS words of 64, whatever the number of keys. (A hash table with a row for each word would
+#: take several times the room of the bits, on the driver and on each executor.)
+SIEVE, WORDS = 26, 16
 
 
 def sieve(keys: DataFrame, *columns: str) -> DataFrame:
     """(lg_word, lg_bits): a set of bits, one for each key's hash. Its size is bounded, so it may be broadcast."""
     slot = F.pmod(F.xxhash64(*columns), F.lit(1 << SIEVE))
-    rows = keys.select(F.shiftright(slot, 6).cast("int").alias("lg_word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({', '.join(columns)}), 64) as int))").alias("lg_bit"))
-    return rows.groupBy("lg_word").agg(F.bit_or("lg_bit").alias("lg_bits"))
+    rows = keys.select(F.floor(slot / (64 * WORDS)).cast("int").alias("lg_word"), slot.alias("lg_slot"))
+    bits = [F.expr(f"coalesce(bit_or(if(pmod(shiftright(lg_slot, 6), {WORDS}) = {j}, shiftleft(1L, cast(pmod(lg_slot, 64) as int)), 0L)), 0L)") for j in range(WORDS)]
+    return rows.groupBy("lg_word").agg(F.array(*bits).alias("lg_bits"))
 
 
 def sieved(df: DataFrame, bits: DataFrame, *columns: str, name: str = "lg_may") -> DataFrame:
     """df with `name`: whether a row's key may be one of the sieve's (false: it is none). The exact join then sees few other rows."""
     slot = F.pmod(F.xxhash64(*columns), F.lit(1 << SIEVE))
-    word, bit = F.shiftright(slot, 6).cast("int"), F.pmod(F.xxhash64(*columns), F.lit(64)).cast("int")
+    word, bit = F.floor(slot / (64 * WORDS)).cast("int"), F.pmod(F.xxhash64(*columns), F.lit(64 * WORDS)).cast("int")
     out = df.withColumns({"lg_at": word, "lg_bit": bit}).join(F.broadcast(bits), F.col("lg_at") == F.col("lg_word"), "left")
-    hit = F.expr("coalesce((shiftright(lg_bits, lg_bit) & 1L) = 1L, false)")
+    hit = F.expr("coalesce((shiftright(lg_bits[shiftright(lg_bit, 6)], pmod(lg_bit, 64)) & 1L) = 1L, false)")
     return out.withColumn(name, hit).drop("lg_at", "lg_bit", "lg_word", "lg_bits")
 
 def mix64(x: np.ndarray) -> np.ndarray:

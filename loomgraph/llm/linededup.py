@@ -218,7 +218,12 @@ def shared(rows: DataFrame, counts: DataFrame, scratch: Scratch) -> DataFrame:
     found = scratch.save(found)
     rows = sieved(rows, scratch.save(sieve(found, "h")), "h").where("lg_may").drop("lg_may")
     salt = F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")
-    return rows.withColumn("lg_salt", salt).join(found.withColumn("lg_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["h", "lg_salt"]).drop("lg_salt")
+    return rows.withColumn("lg_salt", salt).hint("merge").join(salted(found), ["h", "lg_salt"]).drop("lg_salt")
+
+
+def salted(df: DataFrame) -> DataFrame:
+    """Each row for every salt, never broadcast: by the size of its file a table may seem small, but not so often over."""
+    return df.withColumn("lg_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
 
 
 def confirmed(some: DataFrame, sources: DataFrame, scratch: Scratch) -> DataFrame:
@@ -231,7 +236,7 @@ def confirmed(some: DataFrame, sources: DataFrame, scratch: Scratch) -> DataFram
     sets = sets.join(shares, "source").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
     both = F.size(F.array_intersect("s", "t"))
     like = (both > 0) & (100 * both >= PERCENT * (F.size("s") + F.size("t") - both))
-    near = scratch.save(own.join(sets, ["source", "salt"]).where(like).select("cls").distinct())
+    near = scratch.save(own.hint("merge").join(sets.hint("merge"), ["source", "salt"]).where(like).select("cls").distinct())
     # a text that others have as their source is never spared itself
     ids = some.join(near, "cls", "left_semi").select(F.col("source").alias("id")).distinct()
     return near.join(sources.select("cls", F.col("source").alias("id")).join(ids, "id", "left_semi").select("cls").distinct(), "cls", "left_anti")
@@ -245,7 +250,7 @@ def spare(texts: DataFrame, marks: DataFrame, without, scratch: Scratch) -> Data
     """
     likely = scratch.save(marks.where(F.col("share") >= CANDIDATE).select("cls", "source", "foreign"))
     some = scratch.save(without(texts.select("cls", "text").join(likely.select("cls", "source", "foreign").hint("merge"), "cls"), "foreign"))
-    of = texts.join(likely.select(F.col("source").alias("id")).distinct().hint("merge"), "id", "left_semi").join(marks.select("cls", "gone"), "cls", "left")
+    of = texts.join(likely.select(F.col("source").alias("id")).distinct().hint("merge"), "id", "left_semi").join(marks.select("cls", "gone").hint("merge"), "cls", "left")
     sources = scratch.save(without(of, "gone").select("cls", F.col("id").alias("source"), "text"))
     near = confirmed(some, sources, scratch).withColumn("lg_near", F.lit(True))
     return marks.join(near, "cls", "left").select("cls", F.when(F.col("lg_near"), F.col("foreign")).otherwise(F.col("gone")).alias("gone"))
@@ -366,13 +371,12 @@ def recurring(docs: DataFrame, scratch: Scratch, passages: bool = True, copies:
     if not passages:
         return lines, None
     marks = hits.where("place < 0").groupBy("cls").agg(F.collect_set("h").alias("marks"))
-    near = texts.join(marks.hint("merge"), "cls").join(lines, "cls", "left")
+    near = texts.join(marks.hint("merge"), "cls").join(lines.hint("merge"), "cls", "left")
     windows = scratch.save(windows_of(near))
     counts = windows.groupBy("h").agg(F.count(F.lit(1)).alias("texts"), F.min("id").alias("first"))
     found = scratch.save(counts.where("texts > 1").select("h", "first"))
     salt = F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")
-    spread = found.withColumn("lg_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    again = windows.withColumn("lg_salt", salt).join(spread, ["h", "lg_salt"]).drop("lg_salt")
+    again = windows.withColumn("lg_salt", salt).hint("merge").join(salted(found), ["h", "lg_salt"]).drop("lg_salt")
     cuts = scratch.save(marked(again, "h"))
     if not copies:
         return lines, cuts.select("cls", "gone")
@@ -391,8 +395,7 @@ def apply(docs: DataFrame, lines: DataFrame, windows: DataFrame | None, scratch:
     rows = sieved(docs.withColumn("lg_cls", class_of()), scratch.save(sieve(gone, "cls")), "lg_cls")
     salt = F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.lit(SALTS)).cast("int")  # equal texts may be very many
     some = rows.where("lg_may").withColumn("lg_salt", salt)
-    spread = gone.withColumn("lg_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("cls", "lg_cls")
-    some = some.join(spread, ["lg_cls", "lg_salt"], "left").withColumn(count, F.greatest(F.coalesce(F.size("lg_places"), F.lit(0)), F.lit(0)).cast("long"))
+    some = some.hint("merge").join(salted(gone.withColumnRenamed("cls", "lg_cls")), ["lg_cls", "lg_salt"], "left").withColumn(count, F.greatest(F.coalesce(F.size("lg_places"), F.lit(0)), F.lit(0)).cast("long"))
     some = without_places(some, "lg_places").select(*docs.columns, count, "lg_windows")
     some = some.drop("lg_windows") if windows is None else without_windows(some, "lg_windows")
     rest = rows.where("not lg_may").select(*docs.columns, F.lit(0).cast("long").alias(count))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.llm import charlm, chat, decontaminate, gbt, htmltext, langid, linededup, neardup, pieces, pii, quality, queries, simhash
-from loomgraph.llm.common import Scratch
+from loomgraph.llm.common import SIEVE, Scratch, sieve, sieved
 
 from ..oracle import same
 
@@ -231,6 +231,23 @@ def test_line_dedup_of_passages_within_lines(spark):
     assert got == rows | {2: f"{a} {b}"}
 
 
+def test_salted_tables_are_not_broadcast(spark):
+    rows = [(c, c, 0, h, True, 2, 60, 60) for c in range(40) for h in range(c, c + 3)]
+    keys = spark.createDataFrame(rows, "cls long, id long, place int, h long, fresh boolean, least tinyint, n int, total long")
+    hits = linededup.shared(keys, keys.where("fresh"), scratch(spark))
+    assert {(r["cls"], r["h"], r["first"]) for r in hits.collect()} == {(c, h, max(0, h - 2)) for c, _, _, h, *_ in rows if 1 <= h <= 40}
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan.split("== Initial Plan ==")[0] and "lg_salt" not in " ".join(x for x in plan.splitlines() if "BroadcastHashJoin" in x)
+
+
+def test_sieves_hold_their_keys_in_few_rows(spark):
+    keys = spark.range(200_000).select((F.col("id") * 3).alias("k"))
+    bits = sieve(keys, "k")
+    assert bits.count() <= 1 << (SIEVE - 10)
+    n = sieved(spark.range(60_000).withColumnRenamed("id", "k"), bits, "k").groupBy().agg(F.sum(F.expr("int(lg_may and k % 3 = 0)")), F.sum(F.expr("int(lg_may and k % 3 != 0)"))).first()
+    assert n[0] == 20_000 and n[1] < 1000
+
+
 def test_line_templates_odd(spark, odd, none):
     got = linededup.drop_lines(odd, scratch(spark))
     assert got.columns == odd.columns and got.count() == len(ODD)

@@ -36,7 +36,7 @@ from .common import extended, mix64, released
 
 START, END, REPEAT = "\x02", "\x03", "\x04"
 #: Characters whose grams are handled at once, of a block of documents, and entries of counts that a task holds.
-CHUNK, BLOCK_CHARS, HELD = 1_000_000, 32_000_000, 1_500_000
+CHUNK, BLOCK_CHARS, HELD = 250_000, 32_000_000, 1_500_000
 _FACTORS = mix64(np.arange(1, 17, dtype=np.uint64)) | np.uint64(1)
 
 

@@ -534,6 +534,18 @@ def test_quality_of_toxic_documents(spark, monkeypatch):
     assert {r["doc_id"] for r in quality.keep_good(docs, labels, scratch(spark)).collect()} == set(range(80))
 
 
+def test_characters_of_many_texts_are_handled_in_little_memory():
+    import tracemalloc
+
+    texts = [" ".join(f"w{i * j % 997}x" for j in range(400)) for i in range(1000)]
+    charlm.word_characters("spaces"), charlm.mixed_codes()
+    tracemalloc.start()
+    charlm.sums(texts, "spaces", 5, 1, lambda g: g.hashes.astype(float)[None])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40_000_000
+
+
 def test_quality_odd(spark, odd, none):
     labels = spark.createDataFrame([(4, 1, 0), (4, 1, None), (5, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
     got = quality.keep_good(odd, labels, scratch(spark))

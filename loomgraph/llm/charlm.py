@@ -36,7 +36,9 @@ from .common import extended, mix64, released
 
 START, END, REPEAT = "\x02", "\x03", "\x04"
 #: Characters whose grams are handled at once, of a block of documents, and entries of counts that a task holds.
-CHUNK, BLOCK_CHARS, HELD = 250_000, 32_000_000, 1_500_000
+CHUNK, BLOCK_CHARS, HELD = 250_000, 32_000_000, 500_000
+#: Entries of counts that go to the JVM at once.
+SENT = 100_000
 #: Of zstd, for texts on their way to the values of their grams: those are most of what is on disk.
 LEVEL = 6
 _FACTORS = mix64(np.arange(1, 17, dtype=np.uint64)) | np.uint64(1)
@@ -205,13 +207,13 @@ class Tally:
     """Distinct grams with counts, in arrays that are merged now and then."""
 
     def __init__(self, order: int):
-        self.order, self.parts, self.size = order, [], 0
+        self.order, self.parts, self.size, self.merged = order, [], 0, 0
 
     def add(self, grams: Grams) -> None:
         h, first, n = distinct(grams.hashes)
         self.parts.append((h, grams.strings(first, self.order), n))
         self.size += len(h)
-        if self.size > HELD:
+        if self.size > max(HELD, 2 * self.merged):
             self.merge()
 
     def merge(self) -> None:
@@ -219,16 +221,22 @@ class Tally:
             h, first, inverse = np.unique(np.concatenate([p[0] for p in self.parts]), return_index=True, return_inverse=True)
             n = np.bincount(inverse, np.concatenate([p[2] for p in self.parts])).astype(np.int64)
             self.parts = [(h, np.concatenate([p[1] for p in self.parts])[first], n)]
-            self.size = len(h)
+            self.size = self.merged = len(h)
 
     def take(self) -> tuple[np.ndarray, np.ndarray]:
         """The grams and counts; the tally is empty then."""
         self.merge()
         out = self.parts[0][1:] if self.parts else (np.zeros(0, "<U1"), np.zeros(0, np.int64))
-        self.parts, self.size = [], 0
+        self.parts, self.size, self.merged = [], 0, 0
         return out
 
 
+def slices(name, grams: np.ndarray, n: np.ndarray):
+    """Parts of what a tally holds, which are lists and Arrow batches for a while, on both sides of the pipe."""
+    for i in range(0, len(n), SENT):
+        yield name, grams[i : i + SENT], n[i : i + SENT]
+
+
 def tallies(batches, order: int, kind: str):
     """(name, grams, counts) of batches whose columns begin with a name and a text; a name may come more than once."""
     held: dict = {}
@@ -243,9 +251,9 @@ def tallies(batches, order: int, kind: str):
                 tally.add(grams_of(parts, kind, order))
         while sum(t.size for t in held.values()) > 2 * HELD:
             name = max(held, key=lambda k: held[k].size)
-            yield name, *held.pop(name).take()
+            yield from slices(name, *held.pop(name).take())
     for name, tally in held.items():
-        yield name, *tally.take()
+        yield from slices(name, *tally.take())
 
 
 def count_grams(df: DataFrame, order: int, kind: str, text: str = "text", model: str = "model") -> DataFrame:

@@ -58,8 +58,8 @@ def branch_kinds(n: np.ndarray) -> np.ndarray:
     return np.where(n - 2 * part >= MIN_FIXED, 2, np.where(n - part >= MIN_FIXED, 1, 0))
 
 
-#: Bytes of text that are tokenised at once; a longer line is taken whole.
-CHUNK = 4_000_000
+#: Bytes of text that are tokenised at once, in arrays of some 80 bytes for each; a longer line is taken whole.
+CHUNK = 250_000
 BASE = 0x9E3779B97F4A7C15
 SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 BYTES = mix64(np.arange(256, dtype=np.uint64) + np.uint64(1))

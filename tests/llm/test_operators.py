@@ -546,6 +546,38 @@ def test_characters_of_many_texts_are_handled_in_little_memory():
     assert peak < 40_000_000
 
 
+def peak_memory(run) -> tuple[object, float]:
+    """What run gives, and the MB that it took at most."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_tallies_are_sent_in_parts_and_held_in_little_memory():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(2000)) for _ in range(400)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(["m"] * 50), pa.array(texts[i : i + 50])], ["model", "text"]) for i in range(0, len(texts), 50)]
+    charlm.mixed_codes(), charlm.word_characters("spaces")
+    sizes, mb = peak_memory(lambda: [len(n) for _, _, n in charlm.tallies(iter(batches), 5, "spaces")])
+    assert sum(sizes) >= 790_000 and max(sizes) <= 100_000
+    assert mb < 110
+
+
+def test_lines_of_many_texts_are_hashed_in_little_memory():
+    rng = random.Random(4)
+    texts = [b"\n".join(b" ".join(b"w%d" % rng.randrange(10**6) for _ in range(12)) for _ in range(40)) for _ in range(1000)]
+    whole = [x for lines in linededup.pieces_of(texts) for x in zip(lines.text.tolist(), lines.place.tolist(), lines.n.tolist())]
+    assert whole == [(i, j, 12) for i in range(1000) for j in range(40)]
+    linededup.powers(10)
+    assert peak_memory(lambda: [lines.leaves()[2][:1] for lines in linededup.pieces_of(texts)])[1] < 60
+
+
 def test_quality_odd(spark, odd, none):
     labels = spark.createDataFrame([(4, 1, 0), (4, 1, None), (5, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
     got = quality.keep_good(odd, labels, scratch(spark))

@@ -31,6 +31,7 @@ Extra columns pass; columns named like an output or beginning with lg_ raise an
 
 from __future__ import annotations
 
+import functools
 from itertools import combinations
 
 import numpy as np
@@ -66,12 +67,18 @@ BYTES = mix64(np.arange(256, dtype=np.uint64) + np.uint64(1))
 WILDCARD = mix64(np.array([BASE], np.uint64))[0]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse, modulo 2^64."""
+@functools.lru_cache(1)
+def table_of_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(x))])) for x in (BASE, pow(BASE, -1, 2**64)))
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse, modulo 2^64, up to n."""
+    some = table_of_powers(2 * CHUNK) if n <= 2 * CHUNK else table_of_powers.__wrapped__(n)
+    return some[0][: n + 1], some[1][: n + 1]
+
+
 class Lines:
     """The tokens of the lines of some texts: hashes, and hashes of runs of them by prefix sums."""
 

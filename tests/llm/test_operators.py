@@ -578,6 +578,13 @@ def test_lines_of_many_texts_are_hashed_in_little_memory():
     assert peak_memory(lambda: [lines.leaves()[2][:1] for lines in linededup.pieces_of(texts)])[1] < 60
 
 
+def test_powers_are_computed_once_and_of_any_number():
+    few, many = linededup.powers(10), linededup.powers(3 * linededup.CHUNK)
+    assert few[0].base is linededup.powers(20)[0].base is not None
+    assert len(few[0]) == 11 and len(many[0]) == 3 * linededup.CHUNK + 1
+    assert all((a == b[:11]).all() for a, b in zip(few, many))
+
+
 def test_quality_odd(spark, odd, none):
     labels = spark.createDataFrame([(4, 1, 0), (4, 1, None), (5, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
     got = quality.keep_good(odd, labels, scratch(spark))

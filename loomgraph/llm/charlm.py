@@ -21,6 +21,7 @@ looked up by 64-bit hashes; values are the same.
 from __future__ import annotations
 
 import functools
+import operator
 import re
 import unicodedata
 from dataclasses import dataclass
@@ -62,41 +63,54 @@ def mixed_codes() -> np.ndarray:
 
 
 class Index:
-    """Places of distinct 64-bit keys: one slot each by the high bits, and binary search for what meets in a slot."""
+    """Places of distinct 64-bit keys: one slot each by the high bits, another by mixed bits for what has lost its slot, and binary
+    search for the few that lose both."""
 
     def __init__(self, keys: np.ndarray):
         self.keys = keys
-        self.shift = np.uint64(64 - max(10, int(4 * len(keys)).bit_length()))
-        self.slots = np.zeros(1 << (64 - int(self.shift)), np.int32)
-        self.slots[keys >> self.shift] = np.arange(len(keys), dtype=np.int32)
-        self.order = np.argsort(keys)
+        self.shift, self.slots = self.table(keys, np.arange(len(keys), dtype=np.int32))
+        lost = np.flatnonzero(keys[self.slots[keys >> self.shift]] != keys) if len(keys) else np.zeros(0, np.int64)
+        mixed = mix64(keys[lost])
+        self.shift2, self.slots2 = self.table(mixed, lost.astype(np.int32))
+        lost = lost[self.slots2[mixed >> self.shift2] != lost]
+        self.order = lost[np.argsort(keys[lost])]
         self.sorted = keys[self.order]
 
+    @staticmethod
+    def table(keys: np.ndarray, places: np.ndarray) -> tuple[np.uint64, np.ndarray]:
+        shift = np.uint64(64 - max(10, int(4 * len(keys)).bit_length()))
+        slots = np.zeros(1 << (64 - int(shift)), np.int32)
+        slots[keys >> shift] = places
+        return shift, slots
+
     def find(self, h: np.ndarray) -> np.ndarray:
         """The place of each, all of which are keys."""
         out = self.slots[h >> self.shift]
         other = np.flatnonzero(self.keys[out] != h)
-        out[other] = self.order[np.searchsorted(self.sorted, h[other])]
+        if len(other):
+            rest = h[other]
+            at = self.slots2[mix64(rest) >> self.shift2]
+            left = np.flatnonzero(self.keys[at] != rest)
+            at[left] = self.order[np.searchsorted(self.sorted, rest[left])]
+            out[other] = at
         return out
 
 
 def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct values in order, a place of each, and their counts. (Sorting alone is several times faster than with places.)"""
-    s = np.sort(h)
-    edges = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
-    u = s[edges]
-    shift = np.uint64(64 - max(10, int(4 * len(u)).bit_length()))
-    slots = np.zeros(1 << (64 - int(shift)), np.int64)
-    slots[h >> shift] = np.arange(len(h))
-    at = slots[u >> shift]
-    other = np.flatnonzero(h[at] != u) if len(u) else at
-    if len(other):
-        crowded = np.zeros(len(slots), bool)
-        crowded[u[other] >> shift] = True
-        rows = np.flatnonzero(crowded[h >> shift])
-        few, first = np.unique(h[rows], return_index=True)
-        at[other] = rows[first[np.searchsorted(few, u[other])]]
-    return u, at, np.diff(np.concatenate([edges, [len(s)]]))
+    """Distinct values in order, a place of each, and their counts. The places are sorted as the values' low bits, which is several
+    times faster than sorting places by value; where two values agree in all other bits, it is done by value."""
+    bits = np.uint64((1 << max(1, len(h).bit_length())) - 1)
+    packed = (h & ~bits) | np.arange(len(h), dtype=np.uint64)
+    packed.sort()
+    at = (packed & bits).view(np.int64)
+    s = h[at]
+    new = s[1:] != s[:-1]
+    high = packed & ~bits
+    if (new & (high[1:] == high[:-1])).any():
+        u, at, n = np.unique(h, return_index=True, return_counts=True)
+        return u, at, n
+    edges = np.flatnonzero(np.concatenate([[True], new])) if len(s) else np.zeros(0, np.int64)
+    return s[edges], at[edges], np.diff(np.concatenate([edges, [len(s)]]))
 
 
 @dataclass
@@ -120,9 +134,10 @@ def hash_codes(codes: np.ndarray, place: np.ndarray, order: int) -> np.ndarray:
     m = mixed_codes()[codes]
     with np.errstate(over="ignore"):
         h = m * _FACTORS[0]
+        near = np.minimum(place, order).astype(np.int8)
         for j in range(1, order):
             step = m[:-j] * _FACTORS[j]
-            step *= place[j:] >= j
+            step &= (-(near[j:] >= j).view(np.int8)).astype(np.int64).view(np.uint64)  # all bits, or none
             h[j:] += step
     return h
 
@@ -142,7 +157,36 @@ def hash_strings(grams: np.ndarray) -> np.ndarray:
     return out
 
 
+SEPARATORS = [chr(c) for c in range(9)]
+SEPARATOR = re.compile("[\x00-\x08]")
+
+
+def spaced_grams(texts: list[str], order: int) -> Grams:
+    """grams_of for the kind `spaces`, whose words are those of str.split."""
+    words: list[str] = []
+    ends = np.zeros(len(texts) + 1, np.int64)
+    for i, text in enumerate(texts):
+        if any(c in text for c in SEPARATORS):
+            text = SEPARATOR.sub(" ", text)
+        words += text.split()
+        ends[i + 1] = len(words)
+    text = np.repeat(np.arange(len(texts)), np.diff(ends))
+    again = np.zeros(len(words), bool)
+    if words:
+        again[1:] = np.fromiter(map(operator.eq, words[1:], words), bool, len(words) - 1) & (text[1:] == text[:-1])
+        for i in np.flatnonzero(again).tolist():
+            words[i] = REPEAT
+    full = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    joined = START + (END + START).join(words) + END if words else ""
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    place = np.arange(len(codes)) - np.repeat(np.cumsum(full) - full, full)
+    at = np.flatnonzero(place)
+    return Grams(hash_codes(codes, place, order)[at], np.repeat(text, full - 1), codes, at, np.minimum(place[at] + 1, order))
+
+
 def grams_of(texts: list[str], kind: str, order: int) -> Grams:
+    if kind == "spaces":
+        return spaced_grams(texts, order)
     joined = " ".join(texts)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     if kind == "letters":
@@ -155,18 +199,11 @@ def grams_of(texts: list[str], kind: str, order: int) -> Grams:
     size = ends - starts
     first = np.cumsum(lengths + 1) - lengths - 1  # of each text in joined
     text = np.searchsorted(first, starts, side="right") - 1
-    repeat = np.zeros(len(size), bool)
-    if kind == "spaces" and len(size):
-        factors = mix64(np.arange(int(size.max()), dtype=np.uint64)) | np.uint64(1)
-        place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        with np.errstate(over="ignore"):
-            words = np.add.reduceat(mixed_codes()[source[inside[1:-1]]] * factors[place], np.cumsum(size) - size)
-        repeat[1:] = (words[1:] == words[:-1]) & (size[1:] == size[:-1]) & (text[1:] == text[:-1])
-    full = np.where(repeat, 1, size) + 2
+    full = size + 2
     offset = np.cumsum(full) - full
     place = np.arange(int(full.sum())) - np.repeat(offset, full)
     codes = source[np.clip(np.repeat(starts - 1, full) + place, 0, max(len(source) - 1, 0))] if len(source) else np.zeros(0, np.uint32)
-    codes[offset], codes[offset + full - 1], codes[offset[repeat] + 1] = ord(START), ord(END), ord(REPEAT)
+    codes[offset], codes[offset + full - 1] = ord(START), ord(END)
     at = np.flatnonzero(place > 0)
     return Grams(hash_codes(codes, place, order)[at], np.repeat(text, full - 1), codes, at, np.minimum(place[at] + 1, order))
 

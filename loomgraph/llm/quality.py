@@ -42,8 +42,8 @@ FLOOR = 1.0
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def words_in(text: str) -> set[str]:
-    return set(WORD.findall(text.lower()))
+def words_in(text: str) -> list[str]:
+    return WORD.findall(text.lower())
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -81,12 +81,15 @@ def fit(known: DataFrame, scratch: Scratch) -> charlm.Tables | None:
     return charlm.train(known.where("not toxic").withColumn("model", fold()), scratch, ORDER, "spaces")
 
 
-def words_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, word): the distinct words of each text."""
+def words_of(docs: DataFrame, bits=None) -> DataFrame:
+    """(doc_id, word): the distinct words of each text; with bits, a broadcast sieve, only those that may be in it."""
 
     def run(batches):
         for batch in batches:
-            found = [sorted(words_in(t)) if t else [] for t in batch.column(1).to_pylist()]
+            found = [set(words_in(t)) if t else set() for t in batch.column(1).to_pylist()]
+            if bits is not None:
+                few = set(charlm.passing(set().union(*found), bits.value))
+                found = [f & few for f in found]
             owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array([w for f in found for w in f], pa.string())], ["doc_id", "word"])
 
@@ -101,7 +104,8 @@ def toxic_words(known: DataFrame, scratch: Scratch, quantile: float = QUANTILE,
     count = lambda rows, name: rows.groupBy("word").agg(F.count(F.lit(1)).alias(name))
     toxic = scratch.save(count(words_of(known.where("toxic")), "t"))
     # words of trusted documents are many, so only sums of them move; their words are read once more for the few that matter
-    own = lambda words: sieved(words_of(known.where("not toxic")), scratch.save(sieve(words, "word")), "word").where("lg_may").drop("lg_may")
+    send = known.sparkSession.sparkContext.broadcast
+    own = lambda words: words_of(known.where("not toxic"), send(charlm.sieve_array(words, scratch)))  # noqa: E731  # 8 MB
     odds = lambda o: F.log((F.col("t") + 0.5) / (sizes[True] + 1)) - F.log((o + 0.5) / (sizes[False] + 1))
     counts = toxic.join(count(own(toxic), "o"), "word", "left").withColumn("o", F.coalesce("o", F.lit(0)))
     counts = scratch.save(counts.select("word", "o", odds(F.col("o")).alias("odds"), odds(F.greatest(F.col("o") - 1, F.lit(0))).alias("alone")).where(F.col("alone") > FLOOR))

@@ -585,6 +585,33 @@ def test_powers_are_computed_once_and_of_any_number():
     assert all((a == b[:11]).all() for a, b in zip(few, many))
 
 
+def test_words_of_with_a_sieve_leaves_the_others_in_the_worker(spark):
+    from pyspark.sql import Row
+
+    docs = spark.createDataFrame([(i, f"bad thing{i} Other{i} bad") for i in range(200)], "doc_id long, text string")
+    bits = spark.sparkContext.broadcast(charlm.sieve_array(spark.createDataFrame([("bad",)], "word string"), scratch(spark)))
+    some = quality.words_of(docs, bits).collect()
+    assert {Row(doc_id=i, word="bad") for i in range(200)} <= set(some) and len(some) < 210
+
+
+@pytest.mark.parametrize("kind", ["spaces", "letters"])
+def test_grams_of_odd_spaces_marks_and_repeats(kind):
+    texts = ["", "a a  a b\x00b b\x05", "\x1c\x1dab ab\u3000ab\n\n ab", "\x00", "\u00e9 \u00e9", "\u00e9"]
+    got = charlm.grams_of(texts, kind, 3)
+    lower, marks = (str.lower, "[^\\W\\d_]+") if kind == "letters" else (str, r"[^\s\x00-\x08]+")
+    want = []
+    for i, text in enumerate(texts):
+        words = re.findall(marks, lower(text))
+        words = [charlm.REPEAT if kind == "spaces" and k and w == words[k - 1] else w for k, w in enumerate(words)]
+        for w in words:
+            w = charlm.START + w + charlm.END
+            want += [(i, w[max(0, k - 2) : k + 1]) for k in range(1, len(w))]
+    import numpy as np
+
+    assert list(zip(got.owner.tolist(), got.strings(np.arange(len(got.hashes)), 3).tolist())) == want
+    assert (got.hashes == charlm.hash_strings(got.strings(np.arange(len(want)), 3))).all()
+
+
 def test_quality_odd(spark, odd, none):
     labels = spark.createDataFrame([(4, 1, 0), (4, 1, None), (5, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
     got = quality.keep_good(odd, labels, scratch(spark))

@@ -724,6 +724,25 @@ def test_streaming_search_of_scores_is_the_best_one():
         assert sum(len(codec.text[i].replace("▁", " ").encode()) if i not in codec.value else 1 for i in got) == len(chars.replace("▁", " ").encode())
 
 
+def test_one_worker_encodes_and_decodes(spark, odd):
+    got = pieces.round_trip(odd)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    want = pieces.decode(pieces.encode(odd)).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, list(r["ids"]))
+    rows = got.collect()
+    assert sorted(map(key, rows)) == sorted(map(key, want)) and all(r["exact"] and r["n_ids"] == len(r["ids"]) for r in rows)
+
+
+def test_remembered_pairs_and_beginnings_are_bounded(codec, monkeypatch):
+    text = "The quick brown fox, 12345 jumps over the lazy d\u00f6g \u65e5\u672c\u8a9e internationalization " * 3
+    want = codec.whole(text)
+    monkeypatch.setattr(pieces, "PAIRS", 5)
+    monkeypatch.setattr(pieces, "HEADS", 5)
+    own = pieces.Codec(*pieces.load())
+    assert own.encode(text) == own.whole(text) == want
+    assert max(len(x) + len(x.old) for x in (own.apart, own.heads)) <= 10
+
+
 def test_pieces_odd(spark, odd, none):
     got = pieces.round_trip(odd)
     assert got.where("exact").count() == len(ODD)

@@ -63,6 +63,7 @@ class Scratch:
         """
         if time.monotonic() - Scratch.swept > 5:
             self.spark._jvm.System.gc()
+            trim_driver(self.spark)
             Scratch.swept = time.monotonic()
         self.count += 1
         path = f"{self.root}/{self.count:03d}"
@@ -79,6 +80,34 @@ class Scratch:
                     p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def trim_driver(spark: SparkSession) -> str | None:
+    """Hands native memory that the driver's JVM has freed (compilers, codecs) back to the system, and returns what the JVM says.
+
+    The C library keeps such memory in a pool for each thread, beside a heap that may be full. None where the JVM has no such command
+    (before Java 17.0.9, or not on Linux).
+    """
+    from py4j.protocol import Py4JError
+
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+
+    def array(kind, *values):
+        out = gateway.new_array(kind, len(values))
+        for i, v in enumerate(values):
+            out[i] = v
+        return out
+
+    try:
+        of = jvm.java.lang.Class.forName
+        names = ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")
+        # by way of the interface: the class of the server is closed to other modules
+        invoke = of("javax.management.MBeanServer").getMethod("invoke", array(jvm.java.lang.Class, *map(of, names)))
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        command = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        return invoke.invoke(server, array(jvm.Object, command, "systemTrimNativeHeap", array(jvm.Object), array(jvm.String)))
+    except Py4JError:
+        return None
+
+
 #: A sieve has 2^SIEVE bits, in rows of WORDS words of 64, whatever the number of keys. (A hash table with a row for each word would
 #: take several times the room of the bits, on the driver and on each executor.)
 SIEVE, WORDS = 26, 16

@@ -36,6 +36,27 @@ def scratch(spark):
     return Scratch(spark, "test")
 
 
+def test_saving_hands_freed_native_memory_of_the_driver_back(spark):
+    native, pid = spark._jvm.org.apache.spark.unsafe.Platform, spark._jvm.java.lang.ProcessHandle.current().pid()
+
+    def mb():
+        with open(f"/proc/{pid}/statm") as f:
+            return int(f.read().split()[1]) * 4096 >> 20
+
+    scratch(spark).save(spark.range(3)).count()  # loads what saving needs
+    blocks = [native.allocateMemory(100_000) for _ in range(1500)]
+    for at in blocks:
+        native.copyMemory(None, blocks[0], None, at, 100_000)
+    for at in blocks[:-1]:  # the last keeps the pool from shrinking by itself
+        native.freeMemory(at)
+    spark._jvm.System.gc()
+    before, Scratch.swept = mb(), float("-inf")
+    assert scratch(spark).save(spark.range(3)).count() == 3
+    after = mb()
+    native.freeMemory(blocks[-1])
+    assert before - after > 80
+
+
 # -- 1 ---------------------------------------------------------------------------------------------------------------------
 
 

@@ -33,7 +33,7 @@ import pyarrow.ipc  # noqa: F401
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
-from .common import extended, mix64, released
+from .common import extended, mix64, release, released
 
 START, END, REPEAT = "\x02", "\x03", "\x04"
 #: Characters whose grams are handled at once, of a block of documents, and entries of counts that a task holds.
@@ -527,6 +527,11 @@ class Tables:
                     yield pa.RecordBatch.from_arrays([pa.array([value], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["lg_block", "data"])
 
         def score(left: pa.Table, right: pa.Table) -> pa.Table:
+            out = scored(left, right)
+            release()
+            return out
+
+        def scored(left: pa.Table, right: pa.Table) -> pa.Table:
             grams = right.column("gram").to_pylist()
             own = [i for i, g in enumerate(grams) if not g.startswith(WORD)]
             bad = listed.value if listed else {g[len(WORD) :] for g in grams if g.startswith(WORD)}
